@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Output batches of the Arrow operators are cut at this many payload bytes, so that one batch
 #: stays small however long single texts are.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,18 +55,29 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows, where the session has not asked for other ones.
+
+    Whole texts go to Python workers; the default of 10,000 rows makes batches of many MB in the
+    executor and in the worker at once.
+    """
+    key, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, str(rows))
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
     """Row tuples of the named columns, one batch converted in slices so that few texts are held twice."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
+        for at in range(0, batch.num_rows, 128):
+            part = batch.slice(at, 128)
             yield from zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in columns), strict=True)
 
 
 class Batcher:
     """Collects output rows and hands out Arrow batches of bounded size."""
 
-    def __init__(self, schema: pa.Schema, max_bytes: int = BATCH_BYTES, max_rows: int = 4096):
+    def __init__(self, schema: pa.Schema, max_bytes: int = BATCH_BYTES, max_rows: int = 2000):
         self.schema, self.max_bytes, self.max_rows = schema, max_bytes, max_rows
         self.columns: list[list] = [[] for _ in schema]
         self.size = 0

@@ -7,13 +7,15 @@ frames; other columns of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
+import struct
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import gif
-from .common import Batcher, rows_of, table
+from .common import Batcher, rows_of, small_batches, table
 
 FRAME = "struct<frame:int,delay_ms:int,width:int,height:int,histogram:array<bigint>>"
 _ARROW_FRAMES = pa.list_(pa.struct([("frame", pa.int32()), ("delay_ms", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("histogram", pa.list_(pa.int64()))]))
@@ -31,58 +33,63 @@ def frames_of(image: gif.Gif) -> list[dict]:
     return out
 
 
-def text_to_gif(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, media): each whole text as UTF-8, zero-padded, stored as a GIF."""
-    id_type = docs.schema[id_col].dataType
+_MEDIA = pa.schema([("media", pa.binary()), ("samples", pa.binary()), ("frames", _ARROW_FRAMES), ("error", pa.string())])
 
-    def run(batches):
-        out = None
-        for batch in batches:
-            out = out or Batcher(pa.schema([(id_col, batch.schema.field(0).type), ("n_bytes", pa.int64()), ("media", pa.binary())]))
-            for key, raw in rows_of([batch], "k", "raw"):
-                raw = raw or b""
-                media = gif.encode(padded(raw))
-                if out.add((key, len(raw), media), len(media)):
-                    yield out.flush()
-        if out:
-            yield out.flush()
 
-    schema = T.StructType([T.StructField(id_col, id_type), T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
-    return docs.select(F.col(id_col).alias("k"), F.encode(F.col(text_col), "UTF-8").alias("raw")).mapInArrow(run, schema)
+def read_media(data: bytes | None) -> tuple:
+    """media, samples, frames, error of one GIF."""
+    try:
+        if data is None:
+            raise gif.GifError("no media")
+        image = gif.decode(data)
+        return data, gif.samples_of(image), frames_of(image), None
+    except (gif.GifError, IndexError, ValueError, struct.error) as e:
+        return data, None, [], str(e) or type(e).__name__
 
 
-def gif_columns(media: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``keep`` columns and media_bytes, media, samples (as stored), frames (timed, with histograms), error."""
-    fields = [media.schema[c] for c in keep]
+def _mapped(df: DataFrame, source: F.Column, keep: tuple[str, ...], extra: list[tuple[str, T.DataType, pa.DataType]], make) -> DataFrame:
+    """``keep`` columns, ``extra`` columns and the media columns; make(value) gives all but the kept ones."""
+    names = [f"k{n}" for n in range(len(keep))]
+    small_batches(df.sparkSession)
 
     def run(batches):
         out = None
         for batch in batches:
-            names = [f"k{n}" for n in range(len(keep))]
-            out = out or Batcher(pa.schema([*((c, batch.schema.field(n).type) for n, c in zip(names, keep, strict=True)), ("media", pa.binary()), ("samples", pa.binary()), ("frames", _ARROW_FRAMES), ("error", pa.string())]))
-            for *kept, data in rows_of([batch], *names, "m"):
-                samples, frames, error = None, [], None
-                try:
-                    if data is None:
-                        raise gif.GifError("no media")
-                    image = gif.decode(data)
-                    samples, frames = gif.samples_of(image), frames_of(image)
-                except (gif.GifError, IndexError, ValueError, gif.struct.error) as e:
-                    error = str(e) or type(e).__name__
-                if out.add((*kept, data, samples, frames, error), len(data or b"") + len(samples or b"")):
+            if out is None:
+                out = Batcher(pa.schema([*((c, batch.schema.field(n).type) for n, c in zip(names, keep, strict=True)), *((c, t) for c, _, t in extra), *_MEDIA]))
+            for *kept, value in rows_of([batch], *names, "v"):
+                made = make(value)
+                if out.add((*kept, *made), 2 * len(made[-4] or b"")):
                     yield out.flush()
         if out:
             yield out.flush()
 
-    schema = T.StructType([*fields, T.StructField("media", T.BinaryType()), T.StructField("samples", T.BinaryType()), T.StructField("frames", T._parse_datatype_string(f"array<{FRAME}>")), T.StructField("error", T.StringType())])
-    picked = [F.col(c).alias(f"k{n}") for n, c in enumerate(keep)]
-    return media.select(*picked, F.col(media_col).alias("m")).mapInArrow(run, schema)
+    schema = T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in keep), *(T.StructField(c, t) for c, t, _ in extra), T.StructField("media", T.BinaryType()), T.StructField("samples", T.BinaryType()), T.StructField("frames", T._parse_datatype_string(f"array<{FRAME}>")), T.StructField("error", T.StringType())])
+    return df.select(*(F.col(c).alias(n) for n, c in zip(names, keep, strict=True)), source.alias("v")).mapInArrow(run, schema)
+
+
+def _stored(raw: bytes | None) -> tuple:
+    raw = raw or b""
+    return (len(raw), *read_media(gif.encode(padded(raw))))
+
+
+def text_to_gif(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """``keep`` columns, n_bytes (unpadded) and the media columns of each whole text stored as a GIF and read back.
+
+    media: the stored form; samples: the zero-padded UTF-8 bytes as read from it; frames: timed, with
+    colour histograms; error: null.
+    """
+    return _mapped(docs, F.encode(F.col(text_col), "UTF-8"), keep, [("n_bytes", T.LongType(), pa.int64())], _stored)
+
+
+def gif_columns(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``keep`` columns and the media columns of a column of GIFs."""
+    return _mapped(df, F.col(media_col), keep, [], read_media)
 
 
 def op8_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every whole text stored as a GIF and read back, with its colour histogram."""
-    stored = text_to_gif(table(spark, sf_dir, "documents"))
-    read = gif_columns(stored, keep=("doc_id", "n_bytes"))
+    read = text_to_gif(table(spark, sf_dir, "documents"))
     gray = F.transform(F.array(*(F.lit(21 * k) for k in range(4))), lambda b: F.aggregate("frames", F.lit(0).cast("long"), lambda s, f: s + F.get(f["histogram"], b)))
     return read.select(
         "doc_id",
