@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op1_decontamination
 from .media import op8_media_gif
+from .packing import op3_packing
 
 ORACLES: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_media_gif": op8_media_gif}
+    found = (op1_decontamination, op3_packing, op8_media_gif)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
