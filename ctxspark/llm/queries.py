@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op1_decontamination
+from .html import op10_html_extraction
 from .media import op8_media_gif
 from .packing import op3_packing
 
@@ -14,7 +15,7 @@ ORACLES: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontamination, op3_packing, op8_media_gif)
+    found = (op1_decontamination, op3_packing, op8_media_gif, op10_html_extraction)
     return {f.__name__: f for f in found}
 
 
