@@ -10,12 +10,13 @@ from .decontaminate import op1_decontamination
 from .html import op10_html_extraction
 from .media import op8_media_gif
 from .packing import op3_packing
+from .toxicity import op2_toxicity
 
 ORACLES: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontamination, op3_packing, op8_media_gif, op10_html_extraction)
+    found = (op1_decontamination, op2_toxicity, op3_packing, op8_media_gif, op10_html_extraction)
     return {f.__name__: f for f in found}
 
 
