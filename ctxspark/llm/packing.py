@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from collections.abc import Iterable
 
@@ -42,33 +43,66 @@ WORDS_KEPT = 400_000
 # --- tokens -----------------------------------------------------------------------------------
 
 
+#: Letters that lower-case one by one and are composed already, with ASCII punctuation (no apostrophe) behind.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class WordEncoder:
     """Whole-text ids from ids of space-separated words.
 
     The vocabulary's pre-tokenizer drops white space and no token crosses it, so a text's ids are
-    those of its words in a row; words repeat, and each is encoded once.
+    those of its words in a row; words repeat, and each is encoded once.  A simple word is letters
+    and punctuation behind, which the pre-tokenizer parts and which are in any case looked up in
+    lower case; new ones are encoded together and told apart by the ids that end a word.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.encode_batch = Tokenizer.from_file(path).encode_batch_fast
+        own = Tokenizer.from_file(path)
+        self.encode_batch = own.encode_batch_fast
+        self.ends = np.zeros(own.get_vocab_size(with_added_tokens=True), bool)
+        for token, k in own.get_vocab().items():
+            self.ends[k] = token.endswith("</w>")
         self.words: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        parts, words = self.parts, self.words
+        simple = [(w, m[1].lower(), m[2]) for w in new if (m := _SIMPLE.fullmatch(w))]
+        fresh = list(dict.fromkeys(p for _, core, tail in simple for p in (core, tail) if p not in parts))
+        if fresh:
+            ids = self._ids([" ".join(fresh)])[0]
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(fresh) and cut[-1] == len(ids):
+                raw, at = ids.tobytes(), 0
+                for p, end in zip(fresh, (4 * cut).tolist(), strict=True):
+                    parts[p] = raw[at:end]
+                    at = end
+            else:  # a vocabulary without word ends
+                parts.update(zip(fresh, (i.tobytes() for i in self._ids(fresh)), strict=True))
+        for w, core, tail in simple:
+            words[w] = parts[core] + parts[tail]
+        rest = [w for w in new if w not in words]
+        words.update(zip(rest, (i.tobytes() for i in self._ids(rest)), strict=True))
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
         words = text.replace("\n", " ").split(" ")
         known = self.words
-        new = [w for w in dict.fromkeys(words) if w not in known]
+        new = set(words).difference(known)
         if new:
             if len(known) > WORDS_KEPT:
-                known = self.words = {"": b""}
-                new = [w for w in dict.fromkeys(words) if w]
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for w, e in zip(part, self.encode_batch(part, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
+                known.clear()
+                known[""] = b""
+                new = set(words) - {""}
+            if len(self.parts) > WORDS_KEPT:
+                self.parts = {"": b""}
+            self._learn(sorted(new))
         return b"".join(map(known.__getitem__, words))
 
 
