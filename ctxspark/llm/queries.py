@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op1_decontamination
 from .html import op10_html_extraction
+from .lines import ORACLE as LINES
+from .lines import op7_line_dedup
 from .media import op8_media_gif
 from .packing import op3_packing
+from .secrets import op5_secrets
 from .toxicity import op2_toxicity
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_line_dedup": LINES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontamination, op2_toxicity, op3_packing, op8_media_gif, op10_html_extraction)
+    found = (op1_decontamination, op2_toxicity, op3_packing, op5_secrets, op7_line_dedup, op8_media_gif, op10_html_extraction)
     return {f.__name__: f for f in found}
 
 
