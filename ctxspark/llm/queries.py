@@ -13,6 +13,7 @@ from .lines import ORACLE as LINES
 from .lines import op7_line_dedup
 from .media import op8_media_gif
 from .packing import op3_packing
+from .quality import op4_quality
 from .secrets import op5_secrets
 from .toxicity import op2_toxicity
 
@@ -20,7 +21,7 @@ ORACLES: dict[str, str] = {"op7_line_dedup": LINES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontamination, op2_toxicity, op3_packing, op5_secrets, op6_jaccard, op7_line_dedup, op8_media_gif, op10_html_extraction)
+    found = (op1_decontamination, op2_toxicity, op3_packing, op4_quality, op5_secrets, op6_jaccard, op7_line_dedup, op8_media_gif, op10_html_extraction)
     return {f.__name__: f for f in found}
 
 
