@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import op1_decontamination
 from .html import op10_html_extraction
 from .jaccard import op6_jaccard
+from .language import op9_lm_score
 from .lines import ORACLE as LINES
 from .lines import op7_line_dedup
 from .media import op8_media_gif
@@ -21,7 +22,7 @@ ORACLES: dict[str, str] = {"op7_line_dedup": LINES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontamination, op2_toxicity, op3_packing, op4_quality, op5_secrets, op6_jaccard, op7_line_dedup, op8_media_gif, op10_html_extraction)
+    found = (op1_decontamination, op2_toxicity, op3_packing, op4_quality, op5_secrets, op6_jaccard, op7_line_dedup, op8_media_gif, op9_lm_score, op10_html_extraction)
     return {f.__name__: f for f in found}
 
 
