@@ -1,9 +1,10 @@
 """Exact Jaccard join of documents' word shingles by T-occurrence search, and its components.
 
 Two sets of n and m shingles that reach the similarity share at least T = ceil(4/9 (n + m)) of them.
-DivideSkip splits a set's inverted lists in short ones, which are merged, and at most T - 1 long ones,
-which are only probed.  Here all shingles have one order, rare ones first; a set's first n/5 + 1
-shingles are its short lists, and whoever reaches the similarity is in one of them.  The short lists are
+DivideSkip splits a set's inverted lists in short ones, which are merged, and L < T long ones, which are
+only probed: whoever reaches T is in T - L of the short ones.  Here all shingles have one order, rare
+ones first; a set's first n/5 + l shingles are its short lists (l is n/20, at least 1), at most n/5
+of its shingles are not shared, and so the first l shared ones are among them.  The short lists are
 merged in buckets of bounded size; the long ones are probed by binary search in a candidate's sorted
 set until the overlap is reached or out of reach.
 
@@ -81,6 +82,16 @@ def set_key(own: np.ndarray) -> tuple[int, int]:
     return (d & (1 << 64) - 1) - (1 << 63), (d >> 64) - (1 << 63)
 
 
+def least_common(n: int) -> int:
+    """In how many short lists of a set of n whoever reaches the similarity is at least."""
+    return max(1, n // 20)
+
+
+def _least(n: str, m: str) -> F.Column:
+    """The same for a pair."""
+    return F.greatest(F.lit(1), F.floor(F.least(n, m) / 20))
+
+
 class Order:
     """Rare shingles by hash, then common ones by frequency."""
 
@@ -96,7 +107,7 @@ class Order:
 
     def prefix(self, own: np.ndarray) -> tuple[np.ndarray, int]:
         """The short lists' shingles, and how many of them are rare."""
-        p = len(own) // 5 + 1
+        p = len(own) // 5 + least_common(len(own))
         common, at = self.is_common(own)
         rare = own[~common][:p]
         if len(rare) == p or not len(own):
@@ -254,6 +265,17 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
 
 
+def _involved(raw: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, shingles) of the texts in the pairs."""
+
+    def whole(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for (t,) in rows_of([batch], "t")], pa.binary())], names=["id", "shingles"])
+
+    ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "involved")
+    return written(raw.join(ids, "id", "left_semi").mapInArrow(whole, "id long, shingles binary"), "whole")
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(id, component) of every linked id: the smallest id reachable, by min labels and pointer jumping."""
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -282,32 +304,25 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = written(_sets(raw, order), "sets")
     classes = written(rows.where("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix")), "classes")
     lists = written(_lists(classes), "lists")
-    # 1. each member and the member of its lists that has the fewest rare shingles before
+    # 1. each member and, of the members that lead its lists (few rare shingles before), the one it meets most
     lead = lists.groupBy("list").agg(F.min(F.struct("pos", "id", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1").select("list", F.col("lead.id").alias("lead"), F.col("lead.n").alias("m"))
-    met = lists.join(lead, "list").where((F.col("id") != F.col("lead")) & _near("n", "m")).groupBy("id", "lead").agg(F.count("*").alias("times"))
+    met = lists.join(lead, "list").where((F.col("id") != F.col("lead")) & _near("n", "m")).groupBy("id", "lead", "n", "m").agg(F.count("*").alias("times"))
+    met = met.where(2 * F.col("times") >= _least("n", "m"))  # a choice of what to try first, as all is tried in 2.
     best = met.groupBy("id").agg(F.max(F.struct("times", (-F.col("lead")).alias("k"))).alias("x")).select(F.col("id").alias("b"), (-F.col("x.k")).alias("a"))
     first = written(best, "pairs")
-    # the sets of all that may be linked
-    involved = lists.join(lead.select("list"), "list", "left_semi").select("id").distinct()
-
-    def whole(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for (t,) in rows_of([batch], "t")], pa.binary())], names=["id", "shingles"])
-
-    texts = raw.join(involved, "id", "left_semi").mapInArrow(whole, "id long, shingles binary")
-    sets = written(texts.groupBy("id", F.xxhash64("shingles").alias("k")).agg(F.first("shingles").alias("shingles")).drop("k"), "whole")
-    linked = written(_verified(first, sets), "linked")
+    linked = written(_verified(first, _involved(raw, first)), "linked")
     links = linked.where("linked").select("a", "b")
     found = connected(links)
-    # 2. pairs of a list that are still in different components
+    # 2. pairs of a list that are still in different components and meet often enough
     named = lists.join(found, "id", "left").select("list", "id", "n", F.coalesce("component", "id").alias("c"))
     mixed = named.groupBy("list").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("list")
     open_ = written(named.join(mixed, "list", "left_semi"), "open")
     x, y = (open_.select("list", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "c"))) for s in "xy")
-    crossed = x.join(y, "list").where((F.col("id_x") < F.col("id_y")) & (F.col("c_x") != F.col("c_y")) & _near("n_x", "n_y")).select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
+    crossed = x.join(y, "list").where((F.col("id_x") < F.col("id_y")) & (F.col("c_x") != F.col("c_y")) & _near("n_x", "n_y"))
+    crossed = crossed.groupBy(F.col("id_x").alias("a"), F.col("id_y").alias("b"), "n_x", "n_y").agg(F.count("*").alias("times")).where(F.col("times") >= _least("n_x", "n_y"))
     tried = linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _verified(crossed.join(tried, ["a", "b"], "left_anti"), sets).where("linked").select("a", "b")
-    more = written(more, "linked")
+    second = written(crossed.select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
+    more = written(_verified(second, _involved(raw, second)).where("linked").select("a", "b").distinct(), "linked")
     if more.limit(1).count():
         found = connected(links.unionByName(more))
     # back to all rows
