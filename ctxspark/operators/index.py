@@ -58,6 +58,12 @@ def _both(frames: tuple[pd.DataFrame, pd.DataFrame]) -> tuple[pd.DataFrame, pd.D
     return tuple(f.sort_values("ctx_id", kind="stable").reset_index(drop=True) for f in frames)
 
 
+def _cogrouped(indexed: DataFrame, asked: DataFrame, batch: str):
+    # columns are named anew, as both sides may come from one table
+    left, right = (df.select(*(F.col(c).alias(c) for c in (batch, "ctx_id", "docs"))).groupBy(batch) for df in (indexed, asked))
+    return left.cogroup(right)
+
+
 def searched(indexed: DataFrame, asked: DataFrame, batch: str, method: str = "average", alpha: float = ALPHA) -> DataFrame:
     """(batch, ctx_id, search_path, node_id, overlap, has_prefix): each batch's contexts searched in its tree."""
 
@@ -68,7 +74,7 @@ def searched(indexed: DataFrame, asked: DataFrame, batch: str, method: str = "av
         return pd.DataFrame(rows, columns=schema.names)
 
     schema = T.StructType([asked.schema[batch], asked.schema["ctx_id"], T.StructField("search_path", T.ArrayType(T.IntegerType())), T.StructField("node_id", T.LongType()), T.StructField("overlap", T.LongType()), T.StructField("has_prefix", T.BooleanType())])
-    return indexed.select(batch, "ctx_id", "docs").groupBy(batch).cogroup(asked.select(batch, "ctx_id", "docs").groupBy(batch)).applyInPandas(run, schema)
+    return _cogrouped(indexed, asked, batch).applyInPandas(run, schema)
 
 
 def built_incrementally(indexed: DataFrame, asked: DataFrame, batch: str, method: str = "average", alpha: float = ALPHA) -> DataFrame:
@@ -109,7 +115,7 @@ def built_incrementally(indexed: DataFrame, asked: DataFrame, batch: str, method
 
     numbers = T.ArrayType(T.LongType())
     schema = T.StructType([asked.schema[batch], asked.schema["ctx_id"], T.StructField("docs", numbers), T.StructField("reordered", numbers), T.StructField("path", T.ArrayType(T.IntegerType())), T.StructField("matched", T.BooleanType()), T.StructField("group_id", T.IntegerType()), T.StructField("exec_pos", T.LongType())])
-    return indexed.select(batch, "ctx_id", "docs").groupBy(batch).cogroup(asked.select(batch, "ctx_id", "docs").groupBy(batch)).applyInPandas(run, schema)
+    return _cogrouped(indexed, asked, batch).applyInPandas(run, schema)
 
 
 def pruned(nodes: DataFrame, gone: DataFrame, batch: str) -> DataFrame:
