@@ -15,7 +15,6 @@ itself; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -34,7 +33,6 @@ MAX_TRAIN = 12_000
 #: Hashed weights.
 BUCKETS = 1 << 16
 WORDS_KEPT = 500_000
-_WORD = re.compile(r"\w+")
 
 
 @dataclass
@@ -54,21 +52,20 @@ class Stats:
     mean_word: float
 
 
-def stats_of(text: str) -> Stats:
+def stats_of(text: str) -> tuple[Stats, Counter]:
+    """The statistics and the counts of the words."""
     words = text.split()
+    counts = Counter(words)
     rows = text.split("\n")
-    n = len(text)
-    spaces = text.count(" ") + text.count("\n")
-    plain = text.translate(_DROP)
-    symbols = n - spaces - len(plain)
-    digits = len(plain) - len(plain.translate(_DIGITS))
-    upper = sum(map(str.isupper, words))
+    raw = text.encode()
+    symbols, digits, spaces = (len(raw) - len(raw.translate(None, some)) for some in (_SYMBOLS, b"0123456789", b"\t\n\r "))
+    upper = sum(n for w, n in counts.items() if w.isupper())
     ends = sum(r.rstrip().endswith((".", "!", "?", "…", '"')) for r in rows)
-    return Stats(n, len(words), len(set(words)), len(rows), len(set(rows)), len(plain) - digits, upper, symbols, digits, ends, sum(map(len, words)) / max(1, len(words)))
+    n = len(text)
+    return Stats(n, len(words), len(counts), len(rows), len(set(rows)), n - symbols - digits - spaces, upper, symbols, digits, ends, (n - spaces) / max(1, len(words))), counts
 
 
-_DROP = {ord(c): None for c in "\t\n\r !\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"}
-_DIGITS = {ord(c): None for c in "0123456789"}
+_SYMBOLS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 Labeller = Callable[[Stats], int]
 
@@ -91,7 +88,10 @@ LABELLERS: dict[str, Labeller] = {
 
 
 def votes(text: str | None, labellers: dict[str, Labeller] = LABELLERS) -> tuple[int, ...]:
-    s = stats_of(text or "")
+    return votes_of(stats_of(text or "")[0], labellers)
+
+
+def votes_of(s: Stats, labellers: dict[str, Labeller] = LABELLERS) -> tuple[int, ...]:
     return tuple(f(s) for f in labellers.values())
 
 
@@ -158,19 +158,19 @@ _buckets = _Buckets()
 
 
 def hashed(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and values: words, shapes and line ends of a whole text, of length 1."""
-    text = text or ""
-    words = text.split()
-    if not words:
+    """Buckets and values of a whole text: its words, of length 1 together, and its shape."""
+    return hashed_of(*stats_of(text or ""))
+
+
+def hashed_of(s: Stats, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+    if not counts:
         return np.zeros(0, np.int64), np.zeros(0)
-    own = np.fromiter(map(_buckets.__getitem__, words), np.int64, len(words))
-    s = stats_of(text)
-    shape = [("len", min(12, s.words.bit_length())), ("sym", min(20, 100 * s.symbols // max(1, s.chars))), ("dig", min(20, 100 * s.digits // max(1, s.chars))), ("up", min(10, 10 * s.upper // max(1, s.words))), ("dis", min(10, 10 * s.distinct // max(1, s.words))), ("lin", min(10, 10 * s.distinct_lines // s.lines)), ("end", min(10, 10 * s.ends // s.lines))]
-    where, n = np.unique(own, return_counts=True)
-    value = np.log1p(n)
-    value /= np.sqrt((value**2).sum())
-    extra = np.array([_buckets[f"\n{a}{b}"] for a, b in shape], np.int64)
-    return np.concatenate([where, extra]), np.concatenate([value, np.full(len(extra), 0.7)])
+    shape = (("len", min(12, s.words.bit_length())), ("sym", min(20, 100 * s.symbols // max(1, s.chars))), ("dig", min(20, 100 * s.digits // max(1, s.chars))), ("up", min(10, 10 * s.upper // s.words)), ("dis", min(10, 10 * s.distinct // s.words)), ("lin", min(10, 10 * s.distinct_lines // s.lines)), ("end", min(10, 10 * s.ends // s.lines)))
+    n = len(counts)
+    where = np.fromiter(map(_buckets.__getitem__, counts), np.int64, n)
+    value = np.log1p(np.fromiter(counts.values(), float, n))
+    value /= np.sqrt(value @ value)
+    return np.concatenate([where, [_buckets[f"\n{a}{b}"] for a, b in shape]]), np.concatenate([value, np.full(len(shape), 0.7)])
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, epochs: int = 4, rate: float = 0.5, decay: float = 1e-5) -> tuple[np.ndarray, float]:
@@ -194,7 +194,9 @@ class QualityModel:
     bias: float = 0.0
 
     def score(self, text: str | None) -> float:
-        where, value = hashed(text)
+        return self.of_vector(*hashed(text))
+
+    def of_vector(self, where: np.ndarray, value: np.ndarray) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.weights[where] @ value + self.bias, -30, 30))))
 
 
@@ -219,8 +221,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_tra
     def vectors(batches):
         out = Batcher(pa.schema([("w", pa.binary()), ("x", pa.binary()), ("v", pa.list_(pa.int32()))]))
         for (text,) in rows_of(batches, "t"):
-            where, value = hashed(text)
-            if out.add((where.astype("<i4").tobytes(), value.astype("<f4").tobytes(), list(votes(text))), 8 * len(where)):
+            s, counts = stats_of(text or "")
+            where, value = hashed_of(s, counts)
+            if out.add((where.astype("<i4").tobytes(), value.astype("<f4").tobytes(), list(votes_of(s))), 8 * len(where)):
                 yield out.flush()
         yield out.flush()
 
@@ -242,10 +245,13 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
     def run(batches):
         m = shared.value
         for batch in batches:
-            texts = [t for (t,) in rows_of([batch], "t")]
-            v = [list(votes(t)) for t in texts]
+            v, scores = [], []
+            for (text,) in rows_of([batch], "t"):
+                s, counts = stats_of(text or "")
+                v.append(list(votes_of(s)))
+                scores.append(m.of_vector(*hashed_of(s, counts)))
             weak = m.labels.posterior(np.array(v, np.int64).reshape(len(v), len(LABELLERS)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v, pa.list_(pa.int32())), pa.array(weak, pa.float64()), pa.array([m.score(t) for t in texts], pa.float64())], names=[id_col, "votes", "weak_label", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v, pa.list_(pa.int32())), pa.array(weak, pa.float64()), pa.array(scores, pa.float64())], names=[id_col, "votes", "weak_label", "score"])
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("votes", T.ArrayType(T.IntegerType())), T.StructField("weak_label", T.DoubleType()), T.StructField("score", T.DoubleType())])
     return docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInArrow(run, schema)
