@@ -173,7 +173,7 @@ def hashed_of(s: Stats, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([where, [_buckets[f"\n{a}{b}"] for a, b in shape]]), np.concatenate([value, np.full(len(shape), 0.7)])
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, epochs: int = 4, rate: float = 0.5, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, epochs: int = 6, rate: float = 0.5, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by AdaGrad, in the given order."""
     w, g, bias, gb = np.zeros(BUCKETS), np.full(BUCKETS, 1e-6), 0.0, 1e-6
     for _ in range(epochs):
