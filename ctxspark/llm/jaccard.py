@@ -36,8 +36,9 @@ COMMON = 24
 #: decides how much is compared, never what is found.
 COMMON_KEPT = 200_000
 #: Shingles counted together by a task; list entries merged together by a task.
-COUNTED, MERGED = 4_000_000, 1_000_000
-WORDS_KEPT = 600_000
+COUNTED, MERGED = 1_500_000, 1_000_000
+#: Words whose hashes a task keeps. A speed setting: results are the same.
+WORDS_KEPT = 250_000
 _MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -52,16 +53,14 @@ class _Hashes(dict):
         return h
 
 
-_hashes = _Hashes()
-
-
-def shingles(raw: bytes | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles."""
+def shingles(raw: bytes | None, hashes: _Hashes | None = None) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's shingles; ``hashes``: a task's store of word hashes."""
+    hashes = _Hashes() if hashes is None else hashes
     words = (raw or b"").lower().split()  # of bytes: A-Z and ASCII white space only
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    ids = np.fromiter(map(_hashes.__getitem__, words), np.uint64, n)
+    ids = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
     if n < WORDS:
         h = np.array([n], np.uint64)
         for k in range(n):
@@ -152,9 +151,9 @@ def common_shingles(docs: DataFrame, least: int = COMMON, most: int = COMMON_KEP
             return pa.RecordBatch.from_arrays([pa.array(values[many].view(np.int64)), pa.array(n[many])], names=["s", "n"])
 
         sets: dict[bytes, np.ndarray] = {}
-        size = 0
+        size, hashes = 0, _Hashes()
         for (raw,) in rows_of(batches, "t"):
-            own = shingles(raw)
+            own = shingles(raw, hashes)
             if len(own) and (key := xxhash.xxh3_128_digest(own.tobytes())) not in sets:
                 sets[key] = own
                 size += len(own)
@@ -173,11 +172,11 @@ def _sets(docs: DataFrame, order) -> DataFrame:
     """(id, n, k1, k2, rare, prefix) of every row."""
 
     def run(batches):
-        own_order = order.value
+        own_order, hashes = order.value, _Hashes()
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             for key, raw in rows_of([batch], "id", "t"):
-                own = shingles(raw)
+                own = shingles(raw, hashes)
                 first, rare = own_order.prefix(own)
                 k1, k2 = set_key(own)
                 for column, v in zip(out, (key, len(own), k1, k2, rare, first.tobytes() if len(own) else b""), strict=True):
@@ -269,8 +268,9 @@ def _involved(raw: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, shingles) of the texts in the pairs."""
 
     def whole(batches):
+        hashes = _Hashes()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for (t,) in rows_of([batch], "t")], pa.binary())], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, hashes).tobytes() for (t,) in rows_of([batch], "t")], pa.binary())], names=["id", "shingles"])
 
     ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "involved")
     return written(raw.join(ids, "id", "left_semi").mapInArrow(whole, "id long, shingles binary"), "whole")

@@ -35,9 +35,9 @@ CAPACITY = 4096
 UNIT = 16
 EOS = 2
 #: Pieces ranked by one task.
-SHARD_ROWS = 50_000
+SHARD_ROWS = 10_000
 #: Encoded words kept by a task; beyond, the store is emptied. A speed setting: results are the same.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 300_000
 
 
 # --- tokens -----------------------------------------------------------------------------------
@@ -68,6 +68,10 @@ class WordEncoder:
         self.words: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {"": b""}
 
+    def forget(self) -> None:
+        """Empties the stores at a task's end, as workers are used again."""
+        self.words, self.parts = {"": b""}, {"": b""}
+
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.encode_batch(texts, add_special_tokens=False)]
 
@@ -130,6 +134,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                     for column, v in zip(out, (key, start, len(part) // 4, zlib.crc32(part), total, salt), strict=True):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(0).type), *(pa.array(c, pa.int64()) for c in out[1:])], names=list(names))
+        encode.forget()
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in names[1:])])
     return docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInArrow(run, schema)

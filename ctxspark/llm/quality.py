@@ -32,7 +32,7 @@ from .common import Batcher, rows_of, small_batches, table
 MAX_TRAIN = 12_000
 #: Hashed weights.
 BUCKETS = 1 << 16
-WORDS_KEPT = 500_000
+WORDS_KEPT = 300_000
 
 
 @dataclass

@@ -21,7 +21,6 @@ are scored each for itself; other columns are ignored or kept.
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from collections import Counter
@@ -43,7 +42,7 @@ ORDINARY_BYTES, TOXIC_BYTES = 1_000_000, 65_536
 #: A toxic word costs this many bytes more with the ordinary dictionary than a known word does.
 KNOWN_COST, HARD = 18, 6
 #: Words whose distances a task keeps. A speed setting: results are the same.
-WORDS_KEPT = 600_000
+WORDS_KEPT = 400_000
 THRESHOLD = 0.7
 FEATURES = 5
 
@@ -221,15 +220,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
-@functools.lru_cache(2)
-def _scorer(ordinary: bytes, toxic: bytes, cut: float, weights: tuple[float, ...], prior: float) -> Scorer:
-    return Scorer(Model(ordinary, toxic, cut, list(weights), prior))
-
-
-def _shared_scorer(m: Model) -> Scorer:
-    return _scorer(m.ordinary, m.toxic, m.cut, tuple(m.weights), m.prior)
-
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, n_windows, n_toxic_windows) of every whole text."""
     small_batches(docs.sparkSession)
@@ -237,7 +227,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         m = shared.value
-        scorer = _shared_scorer(m)
+        scorer = Scorer(m)
         for batch in batches:
             scores, n, toxic = [], [], []
             for (text,) in rows_of([batch], "t"):
@@ -257,7 +247,7 @@ def remove_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshol
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):
-        scorer = _shared_scorer(shared.value)
+        scorer = Scorer(shared.value)
         for batch in batches:
             yield batch.filter(pa.array([scorer.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
