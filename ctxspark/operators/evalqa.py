@@ -34,7 +34,11 @@ def answer_scores(prediction: Column, gold: Column) -> Column:
 def best_scores(prediction: Column, golds: Column) -> Column:
     """Each metric's best over the gold answers."""
     all_ = F.transform(golds, lambda g: answer_scores(prediction, g))
-    return F.struct(*(F.coalesce(F.array_max(F.transform(all_, lambda s, m=m: s[m])), F.lit(0.0)).alias(m) for m in ("em", "f1", "prec", "recall")))
+
+    def best(metric: str) -> Column:
+        return F.coalesce(F.array_max(F.transform(all_, lambda s: s[metric])), F.lit(0.0)).alias(metric)
+
+    return F.struct(*map(best, ("em", "f1", "prec", "recall")))
 
 
 def set_scores(prediction: Column, gold: Column) -> Column:
