@@ -122,7 +122,7 @@ class LabelModel:
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500, smooth: float = 1.0) -> LabelModel:
     """Expectation-maximisation from the majority vote."""
-    n = patterns.shape[1] if patterns.size else 0
+    n = patterns.shape[1]
     if not len(patterns):
         return LabelModel(0.5, np.full((n, 2, 3), 1 / 3))
     c = counts.astype(float)
