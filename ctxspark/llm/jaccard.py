@@ -328,7 +328,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # back to all rows
     named = classes.join(found, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("c"), "id", "copies").where("copies > 1 OR c <> id").select("k1", "k2", "c")
     out = rows.join(named, ["k1", "k2"], "left")
-    return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("c", "id")).otherwise(F.col("id")).cast("long").alias("component_id"))
+    return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).cast("long").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
