@@ -9,8 +9,9 @@ merged in buckets of bounded size; the long ones are probed by binary search in
 set until the overlap is reached or out of reach.
 
 Nobody enumerates a group of copies: documents with equal sets are one class; in each list, members are
-first held against the member with the fewest rare shingles; only pairs of a list that lie in different
-components then are verified as well, so no link that would join two components is lost.
+first held against a few leaders; only pairs of a list that lie in different components then, and that
+may reach T by where in the order they meet, are verified as well: no link that would join two
+components is lost.
 
 Defined results: null and empty texts have no shingles and link with nothing; texts of fewer words are
 one shingle; rows of one id are one document; rows without id link with nothing and have no component;
@@ -251,7 +252,53 @@ def _near(n: str, m: str) -> F.Column:
     return (5 * F.col(n) >= 4 * F.col(m)) & (5 * F.col(m) >= 4 * F.col(n))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+#: For each round, the orders in which a list's leader is its first member: by how few rare shingles it
+#: has before, or by chance, which finds another member of a group in each order.
+LEADERS = (("pos", "1"), ("2", "3"))
+
+
+def _open(lists: DataFrame, found: DataFrame, name: int) -> DataFrame:
+    """(list, id, n, pos, c): entries that may still join components.
+
+    Whoever reaches the similarity with a set of n is in at least as many of its lists as
+    ``least_common`` says for 4/5 n; so entries of sets with fewer lists of several components go, and
+    lists that are of one component then.  That loses no pair.
+    """
+    rows = lists.join(found.withColumnRenamed("component", "c") if "component" in found.columns else found, "id", "left").withColumn("c", F.coalesce("c", "id"))
+    for _ in range(2):
+        mixed = rows.groupBy("list").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("list")
+        rows = rows.join(mixed, "list", "left_semi")
+        many = rows.groupBy("id", "n").agg(F.count("*").alias("m")).where("m >= greatest(1, ((4 * n + 4) div 5) div 20)").select("id")
+        rows = rows.join(many, "id", "left_semi")
+    return written(rows, f"open{name}")
+
+
+def _able(grouped, n: str, m: str, p: str, q: str, exact: bool) -> DataFrame:
+    """Pairs that meet often enough and whose overlap can still reach T.
+
+    All shared shingles up to the last list where a pair meets are counted; behind it, no more are
+    shared than the shorter rest has.
+    """
+    met = grouped.agg(F.count("*").alias("times"), F.max(p).alias("p"), F.max(q).alias("q"))
+    bound = F.col("times") + F.least(F.col(n) - F.col("p"), F.col(m) - F.col("q")) - 1
+    reach = 9 * bound >= 4 * (F.col(n) + F.col(m))
+    return met.where((F.col("times") >= _least(n, m)) & reach) if exact else met.where(2 * F.col("times") >= _least(n, m))
+
+
+def _with_leaders(open_: DataFrame, orders: tuple[str, ...]) -> DataFrame:
+    """(a, b): each member and, for each order, the leader of another component that it meets in most lists."""
+    found = None
+    for order in orders:
+        key = F.col("pos") if order == "pos" else F.xxhash64("id", F.lit(order))
+        lead = open_.groupBy("list").agg(F.min(F.struct(key.alias("k"), "id", "n", "pos", "c")).alias("x")).select("list", F.col("x.id").alias("lead"), F.col("x.n").alias("m"), F.col("x.pos").alias("lead_pos"), F.col("x.c").alias("lead_c"))
+        met = open_.join(lead, "list").where((F.col("c") != F.col("lead_c")) & _near("n", "m"))
+        met = _able(met.groupBy("id", "lead", "n", "m"), "n", "m", "pos", "lead_pos", exact=False)
+        best = met.groupBy("id").agg(F.max(F.struct("times", (-F.col("lead")).alias("k"))).alias("x")).select("id", (-F.col("x.k")).alias("lead"))
+        found = best if found is None else found.unionByName(best)
+    return found.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+
+
+def _verified(candidates: DataFrame, raw: DataFrame) -> DataFrame:
     """(a, b, linked) of candidate pairs."""
 
     def run(batches):
@@ -259,6 +306,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             out = [reaches(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in rows_of([batch], "x", "y")]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], names=["a", "b", "linked"])
 
+    pairs = written(candidates, "pairs")
+    sets = _involved(raw, pairs)
     one = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     both = one.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
@@ -304,25 +353,25 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = written(_sets(raw, order), "sets")
     classes = written(rows.where("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix")), "classes")
     lists = written(_lists(classes), "lists")
-    # 1. each member and, of the members that lead its lists (few rare shingles before), the one it meets most
-    lead = lists.groupBy("list").agg(F.min(F.struct("pos", "id", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1").select("list", F.col("lead.id").alias("lead"), F.col("lead.n").alias("m"))
-    met = lists.join(lead, "list").where((F.col("id") != F.col("lead")) & _near("n", "m")).groupBy("id", "lead", "n", "m").agg(F.count("*").alias("times"))
-    met = met.where(2 * F.col("times") >= _least("n", "m"))  # a choice of what to try first, as all is tried in 2.
-    best = met.groupBy("id").agg(F.max(F.struct("times", (-F.col("lead")).alias("k"))).alias("x")).select(F.col("id").alias("b"), (-F.col("x.k")).alias("a"))
-    first = written(best, "pairs")
-    linked = written(_verified(first, _involved(raw, first)), "linked")
-    links = linked.where("linked").select("a", "b")
-    found = connected(links)
-    # 2. pairs of a list that are still in different components and meet often enough
-    named = lists.join(found, "id", "left").select("list", "id", "n", F.coalesce("component", "id").alias("c"))
-    mixed = named.groupBy("list").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("list")
-    open_ = written(named.join(mixed, "list", "left_semi"), "open")
-    x, y = (open_.select("list", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "c"))) for s in "xy")
+    own = classes.select("id", F.col("id").alias("c"))
+    links = tried = found = None
+    for k, orders in enumerate(LEADERS):
+        # 1. each member and those of its lists' leaders that it meets most
+        open_ = _open(lists, own if found is None else found, k)
+        first = _with_leaders(open_, orders)
+        if tried is not None:
+            first = first.join(tried, ["a", "b"], "left_anti")
+        done = written(_verified(first, raw), "linked")
+        tried = done.select("a", "b") if tried is None else tried.unionByName(done.select("a", "b"))
+        fresh = done.where("linked").select("a", "b")
+        links = fresh if links is None else links.unionByName(fresh)
+        found = connected(links)
+    # 2. all pairs of a list that are still in different components and may reach the similarity
+    open_ = _open(lists, found, len(LEADERS))
+    x, y = (open_.select("list", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "pos", "c"))) for s in "xy")
     crossed = x.join(y, "list").where((F.col("id_x") < F.col("id_y")) & (F.col("c_x") != F.col("c_y")) & _near("n_x", "n_y"))
-    crossed = crossed.groupBy(F.col("id_x").alias("a"), F.col("id_y").alias("b"), "n_x", "n_y").agg(F.count("*").alias("times")).where(F.col("times") >= _least("n_x", "n_y"))
-    tried = linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = written(crossed.select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = written(_verified(second, _involved(raw, second)).where("linked").select("a", "b").distinct(), "linked")
+    crossed = _able(crossed.groupBy(F.col("id_x").alias("a"), F.col("id_y").alias("b"), "n_x", "n_y"), "n_x", "n_y", "pos_x", "pos_y", exact=True)
+    more = written(_verified(crossed.select("a", "b").join(tried, ["a", "b"], "left_anti"), raw).where("linked").select("a", "b").distinct(), "linked")
     if more.limit(1).count():
         found = connected(links.unionByName(more))
     # back to all rows
