@@ -6,6 +6,8 @@ so has no row, is at distance 1.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +44,48 @@ def between(a: Column, b: Column, alpha: float = ALPHA) -> Column:
     moved = F.aggregate(common, F.lit(0).cast("long"), lambda s, d: s + F.abs(F.array_position(a, d) - F.array_position(b, d)))
     n = F.size(common)
     return F.when(n == 0, F.lit(1.0)).otherwise(distance_of(n, moved, F.size(a), F.size(b), alpha))
+
+
+def _cross_matrix(a: list, b: list, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """(n_common, distance) of two blocks of lists without repeats."""
+    common, moved = np.zeros((len(a), len(b)), np.int32), np.zeros((len(a), len(b)), np.int32)
+    places: dict = {}
+    for side, lists in enumerate((a, b)):
+        for k, docs in enumerate(lists):
+            for pos, d in enumerate(docs):
+                known = places.setdefault(d, ([], [], [], []))
+                known[2 * side].append(k)
+                known[2 * side + 1].append(pos)
+    for rows, p, columns, q in places.values():
+        if rows and columns:
+            at = np.ix_(rows, columns)
+            common[at] += 1
+            moved[at] += np.abs(np.array(p, np.int32)[:, None] - np.array(q, np.int32)[None, :])
+    longer = np.maximum.outer([len(x) for x in a], [len(x) for x in b])
+    return common, 1 - common / np.maximum(longer, 1) + alpha * moved / np.maximum(common, 1)
+
+
+def pairs_blocked(contexts: DataFrame, block: int = 1000, alpha: float = ALPHA) -> DataFrame:
+    """The rows of ``pairs``, for contexts that nearly all share documents.
+
+    Where a document is in a large part of the contexts, the inverted index makes more rows than there
+    are pairs.  Here contexts are dealt in blocks, every pair of blocks is one task's matrix, and a row
+    travels once for each block: the work is the number of pairs, whatever documents are shared.
+    """
+    n = max(1, -(-contexts.count() // block))
+    own = contexts.select("ctx_id", "docs").withColumn("b", F.pmod(F.xxhash64("ctx_id"), F.lit(n)).cast("int"))
+    sent = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("ctx_id", "docs", "b", F.least("b", "other").alias("low"), F.greatest("b", "other").alias("high"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        low, high = int(frame["low"].iloc[0]), int(frame["high"].iloc[0])
+        x, y = frame[frame["b"] == low], frame[frame["b"] == high]
+        common, far = _cross_matrix(x["docs"].tolist(), y["docs"].tolist(), alpha)
+        i, j = x["ctx_id"].to_numpy(), y["ctx_id"].to_numpy()
+        found = common > 0
+        if low == high:
+            found &= i[:, None] < j[None, :]
+        r, c = np.nonzero(found)
+        return pd.DataFrame({"ctx_i": np.minimum(i[r], j[c]), "ctx_j": np.maximum(i[r], j[c]), "n_common": common[r, c].astype(np.int64), "distance": np.round(far[r, c], 6)})
+
+    kind = contexts.schema["ctx_id"].dataType.simpleString()
+    return sent.groupBy("low", "high").applyInPandas(run, f"ctx_i {kind}, ctx_j {kind}, n_common bigint, distance double")

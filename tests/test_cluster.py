@@ -107,6 +107,8 @@ def test_pairs_expression_and_matrix_agree(spark):
     for i in range(len(contexts)):
         for j in range(i + 1, len(contexts)):
             assert got.get((i, j), 1.0) == pytest.approx(m[i, j], abs=1e-6)
+    blocked = sorted(map(tuple, distance.pairs_blocked(df, 3).collect()))
+    assert blocked == sorted(map(tuple, distance.pairs(df).collect()))
     a, b = df.select(F.col("ctx_id").alias("i"), F.col("docs").alias("a")), df.select(F.col("ctx_id").alias("j"), F.col("docs").alias("b"))
     for r in a.join(b, F.col("i") < F.col("j")).select("i", "j", distance.between(F.col("a"), F.col("b")).alias("d")).collect():
         assert r.d == pytest.approx(m[r.i, r.j], abs=1e-6)
