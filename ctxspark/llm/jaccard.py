@@ -32,12 +32,12 @@ from .common import rows_of, small_batches, table, written
 
 WORDS = 5
 #: A shingle seen at least this often among distinct sets goes to the end of the order ...
-COMMON = 24
+COMMON = 3
 #: ... but only so many of them, the most frequent, are told to all tasks (16 bytes each). The order
 #: decides how much is compared, never what is found.
-COMMON_KEPT = 200_000
+COMMON_KEPT = 400_000
 #: Shingles counted together by a task; list entries merged together by a task.
-COUNTED, MERGED = 1_500_000, 1_000_000
+COUNTED, MERGED = 3_000_000, 1_000_000
 #: Words whose hashes a task keeps. A speed setting: results are the same.
 WORDS_KEPT = 250_000
 _MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -358,6 +358,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     for k, orders in enumerate(LEADERS):
         # 1. each member and those of its lists' leaders that it meets most
         open_ = _open(lists, own if found is None else found, k)
+        lists = open_.drop("c")  # components only grow: what is settled stays settled
         first = _with_leaders(open_, orders)
         if tried is not None:
             first = first.join(tried, ["a", "b"], "left_anti")
