@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import ORACLE as DECONTAMINATION
 from .decontaminate import op1_decontamination
 from .html import op10_html_extraction
+from .jaccard import ORACLE as JACCARD
 from .jaccard import op6_jaccard
 from .language import op9_lm_score
 from .lines import ORACLE as LINES
@@ -16,9 +18,15 @@ from .media import op8_media_gif
 from .packing import op3_packing
 from .quality import op4_quality
 from .secrets import op5_secrets
+from .secrets import oracle as secrets_oracle
 from .toxicity import op2_toxicity
 
-ORACLES: dict[str, str] = {"op7_line_dedup": LINES}
+ORACLES: dict[str, str] = {
+    "op1_decontamination": DECONTAMINATION,
+    "op5_secrets": secrets_oracle(),
+    "op6_jaccard": JACCARD,
+    "op7_line_dedup": LINES,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -249,3 +249,21 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["base"])
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(F.array_join(F.transform(base, shown), ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", shown), ",").alias("spans"))
+
+
+def oracle() -> str:
+    """DuckDB SQL: matches and the gaps between them give the places."""
+    parts = []
+    for n, r in enumerate(RULES):
+        pattern = "'" + r.pattern.replace("'", "''") + "'"
+        counted = f"regexp_extract_all(t, {pattern}, {r.group})"
+        parts.append(
+            f"""SELECT doc_id, '{r.kind}' AS kind, {n} AS rank, {str(r.base).upper()} AS base, unnest(list_transform(range(1, len(m) + 1), lambda k:
+  {{'s': list_sum(list_transform(g[1 : k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1 : k - 1], lambda x: length(x))), 0), 'n': length(m[k]), 'c': length(c[k])}})) AS p
+  FROM (SELECT doc_id, regexp_extract_all(t, {pattern}) AS m, {counted} AS c, string_split_regex(t, {pattern}) AS g FROM d)"""
+        )
+    least = " ".join(f"WHEN {n} THEN {r.min_length}" for n, r in enumerate(RULES))
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS ({" UNION ALL ".join(parts)}),
+s AS (SELECT doc_id, kind, rank, base, p.s::BIGINT AS b, kind || ':' || p.s::BIGINT || ':' || (p.s + p.n)::BIGINT AS shown FROM p WHERE p.c >= CASE rank {least} END)
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+sha256(coalesce(string_agg(shown, ',' ORDER BY b, rank) FILTER (base), '')) AS base_sha256, coalesce(string_agg(shown, ',' ORDER BY b, rank), '') AS spans FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id"""

@@ -183,5 +183,12 @@ def test_stages_keep_columns_and_filter(spark):
     assert docs.agg(F.count_distinct("doc_id")).first()[0] == sizes[-1]
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_matches_sql(spark, name):
+    from oracle import assert_same
+
+    assert_same(spark, "/root/testdata/sf0.001", queries.queries()[name], queries.oracle_sql()[name])
+
+
 def test_queries_are_registered():
     assert {k.split("_")[0] for k in queries.queries()} == {f"op{k}" for k in range(1, 11)}
