@@ -141,9 +141,9 @@ def lru_tokens_to_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evict_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trees after the returned orders are removed: leaves go, and parents left without children."""
+    """Trees after short contexts are evicted: leaves of at most three documents go, and parents left without children."""
     nodes = cluster.tree_nodes(customer_contexts(spark, sf_dir).withColumnRenamed("customer", "batch"), "batch")
-    gone = nodes.where("is_leaf AND node_id % 2 = 0").select("batch", "node_id")
+    gone = nodes.where("is_leaf AND size(docs) <= 3").select("batch", "node_id")
     return ix.pruned(nodes, gone, "batch").select("batch", "node_id", "removed")
 
 

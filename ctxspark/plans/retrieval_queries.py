@@ -51,8 +51,8 @@ def combine_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompt_docs_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document sections of all orders; parts of a number divisible by 50 are missing in the corpus."""
-    corpus = table(spark, sf_dir, "part").where("p_partkey % 50 <> 0").select(F.col("p_partkey").alias("doc"), F.col("p_name").alias("text"))
+    """Document sections of all orders; parts of the smallest sizes are missing in the corpus."""
+    corpus = table(spark, sf_dir, "part").where("p_size > 2").select(F.col("p_partkey").alias("doc"), F.col("p_name").alias("text"))
     return prompts.docs_section(order_contexts(spark, sf_dir), corpus)
 
 
@@ -242,7 +242,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_
 SELECT doc_id, start, md5(array_to_string(w[start + 1 : start + 100], ' ')) AS text_md5 FROM s""",
     "combine_by_qid": "WITH l AS (SELECT doc_id, max((quality, toxic)) AS x FROM labels GROUP BY 1) SELECT doc_id, x[1] AS quality, x[2] AS toxic, lang, source FROM l JOIN documents USING (doc_id)",
     "combine_misses": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "prompt_docs_section": f"WITH {ctx_sql()} SELECT ctx_id, coalesce(string_agg('[Doc_' || doc || '] ' || p_name, chr(10) || chr(10) ORDER BY pos) FILTER (p_name IS NOT NULL), '') AS docs_section, count(*) FILTER (p_name IS NULL) AS n_missing FROM places LEFT JOIN (SELECT * FROM part WHERE p_partkey % 50 <> 0) ON p_partkey = doc GROUP BY 1",
+    "prompt_docs_section": f"WITH {ctx_sql()} SELECT ctx_id, coalesce(string_agg('[Doc_' || doc || '] ' || p_name, chr(10) || chr(10) ORDER BY pos) FILTER (p_name IS NOT NULL), '') AS docs_section, count(*) FILTER (p_name IS NULL) AS n_missing FROM places LEFT JOIN (SELECT * FROM part WHERE p_size > 2) ON p_partkey = doc GROUP BY 1",
     "system_prompt": f"""WITH {ctx_sql()}, r AS (SELECT ctx_id, docs, list_sort(docs) AS s FROM ctx), k AS (SELECT ctx_id, s, array_to_string(list_transform(docs, lambda d: list_position(s, d)), ' > ') AS ranking FROM r)
 SELECT ctx_id, md5({_lit(prompts.SYSTEM_HEAD)} || array_to_string(list_transform(s, lambda d, i: '[' || i || '] ' || d), chr(10)) || {_lit(prompts.SYSTEM_RANKING)} || ranking || {_lit(prompts.SYSTEM_END)}) AS prompt_md5, ranking FROM k""",
     "rag_prompt": f"""WITH {ctx_sql('l_suppkey')} SELECT ctx_id, md5({_lit(prompts.RAG_HEAD)} || string_agg('[Doc_' || doc || '] ' || s_name, chr(10) || chr(10) ORDER BY pos) || {_lit(prompts.RAG_QUESTION)} || 'What is order ' || ctx_id || '?' || {_lit(prompts.RAG_RANKING)} || string_agg('[Doc_' || doc || ']', ' > ' ORDER BY pos) || {_lit(prompts.RAG_RANKING_END)}) AS prompt_md5 FROM places JOIN supplier ON s_suppkey = doc GROUP BY ctx_id""",
