@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 from .common import rows_of, small_batches, table, written
@@ -260,29 +261,57 @@ LEADERS = (("pos", "1"), ("2", "3"))
 def _open(lists: DataFrame, found: DataFrame, name: int) -> DataFrame:
     """(list, id, n, pos, c): entries that may still join components.
 
-    Whoever reaches the similarity with a set of n is in at least as many of its lists as
-    ``least_common`` says for 4/5 n; so entries of sets with fewer lists of several components go, and
-    lists that are of one component then.  That loses no pair.
+    Whoever reaches the similarity with a set of n shares all but n/5 of it, and is in at least as many
+    of its lists as ``least_common`` says for 4/5 n.  So entries go that stand behind more than n/5
+    shingles without a list of several components, then sets with too few entries, and lists that are of
+    one component then.  That loses no pair.
     """
     rows = lists.join(found.withColumnRenamed("component", "c") if "component" in found.columns else found, "id", "left").withColumn("c", F.coalesce("c", "id"))
     for _ in range(2):
         mixed = rows.groupBy("list").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("list")
         rows = rows.join(mixed, "list", "left_semi")
-        many = rows.groupBy("id", "n").agg(F.count("*").alias("m")).where("m >= greatest(1, ((4 * n + 4) div 5) div 20)").select("id")
-        rows = rows.join(many, "id", "left_semi")
+        own = Window.partitionBy("id", "n")
+        rows = rows.withColumn("k", F.row_number().over(own.orderBy("pos"))).where("pos + 1 - k <= n div 5")
+        rows = rows.withColumn("m", F.count("*").over(own)).where("m >= greatest(1, ((4 * n + 4) div 5) div 20)").drop("k", "m")
     return written(rows, f"open{name}")
 
 
-def _able(grouped, n: str, m: str, p: str, q: str, exact: bool) -> DataFrame:
-    """Pairs that meet often enough and whose overlap can still reach T.
+#: Lists of more entries are long: their pairs are tested inside the join.
+LONG = 64
+
+
+def _crossed(open_: DataFrame) -> DataFrame:
+    """(a, b): pairs of a list, of different components, that may reach T.
 
     All shared shingles up to the last list where a pair meets are counted; behind it, no more are
     shared than the shorter rest has.
+    Pairs of short lists are counted after the join.  In a long list an entry brings all lists of its
+    set, and a pair leaves the join only if it meets often enough: no long list's pairs are made.
     """
-    met = grouped.agg(F.count("*").alias("times"), F.max(p).alias("p"), F.max(q).alias("q"))
-    bound = F.col("times") + F.least(F.col(n) - F.col("p"), F.col(m) - F.col("q")) - 1
-    reach = 9 * bound >= 4 * (F.col(n) + F.col(m))
-    return met.where((F.col("times") >= _least(n, m)) & reach) if exact else met.where(2 * F.col("times") >= _least(n, m))
+    own = Window.partitionBy("id", "n")
+    sizes = open_.groupBy("list").agg(F.count("*").alias("size"))
+    rows = open_.join(sizes, "list").withColumn("h", F.count_if(F.col("size") > LONG).over(own)).withColumn("k", F.row_number().over(own.orderBy("pos")))
+    rows = written(rows, "sized")
+
+    def both(part: DataFrame, *more: str) -> DataFrame:
+        x, y = (part.select("list", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "pos", "c", "h", "k", *more))) for s in "xy")
+        apart = (x["list"] == y["list"]) & (F.col("id_x") < F.col("id_y")) & (F.col("c_x") != F.col("c_y")) & _near("n_x", "n_y")
+        # up to this list, a pair shares at most as many shingles as either has entries
+        apart = apart & (9 * (F.least("k_x", "k_y") + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) - 1) >= 4 * (F.col("n_x") + F.col("n_y")))
+        if more:
+            common = F.array_intersect("ls_x", "ls_y")
+            last = F.element_at(common, -1)
+            rest = F.least(*(F.col(f"n_{s}") - F.element_at(F.col(f"ps_{s}"), F.array_position(f"ls_{s}", last).cast("int")) for s in "xy"))
+            apart = apart & (F.size(common) >= _least("n_x", "n_y")) & (9 * (F.size(common) + rest - 1) >= 4 * (F.col("n_x") + F.col("n_y")))
+        return x.join(y, apart)
+
+    few = both(rows.where(F.col("size") <= LONG)).groupBy("id_x", "id_y", "n_x", "n_y", "h_x", "h_y").agg(F.count("*").alias("times"), F.max("pos_x").alias("p"), F.max("pos_y").alias("q"))
+    times = F.col("times") + F.least("h_x", "h_y")  # and at most so many long lists
+    few = few.where((times >= _least("n_x", "n_y")) & (9 * (times + F.least(F.col("n_x") - F.col("p"), F.col("n_y") - F.col("q")) - 1) >= 4 * (F.col("n_x") + F.col("n_y"))))
+    entries = F.array_sort(F.collect_list(F.struct("pos", "list")).over(own))
+    many = rows.where("h > 0").withColumn("e", entries).where(F.col("size") > LONG)
+    many = both(many.withColumns({"ls": F.transform("e", lambda e: e["list"]), "ps": F.transform("e", lambda e: e["pos"])}), "ls", "ps")
+    return few.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).unionByName(many.select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))).distinct()
 
 
 def _with_leaders(open_: DataFrame, orders: tuple[str, ...]) -> DataFrame:
@@ -290,9 +319,9 @@ def _with_leaders(open_: DataFrame, orders: tuple[str, ...]) -> DataFrame:
     found = None
     for order in orders:
         key = F.col("pos") if order == "pos" else F.xxhash64("id", F.lit(order))
-        lead = open_.groupBy("list").agg(F.min(F.struct(key.alias("k"), "id", "n", "pos", "c")).alias("x")).select("list", F.col("x.id").alias("lead"), F.col("x.n").alias("m"), F.col("x.pos").alias("lead_pos"), F.col("x.c").alias("lead_c"))
+        lead = open_.groupBy("list").agg(F.min(F.struct(key.alias("k"), "id", "n", "c")).alias("x")).select("list", F.col("x.id").alias("lead"), F.col("x.n").alias("m"), F.col("x.c").alias("lead_c"))
         met = open_.join(lead, "list").where((F.col("c") != F.col("lead_c")) & _near("n", "m"))
-        met = _able(met.groupBy("id", "lead", "n", "m"), "n", "m", "pos", "lead_pos", exact=False)
+        met = met.groupBy("id", "lead", "n", "m").agg(F.count("*").alias("times")).where(2 * F.col("times") >= _least("n", "m"))  # a choice of what to try first
         best = met.groupBy("id").agg(F.max(F.struct("times", (-F.col("lead")).alias("k"))).alias("x")).select("id", (-F.col("x.k")).alias("lead"))
         found = best if found is None else found.unionByName(best)
     return found.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
@@ -369,10 +398,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         found = connected(links)
     # 2. all pairs of a list that are still in different components and may reach the similarity
     open_ = _open(lists, found, len(LEADERS))
-    x, y = (open_.select("list", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "pos", "c"))) for s in "xy")
-    crossed = x.join(y, "list").where((F.col("id_x") < F.col("id_y")) & (F.col("c_x") != F.col("c_y")) & _near("n_x", "n_y"))
-    crossed = _able(crossed.groupBy(F.col("id_x").alias("a"), F.col("id_y").alias("b"), "n_x", "n_y"), "n_x", "n_y", "pos_x", "pos_y", exact=True)
-    more = written(_verified(crossed.select("a", "b").join(tried, ["a", "b"], "left_anti"), raw).where("linked").select("a", "b").distinct(), "linked")
+    crossed = _crossed(open_)
+    more = written(_verified(crossed.join(tried, ["a", "b"], "left_anti"), raw).where("linked").select("a", "b").distinct(), "linked")
     if more.limit(1).count():
         found = connected(links.unionByName(more))
     # back to all rows
