@@ -56,6 +56,8 @@ HINTS = frozenset(
     "comment comments reply replies disqus respond discussion "
     "share sharing social related recommended recommendations newsletter subscribe subscription signup login widget widgets".split()
 )
+#: Words that say what a container has beside it, as in "with-sidebar".
+BESIDE = frozenset("has with no without".split())
 #: Class words such as "side-bar" or "cookieNotice" are cut at these places before they are looked up.
 _CUT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _PAIRS = {("side", "bar"): "sidebar", ("top", "bar"): "topbar", ("sign", "up"): "signup", ("nav", "bar"): "navbar", ("bread", "crumbs"): "breadcrumbs", ("bread", "crumb"): "breadcrumb"}
@@ -87,7 +89,7 @@ def _is_dropped(name: str, attributes: str, in_article: bool) -> bool:
         elif key in ("class", "id"):
             for word in value.split():
                 pieces = [p.lower() for p in _CUT.split(word.replace("_", "-")) if p]
-                if any(p in HINTS for p in pieces) or any(p in _PAIRS for p in zip(pieces, pieces[1:], strict=False)):
+                if any(p in HINTS and (not k or pieces[k - 1] not in BESIDE) for k, p in enumerate(pieces)) or any(p in _PAIRS for p in zip(pieces, pieces[1:], strict=False)):
                     return True
     return False
 

@@ -141,6 +141,7 @@ CASES = [
     ("<html><head><title>T</title><style>p{}</style></head><body><nav><a>Home</a></nav><article><h1>H</h1><p>One <b>two</b>\n three.<br>four<p>five</article><footer>f</footer></body></html>", "H\nOne two three. four\nfive"),
     ("<body><div class='top-menu'><a>x</a></div><div><p>Long enough prose that is the text of this page.</p><p>More of it, &eacute;t&#233;.</p></div><div id='comments'><p>nice</p></div></body>", "Long enough prose that is the text of this page.\nMore of it, été."),
     ("<article><p>a</p><script>var t='</p><p>x</p>';</script><form><p>f</p></form><aside>s</aside><p>b</p></article>", "a\nb"),
+    ("<body><div class='content with-sidebar'><p>The text of this page is here.</p></div><div class='sideBar'>no</div></body>", "The text of this page is here."),
     ("<article><ul><li>one<li>two</ul><table><tr><td>c<td>d</table></article>", "one\ntwo\nc\nd"),
     ("<article><p>1 < 2 and <!-- <p>no</p> -->3 > 2</p></article>", "1 < 2 and 3 > 2"),
 ]
