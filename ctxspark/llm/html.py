@@ -59,7 +59,7 @@ HINTS = frozenset(
 #: Words that say what a container has beside it, as in "with-sidebar".
 BESIDE = frozenset("has with no without".split())
 #: Class words such as "side-bar" or "cookieNotice" are cut at these places before they are looked up.
-_CUT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_CUT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _PAIRS = {("side", "bar"): "sidebar", ("top", "bar"): "topbar", ("sign", "up"): "signup", ("nav", "bar"): "navbar", ("bread", "crumbs"): "breadcrumbs", ("bread", "crumb"): "breadcrumb"}
 
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
