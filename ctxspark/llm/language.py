@@ -1,13 +1,19 @@
 """Language-model scoring by masked pseudo-likelihood.
 
 A small network predicts every token of a text from three tokens on either side: an embedding for each
-place and token, one hidden layer, a softmax over the vocabulary.  The sum of the conditional
-log-probabilities is the text's pseudo-log-likelihood.
+token, one hidden layer over the places, and a binary tree over the vocabulary, whose inner nodes each
+decide between two sides.  A token's probability is the product of the decisions on its path, so it
+sums to one over the tokens and costs as many products as the token's Huffman code has bits.  The sum
+of the conditional log-probabilities is the text's pseudo-log-likelihood.
 
-The vocabulary is the corpus' most frequent words, counted over all texts, and hash classes for the
-others.  Training starts on a small sample, then every task goes once over all its texts from that
-start, and the tasks' weights are averaged by their numbers of tokens, in groups, so that neither the
-driver nor a task holds more than ``GROUP`` sets of weights.
+The vocabulary is every word that makes up at least ``SHARE`` of the corpus (and occurs ``MIN_COUNT``
+times), counted over all texts.  The other words have one leaf together; behind it each is spelled by
+a model of character pairs, counted over all of those words, so that every string has a probability of
+its own and all strings' sum is one.  As context they are told apart by ``CLASSES`` hash classes.
+
+Training starts on a small sample, then every task goes once over all its texts from that start, and
+the tasks' weights are averaged by their numbers of tokens, in groups, so that neither the driver nor
+a task holds more than ``GROUP`` sets of weights.
 
 Defined results: null and empty texts have no tokens, a sum of 0 and a mean that is null; repeated rows
 are scored each for itself; an empty table gives no rows; other columns are ignored.
@@ -15,6 +21,8 @@ are scored each for itself; an empty table gives no rows; other columns are igno
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -29,68 +37,177 @@ from pyspark.sql import types as T
 from .common import rows_of, small_batches, table, written
 
 SIDE = 3
-FREQUENT, CLASSES = 96, 31
-SIZE = 1 + FREQUENT + CLASSES  # 0 stands for what is beyond a text's ends
+#: Words of the vocabulary: at least this share of all tokens, and so many times.
+SHARE, MIN_COUNT = 2.0**-17, 3
+#: Hash classes that tell the other words apart as context.
+CLASSES = 4096
+#: Ids of a network without a vocabulary; 0 stands for what is beyond a text's ends.
+SIZE = 128
 HIDDEN = 16
-#: Tokens of a training step, and of a scoring step (their softmax stays in a core's cache).
+#: Tokens of a training step, and of a scoring step (their paths stay in a core's cache).
 BATCH, SCORED = 2048, 1024
 #: Texts that training starts on; sets of weights averaged by one task.
-START_DOCS, GROUP = 1_000, 64
+START_DOCS, GROUP = 1_000, 16
 #: Tokens that a task trains on or scores at once.
 BLOCK = 1 << 16
 WORDS_KEPT = 300_000
 
 
+#: Pairs of characters that the spelling of words knows; the others go by their single characters.
+PAIRS_KEPT = 50_000
+#: Weight of a character's own share against the pairs', and the share of characters never seen.
+SMOOTH, UNSEEN, CHARACTERS = 5.0, 1e-4, 0x110000
+
+
+class Speller:
+    """log P(word) of words outside the vocabulary, by character pairs; a space stands for a word's ends."""
+
+    def __init__(self, pairs: dict[str, int], singles: dict[str, int], frequent: list[str]):
+        self.singles, self.total = singles, sum(singles.values())
+        before: Counter = Counter(singles)  # a pair's first character: each character and each start
+        kept: Counter = Counter()
+        for p, n in pairs.items():
+            kept[p[0]] += n
+        self.before, self.kept, self.pairs, self.logs, self.rest = before, kept, pairs, {}, 0.0
+        # what it would give to no character and to words of the vocabulary, which have their own leaves, goes to the others
+        self.rest = -math.log1p(-min(math.fsum(math.exp(self(w)) for w in {"", *frequent}), 1 - 1e-9))
+
+    def _log(self, pair: str) -> float:
+        first, then = pair
+        own = UNSEEN / CHARACTERS + (1 - UNSEEN) * (self.singles.get(then, 0) / self.total) if self.total else 1 / CHARACTERS
+        all_of = self.before.get(first, 0) + SMOOTH
+        p = self.pairs.get(pair, 0) / all_of + (1 - self.kept.get(first, 0) / all_of) * own
+        if len(self.logs) < WORDS_KEPT:
+            self.logs[pair] = math.log(p)
+        return math.log(p)
+
+    def __call__(self, word: str) -> float:
+        s, logs = f" {word} ", self.logs
+        found = 0.0
+        for a, b in zip(s, s[1:], strict=False):
+            x = logs.get(a + b)
+            found += self._log(a + b) if x is None else x
+        return found + self.rest
+
+
 class Vocabulary(dict):
-    """Word -> number: 1 to FREQUENT for the frequent words, hash classes behind."""
+    """Word -> number: 1 to K for the K frequent words, hash classes behind.
+
+    The upper 32 bits of a value are the log-probability of a spelled word, as the bits of a float32.
+    """
 
-    def __init__(self, frequent: list[str]):
+    def __init__(self, frequent: list[str], speller: Speller | None = None):
         super().__init__({w: k + 1 for k, w in enumerate(frequent)})
-        self.frequent = frequent
+        self.frequent, self.speller = frequent, speller
 
     def __missing__(self, word: str) -> int:
-        if len(self) > WORDS_KEPT:
+        if len(self) > WORDS_KEPT + len(self.frequent):
             self.clear()
             self.update({w: k + 1 for k, w in enumerate(self.frequent)})
             if word in self:
                 return self[word]
-        n = self[word] = 1 + FREQUENT + xxhash.xxh3_64_intdigest(word.encode()) % CLASSES
+        n = 1 + len(self.frequent) + xxhash.xxh3_64_intdigest(word.encode()) % CLASSES
+        if self.speller:
+            n |= int(np.float32(self.speller(word)).view(np.int32)) << 32
+        self[word] = n
         return n
 
-    def ids(self, text: str | None) -> np.ndarray:
+    def values_of(self, text: str | None) -> np.ndarray:
         words = (text or "").lower().split()
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
+    def ids(self, text: str | None) -> np.ndarray:
+        return self.values_of(text) & 0xFFFFFFFF
+
+    @staticmethod
+    def spelled(values: np.ndarray) -> np.ndarray:
+        """The log-probabilities of spelling; 0 for words of the vocabulary."""
+        return (values >> 32).astype(np.int32).view(np.float32)
+
+
+@dataclass
+class Tree:
+    """A Huffman tree over the ids from 1: for each id, where its path begins in ``nodes`` and its length."""
+
+    first: np.ndarray = field(repr=False)
+    length: np.ndarray = field(repr=False)
+    nodes: np.ndarray = field(repr=False)
+    side: np.ndarray = field(repr=False)  # 1 or -1
+    lean: np.ndarray = field(repr=False)  # of each node, the log-odds of side 1 by counts
+
+    @classmethod
+    def of(cls, counts: list[int], aliases: int = 0) -> Tree:
+        """Leaves for the ids 1 to len(counts), at least two; ``aliases`` more ids share the last leaf."""
+        n = len(counts)
+        heap = [(max(1, c), k) for k, c in enumerate(counts)]
+        heapq.heapify(heap)
+        parent, side, lean = np.zeros(2 * n - 1, np.int64), np.zeros(2 * n - 1, np.float32), np.zeros(n - 1, np.float32)
+        for k in range(n - 1):
+            (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
+            parent[[x, y]], side[x], side[y], lean[k] = n + k, 1, -1, math.log(a / b)
+            heapq.heappush(heap, (a + b, n + k))
+        at = here = np.arange(n)
+        ids, nodes, sides = [], [], []
+        while len(at):
+            ids.append(at)
+            nodes.append(parent[here] - n)
+            sides.append(side[here])
+            here = parent[here]
+            live = here != 2 * n - 2
+            at, here = at[live], here[live]
+        ids, nodes, sides = np.concatenate(ids), np.concatenate(nodes), np.concatenate(sides)
+        by = np.argsort(ids, kind="stable")
+        length = np.bincount(ids, minlength=n)
+        first = np.cumsum(length) - length
+        spread = np.concatenate([[0], np.arange(n), np.full(aliases, n - 1)])
+        length = length[spread]
+        length[0] = 0
+        return cls(first[spread], length, nodes[by].astype(np.int32), sides[by], lean)
+
+    def paths(self, ids: np.ndarray):
+        """For the ids' paths one after the other: where each begins, their lengths, nodes and sides."""
+        n = self.length[ids]
+        begin = np.cumsum(n) - n
+        k = np.repeat(self.first[ids] - begin, n)
+        k += np.arange(len(k))
+        return begin, n, self.nodes[k], self.side[k]
+
+
+TREE = Tree.of([1] * (SIZE - 1))
+
 
 @dataclass
 class Weights:
-    embed: np.ndarray = field(repr=False)  # place and token x hidden
+    embed: np.ndarray = field(repr=False)  # id x hidden
+    places: np.ndarray = field(repr=False)  # place and hidden x hidden
     hidden: np.ndarray = field(repr=False)
-    out: np.ndarray = field(repr=False)
+    out: np.ndarray = field(repr=False)  # node x hidden
     bias: np.ndarray = field(repr=False)
+    tree: Tree = field(default_factory=lambda: TREE, repr=False)
 
     @classmethod
-    def fresh(cls, seed: int = 7) -> Weights:
+    def fresh(cls, seed: int = 7, tree: Tree = TREE) -> Weights:
         r = np.random.default_rng(seed)
-        return cls((r.standard_normal((2 * SIDE * SIZE, HIDDEN)) * 0.3).astype(np.float32), np.zeros(HIDDEN, np.float32), (r.standard_normal((HIDDEN, SIZE)) * 0.1).astype(np.float32), np.zeros(SIZE, np.float32))
+        embed, places = r.standard_normal((len(tree.first), HIDDEN)) * 0.3, r.standard_normal((2 * SIDE * HIDDEN, HIDDEN)) * 0.25
+        return cls(embed.astype(np.float32), places.astype(np.float32), np.zeros(HIDDEN, np.float32), np.zeros((len(tree.lean), HIDDEN), np.float32), tree.lean.copy(), tree)
 
     def parts(self) -> list[np.ndarray]:
-        return [self.embed, self.hidden, self.out, self.bias]
+        return [self.embed, self.places, self.hidden, self.out, self.bias]
 
     def vector(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts()])
 
     @classmethod
-    def of(cls, v: np.ndarray) -> Weights:
-        own, at, out = cls.fresh(), 0, []
-        for p in own.parts():
-            out.append(v[at : at + p.size].astype(np.float32).reshape(p.shape))
-            at += p.size
-        return cls(*out)
+    def of(cls, v: np.ndarray, tree: Tree = TREE) -> Weights:
+        at, out = 0, []
+        for shape in ((len(tree.first), HIDDEN), (2 * SIDE * HIDDEN, HIDDEN), (HIDDEN,), (len(tree.lean), HIDDEN), (len(tree.lean),)):
+            size = math.prod(shape)
+            out.append(v[at : at + size].astype(np.float32).reshape(shape))
+            at += size
+        return cls(*out, tree)
 
 
 _PLACES = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
-_SHIFT = np.arange(2 * SIDE) * SIZE
 
 
 def joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -104,25 +221,49 @@ def joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _forward(w: Weights, line: np.ndarray, at: np.ndarray):
-    context = line[at[:, None] + _PLACES] + _SHIFT
-    h = np.tanh(w.embed[context].sum(1) + w.hidden)
-    z = h @ w.out
-    z += w.bias
-    if np.abs(w.out).sum(0).max() + np.abs(w.bias).max() > 60:  # else no exponential can overflow
-        z -= z.max(1, keepdims=True)
-    return context, h, z
+    context = line[at[:, None] + _PLACES]
+    x = w.embed.take(context.ravel(), 0).reshape(len(at), -1)
+    h = np.tanh(x @ w.places + w.hidden)
+    begin, n, nodes, side = w.tree.paths(line[at])
+    own, u = np.repeat(h, n, 0), w.out.take(nodes, 0)
+    z = np.einsum("ij,ij->i", own, u)
+    z += w.bias.take(nodes)
+    z *= side
+    return context, x, h, begin, nodes, side, own, u, z
 
 
 def log_probabilities(w: Weights, line: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """log P(token | both sides) of the tokens at the given places."""
+    """log P(token | both sides) of the tokens at the given places; nothing else than tokens is ever there."""
     out = np.empty(len(at), np.float64)
     for k in range(0, len(at), SCORED):
         part = at[k : k + SCORED]
-        _, _, z = _forward(w, line, part)
-        out[k : k + len(part)] = z[np.arange(len(part)), line[part]] - np.log(np.exp(z).sum(1))
+        begin, z = (f := _forward(w, line, part))[3], f[-1]
+        small = np.minimum(z, 0)
+        small -= np.log1p(np.exp(-np.abs(z)))
+        if w.tree.length[line[part]].all():
+            out[k : k + len(part)] = np.add.reduceat(small, begin)
+        else:
+            real = line[part] != 0
+            out[k : k + len(part)] = -np.inf
+            if real.any():
+                out[k : k + len(part)][real] = np.add.reduceat(small, begin[real])
     return out
 
 
+def _by_key(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order of the keys by their halves of 16 bits, and where each distinct key begins in it."""
+    by = np.argsort(keys.astype(np.uint16), kind="stable")
+    if keys.max() >> 16:
+        by = by[np.argsort((keys[by] >> 16).astype(np.uint16), kind="stable")]
+    own = keys[by]
+    return by, np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+
+
+def _sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows that begin at ``first``; as complex numbers two columns are added at once."""
+    return np.add.reduceat(rows.view(np.complex64), first, axis=0).view(np.float32)
+
+
 class Trainer:
     """AdaGrad over mini-batches."""
 
@@ -130,26 +271,42 @@ class Trainer:
         self.w, self.rate, self.tokens = w, rate, 0
         self.seen = [np.full(p.shape, 1e-4, np.float32) for p in w.parts()]
 
+    def _step(self, k: int, g: np.ndarray, rows: np.ndarray | None = None) -> None:
+        own, seen = self.w.parts()[k], self.seen[k]
+        now = g * g
+        now += seen if rows is None else seen.take(rows, 0)
+        move = np.sqrt(now)
+        np.divide(g, move, out=move)
+        move *= self.rate
+        if rows is None:
+            seen[...] = now
+            own -= move
+        else:
+            seen[rows] = now
+            own[rows] = own.take(rows, 0) - move
+
     def learn(self, line: np.ndarray, at: np.ndarray) -> None:
         w = self.w
         for k in range(0, len(at), BATCH):
             part = at[k : k + BATCH]
             n = len(part)
-            context, h, z = _forward(w, line, part)
-            p = np.exp(z)
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(n), line[part]] -= 1
-            p /= n
-            dh = (p @ w.out.T) * (1 - h * h)
-            de = np.zeros_like(w.embed)
-            flat = context.ravel().astype(np.uint16)
-            by = np.argsort(flat, kind="stable")
-            own = flat[by]
-            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            de[own[first]] = np.add.reduceat(dh[by // (2 * SIDE)], first, axis=0)
-            for own, seen, g in zip(w.parts(), self.seen, (de, dh.sum(0), h.T @ p, p.sum(0)), strict=True):
-                seen += g * g
-                own -= self.rate * g / np.sqrt(seen)
+            context, x, h, begin, nodes, side, own, u, z = _forward(w, line, part)
+            g = np.float32(-1 / n) * side / (1 + np.exp(np.minimum(z, 60)))
+            u *= g[:, None]
+            own *= g[:, None]
+            dh = _sums(u, begin) * (1 - h * h)
+            dx = (dh @ w.places.T).reshape(-1, HIDDEN)
+            by, first = _by_key(nodes)
+            here = nodes[by[first]]
+            d_out, d_bias = _sums(own.take(by, 0), first), np.add.reduceat(g.take(by), first)
+            flat = context.ravel()
+            by, first = _by_key(flat)
+            d_embed = _sums(dx.take(by, 0), first)
+            self._step(0, d_embed, flat[by[first]])
+            self._step(1, x.T @ dh)
+            self._step(2, dh.sum(0))
+            self._step(3, d_out, here)
+            self._step(4, d_bias, here)
             self.tokens += n
 
 
@@ -168,7 +325,9 @@ def blocks(texts, tokens: int = BLOCK):
 
 @dataclass
 class Model:
-    frequent: list[str]
+    frequent: list[str] = field(repr=False)
+    speller: Speller = field(repr=False)
+    tree: Tree = field(repr=False)
     weights: np.ndarray = field(repr=False)
 
 
@@ -203,26 +362,51 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
                 found = Counter()
         yield from _counts(found)
 
-    counted = texts.mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    frequent = [r["w"] for r in counted.orderBy(F.desc("n"), "w").limit(FREQUENT).collect()]
-    start = Trainer(Weights.fresh())
+    counted = written(texts.mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    least = max(MIN_COUNT, math.ceil(SHARE * total))
+    found = counted.where(F.col("n") >= least).orderBy(F.desc("n"), "w").collect()  # at most 1 / SHARE words
+    frequent, own = [r["w"] for r in found] or [""], [r["n"] for r in found] or [0]
+    speller = _speller(counted.where(F.col("n") < least), frequent)
+    tree = Tree.of([*own, total - sum(own)], CLASSES - 1)
+    start = Trainer(Weights.fresh(tree=tree))
     vocabulary = Vocabulary(frequent)
     sample = [vocabulary.ids(r["t"]) for r in texts.where(F.col("t").isNotNull()).orderBy(F.xxhash64("t"), "t").limit(START_DOCS).toLocalIterator()]
     for _ in range(2):
         for held in blocks(sample):
             start.learn(*joined(held))
-    shared = spark.sparkContext.broadcast((frequent, start.w.vector().astype("<f4"), [s.copy() for s in start.seen]))
+    shared = spark.sparkContext.broadcast((frequent, tree, start.w.vector().astype("<f4"), [s.copy() for s in start.seen]))
 
     def learn(batches):
-        words, vector, seen = shared.value
-        own, trainer = Vocabulary(words), Trainer(Weights.of(vector))
+        words, shape, vector, seen = shared.value
+        own, trainer = Vocabulary(words), Trainer(Weights.of(vector, shape))
         trainer.seen = [s.copy() for s in seen]
         for held in blocks(own.ids(t) for (t,) in rows_of(batches, "t")):
             trainer.learn(*joined(held))
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([trainer.tokens], pa.int64()), pa.array([trainer.w.vector().astype("<f4").tobytes()], pa.binary())], names=["g", "n", "w"])
 
     mean = _averaged(texts.mapInArrow(learn, "g long, n long, w binary"))
-    return Model(frequent, (start.w.vector() if mean is None else mean).astype("<f4"))
+    return Model(frequent, speller, tree, (start.w.vector() if mean is None else mean).astype("<f4"))
+
+
+def _speller(counted: DataFrame, frequent: list[str]) -> Speller:
+    """Character pairs of the counted words, each word as often as it occurs."""
+
+    def pairs(batches):
+        found: Counter = Counter()
+        for word, n in rows_of(batches, "w", "n"):
+            s = f" {word} "
+            for a, b in zip(s, s[1:], strict=False):
+                found[a + b] += n
+            if len(found) > WORDS_KEPT:
+                yield from _counts(found)
+                found = Counter()
+        yield from _counts(found)
+
+    table_of = written(counted.mapInArrow(pairs, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "pairs")
+    singles = table_of.groupBy(F.substring("w", 2, 1).alias("c")).agg(F.sum("n").alias("n")).collect()  # at most one row a character
+    kept = table_of.orderBy(F.desc("n"), "w").limit(PAIRS_KEPT).collect()
+    return Speller({r["w"]: r["n"] for r in kept}, {r["c"]: r["n"] for r in singles}, frequent)
 
 
 def _counts(found: Counter):
@@ -239,13 +423,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     names = [id_col, "n_tokens", "log_likelihood", "mean_log_likelihood"]
 
     def run(batches):
-        words, w = Vocabulary(shared.value.frequent), Weights.of(shared.value.weights)
+        m = shared.value
+        words, w = Vocabulary(m.frequent, m.speller), Weights.of(m.weights, m.tree)
         for batch in batches:
             sums, sizes = [], []
-            for held in blocks(words.ids(t) for (t,) in rows_of([batch], "t")):
-                line, at = joined(held)
+            for held in blocks(words.values_of(t) for (t,) in rows_of([batch], "t")):
+                line, at = joined([v & 0xFFFFFFFF for v in held])
                 n = np.array([len(t) for t in held])
-                total = np.concatenate([[0.0], np.cumsum(log_probabilities(w, line, at))])
+                total = np.concatenate([[0.0], np.cumsum(log_probabilities(w, line, at) + Vocabulary.spelled(np.concatenate(held)))])
                 ends = np.cumsum(n)
                 sums += (total[ends] - total[ends - n]).tolist()
                 sizes += n.tolist()

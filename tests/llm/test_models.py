@@ -118,6 +118,47 @@ def test_gradient_is_the_numeric_one():
         assert step[k] == pytest.approx((loss(a) - loss(b)) / 2e-2, abs=2e-3)
 
 
+def test_path_probabilities_sum_to_one():
+    r = np.random.default_rng(5)
+    tree = language.Tree.of([900, 300, 80, 80, 7, 1, 0, 40], 20)  # the last leaf has 21 ids
+    w = language.Weights.fresh(tree=tree)
+    w.out[...] = r.standard_normal(w.out.shape)
+    line, at = language.joined([np.array([3, 28, 5, 8, 7])])
+    for place in at:
+        other = np.repeat(line[None], 8, 0)
+        other[:, place] = np.arange(1, 9)
+        got = [language.log_probabilities(w, x, np.array([place]))[0] for x in other]
+        assert np.exp(got).sum() == pytest.approx(1, abs=1e-5) and len({round(g, 4) for g in got}) == 8
+
+
+def test_spelled_words_sum_to_one():
+    import itertools
+
+    spelled = language.Speller({" a": 9, "ab": 6, "b ": 8, "a ": 3, " b": 2}, {"a": 9, "b": 9, " ": 11}, ["ab"])
+    total = sum(math.exp(spelled("".join(x))) for n in range(1, 15) for x in itertools.product("ab", repeat=n) if x != ("a", "b"))
+    assert 0.99 < total <= 1
+
+
+def test_every_word_has_a_probability_of_its_own(spark):
+    import xxhash
+
+    seen, pair = {}, None
+    for k in range(100_000):  # two words that hash alike
+        h = xxhash.xxh3_64_intdigest(f"rare{k}".encode()) % (31 * language.CLASSES)
+        if h in seen:
+            pair = (f"rare{seen[h]}", f"rare{k}")
+            break
+        seen[h] = k
+    common = [f"word{k}" for k in range(300)]
+    text = " ".join(w for k, w in enumerate(common) for _ in range(1 + k % 3))
+    docs = spark.createDataFrame([(k, text) for k in range(40)] + [(50, f"one {pair[0]} two"), (51, f"one {pair[1]} two {pair[1]}")], "doc_id long, text string")
+    model = language.fit(docs)
+    assert set(common) <= set(model.frequent)
+    asked = [(k, f"word1 word2 {w} word4 word5") for k, w in enumerate([*pair, *common])]
+    got = [r.log_likelihood for r in language.score(spark.createDataFrame(asked, docs.schema), model).collect()]
+    assert abs(got[0] - got[1]) > 1e-3 and len({round(g, 5) for g in got}) > 290
+
+
 def test_scores_prefer_the_corpus_order(spark):
     docs = spark.createDataFrame([(k, "the cat sat on the mat and the dog ran to the old house by the sea " * 6) for k in range(60)], "doc_id long, text string")
     model = language.fit(docs)
