@@ -1,13 +1,15 @@
 """Main text of web pages by composite text density.
 
 A page is read once into a tree (implied end tags, raw-text elements and unclosed elements as browsers
-read them).  Parts that are never article text (scripts, styles, forms, menus, headers, footers,
-sidebars, notices, adverts, reader comments; by element, role, class and id) are left out.  For every
-other node the composite text density (characters per tag, adjusted by its link characters and link
+read them).  Parts that are never article text by element, role or hidden attribute (scripts, styles,
+forms, menus, headers, footers) are left out at once.  Class and id words that speak of menus, sidebars,
+notices, adverts or reader comments are evidence only: such a part goes if it is mostly links, if an
+article element with much of the text lies elsewhere, or if the parts of its word together hold little
+of the plain text (``judge``); and they stay if otherwise little text would be left.  For every other node the composite text density (characters per tag, adjusted by its link characters and link
 tags) is computed; the children's densities are summed; the smallest density on the path from the
 node of the largest sum up to the body is the threshold.  From the body down, every node that reaches
 the threshold gives its descendant of the largest sum; with the article, main element or container of
-prose around it, that is content as a whole.
+prose around it, that is content as a whole, but for lists of links below the threshold.
 
 Blocks are joined by one newline in page order; white space inside a block becomes one space.
 
@@ -68,30 +70,32 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "parts", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "parent", "parts", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total", "hints")
 
     def __init__(self, name: str, parent: Node | None, dropped: bool):
-        self.name, self.parent, self.dropped, self.parts = name, parent, dropped, []
+        self.name, self.parent, self.dropped, self.parts, self.hints = name, parent, dropped, [], ()
 
 
-def _is_dropped(name: str, attributes: str, in_article: bool) -> bool:
+def _is_dropped(name: str, attributes: str, in_article: bool) -> tuple[bool, set[str] | tuple]:
+    """Whether an element is never article text, and the hint words of its class and id."""
     if name in DROPPED or (name == "header" and not in_article):
-        return True
+        return True, ()
     if not attributes or name in ("body", "html", "article", "main"):
-        return False
+        return False, ()
+    hints: set[str] = set()
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return True
+            return True, ()
         if key == "role":
             if value.lower().strip() in ROLES:
-                return True
+                return True, ()
         elif key in ("class", "id"):
             for word in value.split():
                 pieces = [p.lower() for p in _CUT.split(word.replace("_", "-")) if p]
-                if any(p in HINTS and (not k or pieces[k - 1] not in BESIDE) for k, p in enumerate(pieces)) or any(p in _PAIRS for p in zip(pieces, pieces[1:], strict=False)):
-                    return True
-    return False
+                hints.update(p for k, p in enumerate(pieces) if p in HINTS and (not k or pieces[k - 1] not in BESIDE))
+                hints.update(_PAIRS[p] for p in zip(pieces, pieces[1:], strict=False) if p in _PAIRS)
+    return False, hints
 
 
 def parse(page: str) -> Node:
@@ -134,8 +138,9 @@ def parse(page: str) -> Node:
                 top.parts.append(" ")
             continue
         attributes = m[3]
-        dropped = top.dropped or _is_dropped(name, attributes, any(n.name in ("article", "main") for n in stack))
+        dropped, hints = (True, ()) if top.dropped else _is_dropped(name, attributes, any(n.name in ("article", "main") for n in stack))
         node = Node(name, top, dropped)
+        node.hints = hints
         if not dropped:
             top.parts.append(node)
         if name in RAW:
@@ -167,6 +172,61 @@ def _order(root: Node) -> list[Node]:
     return out
 
 
+#: A hint word whose parts hold this share of the plain text does not speak of what is beside the text.
+MUCH = 1 / 3
+#: An article or main element with this share of the body's plain text is where the text is.
+ARTICLE = 1 / 4
+#: With less than this share of the plain text left, the words are not believed.
+LEFT = 1 / 2
+
+
+def judge(root: Node) -> None:
+    """Takes the hinted parts out that are beside the page's text."""
+    nodes = _order(root)
+    hinted = [n for n in nodes if n.hints]
+    if not hinted:
+        return
+    at = {id(n): k for k, n in enumerate(nodes)}
+    up = [at.get(id(n.parent), 0) for n in nodes]
+    link, inside, level, within = [False] * len(nodes), [False] * len(nodes), [{}] * len(nodes), [False] * len(nodes)
+    for k, n in enumerate(nodes):  # inside: a hinted part; within: an article that is in no hinted part
+        j = up[k]
+        link[k] = link[j] or n.name == "a"
+        inside[k] = inside[j] or bool(n.hints)
+        within[k] = within[j] or (n.name in ("article", "main") and not inside[k])
+        level[k] = level[j] | {w: level[j].get(w, 0) + 1 for w in n.hints} if n.hints else level[j]
+    chars, plain = [0] * len(nodes), [0] * len(nodes)
+    for k in range(len(nodes) - 1, -1, -1):
+        own = sum(len(_SPACE.sub("", p)) for p in nodes[k].parts if type(p) is str)
+        chars[k] += own
+        plain[k] += 0 if link[k] else own
+        if k:
+            chars[up[k]] += chars[k]
+            plain[up[k]] += plain[k]
+    articles = sum(plain[k] for k in range(1, len(nodes)) if within[k] and not within[up[k]])
+    has_article = articles > 0 and articles >= ARTICLE * plain[0]
+    total = articles if has_article else plain[0]
+    held: dict[tuple[str, int], int] = {}
+    for n in hinted:
+        k = at[id(n)]
+        for w in n.hints:
+            held[w, level[k][w]] = held.get((w, level[k][w]), 0) + (plain[k] if within[k] or not has_article else 0)
+    sure, likely = set(), set()
+    for n in hinted:
+        k = at[id(n)]
+        if 2 * plain[k] <= chars[k] or (has_article and not within[k]):
+            sure.add(k)
+        elif any(held[w, level[k][w]] < MUCH * total for w in n.hints):
+            likely.add(k)
+    gone, lost = [False] * len(nodes), 0
+    for k in range(1, len(nodes)):
+        gone[k] = gone[up[k]] or k in sure or k in likely
+        if gone[k] and not gone[up[k]] and k in likely:
+            lost += plain[k]
+    for k in sure if total - lost < LEFT * total else sure | likely:
+        nodes[up[k]].parts = [p for p in nodes[up[k]].parts if p is not nodes[k]]
+
+
 def measure(root: Node) -> tuple[list[Node], Node]:
     """Densities and sums of all nodes; the nodes, parents first, and the body."""
     nodes = _order(root)
@@ -222,20 +282,35 @@ def content(root: Node) -> list[Node]:
             taken.update(id(n) for n in _order(rich))
         stack += [p for p in node.parts if type(p) is not str]
     tops = [n for n in found if not any(m is not n and _within(n, m) for m in found)]
+    for top in tops:
+        _without_lists(top, threshold)
     place = {id(n): k for k, n in enumerate(_preorder(root))}
     return sorted(tops, key=lambda n: place[id(n)]) or [body]
 
 
+#: Block elements with so many links, which hold more than half of their text, are lists of links.
+LISTED = 3
+
+
+def _without_lists(top: Node, threshold: float) -> None:
+    """Takes the lists of links out that are less dense than the threshold."""
+    stack = [top]
+    while stack:
+        node = stack.pop()
+        node.parts = [p for p in node.parts if type(p) is str or p.name not in BLOCK or p.link_tags < LISTED or 2 * p.link_chars <= p.chars or p.density >= threshold]
+        stack += [p for p in node.parts if type(p) is not str]
+
+
 #: A container of prose is taken whole while less than this share of what it adds is link text.
 LINKS = 0.25
 
 
 def _whole(node: Node, body: Node) -> Node:
-    """The node with the prose around it: up to the outermost article or main element, or else up to
-    the outermost container below the body that adds little link text."""
+    """The node with the prose around it: up to the article or main element, and from there to further
+    ones, or else up to the outermost container below the body, while they add little link text."""
     found, up = None, node
     while up is not None:
-        if up.name in ("article", "main"):
+        if up.name in ("article", "main") and (found is None or _prose(found, up)):
             found = up
         up = up.parent
     if found is not None or node is body or node.parent is None:
@@ -290,7 +365,9 @@ def blocks(node: Node) -> list[str]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    return "\n".join(t for node in content(parse(page)) for t in blocks(node))
+    root = parse(page)
+    judge(root)
+    return "\n".join(t for node in content(root) for t in blocks(node))
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:

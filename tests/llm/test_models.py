@@ -193,6 +193,38 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+PROSE = [f"Paragraph {k} of the article has enough plain words to be the text of a page." for k in range(6)]
+
+
+@pytest.mark.parametrize("wrapper", ["class='layout sidebar-right'", "class='sidebar-left-layout'", "class='elementor-widget'", "class='social-post'", "class='related-content'", "id='discussion'"])
+def test_hint_words_on_the_wrapper_of_an_article(wrapper):
+    prose = "".join(f"<p>{p}</p>" for p in PROSE)
+    beside = "<div class='sidebar'><p>Beside it.</p></div><div class='widget'><a href='/1'>more of this</a><a href='/2'>and this</a></div>"
+    for inner in (prose, f"<article>{prose}</article>", f"<main><h1>Head</h1>{prose}</main>"):
+        head = ["Head"] if "<h1>" in inner else []
+        assert html.main_text(f"<body><div {wrapper}>{inner}{beside}</div></body>") == "\n".join(head + PROSE)
+
+
+def test_an_article_in_hinted_pieces():
+    names = ["widget", "social", "related", "promo", "notice", "toc"]
+    page = "".join(f"<div class='{n}'><p>{p}</p></div>" for n, p in zip(names, PROSE, strict=True))
+    assert html.main_text(f"<body>{page}<div class='menu'><a>a</a><a>b</a></div></body>") == "\n".join(PROSE)
+    page = "".join(f"<div class='elementor-widget'><p>{p}</p></div>" for p in PROSE)
+    assert html.main_text(f"<body><article>{page}<div class='ad'>Buy</div></article></body>") == "\n".join(PROSE)
+
+
+def test_many_comments_beside_an_article():
+    prose, comments = "".join(f"<p>{p}</p>" for p in PROSE), "".join(f"<p>Comment {k} of a reader who writes at length.</p>" for k in range(12))
+    assert html.main_text(f"<body><article>{prose}</article><div id='comments'>{comments}</div></body>") == "\n".join(PROSE)
+
+
+def test_lists_of_links_in_an_article():
+    links = "".join(f"<li><a href='/{k}'>Another story, number {k}</a></li>" for k in range(8))
+    prose = "".join(f"<p>{p}</p>" for p in PROSE)
+    assert html.main_text(f"<body><article>{prose}<div><ul>{links}</ul></div></article></body>") == "\n".join(PROSE)
+    assert html.main_text(f"<body><main><article>{prose}</article><div><ul>{links}</ul></div></main></body>") == "\n".join(PROSE)
+
+
 def test_broken_and_deep_pages():
     for page in ("<", "<p", "</p>", "<a href='x", "<!--", "<script>", "<div>" * 3000 + "x", "<b><p>" * 500 + "y", "<![CDATA[x]]>", "&#xZZ; &bogus;"):
         html.main_text(page)
