@@ -3,8 +3,10 @@
 Documents are dealt in batches by id.  A batch's line keys (128-bit hashes) become a run: a table
 sorted by key, with the number of documents that hold the key and the largest of their ids.  Runs of
 one level are merged to a run of the next when there are ``FANOUT`` of them, so that a key lies in few
-runs however many batches came.  A batch is cleaned by a merge join of its keys with the runs: keys
-found often enough lose their lines, except in the document that keeps them.
+runs however many batches came.  Whether a key's lines go depends on its count over all batches,
+and the largest id keeps them, so no batch is cleaned before the last one is counted: the runs collect
+counts, and one final join of all keys with the frequent ones finds the lines that go.  The join makes
+its own order; that of the runs' files is not used.
 
 Defined results: a null or empty text is one empty line; repeated rows of one id are one document and
 are cleaned alike; rows without id count as one document, which keeps a line only if no other has it;
