@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Output batches of the Arrow operators are cut at this many payload bytes, so that one batch
 #: stays small however long single texts are.
@@ -66,6 +67,12 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def one_of_each(rows: DataFrame, *keys: str, text_col: str = "t") -> DataFrame:
+    """Of the rows of each key the text of the lowest hash, so that keys that occur often bring no more than one."""
+    t = F.col(text_col)
+    return rows.groupBy(*keys).agg(F.min_by(t, F.struct(F.xxhash64(t), t)).alias(text_col))
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
     """Row tuples of the named columns, one batch converted in slices so that few texts are held twice."""
     for batch in batches:

@@ -3,7 +3,7 @@
 Heuristic labellers vote good, bad or nothing on every document.  The corpus' vote patterns are
 counted (with n labellers there are at most 3^n), and expectation-maximisation on those counts estimates
 each labeller's accuracy and coverage by class and the share of good documents.  The posteriors label a
-bounded sample of documents, on which a linear scorer over hashed words and word pairs is trained;
+bounded sample of documents (one row of each picked id), on which a linear scorer over hashed words and word pairs is trained;
 it scores every whole text.
 
 No given label is used: the labels table serves only to measure.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Batcher, rows_of, small_batches, table
+from .common import Batcher, one_of_each, rows_of, small_batches, table
 
 #: Documents that the scorer is trained on, by lowest hash of id.
 MAX_TRAIN = 12_000
@@ -39,6 +39,8 @@ WORDS_KEPT = 300_000
 class Stats:
     """What the labellers look at, counted once for a text."""
 
+    text_words: list[str] = field(repr=False)
+
     chars: int
     words: int
     distinct: int
@@ -62,7 +64,7 @@ def stats_of(text: str) -> tuple[Stats, Counter]:
     upper = sum(n for w, n in counts.items() if w.isupper())
     ends = sum(r.rstrip().endswith((".", "!", "?", "…", '"')) for r in rows)
     n = len(text)
-    return Stats(n, len(words), len(counts), len(rows), len(set(rows)), n - symbols - digits - spaces, upper, symbols, digits, ends, (n - spaces) / max(1, len(words))), counts
+    return Stats(words, n, len(words), len(counts), len(rows), len(set(rows)), n - symbols - digits - spaces, upper, symbols, digits, ends, (n - spaces) / max(1, len(words))), counts
 
 
 _SYMBOLS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -146,19 +148,21 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500, smooth
 # --- hashed scorer ----------------------------------------------------------------------------
 
 
-class _Buckets(dict):
+class _Hashes(dict):
+    """Word -> 63 bits of its hash."""
+
     def __missing__(self, word: str) -> int:
         if len(self) > WORDS_KEPT:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode()) % BUCKETS
+        h = self[word] = xxhash.xxh3_64_intdigest(word.encode()) & 0x7FFFFFFFFFFFFFFF
         return h
 
 
-_buckets = _Buckets()
+_hashes = _Hashes()
 
 
 def hashed(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and values of a whole text: its words, of length 1 together, and its shape."""
+    """Buckets and values of a whole text: its words and its word pairs, each of length 1 together, and its shape."""
     return hashed_of(*stats_of(text or ""))
 
 
@@ -166,11 +170,23 @@ def hashed_of(s: Stats, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
     if not counts:
         return np.zeros(0, np.int64), np.zeros(0)
     shape = (("len", min(12, s.words.bit_length())), ("sym", min(20, 100 * s.symbols // max(1, s.chars))), ("dig", min(20, 100 * s.digits // max(1, s.chars))), ("up", min(10, 10 * s.upper // s.words)), ("dis", min(10, 10 * s.distinct // s.words)), ("lin", min(10, 10 * s.distinct_lines // s.lines)), ("end", min(10, 10 * s.ends // s.lines)))
-    n = len(counts)
-    where = np.fromiter(map(_buckets.__getitem__, counts), np.int64, n)
-    value = np.log1p(np.fromiter(counts.values(), float, n))
-    value /= np.sqrt(value @ value)
-    return np.concatenate([where, [_buckets[f"\n{a}{b}"] for a, b in shape]]), np.concatenate([value, np.full(len(shape), 0.7)])
+    words = np.fromiter(map(_hashes.__getitem__, s.text_words), np.uint64, s.words)
+    parts = [_counted(words % BUCKETS)]
+    if s.words > 1:
+        pairs = words[:-1] * _PAIR + words[1:]
+        parts.append(_counted((pairs * _MIX) >> np.uint64(64 - BUCKETS.bit_length() + 1)))
+    own = np.array([_hashes[f"\n{a}{b}"] % BUCKETS for a, b in shape])
+    return np.concatenate([*(w for w, _ in parts), own]), np.concatenate([*(v for _, v in parts), np.full(len(shape), 0.7)])
+
+
+_PAIR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _counted(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets and the logarithms of their counts, of length 1 together."""
+    where, n = np.unique(buckets.astype(np.uint16), return_counts=True)
+    value = np.log1p(n)
+    return where.astype(np.int64), value / np.sqrt(value @ value)
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, epochs: int = 6, rate: float = 0.5, decay: float = 1e-5) -> tuple[np.ndarray, float]:
@@ -228,7 +244,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_tra
         yield out.flush()
 
     rows, seen = [], []
-    for r in own.join(F.broadcast(picked), "k").select("t").mapInArrow(vectors, "w binary, x binary, v array<int>").toLocalIterator():
+    for r in one_of_each(own.join(F.broadcast(picked), "k"), "k").select("t").mapInArrow(vectors, "w binary, x binary, v array<int>").toLocalIterator():
         rows.append((np.frombuffer(r["w"], "<i4").copy(), np.frombuffer(r["x"], "<f4").copy()))
         seen.append(r["v"])
     order = sorted(range(len(rows)), key=lambda k: xxhash.xxh3_64_intdigest(rows[k][0].tobytes()))

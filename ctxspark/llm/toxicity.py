@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rows_of, small_batches, table
+from .common import one_of_each, rows_of, small_batches, table
 
 #: Labelled rows that the fit may use.
 MAX_TRAIN = 16_000
@@ -156,13 +156,13 @@ def _part(column: F.Column) -> F.Column:
 
 
 def _sample(labels: DataFrame, docs: DataFrame, id_col: str, text_col: str, label_col: str, where: F.Column | None, most: int) -> DataFrame:
-    """(k, y, t) of at most ``most`` labelled ids and their texts."""
+    """(k, y, t) of at most ``most`` labelled ids, each with one of its texts."""
     own = labels.select(F.col(id_col).alias("k"), F.col(label_col).alias("y")).where(F.col("k").isNotNull() & F.col("y").isNotNull())
     if where is not None:
         own = own.where(where)
     own = own.groupBy("k").agg(F.max("y").cast("int").alias("y")).orderBy(F.xxhash64("k"), "k").limit(most)
     texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
-    return texts.join(F.broadcast(own), "k")  # at most ``most`` ids
+    return one_of_each(texts.join(F.broadcast(own), "k"), "k", "y")  # at most ``most`` ids
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", where: F.Column | None = None, max_train: int = MAX_TRAIN) -> Model:

@@ -84,6 +84,22 @@ def test_quality_of_awkward_rows(spark):
     assert quality.score(docs.limit(0), quality.fit(docs.limit(0))).collect() == []
 
 
+def test_quality_looks_at_word_pairs():
+    a, b = (dict(zip(*(x.tolist() for x in quality.hashed(t)), strict=True)) for t in ("one two three four five six", "one three two five four six"))
+    assert len(a) == 6 + 5 + 7 and len(set(a) & set(b)) == 6 + 7  # words and shape alike, no pair in common
+
+
+def test_training_takes_one_row_of_an_id(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"text number {k} of an id that many rows share") for k in range(200)] + [(2, "another text"), (3, None)], "doc_id long, text string")
+    seen, train = [], quality.train
+    monkeypatch.setattr(quality, "train", lambda rows, target: seen.append(len(rows)) or train(rows, target))
+    quality.fit(docs)
+    assert seen == [3]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    got = toxicity._sample(labels, docs, "doc_id", "text", "toxic", None, 10).collect()
+    assert sorted((r.k, r.y) for r in got) == [(1, 1), (2, 0)]
+
+
 # --- language ---
 
 
