@@ -85,11 +85,11 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 1000, overla
 
 
 def flattened_tree(nodes: DataFrame, doc_col: str = "doc_name", json_col: str = "tree") -> DataFrame:
-    """(doc, path, node_id, title, text) of a nested page tree, parents first; levels are unfolded one by one."""
+    """(doc, path, node_id, title, text) of a nested page tree, parents first; levels are unfolded one by one, down to the deepest."""
     level = "node_id string, title string, text string, nodes array<string>"
     frontier = nodes.select(doc_col, F.array(F.lit(0)).alias("path"), F.from_json(json_col, level).alias("n"))
     out = None
-    for _ in range(32):
+    while True:
         rows = frontier.select(doc_col, "path", "n.node_id", "n.title", "n.text")
         out = rows if out is None else out.unionByName(rows)
         frontier = frontier.where(F.size("n.nodes") > 0).select(doc_col, "path", F.posexplode("n.nodes").alias("k", "j")).select(doc_col, F.array_append("path", F.col("k")).alias("path"), F.from_json("j", level).alias("n"))

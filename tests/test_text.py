@@ -133,6 +133,14 @@ def test_page_trees(spark):
     assert [r.node_id for r in got] == ["1", "2", "3", "4"]
 
 
+def test_deep_page_trees(spark):
+    tree = '{"node_id": "33"}'
+    for k in range(32, -1, -1):
+        tree = f'{{"node_id": "{k}", "nodes": [{tree}]}}'
+    got = retrieve.flattened_tree(spark.createDataFrame([("d", tree)], "doc_name string, tree string")).select("node_id").collect()
+    assert sorted(int(r.node_id) for r in got) == list(range(34))
+
+
 def test_chunks(spark):
     df = spark.createDataFrame([(1, " ".join(map(str, range(25)))), (2, ""), (3, None), (4, "a")], "k long, t string")
     got = [(r.k, r.start, r.text.split()[0]) for r in retrieve.chunks(df, "k", "t", 10, 4).orderBy("k", "start").collect()]
