@@ -159,6 +159,23 @@ def best_pattern(values: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     return float(best[room]), pattern
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """The inverse by Gauss-Jordan elimination, a few hundred rows at most.
+
+    Not by LAPACK: its threads stood still in drivers that share their cores with local executors.
+    """
+    m = len(matrix)
+    a = np.hstack([matrix, np.eye(m)])
+    for k in range(m):
+        pivot = k + int(np.argmax(np.abs(a[k:, k])))
+        a[[k, pivot]] = a[[pivot, k]]
+        a[k] /= a[k, k]
+        times = a[:, k].copy()
+        times[k] = 0
+        a -= times[:, None] * a[k]
+    return a[:, m:].copy()
+
+
 def column_generation(demand: np.ndarray, room: int, gap: float = 2e-4, rounds: int = 3000) -> list[tuple[np.ndarray, float]]:
     """(pattern, times) of the linear relaxation; demand[w] is the number of pieces of w units."""
     sizes = np.flatnonzero(demand)
@@ -171,7 +188,7 @@ def column_generation(demand: np.ndarray, room: int, gap: float = 2e-4, rounds:
     x = inverse @ d
     for step in range(rounds):
         if step % 100 == 99:
-            inverse = np.linalg.inv(basis)
+            inverse = inverted(basis)
             x = np.maximum(inverse @ d, 0)
         y = cost @ inverse
         low = int(np.argmin(y))
