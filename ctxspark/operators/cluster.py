@@ -5,21 +5,27 @@ batch, contexts that share no document never meet in a non-empty node; the linka
 the batch's matrix of distances, which must fit a task: ``max_batch`` guards that, and larger batches
 are to be split by ``component_batches`` first.
 
-Rules: the nearest pair is merged first, ties by the smaller and then the larger cluster number; a
-context's set seen before shares its leaf; a merge whose common documents are an existing node's
-content hangs both below that node; empty nodes are taken out, their children go to the parent.
+The tree follows from the list of merges in four steps: a cluster's content is what all its contexts
+share; each cluster has a head, the node that stands for it; every merge of two heads gives two links;
+nodes without content are no nodes.
+
+Rules: the nearest pair is merged first, ties by the smaller and then the larger cluster number;
+distances are whole numbers of 1e-9, so equal means are equal; a context's set seen before shares its
+head; a merge whose content an existing third node has gets that node as its head.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+import itertools
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .contexts import exploded
 from .distance import ALPHA
@@ -50,40 +56,85 @@ def distance_matrix(contexts: list[list[int]], alpha: float = ALPHA) -> np.ndarr
     return out
 
 
+#: Distances are counted in these parts of 1, so that sums (of up to ``MAX_BATCH`` squared) and ties are exact.
+GRAIN = 1_000_000_000
+
+
 def linkage(distances: np.ndarray, method: str = "average") -> list[tuple[int, int, float, int]]:
-    """(left, right, distance, size) of n - 1 merges; cluster n + k is made by merge k."""
+    """(left, right, distance, size) of n - 1 merges; cluster n + k is made by merge k.
+
+    One matrix, changed in place: a merged cluster takes a row of its own two, and only rows whose
+    nearest row was one of these are searched anew.
+    """
     if method not in LINKAGES:
         raise ValueError(f"unknown linkage {method!r}")
     n = len(distances)
-    label, size = list(range(n)), [1] * n
-    d = distances.astype(float).copy()
-    d[np.tril_indices(n)] = np.inf  # rows keep the order of their labels, so the first minimum is the tie's winner
+    whole = np.rint(np.asarray(distances, float) * GRAIN).astype(np.int64)  # sums of distances, or the extreme one
+    label, size, alive = np.arange(n), np.ones(n, np.int64), np.ones(n, bool)
+    mean = whole.astype(float)
+    np.fill_diagonal(mean, np.inf)
+    nearest = mean.min(axis=1) if n else np.zeros(0)
     merges = []
     for step in range(n - 1):
-        i, j = divmod(int(np.argmin(d)), len(d))
-        merges.append((label[i], label[j], float(d[i, j]), size[i] + size[j]))
-        full = np.minimum(d, d.T)
-        a, b = full[i], full[j]
-        if method == "average":
-            joined = (size[i] * a + size[j] * b) / (size[i] + size[j])
-        else:
-            joined = np.maximum(a, b) if method == "complete" else np.minimum(a, b)
-        keep = [k for k in range(len(d)) if k not in (i, j)]
-        d = np.pad(d[np.ix_(keep, keep)], ((0, 1), (0, 1)), constant_values=np.inf)
-        d[:-1, -1] = joined[keep]
-        label = [label[k] for k in keep] + [n + step]
-        size = [size[k] for k in keep] + [merges[-1][3]]
+        least = nearest.min()
+        rows = np.flatnonzero(nearest == least)
+        i = int(rows[np.argmin(label[rows])])
+        columns = np.flatnonzero(mean[i] == least)
+        j = int(columns[np.argmin(label[columns])])
+        merges.append((int(label[i]), int(label[j]), float(least) / GRAIN, int(size[i] + size[j])))
+        both = whole[i] + whole[j] if method == "average" else np.maximum(whole[i], whole[j]) if method == "complete" else np.minimum(whole[i], whole[j])
+        size[i] += size[j]
+        label[i], alive[j] = n + step, False
+        whole[i] = whole[:, i] = both
+        own = both / (size[i] * size) if method == "average" else both.astype(float)
+        own[~alive] = own[i] = np.inf
+        stale = alive & ((mean[:, i] == nearest) | (mean[:, j] == nearest))
+        mean[i] = mean[:, i] = own
+        mean[j] = mean[:, j] = np.inf
+        nearest = np.minimum(nearest, own)
+        stale[i], nearest[j] = True, np.inf
+        nearest[stale] = mean[stale].min(axis=1)
     return merges
 
 
+def contents(contexts: list[list[int]], merges: list[tuple]) -> list[frozenset]:
+    """What all contexts of each cluster share, by cluster number."""
+    shared = [frozenset(docs) for docs in contexts]
+    for left, right, *_ in merges:
+        shared.append(shared[left] & shared[right])
+    return shared
+
+
+def heads(n: int, merges: list[tuple], shared: list[frozenset]) -> tuple[list[int], list[tuple[int, int, int, int]]]:
+    """The head of each cluster, and (cluster, head, head of left, head of right) of merges that join two heads.
+
+    ``newest`` is the last node that was made with a content: a later one takes its place.
+    """
+    newest: dict[frozenset, int] = {}
+    head = [newest.setdefault(shared[k], k) for k in range(n)]
+    joins = []
+    for c, (left, right, *_) in enumerate(merges, n):
+        x, y = head[left], head[right]
+        if x != y:
+            known = newest.get(shared[c], x) if shared[c] else x
+            own = c if known in (x, y) else known
+            if own == c and shared[c]:
+                newest[shared[c]] = c
+            joins.append((c, own, x, y))
+            head.append(own)
+        else:
+            head.append(x)
+    return head, joins
+
+
 @dataclass
 class Node:
     content: frozenset
-    members: set[int] = field(default_factory=set)  # contexts
-    children: list[int] = field(default_factory=list)
-    parent: int | None = None
-    distance: float = 0.0
-    frequency: int = 1
+    members: frozenset  # contexts
+    children: list[int]
+    parent: int | None
+    distance: float
+    frequency: int
 
 
 class Tree:
@@ -91,66 +142,36 @@ class Tree:
 
     def __init__(self, contexts: list[list[int]], method: str = "average", alpha: float = ALPHA):
         self.contexts = contexts
+        n = len(contexts)
+        merges = linkage(distance_matrix(contexts, alpha), method) if n > 1 else []
+        shared = contents(contexts, merges)
+        head, joins = heads(n, merges, shared)
+        members: dict[int, set[int]] = {}
+        for k in range(n):
+            members.setdefault(head[k], set()).add(k)
+        weight = {k: len(m) for k, m in members.items()}
+        below: dict[int, dict[int, None]] = {k: {} for k in weight}
+        above: dict[int, int | None] = {}
+        for c, own, x, y in joins:
+            both = weight[x] + weight[y]
+            weight[own] = both if own == c else max(weight[own], both)
+            members[own] = members.get(own, set()) | members[x] | members[y]
+            below.setdefault(own, {}).update(dict.fromkeys((x, y)))
+            for k in (x, y):  # what ever hung below a node without content hangs below nothing
+                above[k] = own if shared[own] and above.get(k, own) is not None else None
+        kept = [k for k in sorted(weight) if shared[k] or n == 1]
         self.nodes: dict[int, Node] = {}
-        self.stands_for: dict[int, int] = {}
-        self.by_content: dict[frozenset, int] = {}
-        for k, docs in enumerate(contexts):
-            self._leaf(k, frozenset(docs))
-        if len(contexts) > 1:
-            for step, (a, b, dist, _) in enumerate(linkage(distance_matrix(contexts, alpha), method)):
-                self._merge(len(contexts) + step, a, b, dist)
-            self._drop_empty()
-        roots = [k for k, v in self.nodes.items() if v.parent is None]
+        for k in kept:
+            far = merges[k - n][2] if k >= n else 0.0
+            self.nodes[k] = Node(shared[k], frozenset(members[k]), [c for c in below[k] if c != k], above.get(k), far, weight[k])
+        roots = [k for k in kept if self.nodes[k].parent is None]
         self.root = roots[0] if roots else None
-        if len(roots) > 1 or len(contexts) == 1:
-            self.root = max(self.nodes) + 1
-            self.nodes[self.root] = Node(frozenset(), children=roots, frequency=sum(self.nodes[r].frequency for r in roots))
+        if len(roots) > 1 or n == 1:
+            self.root = max(kept) + 1
+            self.nodes[self.root] = Node(frozenset(), frozenset(), roots, None, 0.0, sum(weight[r] for r in roots))
             for r in roots:
                 self.nodes[r].parent = self.root
 
-    def _leaf(self, k: int, content: frozenset) -> None:
-        if content in self.by_content:
-            known = self.stands_for[k] = self.by_content[content]
-            self.nodes[known].members.add(k)
-            self.nodes[known].frequency += 1
-        else:
-            self.nodes[k] = Node(content, {k})
-            self.by_content[content] = k
-
-    def _merge(self, new: int, a: int, b: int, dist: float) -> None:
-        a, b = self.stands_for.get(a, a), self.stands_for.get(b, b)
-        if a == b:
-            self.stands_for[new] = a
-            return
-        left, right = self.nodes[a], self.nodes[b]
-        common, both = left.content & right.content, left.frequency + right.frequency
-        known = self.by_content.get(common) if common else None
-        if known is not None and known not in (a, b):
-            target, own = known, self.nodes[known]
-            own.frequency = max(own.frequency, both)
-            own.members |= left.members | right.members
-            own.children += [c for c in (a, b) if c not in own.children]
-            self.stands_for[new] = known
-        else:
-            target = new
-            self.nodes[new] = Node(common, left.members | right.members, [a, b], None, dist, both)
-            if common:
-                self.by_content[common] = new
-        left.parent = right.parent = target
-
-    def _drop_empty(self) -> None:
-        for k in sorted((k for k, v in self.nodes.items() if not v.content), reverse=True):
-            gone = self.nodes.pop(k)
-            up = self.nodes.get(gone.parent) if gone.parent is not None else None
-            if up is not None:
-                up.children = [c for c in up.children if c != k] + [c for c in gone.children if c in self.nodes and c not in up.children]
-            for c in gone.children:
-                if c in self.nodes:
-                    self.nodes[c].parent = gone.parent
-        for v in self.nodes.values():
-            if v.parent not in self.nodes:
-                v.parent = None
-
     def walk(self) -> Iterator[tuple[int, list[int], list[int]]]:
         """(node, path of child numbers, ordered documents) from the root down."""
         if self.root is None:
@@ -183,48 +204,79 @@ class Tree:
         return {"total_nodes": len(self.nodes), "leaf_nodes": leaf, "root_nodes": sum(v.parent is None for v in self.nodes.values()), "internal_nodes": len(self.nodes) - leaf}
 
 
-def _checked(frame: pd.DataFrame, max_batch: int) -> list[list[int]]:
-    if len(frame) > max_batch:
-        raise ValueError(f"a batch of {len(frame)} contexts is beyond {max_batch}; split it first")
-    return [[int(d) for d in docs] for docs in frame["docs"]]
+def by_batch(contexts: DataFrame, batch: str, made: Callable[[object, list, list], list[tuple]], schema: T.StructType, max_batch: int = MAX_BATCH) -> DataFrame:
+    """The rows that ``made`` (batch, context ids, lists) gives for each batch, contexts in the order of ctx_id.
+
+    Batches lie one after the other in sorted partitions: one worker takes many without a start for each.
+    The number of partitions is fixed, as a batch costs far more time than its bytes tell.
+    """
+    parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = contexts.select(F.col(batch).alias("b"), F.col("ctx_id").alias("c"), F.col("docs").cast("array<bigint>").alias("d"))
+    rows = rows.repartition(parts, "b").sortWithinPartitions("b", "c")
+    kinds = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for part in batches for row in zip(*(c.to_pylist() for c in part.columns), strict=True))
+        out: list[tuple] = []
+        for key, group in itertools.groupby(rows, key=lambda row: row[0]):
+            ids, lists = [], []
+            for _, c, docs in group:
+                ids.append(c)
+                lists.append(docs)
+                if len(ids) > max_batch:
+                    raise ValueError(f"a batch is beyond {max_batch} contexts; split it first")
+            out += made(key, ids, lists)
+            if len(out) >= OUT_ROWS:
+                yield _batch(out, kinds)
+                out = []
+        if out:
+            yield _batch(out, kinds)
+
+    return rows.mapInArrow(run, schema)
+
+
+#: Rows of an output batch, and then the rest of the last group.
+OUT_ROWS = 2000
+
+
+def _batch(rows: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
 
 
 def arranged(contexts: DataFrame, batch: str, method: str = "average", alpha: float = ALPHA, max_batch: int = MAX_BATCH) -> DataFrame:
     """(batch, ctx_id, docs, reordered, path) of every context; contexts of a batch in the order of ctx_id."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ctx_id", kind="stable").reset_index(drop=True)
-        made = Tree(_checked(frame, max_batch), method, alpha).arranged()
-        return frame.assign(reordered=[r for r, _ in made], path=[p for _, p in made])[[batch, "ctx_id", "docs", "reordered", "path"]]
+    def made(key, ids: list, lists: list) -> list[tuple]:
+        orders = Tree(lists, method, alpha).arranged()
+        return [(key, c, docs, order, path) for c, docs, (order, path) in zip(ids, lists, orders, strict=True)]
 
-    schema = T.StructType([contexts.schema[batch], contexts.schema["ctx_id"], contexts.schema["docs"], T.StructField("reordered", T.ArrayType(T.LongType())), T.StructField("path", T.ArrayType(T.IntegerType()))])
-    return contexts.select(batch, "ctx_id", "docs").groupBy(batch).applyInPandas(run, schema)
+    numbers, places = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
+    own = [contexts.schema[batch], contexts.schema["ctx_id"], T.StructField("docs", numbers)]
+    schema = T.StructType([*own, T.StructField("reordered", numbers), T.StructField("path", places)])
+    return by_batch(contexts, batch, made, schema, max_batch)
 
 
 def tree_nodes(contexts: DataFrame, batch: str, method: str = "average", alpha: float = ALPHA, max_batch: int = MAX_BATCH) -> DataFrame:
     """(batch, node_id, parent_id, child_no, path, docs, content, frequency, merge_distance, is_leaf): each batch's tree."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ctx_id", kind="stable")
-        tree = Tree(_checked(frame, max_batch), method, alpha)
-        rows = []
+    def made(key, ids: list, lists: list) -> list[tuple]:
+        tree, rows = Tree(lists, method, alpha), []
         for k, path, docs in tree.walk():
             v = tree.nodes[k]
-            rows.append((frame[batch].iloc[0], k, v.parent, path[-1] if path else None, path, docs, sorted(v.content), v.frequency, v.distance, not v.children))
-        return pd.DataFrame(rows, columns=names).astype({"parent_id": "Int64", "child_no": "Int32"})
+            rows.append((key, k, v.parent, path[-1] if path else None, path, docs, sorted(v.content), v.frequency, v.distance, not v.children))
+        return rows
+
+    schema = T.StructType([contexts.schema[batch], *T.StructType.fromDDL(NODE).fields])
+    return by_batch(contexts, batch, made, schema, max_batch)
+
 
-    kind = T.ArrayType(T.LongType())
-    schema = T.StructType(
-        [
-            contexts.schema[batch], T.StructField("node_id", T.LongType()), T.StructField("parent_id", T.LongType()), T.StructField("child_no", T.IntegerType()), T.StructField("path", T.ArrayType(T.IntegerType())), T.StructField("docs", kind),
-            T.StructField("content", kind), T.StructField("frequency", T.LongType()), T.StructField("merge_distance", T.DoubleType()), T.StructField("is_leaf", T.BooleanType()),
-        ]
-    )
-    names = schema.names
-    return contexts.select(batch, "ctx_id", "docs").groupBy(batch).applyInPandas(run, schema)
+NODE = (
+    "node_id bigint, parent_id bigint, child_no int, path array<int>, docs array<bigint>, content array<bigint>, "
+    "frequency bigint, merge_distance double, is_leaf boolean"
+)
 
 
-def component_batches(contexts: DataFrame, rounds: int = 50) -> DataFrame:
+def component_batches(contexts: DataFrame) -> DataFrame:
     """``contexts`` with ``component``: contexts that share documents, directly or through others.
 
     Labels are the smallest context reached; each round looks two steps further, and lineage is cut
@@ -235,7 +287,7 @@ def component_batches(contexts: DataFrame, rounds: int = 50) -> DataFrame:
         raise ValueError("set a checkpoint directory first")
     e = exploded(contexts).select("ctx_id", "doc")
     labels = contexts.select("ctx_id", F.col("ctx_id").alias("component"))
-    for _ in range(rounds):
+    while True:
         by_doc = e.join(labels, "ctx_id").groupBy("doc").agg(F.min("component").alias("low"))
         heard = e.join(by_doc, "doc").groupBy("ctx_id").agg(F.min("low").alias("low"))
         step = labels.join(heard, "ctx_id", "left").select("ctx_id", F.least("component", F.coalesce("low", "component")).alias("next"), "component")
