@@ -2,16 +2,21 @@
 
 A page is read once into a tree (implied end tags, raw-text elements and unclosed elements as browsers
 read them).  Parts that are never article text by element, role or hidden attribute (scripts, styles,
-forms, menus, headers, footers) are left out at once.  Class and id words that speak of menus, sidebars,
-notices, adverts or reader comments are evidence only: such a part goes if it is mostly links, if an
+menus, headers, footers) are left out at once.  Forms, and class and id words that speak of menus, sidebars,
+notices, adverts or reader comments, are evidence only: such a part goes if it is mostly links, if an
 article element with much of the text lies elsewhere, or if the parts of its word together hold little
-of the plain text (``judge``); and they stay if otherwise little text would be left.  For every other node the composite text density (characters per tag, adjusted by its link characters and link
-tags) is computed; the children's densities are summed; the smallest density on the path from the
-node of the largest sum up to the body is the threshold.  From the body down, every node that reaches
-the threshold gives its descendant of the largest sum; with the article, main element or container of
-prose around it, that is content as a whole, but for lists of links below the threshold.
+of the plain text (``judge``); and they stay if otherwise little text would be left.
 
-Blocks are joined by one newline in page order; white space inside a block becomes one space.
+Then densities decide.  Every node has its composite text density (characters per tag, adjusted by its
+link characters and link tags) and the sum of its children's densities.  The node of the largest sum is
+the text; the smallest density on its path up to the body is the threshold.  From the body down, every
+node that reaches the threshold, and is no scrap (``SCRAP``) beside the text, gives its descendant of the
+largest sum as well.  Around what is chosen,
+containers below the threshold go, paragraphs, headings and lists stay unless they are mostly links; inside
+it, only lists of links below the threshold go.  No element or class name makes a part text.
+
+Blocks are joined by one newline in page order; white space inside a block becomes one space.  The time
+is in proportion to the page, however deep its elements are nested.
 
 Defined results: null and empty html give the empty text; pages without markup are one block; a page
 whose text all stands outside the body's blocks keeps it; other columns are ignored.
@@ -19,9 +24,11 @@ whose text all stands outside the body's blocks keeps it; other columns are igno
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import math
 import re
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,7 +53,7 @@ CLOSES_SELF = {
 }
 # What is never article text.
 DROPPED = frozenset(
-    "script style noscript template head title iframe object embed svg math canvas audio video form button select textarea input fieldset datalist dialog "
+    "script style noscript template head title iframe object embed svg math canvas audio video button select textarea input datalist dialog "
     "nav footer aside menu search noembed noframes xmp".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
@@ -64,25 +71,69 @@ BESIDE = frozenset("has with no without".split())
 _CUT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _PAIRS = {("side", "bar"): "sidebar", ("top", "bar"): "topbar", ("sign", "up"): "signup", ("nav", "bar"): "navbar", ("bread", "crumbs"): "breadcrumbs", ("bread", "crumb"): "breadcrumb"}
 
+#: Elements that hold parts of a page rather than blocks of a text.
+CONTAINERS = frozenset("article aside body center dd details div dl fieldset figure footer form header hgroup html legend main menu nav search section summary tbody td tfoot th thead tr".split())
+
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?=[\s=/>]|\Z)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "parts", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total", "hints")
+    __slots__ = ("name", "parent", "parts", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total", "hints", "rich", "chosen", "in_article")
 
     def __init__(self, name: str, parent: Node | None, dropped: bool):
         self.name, self.parent, self.dropped, self.parts, self.hints = name, parent, dropped, [], ()
+        self.in_article = name in ("article", "main") or (parent is not None and parent.in_article)
+
+    def nodes(self) -> list[Node]:
+        return [p for p in self.parts if type(p) is not str]
+
+
+class Stack:
+    """The open elements, with the places of each name, so that none is looked for from place to place."""
+
+    def __init__(self, root: Node):
+        self.open, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.name, []).append(len(self.open))
+        self.open.append(node)
+
+    def cut(self, place: int) -> None:
+        """Closes the element at a place and all in it."""
+        for node in self.open[place:]:
+            self.places[node.name].pop()
+        del self.open[place:]
+
+    def last(self, names: Iterable[str]) -> int:
+        """The innermost open element of these names; 0: none."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def close(self, names: tuple[str, ...], barriers: frozenset[str], outermost: bool = False) -> None:
+        """Closes the innermost (or outermost) open element of these names, unless a barrier is met first."""
+        found = self.last(names)
+        if not found:
+            return
+        barrier = self.last(barriers)
+        if found > barrier:
+            if outermost:
+                above = (self.places[n][bisect.bisect(self.places[n], barrier) :] for n in names if self.places.get(n))
+                found = min(places[0] for places in above if places)
+            self.cut(found)
 
 
 def _is_dropped(name: str, attributes: str, in_article: bool) -> tuple[bool, set[str] | tuple]:
     """Whether an element is never article text, and the hint words of its class and id."""
     if name in DROPPED or (name == "header" and not in_article):
         return True, ()
-    if not attributes or name in ("body", "html", "article", "main"):
+    if name in ("body", "html", "article", "main"):
         return False, ()
+    if not attributes:
+        return False, ("<form>",) if name == "form" else ()
     hints: set[str] = set()
+    if name == "form":
+        hints.add("<form>")
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
@@ -101,12 +152,12 @@ def _is_dropped(name: str, attributes: str, in_article: bool) -> tuple[bool, set
 def parse(page: str) -> Node:
     """The tree of a page; text of dropped parts is left out at once."""
     root = Node("#root", None, False)
-    stack, at, size = [root], 0, len(page)
+    stack, at, size = Stack(root), 0, len(page)
     match = _TOKEN.search
     while at < size:
         m = match(page, at)
         stop = m.start() if m else size
-        top = stack[-1]
+        top = stack.open[-1]
         if stop > at and not top.dropped:
             top.parts.append(page[at:stop])
         if not m:
@@ -119,56 +170,44 @@ def parse(page: str) -> Node:
         if m[1]:
             if name == "br" and not top.dropped:
                 top.parts.append(" ")
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    del stack[k:]
-                    break
-                if name not in BLOCK and stack[k].name in SCOPE:
-                    break
+            place = stack.last((name,))
+            if place and (name in BLOCK or place >= stack.last(SCOPE)):
+                stack.cut(place)
             continue
         if name in CLOSES_P:
-            _close(stack, ("p",), SCOPE)
-            if name[0] == "h" and name[1:].isdigit() and stack[-1].name[0] == "h" and stack[-1].name[1:].isdigit():
-                stack.pop()
+            stack.close(("p",), SCOPE)
+            if name in HEADINGS and stack.open[-1].name in HEADINGS:
+                stack.cut(len(stack.open) - 1)
         if own := CLOSES_SELF.get(name):
-            _close(stack, *own)
-        top = stack[-1]
+            stack.close(*own, outermost=name == "tr")
+        top = stack.open[-1]
         if name == "br":
             if not top.dropped:
                 top.parts.append(" ")
             continue
         attributes = m[3]
-        dropped, hints = (True, ()) if top.dropped else _is_dropped(name, attributes, any(n.name in ("article", "main") for n in stack))
+        dropped, hints = (True, ()) if top.dropped else _is_dropped(name, attributes, top.in_article)
         node = Node(name, top, dropped)
         node.hints = hints
         if not dropped:
             top.parts.append(node)
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
+            end = _RAW_END[name].search(page, at)
             at = end.end() if end else size
         elif name not in VOID and not attributes.endswith("/") or name in BLOCK and name != "hr":
-            stack.append(node)
+            stack.push(node)
     return root
 
 
-def _close(stack: list[Node], names: tuple[str, ...], barriers: frozenset[str]) -> None:
-    last = 0
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].name in names:
-            last = k
-            if "tr" not in names:
-                break
-        elif stack[k].name in barriers:
-            break
-    if last:
-        del stack[last:]
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW}
 
 
 def _order(root: Node) -> list[Node]:
     """All nodes, parents first."""
     out = [root]
     for node in out:
-        out += [p for p in node.parts if type(p) is not str]
+        out += node.nodes()
     return out
 
 
@@ -214,9 +253,11 @@ def judge(root: Node) -> None:
     sure, likely = set(), set()
     for n in hinted:
         k = at[id(n)]
+        if n.name == "form" and 2 * plain[k] > total:
+            continue  # a page in a form
         if 2 * plain[k] <= chars[k] or (has_article and not within[k]):
             sure.add(k)
-        elif any(held[w, level[k][w]] < MUCH * total for w in n.hints):
+        elif n.name == "form" or any(held[w, level[k][w]] < MUCH * total for w in n.hints):
             likely.add(k)
     gone, lost = [False] * len(nodes), 0
     for k in range(1, len(nodes)):
@@ -254,92 +295,70 @@ def measure(root: Node) -> tuple[list[Node], Node]:
         else:
             node.density = 0.0
     for node in nodes:
-        node.total = sum(p.density for p in node.parts if type(p) is not str)
+        node.total = sum(p.density for p in node.nodes())
     return nodes, body
 
 
-def content(root: Node) -> list[Node]:
-    """The nodes whose whole text is content, in page order."""
-    nodes, body = measure(root)
-    best = max(_order(body), key=lambda n: (n.total, n.chars))
-    threshold, node = best.density, best
-    while node is not body and node.parent is not None:
+#: Containers with so many links, which hold more than half of their text, are lists of links.
+LISTED = 3
+
+
+def content(root: Node) -> Node:
+    """The body with what is not text of the page taken out."""
+    _, body = measure(root)
+    nodes = _order(body)
+    for node in reversed(nodes):
+        node.rich, node.chosen = node, False
+        for p in node.nodes():
+            if (p.rich.total, p.rich.chars) > (node.rich.total, node.rich.chars):
+                node.rich = p.rich
+    best = node = body.rich
+    threshold = best.density
+    while node is not body:
         node = node.parent
         threshold = min(threshold, node.density)
-    found: list[Node] = []
+    holds: set[int] = set()  # nodes with a chosen one below
     stack = [body]
-    taken: set[int] = set()
     while stack:
         node = stack.pop()
-        if id(node) in taken or node.density < threshold or not node.chars:
+        if node.chosen or not node.chars or node.density < threshold or _is_scrap(node, best):
             continue
-        rich = max(_order(node), key=lambda n: (n.total, n.chars))
-        if not rich.total:
-            rich = node
-        rich = _whole(rich, body)
-        if id(rich) not in taken:
-            found.append(rich)
-            taken.update(id(n) for n in _order(rich))
-        stack += [p for p in node.parts if type(p) is not str]
-    tops = [n for n in found if not any(m is not n and _within(n, m) for m in found)]
-    for top in tops:
-        _without_lists(top, threshold)
-    place = {id(n): k for k, n in enumerate(_preorder(root))}
-    return sorted(tops, key=lambda n: place[id(n)]) or [body]
-
-
-#: Block elements with so many links, which hold more than half of their text, are lists of links.
-LISTED = 3
-
-
-def _without_lists(top: Node, threshold: float) -> None:
-    """Takes the lists of links out that are less dense than the threshold."""
-    stack = [top]
+        up = node.rich
+        up.chosen = True
+        while up is not node and up is not body and id(up.parent) not in holds:
+            up = up.parent
+            holds.add(id(up))
+        if not node.chosen:
+            stack += node.nodes()
+    for node in reversed(nodes):  # a holder's holder holds
+        if node is not body and (node.chosen or id(node) in holds):
+            holds.add(id(node.parent))
+    inner = []  # chosen nodes' descendants
+    stack = [body]
     while stack:
         node = stack.pop()
-        node.parts = [p for p in node.parts if type(p) is str or p.name not in BLOCK or p.link_tags < LISTED or 2 * p.link_chars <= p.chars or p.density >= threshold]
-        stack += [p for p in node.parts if type(p) is not str]
-
-
-#: A container of prose is taken whole while less than this share of what it adds is link text.
-LINKS = 0.25
+        if node.chosen:
+            inner.append((node, 1 if node is body else LISTED))
+        elif id(node) in holds:
+            node.parts = [p for p in node.parts if type(p) is str or p.chosen or id(p) in holds or (p.name not in CONTAINERS and 2 * p.link_chars <= p.chars)]
+            stack += [p for p in node.nodes() if p.chosen or id(p) in holds]
+    while inner:
+        node, least = inner.pop()
+        node.parts = [p for p in node.parts if type(p) is str or not _is_list(p, threshold, least)]
+        inner += [(p, LISTED) for p in node.nodes()]
+    return body
 
 
-def _whole(node: Node, body: Node) -> Node:
-    """The node with the prose around it: up to the article or main element, and from there to further
-    ones, or else up to the outermost container below the body, while they add little link text."""
-    found, up = None, node
-    while up is not None:
-        if up.name in ("article", "main") and (found is None or _prose(found, up)):
-            found = up
-        up = up.parent
-    if found is not None or node is body or node.parent is None:
-        return found or node
-    while node.parent is not body and node.parent.parent is not None and _prose(node, node.parent):
-        node = node.parent
-    return node
-
+#: A container of less than this share of the chosen text must be at least so dense beside it.
+SCRAP, DENSE = 1 / 20, 1 / 2
 
-def _prose(node: Node, parent: Node) -> bool:
-    more, links = parent.chars - node.chars, parent.link_chars - node.link_chars
-    return links <= LINKS * more
 
-
-def _within(node: Node, other: Node) -> bool:
-    while node is not None:
-        if node is other:
-            return True
-        node = node.parent
-    return False
+def _is_scrap(node: Node, best: Node) -> bool:
+    return node.name in CONTAINERS and node.chars < SCRAP * best.chars and node.density < DENSE * best.density
 
 
-def _preorder(root: Node) -> list[Node]:
-    out, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        out.append(node)
-        stack += [p for p in reversed(node.parts) if type(p) is not str]
-    return out
+def _is_list(node: Node, threshold: float, least: int) -> bool:
+    return node.name in BLOCK and node.link_tags >= least and 2 * node.link_chars > node.chars and node.density < threshold
 
 
 def blocks(node: Node) -> list[str]:
@@ -367,7 +386,7 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     judge(root)
-    return "\n".join(t for node in content(root) for t in blocks(node))
+    return "\n".join(blocks(content(root)))
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:

@@ -241,6 +241,98 @@ def test_lists_of_links_in_an_article():
     assert html.main_text(f"<body><main><article>{prose}</article><div><ul>{links}</ul></div></main></body>") == "\n".join(PROSE)
 
 
+LINKS = "<div>" + " ".join(f"<a href='/{k}'>Link {k}</a>" for k in range(8)) + "</div>"
+TEXT = "".join(f"<p>{p}</p>" for p in PROSE)
+UNNAMED = [
+    f"<body>{LINKS}<div>Buy this thing.</div><div>{TEXT}</div><div>(c) The owner.</div></body>",
+    f"<body><div>{LINKS}<div>Buy this thing.</div><div>{TEXT}</div><div>(c) The owner.</div></div></body>",
+    f"<body>{LINKS}<div><div>{TEXT[:249]}</div><div>{TEXT[249:]}</div></div><div>Buy this thing.</div></body>",
+    f"<body><table><tr><td>{LINKS}</td><td>{TEXT}</td></tr></table></body>",
+    f"<body><div>{''.join(f'<div>Teaser {k}</div>' for k in range(40))}</div><div>{TEXT}</div></body>",
+]
+
+
+@pytest.mark.parametrize("page", UNNAMED)
+def test_pages_without_article_or_telling_classes(page):
+    assert html.main_text(page) == "\n".join(PROSE)
+
+
+def test_densities_decide(monkeypatch):
+    real = html.measure
+
+    def flat(root):
+        nodes, body = real(root)
+        for n in nodes:
+            n.density = 1.0
+        for n in nodes:
+            n.total = float(len(n.nodes()))
+        return nodes, body
+
+    monkeypatch.setattr(html, "measure", flat)
+    assert not any(html.main_text(page) == "\n".join(PROSE) for page in UNNAMED)
+
+
+def plain_densities(node):
+    """(characters, tags, link characters, link tags) by the definition, each node's subtree walked anew."""
+    chars = tags = link_chars = link_tags = 0
+    stack = [(p, node.name == "a") for p in node.parts]
+    while stack:
+        p, link = stack.pop()
+        if type(p) is str:
+            n = len(re.sub(r"\s+", "", p))
+            chars += n
+            link_chars += n if link else 0
+        else:
+            tags += 1
+            link_tags += p.name == "a"
+            stack += [(q, link or p.name == "a") for q in p.parts]
+    return chars, tags, link_chars, link_tags + (node.name == "a")
+
+
+@pytest.mark.parametrize("page", [*UNNAMED, *(page for page, _ in CASES[3:])])
+def test_densities_are_those_of_the_definition(page):
+    import math
+
+    nodes, body = html.measure(html.parse(page))
+    share = plain_densities(body)[2] / max(plain_densities(body)[0], 1)
+    for n in nodes:
+        c, t, lc, lt = plain_densities(n)
+        assert (n.chars, n.tags, n.link_chars) == (c, t, lc)
+        t, lc1, lt = max(t, 1), max(lc, 1), max(lt, 1)
+        want = c / t * math.log(max(c / lc1 * t / lt, 1) + 1) / math.log(math.log(c / max(c - lc, 1) * lc + share * c + math.e) + 1) if c else 0
+        assert n.density == pytest.approx(want)
+        assert n.total == pytest.approx(sum(p.density for p in n.parts if type(p) is not str))
+
+
+def test_parts_that_only_look_like_menus():
+    assert html.main_text(f"<body><form><article>{TEXT}</article></form></body>") == "\n".join(PROSE)
+    assert html.main_text(f"<body><form><div>{TEXT}</div><input name='q'></form></body>") == "\n".join(PROSE)
+    assert html.main_text(f"<body><div class='social-studies'>{TEXT}</div></body>") == "\n".join(PROSE)
+    assert html.main_text(f"<body><div id='content' class='menu-open'>{TEXT}</div></body>") == "\n".join(PROSE)
+    assert html.main_text(f"<body><article>{TEXT[:249]}<section class='related-work'>{TEXT[249:]}</section></article></body>") == "\n".join(PROSE)
+    assert html.main_text(f"<body><article>{TEXT}<form><p>Your name</p></form></article></body>") == "\n".join(PROSE)
+
+
+@pytest.mark.parametrize("start", ["<div>", "<div></p>", "<p><button><div>", "<b><p>", "<li><div>", "<div class='menu'>", "<table><tr><td>"])
+def test_time_is_in_proportion_to_nesting(start):
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        html.main_text(start * n + "text")
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(40_000) < 30 * max(seconds(4_000), 0.02)
+
+
+def test_pages_empty_and_with_further_columns(spark):
+    pages = spark.createDataFrame([(1, "u", None, "x"), (1, "u", "", "y"), (None, None, "<p>a</p>" * 20_000, "z")], "page_id long, url string, html string, text string")
+    got = sorted(html.extract(pages).collect(), key=repr)
+    assert [(r.page_id, len(r.text)) for r in got] == [(1, 0), (1, 0), (None, 39_999)]
+    assert html.extract(pages.limit(0)).collect() == []
+
+
 def test_broken_and_deep_pages():
     for page in ("<", "<p", "</p>", "<a href='x", "<!--", "<script>", "<div>" * 3000 + "x", "<b><p>" * 500 + "y", "<![CDATA[x]]>", "&#xZZ; &bogus;"):
         html.main_text(page)
