@@ -1,12 +1,14 @@
 """Line dedup over levelled sorted runs of line hashes, in DataFrame functions only.
 
-Documents are dealt in batches by id.  A batch's line keys (128-bit hashes) become a run: a table
-sorted by key, with the number of documents that hold the key and the largest of their ids.  Runs of
-one level are merged to a run of the next when there are ``FANOUT`` of them, so that a key lies in few
-runs however many batches came.  Whether a key's lines go depends on its count over all batches,
-and the largest id keeps them, so no batch is cleaned before the last one is counted: the runs collect
-counts, and one final join of all keys with the frequent ones finds the lines that go.  The join makes
-its own order; that of the runs' files is not used.
+Documents are dealt in batches by id.  A batch's line keys (128-bit hashes) are counted and hashed into
+buckets once; everything after that goes bucket by bucket, in the order of the keys, without a shuffle.
+A merge anti-join with the runs finds the keys that no earlier batch had: they become a new run, so a key
+lies in one run only.  Keys that the runs know already give an increment of their counts.  When a level
+has ``FANOUT`` runs (or increments), a full outer merge join makes one of the next level of them.
+
+Whether a line goes depends on its key's count over all batches, and the largest id keeps it: one pass
+over all keys against the frequent ones finds the lines that go.  Keys that a thousandth of all rows or
+more hold are at most a thousand; they are sent to every task, so that no task gets a frequent key's rows.
 
 Defined results: a null or empty text is one empty line; repeated rows of one id are one document and
 are cleaned alike; rows without id count as one document, which keeps a line only if no other has it;
@@ -16,6 +18,7 @@ an empty table gives no rows; other columns are kept (``clean``), whatever their
 from __future__ import annotations
 
 import string
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +29,10 @@ MIN_CHARS = 40
 MIN_DOCS = 5
 BATCHES = 4
 FANOUT = 2
+#: Keys of a bucket, and the most buckets.
+BUCKET_KEYS, MOST_BUCKETS = 250_000, 20_000
+#: A key is hot if at least this part of all rows has it: there are at most so many.
+HOT = 1000
 _SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -44,40 +51,83 @@ def lines_of(text: Column) -> Column:
 
 
 class LineRuns:
-    """Levelled runs of (h1, h2, n, last) in the shared folder."""
+    """Levelled runs of (h1, h2, n, last): bucketed, sorted tables in the shared folder.
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout = spark, fanout
-        self.levels: list[list[str]] = []
+    ``fresh`` are the runs, disjoint in their keys; ``more`` are the increments of keys that a run has.
+    """
 
-    def _write(self, run: DataFrame, level: int) -> None:
-        path = scratch_path(self.spark, f"run{level}")
-        run.sortWithinPartitions("h1", "h2").write.parquet(path)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(path)
+    def __init__(self, spark: SparkSession, buckets: int, fanout: int = FANOUT):
+        self.spark, self.buckets, self.fanout = spark, buckets, fanout
+        self.fresh: list[list[str]] = []
+        self.more: list[list[str]] = []
+        self.paths: dict[str, str] = {}
 
-    @staticmethod
-    def _merged(runs: DataFrame) -> DataFrame:
-        return runs.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+    def _write(self, rows: DataFrame) -> str:
+        name = f"ctxspark_run_{uuid.uuid4().hex}"
+        self.paths[name] = scratch_path(self.spark, "run")
+        rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", self.paths[name]).saveAsTable(name)
+        return name
 
-    def add(self, keys: DataFrame) -> None:
-        """Adds a batch of (h1, h2, doc); its documents must not have been in an earlier batch."""
-        once = keys.groupBy("h1", "h2", "doc").agg(F.lit(1).alias("one"))
-        self._write(once.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("last")), 0)
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        delete_path(self.spark, self.paths.pop(name))
+
+    def _push(self, levels: list[list[str]], name: str) -> None:
         level = 0
-        while len(self.levels[level]) >= self.fanout:
-            paths, self.levels[level] = self.levels[level], []
-            self._write(self._merged(self.spark.read.parquet(*paths)), level + 1)
-            for p in paths:
-                delete_path(self.spark, p)
+        while True:
+            if len(levels) == level:
+                levels.append([])
+            levels[level].append(name)
+            if len(levels[level]) < self.fanout:
+                return
+            old, levels[level] = levels[level], []
+            name = self._write(self._merged(old))
+            for table_ in old:
+                self._drop(table_)
             level += 1
 
+    def _merged(self, names: list[str]) -> DataFrame:
+        """The rows of several runs, a key's counts summed up, by merge joins of their buckets."""
+        out = self.spark.table(names[0])
+        for name in names[1:]:
+            own = self.spark.table(name).select("h1", "h2", F.col("n").alias("n_"), F.col("last").alias("last_"))
+            both = out.join(own.hint("merge"), ["h1", "h2"], "full_outer")
+            out = both.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.coalesce("n_", F.lit(0))).alias("n"), F.greatest("last", "last_").alias("last"))
+        return out
+
+    def add(self, keys: DataFrame) -> None:
+        """Adds a batch of (h1, h2, doc); its documents must not have been in an earlier batch."""
+        once = keys.groupBy("h1", "h2", "doc").agg(F.lit(1).alias("one"))  # counted where they are before they are sent
+        counted = once.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("last"))
+        batch = self._write(counted.repartition(self.buckets, "h1", "h2"))
+        known = [name for level in self.fresh for name in level]
+        if known:
+            own = fresh = self.spark.table(batch)
+            for name in known:
+                fresh = fresh.join(self.spark.table(name).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+            added = self._write(fresh)
+            again = own.join(self.spark.table(added).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+            self._push(self.more, self._write(again))
+            self._drop(batch)
+            batch = added
+        self._push(self.fresh, batch)
+
     def read(self) -> DataFrame:
-        """Every key once, over all levels."""
-        paths = [p for level in self.levels for p in level]
-        runs = self.spark.read.parquet(*paths)
-        return runs if len(paths) == 1 else self._merged(runs)
+        """Every key once with its count over all batches: its run's row with all increments, by merge joins."""
+        increments = [name for level in self.more for name in level]
+        out = None
+        for name in (name for level in self.fresh for name in level):
+            run = self.spark.table(name)
+            for other in increments:
+                own = self.spark.table(other).select("h1", "h2", F.col("n").alias("n_"), F.col("last").alias("last_"))
+                run = run.join(own.hint("merge"), ["h1", "h2"], "left")
+                run = run.select("h1", "h2", (F.col("n") + F.coalesce("n_", F.lit(0))).alias("n"), F.greatest("last", "last_").alias("last"))
+            out = run if out is None else out.unionByName(run)
+        return out
+
+    def close(self) -> None:
+        for name in list(self.paths):
+            self._drop(name)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -92,12 +142,17 @@ def dropped_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     keys = keyed(docs, id_col, text_col, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int"))
     keys = written(keys, "lines", "batch")
-    runs = LineRuns(spark)
+    total = keys.count()
+    runs = LineRuns(spark, max(1, min(MOST_BUCKETS, -(-total // BUCKET_KEYS))))
     for b in range(batches):
         runs.add(keys.where(F.col("batch") == b).drop("batch"))
-    often = runs.read().where(F.col("n") >= min_docs).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "last")
-    same = (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & ~F.col("doc").eqNullSafe(F.col("last"))
-    lost = keys.drop("batch").join(often, same)
+    often = written(runs.read().where(F.col("n") >= min_docs).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "n", "last"), "often")
+    runs.close()
+    same = (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))
+    rows, least = keys.drop("batch"), max(min_docs, -(-total // HOT))
+    hot = F.broadcast(often.where(F.col("n") >= least))  # at most HOT rows, as their counts add up to no more than all
+    found = rows.join(hot, same).unionByName(rows.join(hot, same, "left_anti").join(often.where(F.col("n") < least), same))
+    lost = found.where(~F.col("doc").eqNullSafe(F.col("last")))
     return lost.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
 
 

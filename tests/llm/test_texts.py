@@ -246,12 +246,29 @@ def test_removed_lines_keep_the_columns(spark):
 
 
 def test_runs_are_levelled(spark):
-    runs = lines.LineRuns(spark, fanout=2)
+    runs = lines.LineRuns(spark, buckets=3, fanout=2)
     for k in range(5):
-        runs.add(spark.createDataFrame([(1, 1, k), (2, k, k)], "h1 long, h2 long, doc long"))
-    assert [len(x) for x in runs.levels] == [1, 0, 1]
+        runs.add(spark.createDataFrame([(1, 1, k), (2, k, k), (1, 1, k)], "h1 long, h2 long, doc long"))
+    assert [len(x) for x in runs.fresh] == [1, 0, 1] and [len(x) for x in runs.more] == [0, 0, 1]
+    once = [(x.h1, x.h2) for level in runs.fresh for name in level for x in spark.table(name).collect()]
+    assert len(once) == len(set(once)) == 6  # a key lies in one run
+    plan = runs.read()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
     got = {(x.h1, x.h2): (x.n, x["last"]) for x in runs.read().collect()}
     assert got[1, 1] == (5, 4) and got[2, 3] == (1, 3)
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("ctxspark_run")]
+
+
+def test_hot_lines_and_empty_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lines, "HOT", 4)
+    r = random.Random(4)
+    pool = ["A" * 50] * 30 + [f"{k} a line of text that is longer than forty characters {k}" for k in range(20)]
+    rows = [(k, "\n".join(r.choice(pool) for _ in range(4))) for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "some" / "documents.parquet"))
+    assert sorted(map(tuple, lines.op7_line_dedup(spark, str(tmp_path / "some")).collect())) == brute_lines(rows)
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert lines.op7_line_dedup(spark, str(tmp_path / "none")).collect() == []
 
 
 # --- near duplicates ---
