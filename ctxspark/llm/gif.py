@@ -1,13 +1,14 @@
-"""GIF89a in numpy: LZW code streams, palettes, disposal and transparency, timed frames.
+"""GIF89a: LZW code streams, palettes, disposal and transparency, timed frames.
 
 ``decode`` reads any GIF (interlaced or not, local palettes, all disposal methods);
-``encode`` stores 8-bit samples losslessly as one or more frames.  The encoder writes literal
-codes with a clear code before the code width would grow, so its streams are fixed-width and both
-directions work on whole arrays; ``lzw_encode`` makes ordinary growing-width streams.
+``encode`` stores 8-bit samples losslessly as palette indices of one or more frames, in LZW streams of
+growing code width.  A code's width depends only on how many codes came since the last clear code, so
+whole runs of codes are packed and cut out by numpy; the code table itself goes code by code.
 """
 
 from __future__ import annotations
 
+import functools
 import struct
 from dataclasses import dataclass, field
 
@@ -15,10 +16,15 @@ import numpy as np
 
 #: Samples are stored in rows of this width; payloads are padded to a multiple of it.
 WIDTH = 64
-MAX_ROWS = 65_535
-#: Literals between two clear codes: the table then ends at 511 and codes stay 9 bits wide.
-RUN = 254
+#: Rows of a frame of ``encode``.
+ROWS = 64
+#: Codes of the table at most, and bits of a code.
+CODES, CODE_BITS = 4096, 12
+#: Samples that a foreign file may claim in all, and pixels of its canvas: more are refused before memory is taken.
+MAX_SAMPLES, MAX_CANVAS = 1 << 26, 1 << 24
 GRAY = np.repeat(np.arange(256, dtype=np.uint8), 3).reshape(256, 3)
+#: The local palette of every second frame: a ramp from blue to red, green in the middle.
+RAMP = np.stack([np.arange(256), 255 - np.abs(2 * np.arange(256) - 255), 255 - np.arange(256)], axis=1).astype(np.uint8)
 
 
 @dataclass
@@ -48,144 +54,135 @@ class GifError(ValueError):
 # --- LZW --------------------------------------------------------------------------------------
 
 
-def _pack9(codes: np.ndarray) -> bytes:
-    n = len(codes)
-    c = np.zeros(-(-n // 8) * 8, np.uint64)
-    c[:n] = codes
-    c = c.reshape(-1, 8)
-    low = c[:, 0].copy()
-    for k in range(1, 8):
-        low |= c[:, k] << np.uint64(9 * k)  # the eighth code leaves one bit here
-    out = np.empty((len(c), 9), np.uint8)
-    out[:, :8] = low.astype("<u8").view(np.uint8).reshape(-1, 8)
-    out[:, 8] = c[:, 7] >> np.uint64(1)
-    return out.tobytes()[: -(-9 * n // 8)]
-
-
-def _unpack9(data: bytes) -> np.ndarray:
-    n = len(data) * 8 // 9
-    raw = np.zeros(-(-n // 8) * 9, np.uint8)
-    part = np.frombuffer(data, np.uint8)[: len(raw)]
-    raw[: len(part)] = part
-    raw = raw.reshape(-1, 9)
-    low = np.ascontiguousarray(raw[:, :8]).view("<u8").ravel()
-    out = np.empty((len(raw), 8), np.uint16)
-    for k in range(7):
-        out[:, k] = (low >> np.uint64(9 * k)) & np.uint64(511)
-    out[:, 7] = (low >> np.uint64(63)) | (raw[:, 8].astype(np.uint64) << np.uint64(1))
-    return out.ravel()[:n]
-
-
-def lzw_literal(samples: np.ndarray) -> bytes:
-    """Samples as literal 9-bit codes, a clear code before every 254 of them."""
-    n = len(samples)
-    groups = -(-n // RUN)
-    codes = np.empty((groups, RUN + 1), np.uint16)
-    codes[:, 0] = 256
-    flat = np.zeros(groups * RUN, np.uint16)
-    flat[:n] = samples
-    codes[:, 1:] = flat.reshape(groups, RUN)
-    stream = np.empty(n + groups + 1, np.uint16)
-    stream[:-1] = codes.ravel()[: n + groups]
-    stream[-1] = 257
-    return _pack9(stream)
+@functools.lru_cache(8)
+def _widths(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The width of the k-th code after a clear code, and the bits before it.
+
+    Before code k the reader has (1 << bits) + 1 + k entries, and the next number must fit.
+    """
+    k = np.arange(CODES + 2)
+    entries = (1 << bits) + 1 + k
+    width = np.minimum(np.maximum(np.frexp(entries.astype(float))[1], bits + 1), CODE_BITS)
+    width[0] = bits + 1
+    return width, np.concatenate([[0], np.cumsum(width)[:-1]])
+
+
+def lzw_codes(samples: bytes, bits: int = 8) -> list[list[int]]:
+    """The codes of the samples, in runs that a clear code parts."""
+    if not samples:
+        return [[]]
+    first = (1 << bits) + 2
+    runs, out, table, number = [], [], {}, first
+    get, rest = table.get, iter(samples)
+    prefix = next(rest)
+    for s in rest:
+        key = prefix << 8 | s
+        code = get(key)
+        if code is not None:
+            prefix = code
+            continue
+        out.append(prefix)
+        prefix = s
+        if number < CODES:
+            table[key] = number
+            number += 1
+        else:
+            runs.append(out)
+            out, table, number = [], {}, first
+            get = table.get
+    out.append(prefix)
+    return [*runs, out]
 
 
 def lzw_encode(samples: bytes, bits: int = 8) -> bytes:
-    """Ordinary LZW with growing code width."""
-    clear, out, acc, filled = 1 << bits, bytearray(), 0, 0
-    width, table, nxt = bits + 1, {}, clear + 2
-
-    def put(code: int) -> None:
-        nonlocal acc, filled
-        acc |= code << filled
-        filled += width
-        while filled >= 8:
-            out.append(acc & 255)
-            acc >>= 8
-            filled -= 8
-
-    put(clear)
-    prefix: int | None = None
-    for s in samples:
-        if prefix is None:
-            prefix = s
-        elif (prefix, s) in table:
-            prefix = table[prefix, s]
-        else:
-            put(prefix)
-            if nxt < 4096:
-                table[prefix, s] = nxt
-                if nxt == 1 << width and width < 12:
-                    width += 1
-                nxt += 1
-            else:
-                put(clear)
-                width, table, nxt = bits + 1, {}, clear + 2
-            prefix = s
-    if prefix is not None:
-        put(prefix)
-        if nxt == 1 << width and width < 12:
-            width += 1
-    put(clear + 1)
-    if filled:
-        out.append(acc & 255)
-    return bytes(out)
-
-
-def _literal_samples(data: bytes, n: int) -> np.ndarray | None:
-    """The samples, if the stream holds only literals between clear codes that come in time."""
-    codes = _unpack9(data)
-    ends = np.flatnonzero(codes == 257)
-    if not len(ends):
-        return None
-    codes = codes[: ends[0]]
-    clears = np.flatnonzero(codes == 256)
-    if not len(clears) or clears[0] != 0 or np.diff(np.append(clears, len(codes))).max() > RUN + 1:
-        return None
-    literals = codes[codes != 256]
-    if len(literals) < n or (len(literals) and literals.max() > 255):
-        return None
-    return literals[:n].astype(np.uint8)
+    """An LZW stream: a clear code before every run, the end code behind the last."""
+    clear = 1 << bits
+    width, before = _widths(bits)
+    runs = lzw_codes(samples, bits)
+    codes, places, at = [clear], [0], bits + 1
+    parts = [(np.array(codes), np.array(places))]
+    for k, run in enumerate(runs):
+        run.append(clear if k < len(runs) - 1 else clear + 1)
+        parts.append((np.array(run), at + before[: len(run)]))
+        at += int(before[len(run) - 1] + width[len(run) - 1])
+    code, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+    value = code << (place & 7)  # of 19 bits: three bytes, no two codes share a bit
+    size = (at + 7) // 8 + 2
+    out = sum(np.bincount((place >> 3) + k, weights=(value >> 8 * k) & 255, minlength=size) for k in range(3))
+    return out[: size - 2].astype(np.uint8).tobytes()
+
+
+def _expanded(codes: np.ndarray, clear: int) -> np.ndarray:
+    """The samples of a run of codes.
+
+    The k-th code adds the entry that is its own string and the next sample: entry k lies in the output
+    where code k begins.  So a code's length is that of the code it points to and one, and each of its
+    samples is a copy of an earlier one; both are followed by doubling, not code by code.
+    """
+    n = len(codes)
+    own = np.arange(n)
+    entry = codes - clear - 2
+    literal = codes < clear
+    if not (literal | ((entry >= 0) & (entry < own))).all():
+        raise GifError("a code is beyond the table")
+    up = np.where(literal, own, entry)
+    length, at = (~literal).astype(np.int64), up
+    while True:
+        more = length[at]
+        if not more.any():
+            break
+        length += more
+        at = at[at]
+    length += 1
+    ends = np.cumsum(length)
+    starts = ends - length
+    # where each sample is copied from: itself for a literal
+    source = np.arange(int(ends[-1])) + np.repeat(starts[up] - starts, length)
+    while True:
+        further = source[source]
+        if (further == source).all():
+            break
+        source = further
+    samples = np.zeros(len(source), np.uint8)
+    samples[starts[literal]] = codes[literal]
+    return samples[source]
 
 
 def lzw_decode(data: bytes, bits: int, n: int) -> np.ndarray:
     """The first ``n`` samples of a code stream; short streams are filled with 0."""
-    if bits == 8 and (fast := _literal_samples(data, n)) is not None:
-        return fast
+    if not 2 <= bits <= 8:
+        raise GifError(f"samples of {bits} bits")
     clear = 1 << bits
-    base: list[bytes] = [bytes([k & 255]) for k in range(clear)] + [b"", b""]
-    table, width, previous = list(base), bits + 1, b""
-    out, size, acc, filled = [], 0, 0, 0
-    for byte in data:
-        acc |= byte << filled
-        filled += 8
-        while filled >= width:
-            code = acc & ((1 << width) - 1)
-            acc >>= width
-            filled -= width
-            if code == clear:
-                table, width, previous = list(base), bits + 1, b""
-                continue
-            if code == clear + 1 or size >= n:
-                filled = -1
+    width, before = _widths(bits)
+    raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
+    out, size, at, total = [], 0, 0, 8 * len(data)
+    while size < n:
+        codes, ended, k = [], True, 0
+        while True:  # a run may be longer than the table: its width stays
+            place = at + (before if not k else np.arange(len(before)) * CODE_BITS)
+            own = width if not k else np.full(len(before), CODE_BITS)
+            fits = int(np.searchsorted(place + own, total, side="right"))
+            place, own = place[:fits], own[:fits]
+            first = place >> 3
+            found = ((raw[first] | raw[first + 1] << 8 | raw[first + 2] << 16) >> (place & 7)) & ((1 << own) - 1)
+            stops = np.flatnonzero((found == clear) | (found == clear + 1))
+            if len(stops):
+                stop = int(stops[0])
+                codes.append(found[:stop])
+                ended = bool(found[stop] == clear + 1)
+                at = int(place[stop] + own[stop])
+                break
+            codes.append(found)
+            if fits < len(before):
                 break
-            if code < len(table):
-                word = table[code]
-            elif code == len(table) and previous:
-                word = previous + previous[:1]
-            else:
-                raise GifError(f"code {code} is beyond the table")
-            out.append(word)
-            size += len(word)
-            if previous and len(table) < 4096:
-                table.append(previous + word[:1])
-                if len(table) == 1 << width and width < 12:
-                    width += 1
-            previous = word
-        if filled < 0:
+            at, k = int(place[-1] + own[-1]), k + 1
+        run = np.concatenate(codes)
+        if len(run):
+            out.append(_expanded(run, clear))
+            size += len(out[-1])
+        if ended:
             break
-    got = np.frombuffer(b"".join(out)[:n], np.uint8)
+    got = np.concatenate(out)[:n] if out else np.zeros(0, np.uint8)
     return got if len(got) == n else np.concatenate([got, np.zeros(n - len(got), np.uint8)])
 
 
@@ -226,27 +223,32 @@ def _read_blocks(data: bytes, at: int) -> tuple[bytes, int]:
         at += 1 + size
 
 
-def encode(samples: bytes, *, delay_ms: int = 100, max_rows: int = MAX_ROWS) -> bytes:
-    """A GIF that holds ``samples`` (a positive multiple of 64 bytes) as palette indices, in order."""
+def encode(samples: bytes, *, delay_ms: int = 100, max_rows: int = ROWS) -> bytes:
+    """A GIF that holds ``samples`` (a positive multiple of 64 bytes) as palette indices, in order.
+
+    Every frame has its most frequent sample transparent; frames take turns with the disposal methods
+    and with the global grey palette and a local one of colours.
+    """
     if not samples or len(samples) % WIDTH:
         raise GifError("samples must be a positive multiple of 64 bytes")
     rows = len(samples) // WIDTH
     out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(rows, max_rows), 0xF7, 0, 0), GRAY.tobytes()]
-    for top in range(0, rows, max_rows):
+    for k, top in enumerate(range(0, rows, max_rows)):
         height = min(max_rows, rows - top)
-        part = np.frombuffer(samples, np.uint8, height * WIDTH, top * WIDTH)
-        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2, delay_ms // 10, 0) + b"\0")
-        out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, WIDTH, height, 0) + b"\x08")
-        out.append(_blocks(lzw_literal(part)))
+        part = samples[top * WIDTH : (top + height) * WIDTH]
+        common = int(np.bincount(np.frombuffer(part, np.uint8)).argmax())
+        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", (k + 1) % 4 << 2 | 1, delay_ms // 10, common) + b"\0")
+        out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, WIDTH, height, 0x87 if k % 2 else 0) + (RAMP.tobytes() if k % 2 else b"") + b"\x08")
+        out.append(_blocks(lzw_encode(part)))
     return b"".join([*out, b"\x3b"])
 
 
-def decode(data: bytes) -> Gif:
-    """All frames of a GIF, as stored (before composition)."""
+def decode(data: bytes, max_samples: int | None = MAX_SAMPLES) -> Gif:
+    """All frames of a GIF, as stored (before composition); ``max_samples``: of all frames, None for files of one's own."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise GifError("no GIF header")
     width, height, flags = struct.unpack_from("<HHB", data, 6)
-    at, palette, gif = 13, GRAY, Gif(width, height)
+    at, palette, gif, claimed = 13, GRAY, Gif(width, height), 0
     if flags & 0x80:
         n = 2 << (flags & 7)
         palette = np.frombuffer(data, np.uint8, n * 3, at).reshape(n, 3)
@@ -270,6 +272,9 @@ def decode(data: bytes) -> Gif:
                 n = 2 << (bits & 7)
                 own = np.frombuffer(data, np.uint8, n * 3, at).reshape(n, 3)
                 at += n * 3
+            claimed += w * h
+            if max_samples is not None and claimed > max_samples:
+                raise GifError(f"frames of more than {max_samples} samples")
             code_bits = data[at]
             body, at = _read_blocks(data, at + 1)
             indices = lzw_decode(body, code_bits, w * h).reshape(h, w)
@@ -292,15 +297,22 @@ def samples_of(gif: Gif) -> bytes:
 
 def composed(gif: Gif):
     """Yields (delay_ms, RGBA canvas) of each frame, with disposal and transparency applied."""
-    canvas = np.zeros((max([gif.height, *(f.top + f.height for f in gif.frames)]), max([gif.width, *(f.left + f.width for f in gif.frames)]), 4), np.uint8)
+    height, width = max([gif.height, *(f.top + f.height for f in gif.frames)]), max([gif.width, *(f.left + f.width for f in gif.frames)])
+    if height * width > MAX_CANVAS:
+        raise GifError(f"a canvas of {width} x {height}")
+    canvas = np.zeros((height, width), np.uint32)
     for f in gif.frames:
         before = canvas.copy() if f.disposal == 3 else None
         area = canvas[f.top : f.top + f.height, f.left : f.left + f.width]
-        rgb = f.palette[np.minimum(f.indices, len(f.palette) - 1)]
-        seen = np.ones(f.indices.shape, bool) if f.transparent is None else f.indices != f.transparent
-        area[seen, :3] = rgb[seen]
-        area[seen, 3] = 255
-        yield f.delay_ms, canvas.copy()
+        colours = np.zeros(256, np.uint32)
+        own = f.palette.astype(np.uint32)
+        colours[: len(own)] = own[:, 0] | own[:, 1] << 8 | own[:, 2] << 16 | 255 << 24
+        colours[len(own) :] = colours[len(own) - 1]
+        new = colours[f.indices]
+        if f.transparent is not None:
+            new = np.where(f.indices == f.transparent, area, new)
+        area[...] = new
+        yield f.delay_ms, canvas.astype("<u4").view(np.uint8).reshape(height, width, 4)
         if f.disposal == 2:
             area[...] = 0
         elif before is not None:
@@ -309,6 +321,6 @@ def composed(gif: Gif):
 
 def histogram(canvas: np.ndarray) -> list[int]:
     """Opaque pixels by colour: 4 x 4 x 4 bins of red, green, blue."""
-    p = canvas.reshape(-1, 4)
-    p = p[p[:, 3] > 0] >> 6
-    return np.bincount((p[:, 0] << 4) | (p[:, 1] << 2) | p[:, 2], minlength=64).tolist()
+    p = np.ascontiguousarray(canvas).view("<u4").ravel()
+    p = p[p >= 1 << 24]
+    return np.bincount(p >> 2 & 48 | p >> 12 & 12 | p >> 22 & 3, minlength=64).tolist()

@@ -36,14 +36,14 @@ def frames_of(image: gif.Gif) -> list[dict]:
 _MEDIA = pa.schema([("media", pa.binary()), ("samples", pa.binary()), ("frames", _ARROW_FRAMES), ("error", pa.string())])
 
 
-def read_media(data: bytes | None) -> tuple:
+def read_media(data: bytes | None, max_samples: int | None = gif.MAX_SAMPLES) -> tuple:
     """media, samples, frames, error of one GIF."""
     try:
         if data is None:
             raise gif.GifError("no media")
-        image = gif.decode(data)
+        image = gif.decode(data, max_samples)
         return data, gif.samples_of(image), frames_of(image), None
-    except (gif.GifError, IndexError, ValueError, struct.error) as e:
+    except (gif.GifError, IndexError, ValueError, MemoryError, struct.error) as e:
         return data, None, [], str(e) or type(e).__name__
 
 
@@ -70,7 +70,7 @@ def _mapped(df: DataFrame, source: F.Column, keep: tuple[str, ...], extra: list[
 
 def _stored(raw: bytes | None) -> tuple:
     raw = raw or b""
-    return (len(raw), *read_media(gif.encode(padded(raw))))
+    return (len(raw), *read_media(gif.encode(padded(raw)), None))  # its own, however long
 
 
 def text_to_gif(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
@@ -88,9 +88,11 @@ def gif_columns(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] =
 
 
 def op8_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of every whole text stored as a GIF and read back, with its colour histogram."""
+    """Digests of every whole text stored as a GIF and read back, with the colour histogram of all frames as shown."""
     read = text_to_gif(table(spark, sf_dir, "documents"))
-    gray = F.transform(F.array(*(F.lit(21 * k) for k in range(4))), lambda b: F.aggregate("frames", F.lit(0).cast("long"), lambda s, f: s + F.get(f["histogram"], b)))
+    none = F.array_repeat(F.lit(0).cast("long"), 64)
+    histogram = F.aggregate("frames", none, lambda s, f: F.zip_with(s, f["histogram"], lambda x, y: x + y))
+    delay = F.aggregate("frames", F.lit(0), lambda s, f: s + f["delay_ms"])
     return read.select(
         "doc_id",
         "n_bytes",
@@ -99,6 +101,6 @@ def op8_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.substring("samples", -64, 64)).alias("tail_crc32"),
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        F.concat(F.lit("frames="), F.size("frames"), F.lit(";ms="), F.aggregate("frames", F.lit(0), lambda s, f: s + f["delay_ms"]), F.lit(";gray="), F.array_join(gray, ",")).alias("feature"),
+        F.concat(F.lit("frames="), F.size("frames"), F.lit(";ms="), delay, F.lit(";colours="), F.array_join(histogram, ",")).alias("feature"),
         F.size("frames").alias("n_frames"),
     )
