@@ -6,7 +6,8 @@ only probed: whoever reaches T is in T - L of the short ones.  Here all shingles
 ones first; a set's first n/5 + l shingles are its short lists (l is n/20, at least 1), at most n/5
 of its shingles are not shared, and so the first l shared ones are among them.  The short lists are
 merged in buckets of bounded size; the long ones are probed by binary search in a candidate's sorted
-set until the overlap is reached or out of reach.
+set until the overlap is reached or out of reach.  There is no heap: the entries of a list come together
+by a sort of their bucket, and those of a pair by a grouping.
 
 Nobody enumerates a group of copies: documents with equal sets are one class; in each list, members are
 first held against a few leaders; only pairs of a list that lie in different components then, and that
@@ -21,6 +22,9 @@ Ids must be integers.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -39,43 +43,130 @@ COMMON = 3
 COMMON_KEPT = 400_000
 #: Shingles counted together by a task; list entries merged together by a task.
 COUNTED, MERGED = 3_000_000, 1_000_000
-#: Words whose hashes a task keeps. A speed setting: results are the same.
-WORDS_KEPT = 250_000
+#: Bytes hashed together by numpy, in some ten arrays of eight times as many.
+CHUNK = 1 << 19
 _MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
 # --- sets -------------------------------------------------------------------------------------
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORDS_KEPT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def shingles(raw: bytes | None, hashes: _Hashes | None = None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles; ``hashes``: a task's store of word hashes."""
-    hashes = _Hashes() if hashes is None else hashes
-    words = (raw or b"").lower().split()  # of bytes: A-Z and ASCII white space only
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    ids = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-    if n < WORDS:
-        h = np.array([n], np.uint64)
-        for k in range(n):
-            h = (h ^ ids[k]) * _MIX[k]
-    else:
-        h = ids[: n - 4] * _MIX[0]
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _MIX[1]
+    return h ^ (h >> np.uint64(29))
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, 9, 10, 11, 12, 13]] = True
+#: A 64-bit number for each byte, that of a for A; nothing for white space.
+_BYTE = _mixed(_mixed(np.arange(1, 257, dtype=np.uint64) * _MIX[0]))
+_BYTE[65:91] = _BYTE[97:123]
+_BYTE[_BLANK] = 0
+
+
+@functools.lru_cache(1)
+def _powers(base: int = 0x9E3779B97F4A7C15) -> tuple[np.ndarray, np.ndarray]:
+    """base ** k and its inverse, modulo 2 ** 64, for the places of a chunk."""
+    out = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        p = np.ones(CHUNK, np.uint64)
+        p[1:] = b
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
+def _words(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the words of at most ``CHUNK`` bytes: sums of bytes' numbers times powers, from running sums."""
+    power, inverse = _powers()
+    text = np.concatenate([[False], ~_BLANK[buffer], [False]])
+    edge = np.flatnonzero(text[1:] != text[:-1])
+    start, end = edge[::2], edge[1::2]
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[buffer] * power[: len(buffer)])])
+    return start, _mixed((total[end] - total[start]) * inverse[start])
+
+
+def _pieces(buffer: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, piece) of at most ``CHUNK`` bytes, cut behind white space."""
+    at = 0
+    while len(buffer) - at > CHUNK:
+        blank = np.flatnonzero(_BLANK[buffer[at : at + CHUNK]])
+        if not len(blank):
+            raise OverflowError
+        yield at, buffer[at : at + int(blank[-1]) + 1]
+        at += int(blank[-1]) + 1
+    yield at, buffer[at:]
+
+
+def _words_of_any(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    try:
+        found = [(at + start, h) for at, piece in list(_pieces(buffer)) for start, h in [_words(piece)]]
+    except OverflowError:  # a word longer than a chunk: the same sums, byte blocks one after the other
+        return _words_with_long_ones(buffer)
+    return np.concatenate([s for s, _ in found]), np.concatenate([h for _, h in found])
+
+
+def _words_with_long_ones(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    power, inverse = _powers()
+    top = int(power[-1]) * int(power[1]) % (1 << 64)  # base ** CHUNK
+    starts, hashes = [], []
+    text = np.concatenate([[False], ~_BLANK[buffer], [False]])
+    edge = np.flatnonzero(text[1:] != text[:-1])
+    for start, end in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        value, factor = 0, 1
+        for at in range(start, end, CHUNK):
+            part = buffer[at : min(end, at + CHUNK)]
+            value = (value + factor * int((_BYTE[part] * power[: len(part)]).sum(dtype=np.uint64))) % (1 << 64)
+            factor = factor * top % (1 << 64)
+        starts.append(start)
+        hashes.append(value)
+    return np.array(starts, np.int64), _mixed(np.array(hashes, np.uint64))
+
+
+def _sets_of_group(raws: list[bytes]) -> Iterator[np.ndarray]:
+    start, ids = _words_of_any(np.frombuffer(b" ".join(raws), np.uint8))
+    ends = np.cumsum([len(r) + 1 for r in raws])
+    last = np.searchsorted(start, ends)
+    if len(ids) >= WORDS:
+        h = ids[: len(ids) - 4] * _MIX[0]
         for k in range(1, WORDS):
             h ^= h >> np.uint64(29)
-            h = (h + ids[k : n - 4 + k]) * _MIX[k]
-    h ^= h >> np.uint64(32)
-    h *= _MIX[1]
-    h ^= h >> np.uint64(29)
-    return np.unique(h)
+            h = (h + ids[k : len(ids) - 4 + k]) * _MIX[k]
+        h = _mixed(h ^ (h >> np.uint64(32)))
+    a = 0
+    for b in last.tolist():
+        n = b - a
+        if n >= WORDS:
+            own = np.sort(h[a : b - 4])
+            same = own[1:] == own[:-1]
+            yield own[np.concatenate([[True], ~same])] if same.any() else own
+        elif n:
+            one = np.array([n], np.uint64)
+            for k in range(n):
+                one = (one ^ ids[a + k]) * _MIX[k]
+            yield _mixed(one)
+        else:
+            yield np.zeros(0, np.uint64)
+        a = b
+
+
+def sets_of(raws: Iterable[bytes | None]) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its shingles; many short texts are hashed together."""
+    group: list[bytes] = []
+    size = 0
+    for raw in raws:
+        raw = raw or b""
+        if group and size + len(raw) + 1 > CHUNK:
+            yield from _sets_of_group(group)
+            group, size = [], 0
+        group.append(raw)
+        size += len(raw) + 1
+    if group:
+        yield from _sets_of_group(group)
+
+
+def shingles(raw: bytes | None) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of one text's shingles."""
+    return next(sets_of([raw]))
 
 
 def set_key(own: np.ndarray) -> tuple[int, int]:
@@ -153,9 +244,8 @@ def common_shingles(docs: DataFrame, least: int = COMMON, most: int = COMMON_KEP
             return pa.RecordBatch.from_arrays([pa.array(values[many].view(np.int64)), pa.array(n[many])], names=["s", "n"])
 
         sets: dict[bytes, np.ndarray] = {}
-        size, hashes = 0, _Hashes()
-        for (raw,) in rows_of(batches, "t"):
-            own = shingles(raw, hashes)
+        size = 0
+        for own in sets_of(raw for (raw,) in rows_of(batches, "t")):
             if len(own) and (key := xxhash.xxh3_128_digest(own.tobytes())) not in sets:
                 sets[key] = own
                 size += len(own)
@@ -174,11 +264,10 @@ def _sets(docs: DataFrame, order) -> DataFrame:
     """(id, n, k1, k2, rare, prefix) of every row."""
 
     def run(batches):
-        own_order, hashes = order.value, _Hashes()
+        own_order = order.value
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
-            for key, raw in rows_of([batch], "id", "t"):
-                own = shingles(raw, hashes)
+            for key, own in zip(batch.column(0).to_pylist(), sets_of(raw for (raw,) in rows_of([batch], "t")), strict=True):
                 first, rare = own_order.prefix(own)
                 k1, k2 = set_key(own)
                 for column, v in zip(out, (key, len(own), k1, k2, rare, first.tobytes() if len(own) else b""), strict=True):
@@ -189,7 +278,10 @@ def _sets(docs: DataFrame, order) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, k1 long, k2 long, rare int, prefix binary")
 
 
-_ENTRY = np.dtype([("s", "<u4"), ("id", "<i8"), ("n", "<i4"), ("pos", "<i4")])
+_ENTRY = np.dtype([("s", "<u8"), ("id", "<i8"), ("n", "<i4"), ("pos", "<i4")])
+
+
+_POSITIVE = np.uint64((1 << 63) - 1)
 
 
 def _lists(classes: DataFrame) -> DataFrame:
@@ -207,9 +299,9 @@ def _lists(classes: DataFrame) -> DataFrame:
             for key, n, rare, raw in rows_of([batch], "id", "n", "rare", "prefix"):
                 own = np.frombuffer(raw, np.uint64)[:rare]
                 e = np.empty(len(own), _ENTRY)
-                e["s"], e["id"], e["n"], e["pos"] = own >> np.uint64(32), key, n, np.arange(len(own))
+                e["s"], e["id"], e["n"], e["pos"] = own & _POSITIVE, key, n, np.arange(len(own))
                 parts.append(e)
-                where.append((own & np.uint64(0xFFFFFFFF)) % spread)
+                where.append((own & _POSITIVE) % spread)
             if parts:
                 entries, bucket = np.concatenate(parts), np.concatenate(where).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
@@ -225,8 +317,7 @@ def _lists(classes: DataFrame) -> DataFrame:
         same = s[1:] == s[:-1]
         many = np.concatenate([same, [False]]) | np.concatenate([[False], same])
         e = e[many]
-        bucket = group.column("bucket")[0].as_py() if group.num_rows else 0
-        return pa.table({"list": e["s"].astype(np.int64) * buckets + bucket, "id": e["id"].copy(), "n": e["n"].astype(np.int64), "pos": e["pos"].copy()})
+        return pa.table({"list": e["s"].astype(np.int64), "id": e["id"].copy(), "n": e["n"].astype(np.int64), "pos": e["pos"].copy()})
 
     packed = classes.where("rare > 0").select("id", "n", "rare", "prefix").mapInArrow(pack, "bucket long, entries binary")
     rare = packed.groupBy("bucket").applyInArrow(merge, "list long, id long, n long, pos int")
@@ -243,7 +334,7 @@ def _lists(classes: DataFrame) -> DataFrame:
             if ss:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ss, ids, ns, ps)], names=["list", "id", "n", "pos"])
 
-    # rare lists have numbers from 0 on, common ones (whole hashes) are made negative
+    # a list's number is its shingle's hash, the sign bit tells common ones from rare ones
     common = classes.where(F.length("prefix") > 8 * F.col("rare")).select("id", "n", "rare", "prefix").mapInArrow(unpack, "list long, id long, n long, pos int")
     common = common.withColumn("list", F.col("list").bitwiseOR(F.lit(-(1 << 63))))
     return rare.unionByName(common)
@@ -346,9 +437,9 @@ def _involved(raw: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, shingles) of the texts in the pairs."""
 
     def whole(batches):
-        hashes = _Hashes()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, hashes).tobytes() for (t,) in rows_of([batch], "t")], pa.binary())], names=["id", "shingles"])
+            sets = [own.tobytes() for own in sets_of(t for (t,) in rows_of([batch], "t"))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
     ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "involved")
     return written(raw.join(ids, "id", "left_semi").mapInArrow(whole, "id long, shingles binary"), "whole")
@@ -378,7 +469,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     small_batches(spark)
     raw = _raw(docs, id_col, text_col)
-    order = spark.sparkContext.broadcast(common_shingles(raw))
+    order = spark.sparkContext.broadcast(common_shingles(raw, COMMON, COMMON_KEPT))
     rows = written(_sets(raw, order), "sets")
     classes = written(rows.where("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix")), "classes")
     lists = written(_lists(classes), "lists")

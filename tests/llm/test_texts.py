@@ -302,7 +302,10 @@ def edited(r, words, n):
     return w
 
 
-def test_components_are_brute_force(spark):
+@pytest.mark.parametrize("small", [{}, {"LONG": 3, "COMMON_KEPT": 7, "MERGED": 500}])
+def test_components_are_brute_force(spark, monkeypatch, small):
+    for name, value in small.items():
+        monkeypatch.setattr(jaccard, name, value)
     r = random.Random(11)
     words = [f"w{k}" for k in range(400)]
     passage = r.sample(words, 60)
@@ -333,6 +336,29 @@ def test_ids_missing_and_repeated(spark):
     assert jaccard.keep_one(df).where(F.col("doc_id").isNull()).count() == 1
 
 
+def test_sets_are_those_of_plain_words(monkeypatch):
+    def plain(raw):
+        w = raw.lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    r = random.Random(17)
+    pool = ["a", "A", "b", "Été", "\x00", "x" * 9, "ab", "ba", "\x1c", "\xa0"]
+    texts = [r.choice(["", " ", "\n\t"]).join(["", r.choice([" ", "\x0b\x0c "]).join(r.choice(pool) for _ in range(r.randint(0, 30))), ""]).encode() for _ in range(800)]
+    sets = list(jaccard.sets_of(texts))
+    assert [len(s) for s in sets] == [len(plain(t)) for t in texts]
+    known = {}
+    for t, s in zip(texts, sets, strict=True):
+        assert (np.diff(s.astype(float)) >= 0).all() and (jaccard.shingles(t) == s).all()
+        assert known.setdefault(frozenset(plain(t)), s.tobytes()) == s.tobytes()
+    assert len(set(known.values())) == len(known)
+    long = b"w" * 100 + b" a b c d e f " + b"w" * 99 + b" a b"
+    whole = jaccard.shingles(long)
+    monkeypatch.setattr(jaccard, "CHUNK", 64)
+    jaccard._powers.cache_clear()
+    assert all((a == b).all() for a, b in zip(sets, jaccard.sets_of(texts), strict=True)) and (jaccard.shingles(long) == whole).all()
+    jaccard._powers.cache_clear()
+
+
 def test_short_lists_hold_every_link():
     r = random.Random(13)
     hot = np.array(sorted(r.sample(range(1, 10**6), 50)), np.uint64)
