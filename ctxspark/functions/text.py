@@ -59,7 +59,9 @@ def is_tracked(request_id: Column) -> Column:
 
 
 def without_random_ids(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?i)\b(id|uuid|request_id)=[0-9a-f-]{8,}", "$1=")
+    """Without the random ids of markers around external content, whose quotes may be escaped."""
+    marker = r'<<<((?:END_)?)EXTERNAL_UNTRUSTED_CONTENT\s+id=\\?"[0-9a-f]+\\?">>>'
+    return F.regexp_replace(text, marker, "<<<$1EXTERNAL_UNTRUSTED_CONTENT>>>")
 
 
 def doc_preview(text: Column, chars: int = 60) -> Column:

@@ -209,3 +209,53 @@ def assert_private(report: DataFrame) -> DataFrame:
     if bad := FORBIDDEN.intersection(names(report.schema)):
         raise ValueError(f"fields not to be reported: {sorted(bad)}")
     return report
+
+
+def run_stats(requests: DataFrame) -> DataFrame:
+    """One row: counts of requests, and of the successful ones output tokens, decode throughput and the mean time to the first token.
+
+    ``requests``: (success, output_len, ttft, latency).
+    """
+    good = lambda c: F.sum(F.when(F.col("success"), c))
+    t = requests.agg(
+        F.count("*").alias("total_requests"), F.count_if("success").alias("successful_requests"), F.count_if(~F.col("success")).alias("failed_requests"),
+        good(F.col("output_len")).cast("long").alias("total_output_tokens"), good(F.col("ttft")).alias("t"), good(F.col("latency") - F.col("ttft")).alias("d"),
+    )
+    n = F.col("successful_requests")
+    return t.select(
+        "total_requests", "successful_requests", "failed_requests", "total_output_tokens",
+        F.when(n > 0, F.round(F.col("total_output_tokens") / n, 6)).alias("average_output_length"),
+        F.when(F.col("d") > 0, F.round(F.col("total_output_tokens") / F.col("d"), 6)).alias("decode_throughput"),
+        F.when(F.col("t") > 0, F.round(F.col("t") / n, 6)).alias("average_ttft"),
+    )
+
+
+def ttft_history(samples: DataFrame, by: str, order: list[str], value: str, last: int) -> DataFrame:
+    """(by, count, mean_all, mean_last, latest): each history's mean, that of its last samples, and the last one."""
+    from pyspark.sql.window import Window
+
+    back = F.row_number().over(Window.partitionBy(by).orderBy(*(F.desc(c) for c in order)))
+    g = samples.withColumn("back", back).groupBy(by)
+    recent = F.when(F.col("back") <= last, F.col(value))
+    return g.agg(F.count("*").alias("count"), F.round(F.avg(value), 6).alias("mean_all"), F.round(F.avg(recent), 6).alias("mean_last"), F.max(F.when(F.col("back") == 1, F.col(value))).alias("latest"))
+
+
+def full_report(sections: dict[str, DataFrame]) -> DataFrame:
+    """(section, rank, entry): reports of any columns as one, each row as JSON; rows of a section by their JSON.
+
+    Raises if a section has a field that could hold texts or ids.
+    """
+    from pyspark.sql.window import Window
+
+    out = None
+    for name, rows in sections.items():
+        own = assert_private(rows).select(F.lit(name).alias("section"), F.to_json(F.struct(*sorted(rows.columns))).alias("entry"))
+        out = own if out is None else out.unionByName(own)
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("section").orderBy("entry")))
+
+
+def markdown(report: DataFrame) -> DataFrame:
+    """(section, text): a report's sections as lists."""
+    items = F.array_sort(F.collect_list(F.struct("rank", "entry")))
+    lines = F.array_join(F.transform(items, lambda x: F.concat(F.lit("- `"), x["entry"], F.lit("`"))), "\n")
+    return report.groupBy("section").agg(lines.alias("lines")).select("section", F.concat(F.lit("## "), "section", F.lit("\n\n"), "lines", F.lit("\n")).alias("text"))

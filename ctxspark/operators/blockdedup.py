@@ -23,16 +23,18 @@ def reference(block: Column, label: Column | None) -> Column:
     return F.concat(F.lit('[... "'), first, F.lit('" — identical to '), earlier, F.lit(", see above ...]"))
 
 
-def deduped_blocks(messages: DataFrame, payload: str, message: str, text: str, label: str | None = None, system: str | None = None, min_chars: int = chunking.MIN_CONTENT_CHARS, min_block_chars: int = chunking.MIN_BLOCK_CHARS) -> DataFrame:
+def deduped_blocks(messages: DataFrame, payload: str, message: str, text: str, label: str | None = None, system: str | None = None, min_chars: int = chunking.MIN_CONTENT_CHARS, min_block_chars: int = chunking.MIN_BLOCK_CHARS, part: str | None = None) -> DataFrame:
     """One row a block: (payload, message, block_idx, n_blocks, block, eligible, replaced, matched_system, result).
 
-    ``label`` names the tool in references; rows whose ``system`` column is true only give origins.
+    ``label`` names the tool in references; rows whose ``system`` column is true only give origins;
+    ``part`` tells the texts of one message apart and comes behind ``message`` in the result.
     """
-    keep = [c for c in (payload, message, label, system) if c]
+    keep = [c for c in (payload, message, part, label, system) if c]
+    places = [c for c in (message, part) if c]
     long_ones = messages.where(F.length(text) >= min_chars if system is None else (F.length(text) >= min_chars) | F.col(system))
     b = chunking.blocks(long_ones, text, *keep).withColumn("eligible", F.length(stripped(F.col("block"))) >= min_block_chars)
     b = b.withColumn("hash", F.when(F.col("eligible"), chunking.block_hash(F.col("block"))))
-    here = Window.partitionBy(payload, "hash").orderBy(message, "block_idx").rowsBetween(Window.unboundedPreceding, 0)
+    here = Window.partitionBy(payload, "hash").orderBy(*places, "block_idx").rowsBetween(Window.unboundedPreceding, 0)
     origin = F.struct(F.col(message).alias("message"), (F.col(label) if label else F.lit(None).cast("string")).alias("label"), (F.col(system) if system else F.lit(False)).alias("system"))
     # blocks too short to count are apart: as one group they would be the largest of all
     some = b.where("eligible").withColumn("origin", F.first(origin).over(here))
@@ -44,14 +46,14 @@ def deduped_blocks(messages: DataFrame, payload: str, message: str, text: str, l
     some = some.withColumns({"matched_system": matched & F.col("origin.system"), "replaced": matched & (F.length("ref") < F.length("block"))})
     some = some.withColumn("result", F.when(F.col("replaced"), F.col("ref")).otherwise(F.col("block")))
     short = b.where("NOT eligible").withColumns({"matched_system": F.lit(False), "replaced": F.lit(False), "result": F.col("block")})
-    columns = [payload, message, "block_idx", "n_blocks", "block", "eligible", "replaced", "matched_system", "result"]
+    columns = [payload, *places, "block_idx", "n_blocks", "block", "eligible", "replaced", "matched_system", "result"]
     return some.select(columns).unionByName(short.select(columns))
 
 
-def deduped(blocks: DataFrame, payload: str, message: str) -> DataFrame:
-    """(payload, message, blocks_total, blocks_deduped, system_blocks_matched, chars_saved, text)."""
+def deduped(blocks: DataFrame, payload: str, *message: str) -> DataFrame:
+    """(payload, *message, blocks_total, blocks_deduped, system_blocks_matched, chars_saved, text)."""
     saved = F.sum(F.when(F.col("replaced"), F.length("block") - F.length("result")).otherwise(0))
-    return blocks.groupBy(payload, message).agg(
+    return blocks.groupBy(payload, *message).agg(
         F.count_if("eligible").alias("blocks_total"),
         F.count_if("replaced").alias("blocks_deduped"),
         F.count_if("matched_system").alias("system_blocks_matched"),
@@ -80,3 +82,22 @@ def unwrapped(content: Column, min_chars: int = chunking.MIN_CONTENT_CHARS) -> C
 def fence_bodies(text: Column) -> Column:
     """The bodies of a text's fenced code blocks."""
     return F.regexp_extract_all(text, F.lit(r"(?s)```[^\n]*\n(.*?)\n```"), F.lit(1))
+
+
+def deduped_fences(messages: DataFrame, payload: str, message: str, text: str, min_chars: int = chunking.MIN_CONTENT_CHARS) -> DataFrame:
+    """(payload, message, fences, replaced, text): bodies of long code blocks that an earlier message had become references.
+
+    A body counts with its outer white space stripped; all copies in a message are replaced alike.
+    """
+    own = messages.select(payload, message, F.col(text).alias("text"), fence_bodies(F.col(text)).alias("bodies"))
+    long_ones = own.select(payload, message, F.explode(F.array_distinct("bodies")).alias("body")).where(F.length("body") >= min_chars)
+    first = Window.partitionBy(payload, "hash").orderBy(message).rowsBetween(Window.unboundedPreceding, 0)
+    seen = long_ones.withColumn("hash", F.sha2(stripped(F.col("body")), 256)).withColumn("origin", F.first(message).over(first))
+    told = reference(F.col("body"), None)
+    seen = seen.where((F.col("origin") != F.col(message)) & (F.length(told) < F.length("body"))).withColumn("told", told)
+    gone = seen.groupBy(payload, message).agg(F.sort_array(F.collect_list(F.struct(F.length("body").alias("n"), "body", "told")), False).alias("gone"))
+    made = own.join(gone, [payload, message], "left")
+    # longer bodies first, so that a body inside another one is not cut out of it
+    new = F.aggregate(F.coalesce("gone", F.array().cast(gone.schema["gone"].dataType)), F.col("text"), lambda t, g: F.replace(t, g["body"], g["told"]))
+    n = F.coalesce(F.size("gone"), F.lit(0))
+    return made.select(payload, message, F.size("bodies").alias("fences"), F.when(n > 0, n).otherwise(0).alias("replaced"), new.alias("text"))

@@ -61,3 +61,36 @@ def fully_evicted(owners: DataFrame, evicted: DataFrame) -> DataFrame:
     gone = evicted.select("block").distinct().withColumn("gone", F.lit(1))
     g = owners.distinct().join(gone, "block", "left").groupBy("request_id").agg(F.count("*").alias("n_blocks"), F.count("gone").alias("n_gone"))
     return g.where("n_blocks = n_gone").select("request_id", "n_blocks")
+
+
+def after_responses(responses: DataFrame, request: str = "request_id", ts: str = "ts", tie: str = "tie") -> DataFrame:
+    """(request_id, tokens, last_access, touches): the entries that responses leave.
+
+    ``responses``: (request_id, ts, tie, cache_creation_tokens, cache_read_tokens).  A response that wrote to
+    the cache makes an entry or sets its tokens anew; one that only read refreshes an entry that is there.
+    Rows without a request say nothing.
+    """
+    own = responses.where(F.length(F.col(request).cast("string")) > 0)
+    upto = Window.partitionBy(request).orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
+    wrote = F.col("cache_creation_tokens") > 0
+    own = own.withColumn("known", F.max(wrote.cast("int")).over(upto) == 1)
+    live = own.where(F.col("known") & (wrote | (F.col("cache_read_tokens") > 0)))
+    at = F.struct(ts, tie)
+    last = F.max_by(F.when(wrote, F.col("cache_creation_tokens")), F.when(wrote, at))
+    return live.groupBy(F.col(request).alias("request_id")).agg(last.alias("tokens"), F.max(ts).alias("last_access"), F.count_if(~wrote).alias("touches"))
+
+
+def expired(entries: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
+    """The entries whose time is over at ``now``, with ``idle_seconds``."""
+    idle = (_micros(now) - _micros(F.col("last_access"))) / 1_000_000
+    return entries.withColumn("idle_seconds", F.round(idle, 3)).where(idle >= ttl_seconds)
+
+
+def evicted(entries: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
+    """The entries that stay."""
+    return entries.where(_micros(now) - _micros(F.col("last_access")) < ttl_seconds * 1_000_000)
+
+
+def ttl_defaults(spark) -> DataFrame:
+    """(provider, kind, seconds)."""
+    return spark.createDataFrame([(p, k, s) for (p, k), s in sorted(TTL_SECONDS.items())], "provider string, kind string, seconds int")

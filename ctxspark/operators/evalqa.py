@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_answer, tokens
+from ..functions.text import PUNCTUATION, normalize_answer, tokens
 
 # Answers that count only when equal.
 WHOLE = ("yes", "no", "noanswer")
@@ -68,3 +68,28 @@ def with_aliases(golds: DataFrame, aliases: DataFrame) -> DataFrame:
 def means(scores: DataFrame, column: str) -> DataFrame:
     """The mean of each metric in percent; missing ones count as 0."""
     return scores.agg(*(F.round(F.sum(F.coalesce(F.col(f"{column}.{m}"), F.lit(0.0))) / F.count("*") * 100, 2).alias(m) for m in ("em", "f1", "prec", "recall")))
+
+
+def normalize_title(title: Column) -> Column:
+    """Titles of supporting facts are compared in lower case."""
+    return F.lower(title)
+
+
+def normalize_evidence(evidence: Column) -> Column:
+    """A tuple of strings in lower case, without ASCII punctuation, with single spaces; articles stay."""
+    return F.transform(evidence, lambda x: F.btrim(F.regexp_replace(F.translate(F.lower(x), PUNCTUATION, ""), r"\s+", " ")))
+
+
+def evidence_scores(prediction: Column, golds: Column) -> Column:
+    """struct(em, f1, prec, recall) of predicted tuples against golds, each a list of equally right tuples.
+
+    A predicted tuple matches if any gold has it among its own.
+    """
+    p = F.array_distinct(F.transform(prediction, normalize_evidence))
+    right = F.array_distinct(F.flatten(F.transform(golds, lambda g: F.transform(g, normalize_evidence))))
+    hits = F.size(F.array_intersect(p, right)).cast("double")
+    prec = F.when(F.size(p) > 0, hits / F.size(p)).otherwise(0.0)
+    recall = F.when(F.size(golds) > 0, hits / F.size(golds)).otherwise(0.0)
+    same = (hits == F.size(p)) & (hits == F.size(golds))
+    f1 = F.when(prec + recall > 0, 2 * prec * recall / (prec + recall)).otherwise(0.0)
+    return F.struct(same.cast("double").alias("em"), f1.alias("f1"), prec.alias("prec"), recall.alias("recall"))

@@ -120,3 +120,31 @@ def replayed_prefix(cached: DataFrame, incoming: DataFrame, session: str, place:
     upto = Window.partitionBy(session).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
     same = b.join(a, [session, place], "left").withColumn("all", F.min(F.coalesce((F.col("a") == F.col("b")).cast("int"), F.lit(0))).over(upto))
     return same.groupBy(session).agg(F.sum("all").alias("n_replayed"))
+
+
+def without_requests(requests: DataFrame, gone: DataFrame, request: str = "request_id") -> DataFrame:
+    """The requests that are left; parents' names in them stay as they are."""
+    return requests.join(gone.select(request).distinct(), request, "left_anti")
+
+
+def cleared(requests: DataFrame, asked: DataFrame, request: str = "request_id", parent: str = "parent_id") -> tuple[DataFrame, DataFrame]:
+    """What is left when the whole chains of ``asked`` requests go, and (request, removed): how many each of them found to remove."""
+    known = asked.select(request).distinct().join(requests.select(request), request, "left_semi")
+    up = ancestors(requests, request, parent).join(known, request, "left_semi").select(request, F.col("ancestor").alias("r"))
+    chain = up.unionByName(known.select(request, F.col(request).alias("r")))
+    counts = asked.select(request).distinct().join(chain.groupBy(request).agg(F.count("*").alias("removed")), request, "left")
+    return without_requests(requests, chain.select(F.col("r").alias(request)), request), counts.select(request, F.coalesce("removed", F.lit(0)).alias("removed"))
+
+
+def conversation_turns(messages: DataFrame, corpus: DataFrame, retrieve, conversation: str, turn: str, k: int) -> DataFrame:
+    """(ctx_id, conversation, turn, context, num_retrieved, num_novel, num_deduplicated) of every user message.
+
+    Each message asks with the history before it; ``retrieve`` (queries of qid and text, k) gives (query_id,
+    doc_id, rank); documents that the conversation had before become hints, new ones their texts.
+    ``messages``: (ctx_id, conversation, turn, role, text); ``corpus``: (doc, text).
+    """
+    asked = history_query(messages, conversation, turn).where("role = 'user'")
+    found = retrieve(asked.select(F.col("ctx_id").alias("qid"), F.col("query").alias("text")), k)
+    docs = F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"])
+    contexts = found.groupBy(F.col("query_id").alias("ctx_id")).agg(docs.alias("docs")).join(asked.select("ctx_id", conversation, turn), "ctx_id")
+    return context_text(first_seen(contexts, conversation, turn), corpus, conversation, turn)

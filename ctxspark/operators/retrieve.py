@@ -71,9 +71,20 @@ def normalized_results(rows: DataFrame) -> DataFrame:
 
 
 def normalized_queries(rows: DataFrame) -> DataFrame:
-    """(qid, text): given numbers, or numbers by order of the text within ranges."""
+    """(qid, text): given numbers; rows without one are numbered from 0 by their text, equal texts alike.
+
+    Numbers are given inside ranges of texts and shifted by the counts of earlier ranges.
+    """
     text = F.coalesce(*(F.col(c) for c in ("text", "question") if c in rows.columns))
-    return rows.select(F.col("qid"), text.alias("text"))
+    qid = F.col("qid").cast("string") if "qid" in rows.columns else F.lit(None).cast("string")
+    own = rows.select(qid.alias("qid"), text.alias("text"))
+    texts = own.where("qid IS NULL").select("text").distinct().withColumn("range", F.substring("text", 1, 2))
+    counts = texts.groupBy("range").agg(F.count("*").alias("n"))
+    before = counts.select(F.col("range").alias("r"), (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))  # one row a range
+    inside = F.row_number().over(Window.partitionBy("range").orderBy("text")) - 1
+    numbers = texts.withColumn("inside", inside).join(before, F.col("range").eqNullSafe(F.col("r"))).select(F.col("text").alias("t"), (F.col("inside") + F.col("before")).cast("string").alias("k"))
+    given = own.where("qid IS NOT NULL")
+    return given.unionByName(own.where("qid IS NULL").join(numbers, F.col("text").eqNullSafe(F.col("t"))).select(F.col("k").alias("qid"), "text"))
 
 
 def chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 1000, overlap: int = 200) -> DataFrame:
@@ -96,3 +107,47 @@ def flattened_tree(nodes: DataFrame, doc_col: str = "doc_name", json_col: str =
         if not frontier.limit(1).count():
             break
     return out
+
+
+def memory_search(memories: DataFrame, queries: DataFrame, k: int, scope: tuple[str, ...], threshold: float | None = None) -> DataFrame:
+    """(query_id, memory_id, rank, score): each query's best memories of its own scope.
+
+    ``memories``: (memory_id, vector, *scope); ``queries``: (query_id, vector, *scope).  The first scope
+    column must be equal (memories and queries meet by it); another one that is null in a query takes all.  The score is the cosine of the vectors; ties go to the smaller id.
+    """
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    m = memories.select("memory_id", F.col("vector").alias("mv"), *(F.col(c).alias(f"m_{c}") for c in scope))
+    first, rest = scope[0], scope[1:]
+    inside = F.col(first) == F.col(f"m_{first}")
+    for c in rest:
+        inside = inside & (F.col(c).isNull() | (F.col(c) == F.col(f"m_{c}")))
+    met = queries.join(m, inside)
+    score = dot(F.col("vector"), F.col("mv")) / F.sqrt(dot(F.col("vector"), F.col("vector")) * dot(F.col("mv"), F.col("mv")))
+    met = met.select("query_id", "memory_id", F.round(score, 6).alias("score"))
+    if threshold is not None:
+        met = met.where(F.col("score") >= threshold)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "memory_id"))
+    return met.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def memory_corpus(memories: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(doc_id, text): memories as rows of a corpus, under their dense numbers as strings.  ``numbers``: (doc, doc_number)."""
+    return memories.join(numbers, F.col("memory_id") == F.col("doc")).select(F.col("doc_number").cast("string").alias("doc_id"), "text")
+
+
+def chunk_items(chunks_: DataFrame, items: DataFrame) -> DataFrame:
+    """``chunks_`` (doc_name, node_id, ...) with ``item_id``: the first item of that document and node, or null."""
+    first = items.groupBy("doc_name", "node_id").agg(F.min("item_id").alias("item_id"))
+    return chunks_.join(first, ["doc_name", "node_id"], "left")
+
+
+def tree_without(tree: Column, field: str = "text") -> Column:
+    """A page tree's JSON without a string field, at any depth.
+
+    Escaped signs stand aside as control characters, which JSON cannot hold, so that a string ends at the
+    next quote and the pattern needs no repeated group, however long the text.
+    """
+    plain = F.replace(F.replace(tree, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+    pair = rf'"{field}"\s*:\s*"[^"]*+"'
+    left = F.regexp_replace(F.regexp_replace(plain, rf",\s*{pair}", ""), rf"{pair}\s*,?\s*", "")
+    return F.replace(F.replace(left, F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))

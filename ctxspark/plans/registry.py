@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics_queries, dedup_queries, index_queries, retrieval_queries
+from . import analytics_queries, dedup_queries, index_queries, live_queries, payload_queries, retrieval_queries, state_queries
 
-MODULES = (index_queries, dedup_queries, analytics_queries, retrieval_queries)
+MODULES = (index_queries, dedup_queries, payload_queries, live_queries, analytics_queries, retrieval_queries, state_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

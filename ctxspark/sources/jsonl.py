@@ -74,3 +74,20 @@ def permuted(rows: DataFrame, order: DataFrame, index: str = "index") -> DataFra
     """``rows`` in the order of (index, position); positions of unknown rows go, a row named twice keeps its first position."""
     first = order.groupBy(index).agg(F.min("position").alias("position"))
     return rows.join(first, index).orderBy("position")
+
+
+def append_telemetry(events: DataFrame, path: str, checkpoint: str | None = None):
+    """Appends telemetry records, one compact object a line; a stream is written until stopped (the query is returned)."""
+    own = events.select(*(c for c in events.columns if c in T._parse_datatype_string(TELEMETRY).names))
+    if not events.isStreaming:
+        own.write.mode("append").json(path)
+        return None
+    if checkpoint is None:
+        raise ValueError("a stream needs a checkpoint folder")
+    return own.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def reorder_jsonl(spark: SparkSession, path: str, order: DataFrame, out: str, schema: str = RETRIEVAL) -> None:
+    """Reads records, puts them in the order of (index, position), and writes them; ``index`` is a record's qid."""
+    rows = spark.read.schema(schema).json(path).withColumn("index", F.coalesce("qid", "question_id"))
+    write_jsonl(permuted(rows, order).drop("index", "position"), out)
