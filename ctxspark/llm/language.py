@@ -11,9 +11,12 @@ times), counted over all texts.  The other words have one leaf together; behind
 a model of character pairs, counted over all of those words, so that every string has a probability of
 its own and all strings' sum is one.  As context they are told apart by ``CLASSES`` hash classes.
 
-Training starts on a small sample, then every task goes once over all its texts from that start, and
-the tasks' weights are averaged by their numbers of tokens, in groups, so that neither the driver nor
-a task holds more than ``GROUP`` sets of weights.
+Training starts on a small sample (``START_DOCS`` distinct texts), then all texts are dealt by the hash
+of their id and text in shards of about ``SHARD`` tokens.  Each shard's texts are learnt once from that
+start, in the order of their hashes, and the shards' weights are averaged by their numbers of tokens, in
+groups, so that neither the driver nor a task holds more than ``GROUP`` sets of weights.  Neither shards
+nor sums depend on how rows are split over tasks: other files or partitions give the same scores, up to
+the rounding of 32-bit numbers.
 
 Defined results: null and empty texts have no tokens, a sum of 0 and a mean that is null; repeated rows
 are scored each for itself; an empty table gives no rows; other columns are ignored.
@@ -22,6 +25,7 @@ are scored each for itself; an empty table gives no rows; other columns are igno
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from collections import Counter
 from dataclasses import dataclass, field
@@ -29,12 +33,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rows_of, small_batches, table, written
+from .common import one_of_each, rows_of, small_batches, table, written
 
 SIDE = 3
 #: Words of the vocabulary: at least this share of all tokens, and so many times.
@@ -48,6 +51,8 @@ HIDDEN = 16
 BATCH, SCORED = 2048, 1024
 #: Texts that training starts on; sets of weights averaged by one task.
 START_DOCS, GROUP = 1_000, 16
+#: Tokens that are learnt together, in about 25 MB of text, and the most tasks that shards are dealt to.
+SHARD, MOST_TASKS = 4_000_000, 20_000
 #: Tokens that a task trains on or scores at once.
 BLOCK = 1 << 16
 WORDS_KEPT = 300_000
@@ -332,23 +337,31 @@ class Model:
 
 
 def _averaged(parts: DataFrame) -> np.ndarray | None:
-    """The mean of the tasks' weights by tokens, in rounds of groups."""
+    """The mean of the shards' weights by tokens, in rounds of groups, each summed up in the order of ``g``."""
 
-    def merge(group: pa.Table) -> pa.Table:
+    def merge(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        group = group.sort_by("g")
         n = np.array(group.column("n").to_pylist(), float)
         v = sum(np.frombuffer(b, "<f4") * k for b, k in zip(group.column("w").to_pylist(), n, strict=True)) / n.sum()
-        return pa.table({"g": pa.array([group.column("g")[0].as_py()], pa.int64()), "n": pa.array([int(n.sum())], pa.int64()), "w": pa.array([v.astype("<f4").tobytes()], pa.binary())})
+        return pa.table({"g": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([int(n.sum())], pa.int64()), "w": pa.array([v.astype("<f4").tobytes()], pa.binary())})
 
     parts = written(parts.where("n > 0"), "weights")
     while parts.count() > GROUP:
-        parts = written(parts.withColumn("g", F.expr(f"g div {GROUP}")).groupBy("g").applyInArrow(merge, parts.schema), "weights")
+        parts = written(parts.groupBy(F.expr(f"g div {GROUP}").alias("up")).applyInArrow(merge, parts.schema), "weights")
     rows = parts.orderBy("g").collect()  # at most GROUP
     total = sum(r["n"] for r in rows)
     return sum(np.frombuffer(r["w"], "<f4").astype(float) * (r["n"] / total) for r in rows) if rows else None
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> Model:
-    """Vocabulary and weights from all texts."""
+def _start_texts(texts: DataFrame) -> list[str]:
+    """The distinct texts of the lowest hashes: the hashes are picked first, so no task is sent other texts."""
+    own = texts.where("t IS NOT NULL").withColumn("h", F.xxhash64("t"))
+    low = own.select("h").distinct().orderBy("h").limit(START_DOCS).collect()
+    return [r["t"] for r in one_of_each(own.where(F.col("h") <= low[-1]["h"]), "h").orderBy("h").toLocalIterator()] if low else []
+
+
+def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Model:
+    """Vocabulary and weights from all texts; ids, where there are any, deal copies of a text over the shards."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(text_col).alias("t"))
@@ -371,7 +384,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     tree = Tree.of([*own, total - sum(own)], CLASSES - 1)
     start = Trainer(Weights.fresh(tree=tree))
     vocabulary = Vocabulary(frequent)
-    sample = [vocabulary.ids(r["t"]) for r in texts.where(F.col("t").isNotNull()).orderBy(F.xxhash64("t"), "t").limit(START_DOCS).toLocalIterator()]
+    sample = [vocabulary.ids(t) for t in _start_texts(texts)]
     for _ in range(2):
         for held in blocks(sample):
             start.learn(*joined(held))
@@ -379,13 +392,19 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
 
     def learn(batches):
         words, shape, vector, seen = shared.value
-        own, trainer = Vocabulary(words), Trainer(Weights.of(vector, shape))
-        trainer.seen = [s.copy() for s in seen]
-        for held in blocks(own.ids(t) for (t,) in rows_of(batches, "t")):
-            trainer.learn(*joined(held))
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([trainer.tokens], pa.int64()), pa.array([trainer.w.vector().astype("<f4").tobytes()], pa.binary())], names=["g", "n", "w"])
-
-    mean = _averaged(texts.mapInArrow(learn, "g long, n long, w binary"))
+        own = Vocabulary(words)
+        for g, rows in itertools.groupby(rows_of(batches, "g", "t"), key=lambda row: row[0]):
+            trainer = Trainer(Weights.of(vector, shape))
+            trainer.seen = [s.copy() for s in seen]
+            for held in blocks(own.ids(t) for _, t in rows):
+                trainer.learn(*joined(held))
+            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([trainer.tokens], pa.int64()), pa.array([trainer.w.vector().astype("<f4").tobytes()], pa.binary())], names=["g", "n", "w"])
+
+    shards = max(1, -(-total // SHARD))
+    key = F.xxhash64(F.col(text_col), *([F.col(id_col)] if id_col in docs.columns else []))
+    keyed = docs.where(F.col(text_col).isNotNull()).select(F.pmod(key, F.lit(shards)).alias("g"), key.alias("k"), F.col(text_col).alias("t"))
+    dealt = keyed.repartitionById(min(shards, MOST_TASKS), F.pmod("g", F.lit(MOST_TASKS)).cast("int")).sortWithinPartitions("g", "k", "t")
+    mean = _averaged(dealt.select("g", "t").mapInArrow(learn, "g long, n long, w binary"))
     return Model(frequent, speller, tree, (start.w.vector() if mean is None else mean).astype("<f4"))
 
 

@@ -184,6 +184,21 @@ def test_scores_prefer_the_corpus_order(spark):
     assert min(v for k, v in got.items() if k != 99) > got[99]
 
 
+def test_language_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(language, "SHARD", 3000)
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join(r.choices(words, k=r.randrange(1, 90)))) for k in range(700)] + [(1000 + k, "one text that many hold " * 9) for k in range(300)] + [(2000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own = {}
+    for parts in (1, 3, 37):
+        dealt = docs.repartition(parts)
+        own[parts] = {x.doc_id: x.log_likelihood for x in language.score(dealt, language.fit(dealt)).collect()}
+    assert len({round(v, 2) for v in own[1].values()}) > 500
+    for parts in (3, 37):
+        assert max(abs(v - own[parts][k]) / (1 + abs(v)) for k, v in own[1].items()) < 1e-4
+
+
 def test_language_of_awkward_rows(spark):
     docs = awkward(spark)
     got = {r.doc_id: r for r in language.score(docs, language.fit(docs)).collect()}
