@@ -67,8 +67,14 @@ class ContextEngine:
         """(ctx_id, conversation, turn, new_docs, overlapping_docs, hints) of all turns of all conversations."""
         return multiturn.split_documents(multiturn.first_seen(turns, conversation, turn), conversation, turn)
 
-    def retrieve_and_reorder(self, corpus: DataFrame, queries: DataFrame, **columns: str) -> DataFrame:
-        """BM25 results of all queries as one batch of contexts, reordered and scheduled."""
+    def retrieve_and_reorder(self, corpus: DataFrame, queries: DataFrame, batch: str | None = None, **columns: str) -> DataFrame:
+        """BM25 results as contexts, reordered and scheduled: batch by batch, if ``queries`` has a column for that.
+
+        Without one all queries are one batch, which one task holds: more than ``max_batch`` are refused.
+        """
         found = retrieve.bm25(corpus, queries, self.settings.top_k, **columns)
         docs = found.groupBy(F.col("query_id").alias("ctx_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("docs"))
-        return self.reorder(docs.withColumn("batch", F.lit(0)), "batch")
+        if batch is None:
+            return self.reorder(docs.withColumn("batch", F.lit(0)), "batch")
+        own = queries.select(F.col(columns.get("query_col", "item_id")).alias("ctx_id"), batch)
+        return self.reorder(docs.join(own, "ctx_id"), batch)

@@ -77,16 +77,19 @@ def telemetry_hours(telemetry: DataFrame, watermark: str = "1 hour") -> DataFram
     return hourly_savings(telemetry, "at", watermark)
 
 
-def evictions_applied(index_path: str):
-    """For foreachBatch: takes the evicted requests of each batch out of a table of indexed requests.
+def evictions_logged(log_path: str):
+    """For foreachBatch: writes the evicted requests of each batch to a log, under the batch's number.
 
-    Tables are versions: each batch writes the next one, and a pointer file names the current one, so
-    a batch that is run again gives the same table.
+    A batch that is run again writes its own part again, so the log stays the same; the index itself is
+    not rewritten.
     """
 
     def apply(evicted: DataFrame, batch_id: int) -> None:
-        spark = evicted.sparkSession
-        now = spark.read.parquet(f"{index_path}/v={batch_id}")
-        now.join(evicted.select("request_id").distinct(), "request_id", "left_anti").write.mode("overwrite").parquet(f"{index_path}/v={batch_id + 1}")
+        evicted.select("request_id").distinct().write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
 
     return apply
+
+
+def live_requests(indexed: DataFrame, log_path: str) -> DataFrame:
+    """The rows of an index whose requests the log has not evicted; written as the next index, they compact the log."""
+    return indexed.join(indexed.sparkSession.read.parquet(log_path).select("request_id"), "request_id", "left_anti")

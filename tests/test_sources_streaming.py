@@ -86,12 +86,12 @@ def test_telemetry_stream_is_the_batch_roll_up(spark, tmp_path):
 
 
 def test_eviction_batches(spark, tmp_path):
-    path = str(tmp_path / "index")
-    spark.createDataFrame([(f"r{k}",) for k in range(5)], "request_id string").write.parquet(f"{path}/v=0")
-    apply = stateful.evictions_applied(path)
-    for _ in range(2):  # a batch may come twice
-        apply(spark.createDataFrame([("r1",), ("r4",)], "request_id string"), 0)
-    assert sorted(r.request_id for r in spark.read.parquet(f"{path}/v=1").collect()) == ["r0", "r2", "r3"]
+    log = str(tmp_path / "log")
+    index = spark.createDataFrame([(f"r{k}",) for k in range(6)], "request_id string")
+    apply = stateful.evictions_logged(log)
+    for number, gone in [(0, ["r1", "r4"]), (0, ["r1", "r4"]), (1, ["r4", "r5", "r9"]), (2, [])]:  # a batch may come twice
+        apply(spark.createDataFrame([(r,) for r in gone], "request_id string"), number)
+    assert sorted(r.request_id for r in stateful.live_requests(index, log).collect()) == ["r0", "r2", "r3"]
 
 
 def test_ancestors_with_branches_and_cycles(spark):
