@@ -2,16 +2,20 @@
 
 Two zstandard dictionaries are built, one from ordinary and one from toxic labelled texts.  A window
 is one word, spelled as all its prefixes and suffixes, so that a word a dictionary holds is one long
-match and words of the same stem share part of it.  A window's distance is its compressed length with
+match and words of the same stem share part of it.  A word is a run of letters and digits; of runs of
+more than ``LONGEST`` characters (as in texts without spaces) every window of that length is taken that
+begins at a multiple of half of it, and the last one.  A window's distance is its compressed length with
 the ordinary dictionary less that with the toxic one, over the square root of its length; windows
 beyond the calibrated threshold speak for label 1.  A text's score is a logistic function of how many
 such windows it has, their share, and the mean of the largest distances.
 
-The dictionaries hold raw content chosen here, words by how many labelled texts have them.
-Dictionaries that zstandard's own trainer picks leave out most of the words that matter; see README.
+The dictionaries hold raw content chosen here, words by how many labelled texts have them, until their
+size is reached; a word of a single labelled text is in neither.  Dictionaries that zstandard's own trainer picks leave out most of the words that
+matter; see README.
 
-The fit uses a bounded sample of the labelled rows (``max_train``, by lowest hash of the id); three
-quarters of it make the dictionaries, the others set the threshold and the weights.
+The fit uses a bounded sample of the labelled rows (``max_train``, by lowest hash of the id).  Of either
+label's rows, in the order of another hash, the first and every fourth after it set the threshold and
+the weights, the others make the dictionaries.  All of this is the same at every size.
 
 Defined results: null and empty texts have no window and get the score of a text without any; no
 labels at all, or labels of one class only, give every text the share of label 1 (0.5 without labels);
@@ -23,17 +27,16 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import zstandard as zstd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import one_of_each, rows_of, small_batches, table
+from .common import one_of_each, rows_of, small_batches, table, written
 
 #: Labelled rows that the fit may use.
 MAX_TRAIN = 16_000
@@ -46,11 +49,24 @@ WORDS_KEPT = 400_000
 THRESHOLD = 0.7
 FEATURES = 5
 
-_WORD = re.compile(r"[^\W\d_]{2,24}")
+#: Characters of a window, at most.
+LONGEST = 24
+#: Bytes of the shortest word as it is spelled: a dictionary of n bytes holds at most n / SHORTEST words.
+SHORTEST = 5
+
+_WORD = re.compile(r"[^\W_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    found = _WORD.findall(text.lower())
+    if max(map(len, found), default=0) <= LONGEST:
+        return found
+    return [part for w in found for part in ([w] if len(w) <= LONGEST else _parts(w))]
+
+
+def _parts(run: str) -> list[str]:
+    last = len(run) - LONGEST
+    return [run[k : k + LONGEST] for k in (*range(0, last, LONGEST // 2), last)]
 
 
 def spelled(word: str) -> bytes:
@@ -141,60 +157,69 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 60)
     return w
 
 
-def dictionaries(counts: dict[str, list[int]], n_toxic: int) -> tuple[bytes, bytes]:
-    """Contents for ordinary and toxic text from (ordinary texts, toxic texts) that have each word."""
-    ordinary = content(sorted((w for w, c in counts.items() if c[0]), key=lambda w: (-counts[w][0], w)), ORDINARY_BYTES)
-    cost = compressor(ordinary).compress
-    least = max(4, 0.003 * n_toxic)
-    heavy = [w for w, c in counts.items() if c[1] >= least and len(cost(spelled(w))) >= KNOWN_COST + HARD]
-    return ordinary, content(sorted(heavy, key=lambda w: (-counts[w][1], w)), TOXIC_BYTES)
+def _sized(words: DataFrame, by: str, size: int) -> bytes:
+    """A dictionary's content from the (w, count) rows of the highest counts; no more rows than can fit are collected."""
+    return content([r["w"] for r in words.orderBy(F.desc(by), "w").limit(size // SHORTEST).collect()], size)
 
 
-def _part(column: F.Column) -> F.Column:
-    """1 for the quarter of the sample that sets threshold and weights, else 0."""
-    return (F.pmod(F.hash(column, F.lit("part")), F.lit(4)) == 0).cast("int")
+def dictionaries(counted: DataFrame, n_toxic: int) -> tuple[bytes, bytes]:
+    """Contents for ordinary and toxic text from rows (w, n0, n1): ordinary and toxic texts that have each word."""
+    ordinary = _sized(counted.where("n0 > 0 AND n0 + n1 >= 2"), "n0", ORDINARY_BYTES)
+    shared = counted.sparkSession.sparkContext.broadcast(ordinary)
+
+    def heavy(batches):
+        cost = compressor(shared.value).compress
+        for batch in batches:
+            words = batch.column(batch.schema.get_field_index("w")).to_pylist()
+            yield batch.filter(pa.array([len(cost(spelled(w))) >= KNOWN_COST + HARD for w in words], pa.bool_()))
+
+    often = counted.where(F.col("n1") >= max(4, 0.003 * n_toxic)).select("w", "n1")
+    return ordinary, _sized(often.mapInArrow(heavy, "w string, n1 long"), "n1", TOXIC_BYTES)
 
 
 def _sample(labels: DataFrame, docs: DataFrame, id_col: str, text_col: str, label_col: str, where: F.Column | None, most: int) -> DataFrame:
-    """(k, y, t) of at most ``most`` labelled ids, each with one of its texts."""
+    """(k, y, part, t) of at most ``most`` labelled ids, each with one of its texts; part 1 sets threshold and weights."""
     own = labels.select(F.col(id_col).alias("k"), F.col(label_col).alias("y")).where(F.col("k").isNotNull() & F.col("y").isNotNull())
     if where is not None:
         own = own.where(where)
     own = own.groupBy("k").agg(F.max("y").cast("int").alias("y")).orderBy(F.xxhash64("k"), "k").limit(most)
+    place = F.row_number().over(Window.partitionBy(F.col("y") > 0).orderBy(F.xxhash64("k", F.lit("part")), "k"))  # over ids alone
+    own = own.select("k", "y", (place % 4 == 1).cast("int").alias("part"))
     texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
-    return one_of_each(texts.join(F.broadcast(own), "k"), "k", "y")  # at most ``most`` ids
+    return one_of_each(texts.join(F.broadcast(own), "k"), "k", "y", "part")  # at most ``most`` ids
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", where: F.Column | None = None, max_train: int = MAX_TRAIN) -> Model:
     """``where``: which labelled rows may be learnt from, as a condition on column ``k``, the id."""
     spark = docs.sparkSession
     small_batches(spark)
-    sample = _sample(labels, docs, id_col, text_col, label_col, where, max_train)
+    sample = written(_sample(labels, docs, id_col, text_col, label_col, where, max_train), "labelled")
 
     def count(batches):
         words: dict[str, list[int]] = {}
         for y, text in rows_of(batches, "y", "t"):
             for w in set(words_of(text or "")):
-                words.setdefault(w, [0, 0])[1 if y else 0] += 1
+                words.setdefault(w, [0, 0])[y > 0] += 1
+            if len(words) > WORDS_KEPT:
+                yield from counts(words)
+                words = {}
+        yield from counts(words)
+
+    def counts(words):
         keys = list(words)
         for at in range(0, len(keys), 20_000):
             part = keys[at : at + 20_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([words[w][c] for w in part], pa.int64()) for c in (0, 1))], names=["w", "n0", "n1"])
 
-    half = _part(F.col("k"))
-    sizes = {(r["h"], r["y"]): r["n"] for r in sample.groupBy(half.alias("h"), "y").agg(F.count("*").alias("n")).collect()}
+    sizes = {(r["part"], r["y"]): r["n"] for r in sample.groupBy("part", (F.col("y") > 0).alias("y")).agg(F.count("*").alias("n")).collect()}
     n1 = sum(n for (_, y), n in sizes.items() if y)
     n = sum(sizes.values())
     model = Model(b"", b"", 1.2, [], n1 / n if n else 0.5)
     if not n1 or n1 == n:
         return model
-    by_half = all(sizes.get((h, y), 0) >= 10 for h in (0, 1) for y in (0, 1))
-    first = sample.where(half == 0) if by_half else sample
-    counted = first.select("y", "t").mapInArrow(count, "w string, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    n_toxic = sizes.get((0, 1), 0) if by_half else n1
-    least = 2 if n > 200 else 1
-    counts = {r["w"]: [r["n0"], r["n1"]] for r in counted.where(F.col("n0") + F.col("n1") >= least).orderBy(F.desc(F.greatest("n0", F.col("n1") * 8)), "w").limit(80_000).collect()}
-    model.ordinary, model.toxic = dictionaries(counts, n_toxic)
+    first = sample.where("part = 0").select("y", "t").mapInArrow(count, "w string, n0 long, n1 long")
+    counted = written(first.groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "words")
+    model.ordinary, model.toxic = dictionaries(counted, sizes.get((0, True), 0))
     shared = spark.sparkContext.broadcast(model)
     cuts = (0.8, 1.0, 1.2, 1.4, 1.6, 1.8)
 
@@ -205,8 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             x = np.concatenate([features(d, c) for c in cuts])
             yield pa.RecordBatch.from_arrays([pa.array([int(y)], pa.int32()), pa.array([x.tolist()], pa.list_(pa.float64()))], names=["y", "x"])
 
-    second = sample.where(half == 1) if by_half else sample
-    rows = second.select("y", "t").mapInArrow(measured, "y int, x array<double>").collect()  # at most max_train rows of 30 numbers
+    rows = sample.where("part = 1").select("y", "t").mapInArrow(measured, "y int, x array<double>").collect()  # at most max_train rows of 30 numbers
     rows = sorted(rows, key=lambda r: (r["y"], r["x"]))
     y, x = np.array([r["y"] > 0 for r in rows], float), np.array([r["x"] for r in rows]).reshape(len(rows), len(cuts), FEATURES)
     best = None

@@ -51,6 +51,43 @@ def test_toxicity_without_labels_and_on_awkward_rows(spark):
     assert toxicity.remove_toxic(docs, model).columns == docs.columns and toxicity.remove_toxic(docs, model).count() == 0
 
 
+def test_windows_hold_every_letter_and_digit():
+    assert toxicity.words_of("A b2 f4g, x_y") == ["a", "b2", "f4g", "x", "y"]
+    run = "".join(chr(0x4E00 + k) for k in range(61))
+    got = toxicity.words_of(f"ab {run} cd")
+    assert got[0] == "ab" and got[-1] == "cd" and {len(w) for w in got[1:-1]} == {toxicity.LONGEST}
+    half = toxicity.LONGEST // 2
+    assert all(any(run[k : k + half] in w for w in got) for k in range(len(run) - half + 1))
+    assert toxicity.words_of("x" * 24) == ["x" * 24] and toxicity.words_of("") == []
+
+
+def test_dictionaries_are_brute_force(spark):
+    rows = [("calm", 9, 1), ("river", 7, 0), ("single", 1, 0), ("vileword", 1, 8), ("fouler", 0, 6), ("rarefoul", 0, 3), ("clearly", 5, 4)]
+    ordinary, toxic = toxicity.dictionaries(spark.createDataFrame(rows, "w string, n0 long, n1 long"), 12)
+    known = sorted((r for r in rows if r[1] and r[1] + r[2] >= 2), key=lambda r: (-r[1], r[0]))
+    assert ordinary == toxicity.content([r[0] for r in known], toxicity.ORDINARY_BYTES)
+    cost = toxicity.compressor(ordinary).compress
+    heavy = [r for r in rows if r[2] >= 4 and len(cost(toxicity.spelled(r[0]))) >= toxicity.KNOWN_COST + toxicity.HARD]
+    assert toxic == toxicity.content([r[0] for r in sorted(heavy, key=lambda r: (-r[2], r[0]))], toxicity.TOXIC_BYTES)
+    assert b"fouler" in toxic and b"rarefoul" not in toxic and b"single" not in ordinary
+
+
+def test_scores_are_a_loop_over_windows(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_id < 60")
+    model = toxicity.fitted(spark, FOLDER)
+    a, b = toxicity.compressor(model.ordinary), toxicity.compressor(model.toxic)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.score(docs, model).collect():
+        d = []
+        for w in toxicity.words_of(texts[r.doc_id] or ""):
+            s = toxicity.spelled(w)
+            d.append((len(a.compress(s)) - len(b.compress(s))) / len(s) ** 0.5)
+        top, n = sorted(d)[-5:], sum(x >= model.cut for x in d)
+        f = [np.log1p(n), min(20 * n / len(d), 3.0), max(top[-1], 0), max(sum(top[-3:]) / len(top[-3:]), 0), np.log1p(n) * min(10 * n / len(d), 1.0)] if d else [0] * 5
+        z = sum(x * w for x, w in zip(f, model.weights, strict=False)) + model.weights[-1]
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9 and (r.n_windows, r.n_toxic_windows) == (len(d), n)
+
+
 def test_known_words_compress_well():
     c = toxicity.compressor(toxicity.content(["idiot", "clown"], 4000))
     assert len(c.compress(toxicity.spelled("clown"))) < len(c.compress(toxicity.spelled("zebra")))
@@ -97,7 +134,13 @@ def test_training_takes_one_row_of_an_id(spark, monkeypatch):
     assert seen == [3]
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
     got = toxicity._sample(labels, docs, "doc_id", "text", "toxic", None, 10).collect()
-    assert sorted((r.k, r.y) for r in got) == [(1, 1), (2, 0)]
+    assert sorted((r.k, r.y, r.part) for r in got) == [(1, 1, 1), (2, 0, 1)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 41)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(1, 41)], "doc_id long, text string")
+    got = toxicity._sample(labels, docs, "doc_id", "text", "toxic", None, 100).collect()
+    assert sorted((r.part, r.y) for r in got) == [(0, 0)] * 15 + [(0, 1)] * 15 + [(1, 0)] * 5 + [(1, 1)] * 5
+    empty = docs.where("false")
+    assert toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0
 
 
 # --- language ---
