@@ -431,4 +431,4 @@ def test_query_matches_sql(spark, name):
 
 
 def test_queries_are_registered():
-    assert {k.split("_")[0] for k in queries.queries()} == {f"op{k}" for k in range(1, 11)}
+    assert {k.split("_")[0] for k in queries.queries()} == {f"op{k}" for k in range(1, 14)}
