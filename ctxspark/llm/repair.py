@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Batcher, rows_of, small_batches, table
+from .common import Batcher, rows_of, small_batches, table, written
 from .lines import stripped
 
 RETYPE, DELETE, INSERT, TRUNCATED = 3, 4, 3, 3
@@ -221,15 +221,18 @@ def applied(rows: Iterable[tuple], audit: str) -> Iterator[tuple[str, str, str]]
 
 
 def counted(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", copies: Column | None = None) -> DataFrame:
-    """(conv, turn, role, text, copies, first): equal rows as one, and whether role and text are there for the first time."""
+    """(conv, turn, role, text, copies, first): equal rows as one, and whether role and text are there for the first time.
+
+    The rows are a table in the shared folder: they are read for the edits and again for the repaired texts.
+    """
     space = F.lit(" ")
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), space).alias("role"), F.coalesce(F.col(text_col), space).alias("text"), (F.lit(1) if copies is None else copies).cast("long").alias("copies"))
-    rows = rows.groupBy("conv", "turn", "role", "text").agg(F.sum("copies").alias("copies"))
+    rows = written(rows.groupBy("conv", "turn", "role", "text").agg(F.sum("copies").alias("copies")), "counted")
     rows = rows.withColumns({"key": F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"), 256), "at": F.struct(F.col("turn").isNotNull().alias("numbered"), F.col("turn").alias("number"))})
     firsts = rows.where(F.col("copies") > 0).groupBy("conv", "key").agg(F.min("at").alias("at_"))
     firsts = firsts.select(F.col("conv").alias("conv_"), F.col("key").alias("key_"), "at_")
     own = rows.join(firsts, F.col("conv").eqNullSafe(F.col("conv_")) & (F.col("key") == F.col("key_")), "left")
-    return own.select("conv", "turn", "role", "text", "copies", F.coalesce(F.col("at") == F.col("at_"), F.lit(False)).alias("first"))
+    return written(own.select("conv", "turn", "role", "text", "copies", F.coalesce(F.col("at") == F.col("at_"), F.lit(False)).alias("first")), "turns")
 
 
 def edits(rows: DataFrame) -> DataFrame:
