@@ -9,6 +9,10 @@ merged in buckets of bounded size; the long ones are probed by binary search in
 set until the overlap is reached or out of reach.  There is no heap: the entries of a list come together
 by a sort of their bucket, and those of a pair by a grouping.
 
+Words and shingles are 64-bit hashes, in which every eight bytes are multiplied and shifted before the next
+come in.  Lists are made of one family of hashes; what decides, the keys of equal sets and the verification of
+pairs, is of another as well: two texts are taken for alike only if both families agree.
+
 Nobody enumerates a group of copies: documents with equal sets are one class; in each list, members are
 first held against a few leaders; only pairs of a list that lie in different components then, and that
 may reach T by where in the order they meet, are verified as well: no link that would join two
@@ -22,7 +26,6 @@ Ids must be integers.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -43,7 +46,7 @@ COMMON = 3
 COMMON_KEPT = 400_000
 #: Shingles counted together by a task; list entries merged together by a task.
 COUNTED, MERGED = 3_000_000, 1_000_000
-#: Bytes hashed together by numpy, in some ten arrays of eight times as many.
+#: Bytes hashed together by numpy, in some arrays of as many or more.
 CHUNK = 1 << 19
 _MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -56,74 +59,63 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _spread(h: np.ndarray) -> np.ndarray:
+    """Every bit of h moves every bit of the result, one to one."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
-#: A 64-bit number for each byte, that of a for A; nothing for white space.
-_BYTE = _mixed(_mixed(np.arange(1, 257, dtype=np.uint64) * _MIX[0]))
-_BYTE[65:91] = _BYTE[97:123]
-_BYTE[_BLANK] = 0
-
-
-@functools.lru_cache(1)
-def _powers(base: int = 0x9E3779B97F4A7C15) -> tuple[np.ndarray, np.ndarray]:
-    """base ** k and its inverse, modulo 2 ** 64, for the places of a chunk."""
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.ones(CHUNK, np.uint64)
-        p[1:] = b
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
-def _words(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of the words of at most ``CHUNK`` bytes: sums of bytes' numbers times powers, from running sums."""
-    power, inverse = _powers()
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = _LOWER[97:123]
+#: What is left of eight bytes when a word ends after so many of them.
+_LEFT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+
+
+def _words(buffer: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the words: eight bytes of every word at a time, mixed in one after the other."""
     text = np.concatenate([[False], ~_BLANK[buffer], [False]])
     edge = np.flatnonzero(text[1:] != text[:-1])
-    start, end = edge[::2], edge[1::2]
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[buffer] * power[: len(buffer)])])
-    return start, _mixed((total[end] - total[start]) * inverse[start])
+    start, length = edge[::2], edge[1::2] - edge[::2]
+    low = np.concatenate([_LOWER[buffer], np.zeros(8, np.uint8)])
+    eights = np.lib.stride_tricks.sliding_window_view(low, 8)
+    h = _spread(length.astype(np.uint64) * _MIX[0] + _MIX[seed + 1])
+    some = np.flatnonzero(length <= LONG_WORD)
+    for k in range(0, LONG_WORD, 8):
+        some = some[length[some] > k]
+        if not len(some):
+            break
+        block = eights[start[some] + k].view("<u8")[:, 0] & _LEFT[np.minimum(length[some] - k, 8)]
+        h[some] = _spread(h[some] ^ block)
+    for k in np.flatnonzero(length > LONG_WORD):
+        h[k] = xxhash.xxh3_64_intdigest(low[start[k] : start[k] + length[k]].tobytes(), seed)
+    return start, h
 
 
 def _pieces(buffer: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(place, piece) of at most ``CHUNK`` bytes, cut behind white space."""
+    """(place, piece) of some ``CHUNK`` bytes, cut at white space."""
     at = 0
     while len(buffer) - at > CHUNK:
-        blank = np.flatnonzero(_BLANK[buffer[at : at + CHUNK]])
-        if not len(blank):
-            raise OverflowError
-        yield at, buffer[at : at + int(blank[-1]) + 1]
-        at += int(blank[-1]) + 1
+        end = at + CHUNK
+        while end < len(buffer) and not len(blank := np.flatnonzero(_BLANK[buffer[end : end + CHUNK]])):
+            end += CHUNK
+        end = min(len(buffer), end + int(blank[0])) if end < len(buffer) else len(buffer)
+        yield at, buffer[at:end]
+        at = end
     yield at, buffer[at:]
 
 
-def _words_of_any(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    try:
-        found = [(at + start, h) for at, piece in list(_pieces(buffer)) for start, h in [_words(piece)]]
-    except OverflowError:  # a word longer than a chunk: the same sums, byte blocks one after the other
-        return _words_with_long_ones(buffer)
+def _words_of_any(buffer: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    found = [(at + start, h) for at, piece in _pieces(buffer) for start, h in [_words(piece, seed)]]
     return np.concatenate([s for s, _ in found]), np.concatenate([h for _, h in found])
 
 
-def _words_with_long_ones(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    power, inverse = _powers()
-    top = int(power[-1]) * int(power[1]) % (1 << 64)  # base ** CHUNK
-    starts, hashes = [], []
-    text = np.concatenate([[False], ~_BLANK[buffer], [False]])
-    edge = np.flatnonzero(text[1:] != text[:-1])
-    for start, end in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-        value, factor = 0, 1
-        for at in range(start, end, CHUNK):
-            part = buffer[at : min(end, at + CHUNK)]
-            value = (value + factor * int((_BYTE[part] * power[: len(part)]).sum(dtype=np.uint64))) % (1 << 64)
-            factor = factor * top % (1 << 64)
-        starts.append(start)
-        hashes.append(value)
-    return np.array(starts, np.int64), _mixed(np.array(hashes, np.uint64))
-
-
-def _sets_of_group(raws: list[bytes]) -> Iterator[np.ndarray]:
-    start, ids = _words_of_any(np.frombuffer(b" ".join(raws), np.uint8))
+def _sets_of_group(raws: list[bytes], seed: int) -> Iterator[np.ndarray]:
+    start, ids = _words_of_any(np.frombuffer(b" ".join(raws), np.uint8), seed)
     ends = np.cumsum([len(r) + 1 for r in raws])
     last = np.searchsorted(start, ends)
     if len(ids) >= WORDS:
@@ -149,19 +141,22 @@ def _sets_of_group(raws: list[bytes]) -> Iterator[np.ndarray]:
         a = b
 
 
-def sets_of(raws: Iterable[bytes | None]) -> Iterator[np.ndarray]:
-    """For each text the sorted distinct 64-bit hashes of its shingles; many short texts are hashed together."""
+def sets_of(raws: Iterable[bytes | None], seed: int = 0) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its shingles; many short texts are hashed together.
+
+    The hashes of seed 0 make the lists; those of seed 1 are of another family, for what must be exact.
+    """
     group: list[bytes] = []
     size = 0
     for raw in raws:
         raw = raw or b""
         if group and size + len(raw) + 1 > CHUNK:
-            yield from _sets_of_group(group)
+            yield from _sets_of_group(group, seed)
             group, size = [], 0
         group.append(raw)
         size += len(raw) + 1
     if group:
-        yield from _sets_of_group(group)
+        yield from _sets_of_group(group, seed)
 
 
 def shingles(raw: bytes | None) -> np.ndarray:
@@ -169,8 +164,9 @@ def shingles(raw: bytes | None) -> np.ndarray:
     return next(sets_of([raw]))
 
 
-def set_key(own: np.ndarray) -> tuple[int, int]:
-    d = xxhash.xxh3_128_intdigest(own.tobytes())
+def set_key(*hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits for a set, of its hashes under both seeds."""
+    d = xxhash.xxh3_128_intdigest(b"".join(h.tobytes() for h in hashes))
     return (d & (1 << 64) - 1) - (1 << 63), (d >> 64) - (1 << 63)
 
 
@@ -267,9 +263,10 @@ def _sets(docs: DataFrame, order) -> DataFrame:
         own_order = order.value
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
-            for key, own in zip(batch.column(0).to_pylist(), sets_of(raw for (raw,) in rows_of([batch], "t")), strict=True):
+            both = (sets_of((raw for (raw,) in rows_of([batch], "t")), seed) for seed in (0, 1))
+            for key, own, other in zip(batch.column(0).to_pylist(), *both, strict=True):
                 first, rare = own_order.prefix(own)
-                k1, k2 = set_key(own)
+                k1, k2 = set_key(own, other)
                 for column, v in zip(out, (key, len(own), k1, k2, rare, first.tobytes() if len(own) else b""), strict=True):
                     column.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
@@ -434,11 +431,11 @@ def _verified(candidates: DataFrame, raw: DataFrame) -> DataFrame:
 
 
 def _involved(raw: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, shingles) of the texts in the pairs."""
+    """(id, shingles) of the texts in the pairs, by the hashes that the lists are not made of."""
 
     def whole(batches):
         for batch in batches:
-            sets = [own.tobytes() for own in sets_of(t for (t,) in rows_of([batch], "t"))]
+            sets = [own.tobytes() for own in sets_of((t for (t,) in rows_of([batch], "t")), 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
     ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "involved")

@@ -353,10 +353,40 @@ def test_sets_are_those_of_plain_words(monkeypatch):
     assert len(set(known.values())) == len(known)
     long = b"w" * 100 + b" a b c d e f " + b"w" * 99 + b" a b"
     whole = jaccard.shingles(long)
+    others = list(jaccard.sets_of(texts, 1))
+    assert [len(s) for s in others] == [len(s) for s in sets]
     monkeypatch.setattr(jaccard, "CHUNK", 64)
-    jaccard._powers.cache_clear()
     assert all((a == b).all() for a, b in zip(sets, jaccard.sets_of(texts), strict=True)) and (jaccard.shingles(long) == whole).all()
-    jaccard._powers.cache_clear()
+
+
+def thue_morse(n):
+    """Two words that differ in every letter and that sums of powers of a number cannot tell apart."""
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1, 8, 9, 16, 63, 64, 65, 1024, 2048, 4096, 1 << 20])
+def test_words_of_one_sum_are_told_apart(n):
+    for seed in (0, 1):
+        a, b = (next(jaccard.sets_of([w.encode()], seed)) for w in thue_morse(n))
+        assert len(a) == len(b) == 1 and a[0] != b[0]
+        c, d = (next(jaccard.sets_of([f"x {w} y".encode()], seed)) for w in thue_morse(n))
+        assert c[0] != d[0]
+
+
+def test_words_are_hashed_apart():
+    r = random.Random(3)
+    words = {"".join(r.choice("ab") for _ in range(r.choice((1, 3, 7, 8, 9, 15, 16, 17, 40, 64, 65, 70)))) for _ in range(20_000)}
+    for seed in (0, 1):
+        _, h = jaccard._words_of_any(np.frombuffer(" ".join(words).encode(), np.uint8), seed)
+        assert len(set(h.tolist())) == len(words)
+        assert 9000 < sum(x & 1 for x in h.tolist()) * 20_000 // len(words) < 11_000
+
+
+def test_documents_of_such_words_are_not_linked(spark):
+    rows = [(2 * n + k, w) for n in (1024, 2048, 4096, 700_000) for k, w in enumerate(thue_morse(n))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(x.component_id == x.doc_id and x.n_shingles == 1 for x in jaccard.components(df).collect())
 
 
 def test_short_lists_hold_every_link():
