@@ -7,6 +7,9 @@ notices, adverts or reader comments, are evidence only: such a part goes if it i
 article element with much of the text lies elsewhere, or if the parts of its word together hold little
 of the plain text (``judge``); and they stay if otherwise little text would be left.
 
+Parts named as reader comments go first, whatever their size, if an article element or enough other text
+stands outside of them (``drop_comments``).
+
 Then densities decide.  Every node has its composite text density (characters per tag, adjusted by its
 link characters and link tags) and the sum of its children's densities.  The node of the largest sum is
 the text; the smallest density on its path up to the body is the threshold.  From the body down, every
@@ -65,6 +68,8 @@ HINTS = frozenset(
     "comment comments reply replies disqus respond discussion "
     "share sharing social related recommended recommendations newsletter subscribe subscription signup login widget widgets".split()
 )
+#: Those of them that speak of what readers wrote.
+COMMENTS = frozenset("comment comments reply replies disqus respond discussion".split())
 #: Words that say what a container has beside it, as in "with-sidebar".
 BESIDE = frozenset("has with no without".split())
 #: Class words such as "side-bar" or "cookieNotice" are cut at these places before they are looked up.
@@ -127,7 +132,7 @@ def _is_dropped(name: str, attributes: str, in_article: bool) -> tuple[bool, set
     """Whether an element is never article text, and the hint words of its class and id."""
     if name in DROPPED or (name == "header" and not in_article):
         return True, ()
-    if name in ("body", "html", "article", "main"):
+    if name in ("body", "html", "main") or (name == "article" and not in_article):
         return False, ()
     if not attributes:
         return False, ("<form>",) if name == "form" else ()
@@ -146,7 +151,7 @@ def _is_dropped(name: str, attributes: str, in_article: bool) -> tuple[bool, set
                 pieces = [p.lower() for p in _CUT.split(word.replace("_", "-")) if p]
                 hints.update(p for k, p in enumerate(pieces) if p in HINTS and (not k or pieces[k - 1] not in BESIDE))
                 hints.update(_PAIRS[p] for p in zip(pieces, pieces[1:], strict=False) if p in _PAIRS)
-    return False, hints
+    return False, hints & COMMENTS if name == "article" else hints  # an article in an article can be a comment
 
 
 def parse(page: str) -> Node:
@@ -219,6 +224,47 @@ ARTICLE = 1 / 4
 LEFT = 1 / 2
 
 
+#: So many plain characters outside of all hinted parts are a text that readers may have written about.
+ENOUGH = 140
+
+
+def drop_comments(root: Node) -> None:
+    """Takes reader comments out, however long they are, where there is something else that they are about.
+
+    That is text of an article or main element outside of them, or ``ENOUGH`` plain text outside of all
+    hinted parts.  Where there is neither, as in a whole page named "discussion", the parts named so
+    inside of them are looked at instead.
+    """
+    nodes = _order(root)
+    if not any(COMMENTS.intersection(n.hints) for n in nodes):
+        return
+    at = {id(n): k for k, n in enumerate(nodes)}
+    own = [sum(len(_SPACE.sub("", p)) for p in n.parts if type(p) is str) for n in nodes]
+    depth, link, inside, article = ([0] * len(nodes) for _ in range(4))
+    in_parts, in_articles = {}, {}  # plain characters by the number of comment parts around them
+    for k, n in enumerate(nodes):
+        j = at.get(id(n.parent), 0)
+        comment = bool(COMMENTS.intersection(n.hints))
+        depth[k] = depth[j] + comment
+        link[k] = link[j] or n.name == "a"
+        inside[k] = inside[j] or (bool(n.hints) and not comment)
+        article[k] = article[j] or n.name == "main" or (n.name == "article" and not n.hints)
+        if not link[k]:
+            if not inside[k]:
+                in_parts[depth[k]] = in_parts.get(depth[k], 0) + own[k]
+            if article[k]:
+                in_articles[depth[k]] = in_articles.get(depth[k], 0) + own[k]
+    text = said = 0
+    for level in range(1, max(depth) + 1):
+        text, said = text + in_parts.get(level - 1, 0), said + in_articles.get(level - 1, 0)
+        if said or text >= ENOUGH:
+            gone = {id(n) for k, n in enumerate(nodes) if depth[k] == level and COMMENTS.intersection(n.hints)}
+            for n in nodes:
+                if any(id(p) in gone for p in n.parts):
+                    n.parts = [p for p in n.parts if id(p) not in gone]
+            return
+
+
 def judge(root: Node) -> None:
     """Takes the hinted parts out that are beside the page's text."""
     nodes = _order(root)
@@ -385,6 +431,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    drop_comments(root)
     judge(root)
     return "\n".join(blocks(content(root)))
 

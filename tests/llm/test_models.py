@@ -292,6 +292,29 @@ def test_many_comments_beside_an_article():
     assert html.main_text(f"<body><article>{prose}</article><div id='comments'>{comments}</div></body>") == "\n".join(PROSE)
 
 
+@pytest.mark.parametrize("n", [1, 6, 12, 18, 24, 40, 400])
+def test_comments_go_however_many(n):
+    """The article and nothing else, beside or around its comments."""
+    line = "This reader writes about as much as that: some sixty letters"
+    prose = "".join(f"<p>{p}</p>" for p in PROSE)
+    plain, nested, single = (
+        "<div id='comments'>" + "".join(f"<p>{line} {k}.</p>" for k in range(n)) + "</div>",
+        "<section class='comments'><ul>" + "".join(f"<li class='comment'><div>{line} {k}.</div></li>" for k in range(n)) + "</ul></section>",
+        "".join(f"<div class='comment-body reply'>{line} {k}.</div>" for k in range(n)),
+    )
+    pages = [f"<body><{e}>{prose}</{e}>{comments}</body>" for e in ("article", "div", "main") for comments in (plain, nested, single)]
+    pages += [f"<body><article>{prose}{comments}</article></body>" for comments in (plain, nested, single)]
+    pages += [f"<body><div class='post comments-open'><div>{prose}</div>{comments}</div></body>" for comments in (plain, nested)]
+    pages += [f"<body><main><article>{prose}</article>" + "".join(f"<article class='comment'>{line} {k}.</article>" for k in range(n)) + "</main></body>"]
+    for page in pages:
+        assert html.main_text(page) == "\n".join(PROSE), page[:300]
+
+
+def test_a_page_that_is_a_discussion():
+    prose = "".join(f"<p>{p}</p>" for p in PROSE)
+    assert html.main_text(f"<body><h1>Head</h1><div id='discussion'>{prose}</div></body>") == "\n".join(["Head", *PROSE])
+
+
 def test_lists_of_links_in_an_article():
     links = "".join(f"<li><a href='/{k}'>Another story, number {k}</a></li>" for k in range(8))
     prose = "".join(f"<p>{p}</p>" for p in PROSE)
