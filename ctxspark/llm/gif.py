@@ -112,8 +112,8 @@ def lzw_encode(samples: bytes, bits: int = 8) -> bytes:
     return out[: size - 2].astype(np.uint8).tobytes()
 
 
-def _expanded(codes: np.ndarray, clear: int) -> np.ndarray:
-    """The samples of a run of codes.
+def _expanded(codes: np.ndarray, clear: int, room: int) -> np.ndarray:
+    """The samples of a run of codes, of those codes only that begin within ``room`` samples.
 
     The k-th code adds the entry that is its own string and the next sample: entry k lies in the output
     where code k begins.  So a code's length is that of the code it points to and one, and each of its
@@ -135,6 +135,9 @@ def _expanded(codes: np.ndarray, clear: int) -> np.ndarray:
         at = at[at]
     length += 1
     ends = np.cumsum(length)
+    if ends[-1] > room:  # before memory is taken for what the other codes unfold to
+        used = int(np.searchsorted(ends, room)) + 1
+        codes, length, ends, up, literal = codes[:used], length[:used], ends[:used], up[:used], literal[:used]
     starts = ends - length
     # where each sample is copied from: itself for a literal
     source = np.arange(int(ends[-1])) + np.repeat(starts[up] - starts, length)
@@ -157,7 +160,7 @@ def lzw_decode(data: bytes, bits: int, n: int) -> np.ndarray:
     raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
     out, size, at, total = [], 0, 0, 8 * len(data)
     while size < n:
-        codes, ended, k = [], True, 0
+        codes, ended, k, held = [], True, 0, 0
         while True:  # a run may be longer than the table: its width stays
             place = at + (before if not k else np.arange(len(before)) * CODE_BITS)
             own = width if not k else np.full(len(before), CODE_BITS)
@@ -173,12 +176,13 @@ def lzw_decode(data: bytes, bits: int, n: int) -> np.ndarray:
                 at = int(place[stop] + own[stop])
                 break
             codes.append(found)
-            if fits < len(before):
+            held += fits
+            if fits < len(before) or held >= n - size:
                 break
             at, k = int(place[-1] + own[-1]), k + 1
-        run = np.concatenate(codes)
+        run = np.concatenate(codes)[: n - size]  # a code is a sample at least
         if len(run):
-            out.append(_expanded(run, clear))
+            out.append(_expanded(run, clear, n - size))
             size += len(out[-1])
         if ended:
             break

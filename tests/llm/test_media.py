@@ -5,6 +5,7 @@ import random
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -196,3 +197,29 @@ def test_files_that_claim_too_much():
     assert "canvas" in media.read_media(wide)[3]
     many = b"GIF89a" + struct.pack("<HHBBB", 9, 9, 0, 0, 0) + (b"\x2c" + struct.pack("<HHHHB", 0, 0, 8000, 8000, 0) + b"\x08\x01\x00\x00") * 9 + b"\x3b"
     assert "samples" in media.read_media(many)[3]
+
+
+def peak_mb(data, n):
+    import tracemalloc
+
+    tracemalloc.start()
+    got = gif.lzw_decode(data, 8, n)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert len(got) == n
+    return peak
+
+
+def test_streams_that_unfold_beyond_their_claim():
+    """A stream of one colour: a megabyte of codes would unfold to gigabytes."""
+    codes = np.concatenate([[256, 7], 258 + np.arange(3837), np.full(600_000, 4095)]).astype(np.int64)
+    width = np.where(np.arange(len(codes)) < 1, 9, 12)
+    first = np.arange(len(codes)) - 1  # codes since the clear code
+    for w, least in ((9, 0), (10, 512 - 258 + 1), (11, 1024 - 258 + 1), (12, 2048 - 258 + 1)):
+        width[(first >= least) & (np.arange(len(codes)) > 0)] = w
+    bits = ((codes[:, None] >> np.arange(12)) & 1).astype(np.uint8)
+    stream = np.packbits(bits[np.arange(12)[None] < width[:, None]], bitorder="little").tobytes()
+    assert len(stream) > 900_000
+    for n in (1, 1000, 100_000):
+        assert peak_mb(stream, n) < 100
+        assert set(gif.lzw_decode(stream, 8, n).tolist()) == {7}
