@@ -116,13 +116,13 @@ def encoder(path: str) -> WordEncoder:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, eos: int = EOS) -> DataFrame:
-    """(id, start, length, ids_crc32, doc_tokens, salt) of every piece; salt spreads rows evenly."""
+    """(id, start, length, ids_crc32, doc_tokens) of every piece."""
     small_batches(docs.sparkSession)
     end = int(eos).to_bytes(4, "little")
-    names = (id_col, "start", "length", "ids_crc32", "doc_tokens", "salt")
+    names = (id_col, "start", "length", "ids_crc32", "doc_tokens")
 
     def run(batches):
-        encode, salt = encoder(tokenizer_path), 0
+        encode = encoder(tokenizer_path)
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for key, text in rows_of([batch], "k", "t"):
@@ -130,8 +130,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                 total = len(ids) // 4
                 for start in range(0, total, capacity):
                     part = ids[4 * start : 4 * (start + capacity)]
-                    salt = (salt + 40_503) & 0xFFFF
-                    for column, v in zip(out, (key, start, len(part) // 4, zlib.crc32(part), total, salt), strict=True):
+                    for column, v in zip(out, (key, start, len(part) // 4, zlib.crc32(part), total), strict=True):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(0).type), *(pa.array(c, pa.int64()) for c in out[1:])], names=list(names))
         encode.forget()
@@ -288,9 +287,9 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         demand[row["class"]] = row["count"]
     where = slots(plan(demand, room), demand)
     shards = int(max(1, -(-demand.sum() // SHARD_ROWS)))
-    made = made.withColumn("shard", F.pmod(F.col("salt") * 2_654_435_761 + F.col("start"), F.lit(shards)))
+    made = made.withColumn("shard", F.pmod(F.xxhash64(id_col, "start", "ids_crc32"), F.lit(shards)))
     before = made.groupBy("class", "shard").count().select(F.col("class").alias("c"), F.col("shard").alias("s"), (F.sum("count").over(Window.partitionBy("class").orderBy("shard")) - F.col("count")).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("class", "shard").orderBy("length", id_col, "start")) - 1
+    inside = F.row_number().over(Window.partitionBy("class", "shard").orderBy("length", id_col, "start", "ids_crc32")) - 1
     ranked = made.withColumn("inside", inside).join(before, (F.col("class") == F.col("c")) & (F.col("shard") == F.col("s")))
     ranked = ranked.select(id_col, "start", "length", "ids_crc32", "doc_tokens", "class", (F.col("inside") + F.col("before")).alias("rank"))
 

@@ -128,6 +128,15 @@ def test_pieces_and_sequences(spark):
     check_packed(small, texts, lambda t: tk.encode(t, add_special_tokens=False).ids, 256)
 
 
+def test_packing_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ROWS", 20)
+    r = random.Random(2)
+    texts = ["word " * r.choice((1, 50, 700, 3000, 9000)) + str(k % 40) for k in range(60)]
+    df = table_of(spark, texts, [k % 50 for k in range(60)])
+    found = [sorted(tuple(x) for x in packing.pack(df.repartition(n), packing.tokenizer_path()).collect()) for n in (3, 211)]
+    assert found[0] == found[1] and len({(x[5], x[6]) for x in found[0]}) == len(found[0])
+
+
 def test_packing_of_an_empty_table(spark):
     assert packing.pack(table_of(spark, []), packing.tokenizer_path()).collect() == []
 
