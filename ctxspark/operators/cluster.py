@@ -1,17 +1,17 @@
 """Hierarchical clustering of a batch of contexts into a prefix tree, and the orders that follow from it.
 
-A batch (the contexts scheduled together) is clustered on its own, so batches run in parallel.  In a
-batch, contexts that share no document never meet in a non-empty node; the linkage is therefore run on
-the batch's matrix of distances, which must fit a task: ``max_batch`` guards that, and larger batches
-are to be split by ``component_batches`` first.
+A batch (the contexts scheduled together) is clustered on its own, so batches run in parallel.  Batches of
+up to ``max_batch`` contexts are linked on their matrix of distances in one task; larger ones on tables
+(``rounds``), to the same merges, and a task holds their contexts and merges only.
 
 The tree follows from the list of merges in four steps: a cluster's content is what all its contexts
 share; each cluster has a head, the node that stands for it; every merge of two heads gives two links;
 nodes without content are no nodes.
 
-Rules: the nearest pair is merged first, ties by the smaller and then the larger cluster number;
-distances are whole numbers of 1e-9, so equal means are equal; a context's set seen before shares its
-head; a merge whose content an existing third node has gets that node as its head.
+Rules: the nearest pair is merged first, ties by the smaller and then the larger of the two clusters' first
+contexts; merges are numbered by distance, then size, then first context; distances are whole numbers
+of 1e-9, so equal means are equal; a context's set seen before shares its head; a merge whose content an
+existing third node has gets that node as its head.
 """
 
 from __future__ import annotations
@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from . import rounds
 from .contexts import exploded
-from .distance import ALPHA
+from .distance import ALPHA, GRAIN
 
 LINKAGES = ("average", "complete", "single")
+#: Contexts, or clusters that are left of them, of which one task holds the matrix.
 MAX_BATCH = 4000
 
 
@@ -56,35 +58,27 @@ def distance_matrix(contexts: list[list[int]], alpha: float = ALPHA) -> np.ndarr
     return out
 
 
-#: Distances are counted in these parts of 1, so that sums (of up to ``MAX_BATCH`` squared) and ties are exact.
-GRAIN = 1_000_000_000
 
+def joined(whole: np.ndarray, size: np.ndarray, method: str) -> list[tuple[int, int, float, int]]:
+    """(first, second, distance in parts, size) of the merges of clusters, each named by its place; the first names both then.
 
-def linkage(distances: np.ndarray, method: str = "average") -> list[tuple[int, int, float, int]]:
-    """(left, right, distance, size) of n - 1 merges; cluster n + k is made by merge k.
-
-    One matrix, changed in place: a merged cluster takes a row of its own two, and only rows whose
-    nearest row was one of these are searched anew.
+    ``whole``: sums of the distances of two clusters' contexts, or the extreme one.  One matrix, changed in
+    place: a merged cluster takes the first row of its own two, and only rows whose nearest row was one
+    of these are searched anew.
     """
-    if method not in LINKAGES:
-        raise ValueError(f"unknown linkage {method!r}")
-    n = len(distances)
-    whole = np.rint(np.asarray(distances, float) * GRAIN).astype(np.int64)  # sums of distances, or the extreme one
-    label, size, alive = np.arange(n), np.ones(n, np.int64), np.ones(n, bool)
-    mean = whole.astype(float)
+    n, size, alive = len(whole), size.astype(np.int64), np.ones(len(whole), bool)
+    mean = whole / np.multiply.outer(size, size) if method == "average" else whole.astype(float)
     np.fill_diagonal(mean, np.inf)
     nearest = mean.min(axis=1) if n else np.zeros(0)
     merges = []
-    for step in range(n - 1):
-        least = nearest.min()
-        rows = np.flatnonzero(nearest == least)
-        i = int(rows[np.argmin(label[rows])])
-        columns = np.flatnonzero(mean[i] == least)
-        j = int(columns[np.argmin(label[columns])])
-        merges.append((int(label[i]), int(label[j]), float(least) / GRAIN, int(size[i] + size[j])))
+    for _ in range(n - 1):
+        i = int(np.argmin(nearest))
+        least = nearest[i]
+        j = int(np.argmin(mean[i]))
         both = whole[i] + whole[j] if method == "average" else np.maximum(whole[i], whole[j]) if method == "complete" else np.minimum(whole[i], whole[j])
         size[i] += size[j]
-        label[i], alive[j] = n + step, False
+        merges.append((i, j, float(least), int(size[i])))
+        alive[j] = False
         whole[i] = whole[:, i] = both
         own = both / (size[i] * size) if method == "average" else both.astype(float)
         own[~alive] = own[i] = np.inf
@@ -97,6 +91,24 @@ def linkage(distances: np.ndarray, method: str = "average") -> list[tuple[int, i
     return merges
 
 
+def numbered(n: int, merges: list[tuple[int, int, float, int]]) -> list[tuple[int, int, float, int]]:
+    """(left, right, distance, size) by cluster numbers of merges by first contexts; cluster n + k is made by merge k."""
+    number, out = list(range(n)), []
+    for k, (i, j, far, size) in enumerate(sorted(merges, key=lambda m: (m[2], m[3], m[0]))):
+        out.append((*sorted((number[i], number[j])), far / GRAIN, size))
+        number[i] = n + k
+    return out
+
+
+def linkage(distances: np.ndarray, method: str = "average") -> list[tuple[int, int, float, int]]:
+    """(left, right, distance, size) of n - 1 merges; cluster n + k is made by merge k."""
+    if method not in LINKAGES:
+        raise ValueError(f"unknown linkage {method!r}")
+    n = len(distances)
+    whole = np.rint(np.asarray(distances, float) * GRAIN).astype(np.int64)
+    return numbered(n, joined(whole, np.ones(n, np.int64), method))
+
+
 def contents(contexts: list[list[int]], merges: list[tuple]) -> list[frozenset]:
     """What all contexts of each cluster share, by cluster number."""
     shared = [frozenset(docs) for docs in contexts]
@@ -140,10 +152,11 @@ class Node:
 class Tree:
     """The prefix tree of one batch."""
 
-    def __init__(self, contexts: list[list[int]], method: str = "average", alpha: float = ALPHA):
+    def __init__(self, contexts: list[list[int]], method: str = "average", alpha: float = ALPHA, merges: list[tuple] | None = None):
         self.contexts = contexts
         n = len(contexts)
-        merges = linkage(distance_matrix(contexts, alpha), method) if n > 1 else []
+        if merges is None:
+            merges = linkage(distance_matrix(contexts, alpha), method) if n > 1 else []
         shared = contents(contexts, merges)
         head, joins = heads(n, merges, shared)
         members: dict[int, set[int]] = {}
@@ -204,35 +217,50 @@ class Tree:
         return {"total_nodes": len(self.nodes), "leaf_nodes": leaf, "root_nodes": sum(v.parent is None for v in self.nodes.values()), "internal_nodes": len(self.nodes) - leaf}
 
 
-def by_batch(contexts: DataFrame, batch: str, made: Callable[[object, list, list], list[tuple]], schema: T.StructType, max_batch: int = MAX_BATCH) -> DataFrame:
-    """The rows that ``made`` (batch, context ids, lists) gives for each batch, contexts in the order of ctx_id.
+def by_batch(contexts: DataFrame, batch: str, made: Callable[[object, list, Tree], list[tuple]], schema: T.StructType, method: str, alpha: float, max_batch: int) -> DataFrame:
+    """The rows that ``made`` (batch, context ids, tree) gives for each batch, contexts in the order of ctx_id.
 
     Batches lie one after the other in sorted partitions: one worker takes many without a start for each.
-    The number of partitions is fixed, as a batch costs far more time than its bytes tell.
+    The number of partitions is fixed, as a batch costs far more time than its bytes tell.  Batches of more
+    than ``max_batch`` contexts bring their merges with them.
     """
+    if method not in LINKAGES:
+        raise ValueError(f"unknown linkage {method!r}")
     parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = contexts.select(F.col(batch).alias("b"), F.col("ctx_id").alias("c"), F.col("docs").cast("array<bigint>").alias("d"))
-    rows = rows.repartition(parts, "b").sortWithinPartitions("b", "c")
+    large = rows.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > max_batch)
+    none = F.lit(None)
+    merge = "struct<i:bigint,j:bigint,far:double,size:bigint>"
+    both = rows.withColumn("m", none.cast(merge))
+    if large.limit(1).count():
+        own = rounds.merges(rows, large.select("b"), method, alpha, max_batch)
+        both = both.unionByName(own.select("b", none.cast(rows.schema["c"].dataType).alias("c"), none.cast("array<bigint>").alias("d"), F.struct("i", "j", "far", "size").alias("m")))
+    both = both.repartition(parts, "b").sortWithinPartitions("b", "c")
     kinds = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for part in batches for row in zip(*(c.to_pylist() for c in part.columns), strict=True))
         out: list[tuple] = []
         for key, group in itertools.groupby(rows, key=lambda row: row[0]):
-            ids, lists = [], []
-            for _, c, docs in group:
-                ids.append(c)
-                lists.append(docs)
-                if len(ids) > max_batch:
-                    raise ValueError(f"a batch is beyond {max_batch} contexts; split it first")
-            out += made(key, ids, lists)
+            ids, lists, merges = [], [], []
+            for _, c, docs, m in group:
+                if m is None:
+                    ids.append(c)
+                    lists.append(docs)
+                else:
+                    merges.append((m["i"], m["j"], m["far"], m["size"]))
+            known = None
+            if len(ids) > max_batch:
+                place = {c: k for k, c in enumerate(ids)}
+                known = numbered(len(ids), [(place[i], place[j], far, size) for i, j, far, size in merges])
+            out += made(key, ids, Tree(lists, method, alpha, known))
             if len(out) >= OUT_ROWS:
                 yield _batch(out, kinds)
                 out = []
         if out:
             yield _batch(out, kinds)
 
-    return rows.mapInArrow(run, schema)
+    return both.mapInArrow(run, schema)
 
 
 #: Rows of an output batch, and then the rest of the last group.
@@ -246,28 +274,27 @@ def _batch(rows: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
 def arranged(contexts: DataFrame, batch: str, method: str = "average", alpha: float = ALPHA, max_batch: int = MAX_BATCH) -> DataFrame:
     """(batch, ctx_id, docs, reordered, path) of every context; contexts of a batch in the order of ctx_id."""
 
-    def made(key, ids: list, lists: list) -> list[tuple]:
-        orders = Tree(lists, method, alpha).arranged()
-        return [(key, c, docs, order, path) for c, docs, (order, path) in zip(ids, lists, orders, strict=True)]
+    def made(key, ids: list, tree: Tree) -> list[tuple]:
+        return [(key, c, docs, order, path) for c, docs, (order, path) in zip(ids, tree.contexts, tree.arranged(), strict=True)]
 
     numbers, places = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
     own = [contexts.schema[batch], contexts.schema["ctx_id"], T.StructField("docs", numbers)]
     schema = T.StructType([*own, T.StructField("reordered", numbers), T.StructField("path", places)])
-    return by_batch(contexts, batch, made, schema, max_batch)
+    return by_batch(contexts, batch, made, schema, method, alpha, max_batch)
 
 
 def tree_nodes(contexts: DataFrame, batch: str, method: str = "average", alpha: float = ALPHA, max_batch: int = MAX_BATCH) -> DataFrame:
     """(batch, node_id, parent_id, child_no, path, docs, content, frequency, merge_distance, is_leaf): each batch's tree."""
 
-    def made(key, ids: list, lists: list) -> list[tuple]:
-        tree, rows = Tree(lists, method, alpha), []
+    def made(key, ids: list, tree: Tree) -> list[tuple]:
+        rows = []
         for k, path, docs in tree.walk():
             v = tree.nodes[k]
             rows.append((key, k, v.parent, path[-1] if path else None, path, docs, sorted(v.content), v.frequency, v.distance, not v.children))
         return rows
 
     schema = T.StructType([contexts.schema[batch], *T.StructType.fromDDL(NODE).fields])
-    return by_batch(contexts, batch, made, schema, max_batch)
+    return by_batch(contexts, batch, made, schema, method, alpha, max_batch)
 
 
 NODE = (

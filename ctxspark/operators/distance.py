@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .contexts import exploded
 
 ALPHA = 0.001
+#: Distances are counted in these parts of 1 where they are added up, so that sums and ties are exact.
+GRAIN = 1_000_000_000
 
 
 def distance_of(common: Column, moved: Column, n: Column, m: Column, alpha: float = ALPHA) -> Column:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ctxspark.engine import ContextEngine, Settings
 from ctxspark.operators import cluster, schedule
 from ctxspark.operators import contexts as cx
-from ctxspark.operators import distance, index
+from ctxspark.operators import distance, index, rounds
+from ctxspark.operators.distance import GRAIN
 
 
 def plain_distance(a, b, alpha=0.001):
@@ -216,6 +217,51 @@ def test_engine_with_names(spark):
         Settings(linkage="ward")
 
 
-def test_too_large_batches_are_refused(spark):
-    with pytest.raises(Exception, match="beyond"):
-        cluster.arranged(frame(spark, [[[1], [2], [3]]]), "batch", max_batch=2).collect()
+def many(n, seed, docs=40, most=6):
+    """One batch with ties, far pairs that share a document, and contexts that share nothing."""
+    r = random.Random(seed)
+    out = [r.sample(range(docs), r.randint(0, most)) for _ in range(n)]
+    return out + [[100, *range(200, 230)], [*range(300, 390), 100], [*range(400, 480), 100], [7000]]
+
+
+@pytest.mark.parametrize("method", cluster.LINKAGES)
+def test_large_batches_are_linked_as_small_ones(spark, method):
+    """The merges of tables, to the end and handed over at several sizes, are those of the matrix."""
+    contexts = [many(90, 1), many(40, 2, docs=200), [[1], [2], [3]], [[5, 6]] * 4 + [[6, 5]]]
+    df = frame(spark, contexts)
+    want = sorted(map(tuple, cluster.tree_nodes(df, "batch", method).collect()))
+    for most in (1, 30) if method == "average" else (2,):
+        assert sorted(map(tuple, cluster.tree_nodes(df, "batch", method, max_batch=most).collect())) == want
+
+
+@pytest.mark.parametrize("method", cluster.LINKAGES)
+def test_all_merges_without_spark(method):
+    """Clusters at 1 and beyond, as the last task gets them."""
+    for seed in range(60):
+        r = random.Random(seed)
+        n, low = r.randint(1, 9), r.random() < 0.5
+        sizes = {k: 1 for k in range(n)}
+        far = {(i, j): r.choice([GRAIN, GRAIN + 1000, GRAIN + 5000] + [GRAIN - 7000] * low) for i in range(n) for j in range(i) if r.random() < 0.6}
+        shared = {}
+        for (i, j), w in far.items():
+            pair = (GRAIN - w if method == "average" else w), 1
+            shared.setdefault(i, {})[j] = shared.setdefault(j, {})[i] = pair
+        m = np.full((n, n), GRAIN, np.int64)
+        for (i, j), w in far.items():
+            m[i, j] = m[j, i] = w
+        want = cluster.joined(m, np.ones(n, np.int64), method)
+        assert sorted(rounds.left(dict(sizes), shared, method, n if low else 0)) == sorted(want)
+
+
+def test_numbers_by_distance_size_and_first_context():
+    """Ties: nearest first, then the clusters' first contexts; a cluster is numbered after those in it."""
+    m = np.array([[0, 5, 1, 5], [5, 0, 5, 1], [1, 5, 0, 5], [5, 1, 5, 0]], float)
+    assert [x[:2] for x in cluster.linkage(m)] == [(0, 2), (1, 3), (4, 5)]
+    assert [x[:2] for x in cluster.linkage(np.ones((4, 4)) - np.eye(4))] == [(0, 1), (2, 4), (3, 5)]
+
+
+def test_a_large_batch_with_a_null_key(spark):
+    rows = [(None, k, [k % 3, 10 + k % 2]) for k in range(12)]
+    df = spark.createDataFrame(rows, "batch long, ctx_id long, docs array<bigint>")
+    want = sorted(map(tuple, cluster.arranged(df, "batch").collect()), key=repr)
+    assert sorted(map(tuple, cluster.arranged(df, "batch", max_batch=3).collect()), key=repr) == want
