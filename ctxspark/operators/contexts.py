@@ -31,6 +31,18 @@ def interned(contexts: DataFrame, bucket: int = 4096) -> DataFrame:
     return first.withColumn("inside", inside).join(shift, "range").select("doc", (F.col("inside") + F.col("before")).cast("long").alias("doc_number"))
 
 
+def ranked(rows: DataFrame, keys: list[str], order: str, name: str, bucket: int = 4096) -> DataFrame:
+    """``rows`` with ``name``: the place, from 0, among the rows of their keys by a whole-number column.
+
+    Places are given inside ranges of the column and shifted by the counts of earlier ranges.
+    """
+    own = rows.withColumn("range_", F.floor(F.col(order) / bucket))
+    counts = own.groupBy(*keys, "range_").agg(F.count("*").alias("n_"))
+    shift = counts.select(*keys, "range_", (F.sum("n_").over(Window.partitionBy(*keys).orderBy("range_")) - F.col("n_")).alias("before_"))  # one row a range
+    inside = F.row_number().over(Window.partitionBy(*keys, "range_").orderBy(order)) - 1
+    return own.withColumn("inside_", inside).join(shift, [*keys, "range_"]).withColumn(name, F.col("inside_") + F.col("before_")).drop("range_", "inside_", "before_")
+
+
 def ordered_intersection(first: Column, second: Column) -> Column:
     """Members of the first list that are in the second, in the first's order."""
     return F.array_intersect(first, second)

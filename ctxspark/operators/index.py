@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .cluster import Tree
+from .cluster import arranged, tree_nodes
+from .contexts import ranked, reordered_with_prefix
 from .distance import ALPHA
+from .shared import Scratch, group_key
 
 
 def node_stats(nodes: DataFrame, batch: str) -> DataFrame:
@@ -18,104 +20,88 @@ def node_stats(nodes: DataFrame, batch: str) -> DataFrame:
     return nodes.groupBy(batch).agg(F.count("*").alias("total_nodes"), leaf.alias("leaf_nodes"), F.count_if(F.col("parent_id").isNull()).alias("root_nodes"), (F.count("*") - leaf).alias("internal_nodes"))
 
 
-def _distance(a: list[int], b: list[int], alpha: float) -> float:
-    place = {d: k for k, d in enumerate(a)}
-    moved = [abs(place[d] - k) for k, d in enumerate(b) if d in place]
-    return 1 - len(moved) / max(len(a), len(b)) + alpha * sum(moved) / len(moved) if moved else 1.0
-
-
-class Searcher:
-    """Top-down search: the nearest child that shares documents, while its first document is asked for."""
-
-    def __init__(self, tree: Tree, alpha: float = ALPHA):
-        self.tree, self.alpha = tree, alpha
-        self.docs = {k: docs for k, _, docs in tree.walk()}
-        self.paths = {k: path for k, path, _ in tree.walk()}
-
-    def search(self, context: list[int]) -> tuple[list[int], int, int, bool]:
-        """(path, node, overlap, has_prefix); no match: ([], -1, 0, False)."""
-        asked, at, nodes = set(context), self.tree.root, self.tree.nodes
-        while at is not None:
-            best = None
-            for c in nodes[at].children:
-                if c in self.docs and asked.intersection(self.docs[c]):
-                    far = _distance(context, self.docs[c], self.alpha)
-                    if best is None or far < best[0]:
-                        best = (far, c)
-            if best is None:
-                if at == self.tree.root:
-                    break
-                return self.paths[at], at, len(asked.intersection(self.docs[at])), True
-            c = best[1]
-            starts = self.docs[c][0] in asked
-            if not starts or not nodes[c].children:
-                return self.paths[c], c, len(asked.intersection(self.docs[c])), starts
-            at = c
-        return [], -1, 0, False
+def _keyed(df: DataFrame, batch: str) -> DataFrame:
+    return df.withColumn("g", group_key(F.col(batch)))
 
 
-def _both(frames: tuple[pd.DataFrame, pd.DataFrame]) -> tuple[pd.DataFrame, pd.DataFrame]:
-    return tuple(f.sort_values("ctx_id", kind="stable").reset_index(drop=True) for f in frames)
+def _searched(nodes: DataFrame, asked: DataFrame, alpha: float, scratch: Scratch) -> DataFrame:
+    """(g, ctx_id, search_path, node_id, overlap, has_prefix) of contexts (g, ctx_id, docs) in the trees of a node table (g, ...).
 
-
-def _cogrouped(indexed: DataFrame, asked: DataFrame, batch: str):
-    # columns are named anew, as both sides may come from one table
-    left, right = (df.select(*(F.col(c).alias(c) for c in (batch, "ctx_id", "docs"))).groupBy(batch) for df in (indexed, asked))
-    return left.cogroup(right)
+    All contexts go down a level a round: a context at a node meets, through shared documents, the node's
+    children, and the nearest one is where it goes on, stays or ends.
+    """
+    own = asked.select("g", "ctx_id", F.size("docs").alias("n"), F.posexplode("docs").alias("pos", "doc"))
+    children = nodes.where(F.col("parent_id").isNotNull()).select("g", F.col("parent_id").alias("at"), "node_id", "child_no", "is_leaf", F.col("path").alias("child_path"), F.size("docs").alias("m"), F.get("docs", F.lit(0)).alias("first"), F.posexplode("docs").alias("child_pos", "doc"))
+    frontier = asked.select("g", "ctx_id").join(nodes.where(F.col("parent_id").isNull()).select("g", F.col("node_id").alias("at")), "g")
+    frontier = scratch.written(frontier.select("g", "ctx_id", "at", F.lit(None).cast("long").alias("overlap"), F.lit(None).cast("array<int>").alias("path")))
+    ended: list[DataFrame] = []
+    while True:
+        met = frontier.select("g", "ctx_id", "at").join(own, ["g", "ctx_id"]).join(children, ["g", "at", "doc"])
+        near = met.groupBy("g", "ctx_id", "n", "m", "node_id", "child_no", "is_leaf", "first").agg(F.count("*").alias("common"), F.sum(F.abs(F.col("pos") - F.col("child_pos"))).alias("moved"), F.bool_or(F.col("doc") == F.col("first")).alias("starts"), F.first("child_path").alias("child_path"))
+        far = 1 - F.col("common") / F.greatest("n", "m") + F.lit(alpha) * F.col("moved") / F.col("common")
+        best = near.groupBy("g", "ctx_id").agg(F.min_by(F.struct("node_id", "is_leaf", "starts", "common", "child_path"), F.struct(far, "child_no")).alias("to"))
+        step = scratch.written(frontier.join(best, ["g", "ctx_id"], "left"))
+        to = F.col("to")
+        here = step.where(to.isNull() & F.col("path").isNotNull()).select("g", "ctx_id", F.col("path").alias("search_path"), F.col("at").alias("node_id"), "overlap", F.lit(True).alias("has_prefix"))
+        there = step.where(to.isNotNull() & (to.is_leaf | ~to.starts)).select("g", "ctx_id", to.child_path.alias("search_path"), to.node_id.alias("node_id"), to.common.alias("overlap"), to.starts.alias("has_prefix"))
+        ended += [here, there]
+        on = step.where(to.isNotNull() & ~to.is_leaf & to.starts)
+        frontier = on.select("g", "ctx_id", to.node_id.alias("at"), to.common.alias("overlap"), to.child_path.alias("path"))
+        if not on.limit(1).count():
+            break
+    found = functools.reduce(DataFrame.unionByName, ended)
+    out = asked.select("g", "ctx_id").join(found, ["g", "ctx_id"], "left")
+    none = F.array().cast("array<int>")
+    return out.select("g", "ctx_id", F.coalesce("search_path", none).alias("search_path"), F.coalesce("node_id", F.lit(-1).cast("long")).alias("node_id"), F.coalesce("overlap", F.lit(0).cast("long")).alias("overlap"), F.coalesce("has_prefix", F.lit(False)).alias("has_prefix"))
+
+
+def _tables(indexed: DataFrame, asked: DataFrame, batch: str, method: str, alpha: float) -> tuple[Scratch, DataFrame, DataFrame]:
+    scratch = Scratch(indexed.sparkSession, "search")
+    nodes = scratch.written(_keyed(tree_nodes(indexed, batch, method, alpha), batch).drop(batch))
+    own = scratch.written(_keyed(asked.select(batch, "ctx_id", F.col("docs").cast("array<bigint>").alias("docs")), batch))
+    return scratch, nodes, own
 
 
 def searched(indexed: DataFrame, asked: DataFrame, batch: str, method: str = "average", alpha: float = ALPHA) -> DataFrame:
-    """(batch, ctx_id, search_path, node_id, overlap, has_prefix): each batch's contexts searched in its tree."""
-
-    def run(known: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        known, new = _both((known, new))
-        search = Searcher(Tree([[int(d) for d in x] for x in known["docs"]], method, alpha), alpha)
-        rows = [(b, c, *search.search([int(d) for d in docs])) for b, c, docs in zip(new[batch], new["ctx_id"], new["docs"], strict=True)]
-        return pd.DataFrame(rows, columns=schema.names)
+    """(batch, ctx_id, search_path, node_id, overlap, has_prefix): each batch's contexts searched in its tree.
 
-    schema = T.StructType([asked.schema[batch], asked.schema["ctx_id"], T.StructField("search_path", T.ArrayType(T.IntegerType())), T.StructField("node_id", T.LongType()), T.StructField("overlap", T.LongType()), T.StructField("has_prefix", T.BooleanType())])
-    return _cogrouped(indexed, asked, batch).applyInPandas(run, schema)
+    The search goes to the nearest child that shares documents, as long as its first document is asked for;
+    no match: ([], -1, 0, False).
+    """
+    scratch, nodes, own = _tables(indexed, asked, batch, method, alpha)
+    found = _searched(nodes, own, alpha, scratch)
+    return own.select("g", batch, "ctx_id").join(found, ["g", "ctx_id"]).drop("g")
 
 
 def built_incrementally(indexed: DataFrame, asked: DataFrame, batch: str, method: str = "average", alpha: float = ALPHA) -> DataFrame:
     """(batch, ctx_id, docs, reordered, path, matched, group_id, exec_pos): new contexts built into each batch's tree.
 
-    Matched contexts begin with the documents of their node that they have; the others are clustered
-    among themselves, and their subtrees become further children of the root.
+    Matched contexts begin with the documents of their node that they have, and hang below it, or beside it
+    where it is a leaf or its first document isn't theirs; the others are clustered among themselves, and
+    their subtrees become further children of the root.
     """
-
-    def run(known: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        known, new = _both((known, new))
-        tree = Tree([[int(d) for d in x] for x in known["docs"]], method, alpha)
-        search, rows, rest = Searcher(tree, alpha), [], []
-        added: dict[int, int] = {}
-        for b, c, docs in zip(new[batch], new["ctx_id"], new["docs"], strict=True):
-            docs = [int(d) for d in docs]
-            path, node, _, has_prefix = search.search(docs)
-            if node < 0:
-                rest.append((b, c, docs))
-                continue
-            prefix = [d for d in search.docs[node] if d in set(docs)] if has_prefix else []
-            inside = bool(tree.nodes[node].children) and has_prefix
-            parent = node if inside else tree.nodes[node].parent
-            place = len(tree.nodes[parent].children) + added.get(parent, 0) if parent is not None else 0
-            added[parent] = added.get(parent, 0) + 1
-            rows.append((b, c, docs, prefix + [d for d in docs if d not in set(prefix)], [*search.paths.get(parent, []), place], True))
-        if rest:
-            base = len(tree.nodes[tree.root].children) + added.get(tree.root, 0) if tree.root is not None else 0
-            for (b, c, docs), (order, path) in zip(rest, Tree([d for _, _, d in rest], method, alpha).arranged(), strict=True):
-                rows.append((b, c, docs, order, [path[0] + base, *path[1:]] if path else [], False))
-        made = pd.DataFrame(rows, columns=[batch, "ctx_id", "docs", "reordered", "path", "matched"])
-        made["group_id"] = [p[0] if p else -1 for p in made["path"]]
-        made["depth"] = [-len(p) for p in made["path"]]
-        made["late"] = ~made["matched"].astype(bool)
-        made = made.sort_values(["group_id", "depth", "late", "ctx_id"], kind="stable").drop(columns=["depth", "late"])
-        made["exec_pos"] = range(len(made))
-        return made[schema.names]
-
-    numbers = T.ArrayType(T.LongType())
-    schema = T.StructType([asked.schema[batch], asked.schema["ctx_id"], T.StructField("docs", numbers), T.StructField("reordered", numbers), T.StructField("path", T.ArrayType(T.IntegerType())), T.StructField("matched", T.BooleanType()), T.StructField("group_id", T.IntegerType()), T.StructField("exec_pos", T.LongType())])
-    return _cogrouped(indexed, asked, batch).applyInPandas(run, schema)
+    scratch, nodes, own = _tables(indexed, asked, batch, method, alpha)
+    found = scratch.written(own.join(_searched(nodes, own, alpha, scratch), ["g", "ctx_id"]))
+    count = nodes.where(F.col("parent_id").isNotNull()).groupBy("g", F.col("parent_id").alias("parent")).agg(F.count("*").alias("children"))
+    places = nodes.select("g", F.col("node_id").alias("parent"), F.col("path").alias("parent_path")).join(count, ["g", "parent"], "left").withColumn("children", F.coalesce("children", F.lit(0).cast("long")))
+    at = nodes.select("g", "node_id", "parent_id", "is_leaf", F.col("docs").alias("node_docs"))
+    hit = found.where("node_id >= 0").join(at, ["g", "node_id"])
+    hit = hit.withColumn("parent", F.when(F.col("has_prefix") & ~F.col("is_leaf"), F.col("node_id")).otherwise(F.col("parent_id")))
+    hit = scratch.written(ranked(hit, ["g", "parent"], "ctx_id", "added"))
+    prefix = F.when(F.col("has_prefix"), F.col("node_docs")).otherwise(F.array().cast("array<bigint>"))
+    path = F.concat("parent_path", F.array((F.col("children") + F.col("added")).cast("int")))
+    matched = hit.join(places, ["g", "parent"]).select(batch, "ctx_id", "docs", reordered_with_prefix(F.col("docs"), prefix).alias("reordered"), path.alias("path"), F.lit(True).alias("matched"))
+
+    rest = scratch.written(arranged(found.where("node_id < 0").select(batch, "ctx_id", "docs"), batch, method, alpha))
+    root = places.join(nodes.where(F.col("parent_id").isNull()).select("g", F.col("node_id").alias("parent")), ["g", "parent"])
+    base = root.join(hit.groupBy("g", "parent").agg(F.count("*").alias("more")), ["g", "parent"], "left").select("g", (F.col("children") + F.coalesce("more", F.lit(0))).alias("base"))
+    first = (F.get("path", F.lit(0)) + F.coalesce("base", F.lit(0))).cast("int")
+    moved = F.when(F.size("path") == 0, F.col("path")).otherwise(F.concat(F.array(first), F.slice("path", 2, F.greatest(F.size("path") - 1, F.lit(0)))))
+    others = _keyed(rest, batch).join(base, "g", "left").select(batch, "ctx_id", "docs", "reordered", moved.alias("path"), F.lit(False).alias("matched"))
+
+    rows = matched.unionByName(others).withColumn("group_id", F.coalesce(F.get("path", F.lit(0)), F.lit(-1)))
+    order = Window.partitionBy(batch).orderBy("group_id", F.desc(F.size("path")), F.desc("matched"), "ctx_id")
+    return rows.withColumn("exec_pos", (F.row_number().over(order) - 1).cast("long"))
 
 
 def pruned(nodes: DataFrame, gone: DataFrame, batch: str) -> DataFrame:

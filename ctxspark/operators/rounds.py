@@ -26,16 +26,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from .distance import GRAIN
-from .shared import Scratch
+from .shared import Scratch, group_key
 
 _WHOLE = "decimal(38,0)"
 
 
-def _group(b: Column) -> Column:
-    """A batch as a key that is never null."""
-    return F.when(b.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), b.cast("string")))
-
-
 def sharing(rows: DataFrame, method: str, alpha: float) -> DataFrame:
     """(g, i, j, ni, nj, v, cnt) of contexts that share a document; v: how much nearer than 1, or the distance itself."""
     e = rows.select("g", "c", F.size("d").alias("n"), F.posexplode("d").alias("pos", "doc"))
@@ -72,8 +67,8 @@ def merges(rows: DataFrame, large: DataFrame, method: str, alpha: float, most: i
     """(b, i, j, far, size): all merges of the batches named in ``large``, by first contexts; rows: (b, c, d)."""
     spark = rows.sparkSession
     scratch = Scratch(spark, "linkage")
-    named = large.select(_group(F.col("b")).alias("g")).distinct()
-    own = scratch.written(rows.withColumn("g", _group(F.col("b"))).join(named, "g", "left_semi"))
+    named = large.select(group_key(F.col("b")).alias("g")).distinct()
+    own = scratch.written(rows.withColumn("g", group_key(F.col("b"))).join(named, "g", "left_semi"))
     batch = own.schema["b"]
     clusters = scratch.written(own.select("g", "b", "c", F.lit(1).cast("long").alias("size")))
     pairs = scratch.written(sharing(own, method, alpha))

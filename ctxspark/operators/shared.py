@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,3 +44,8 @@ class Scratch:
         if path:
             files, jpath = self._at(path)
             files.delete(jpath, True)
+
+
+def group_key(column: Column) -> Column:
+    """A key that is never null, for joins."""
+    return F.when(column.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), column.cast("string")))

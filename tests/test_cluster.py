@@ -189,6 +189,66 @@ def test_search_follows_prefixes(spark):
     assert got[2].overlap == 1 and not got[2].has_prefix
 
 
+def plain_search(tree, context, alpha=0.001):
+    """(path, node, overlap, has_prefix) by walking down one tree."""
+    docs = {k: d for k, _, d in tree.walk()}
+    paths = {k: p for k, p, _ in tree.walk()}
+    asked, at = set(context), tree.root
+    while at is not None:
+        near = [(plain_distance(context, docs[c], alpha), n, c) for n, c in enumerate(tree.nodes[at].children) if asked & set(docs[c])]
+        if not near:
+            return (paths[at], at, len(asked & set(docs[at])), True) if at != tree.root else ([], -1, 0, False)
+        c = min(near)[2]
+        if docs[c][0] not in asked or not tree.nodes[c].children:
+            return paths[c], c, len(asked & set(docs[c])), docs[c][0] in asked
+        at = c
+    return [], -1, 0, False
+
+
+def plain_incremental(known, new):
+    """{place of the context: (reordered, path, matched)} of one batch."""
+    tree = cluster.Tree(known)
+    docs, paths = {k: d for k, _, d in tree.walk()}, {k: p for k, p, _ in tree.walk()}
+    out, rest, more = {}, [], {}
+    for n, c in enumerate(new):
+        _, node, _, has_prefix = plain_search(tree, c)
+        if node < 0:
+            rest.append(n)
+            continue
+        v = tree.nodes[node]
+        parent = node if v.children and has_prefix else v.parent
+        head = [d for d in docs[node] if d in c] if has_prefix else []
+        out[n] = head + [d for d in c if d not in head], [*paths[parent], len(tree.nodes[parent].children) + more.get(parent, 0)], True
+        more[parent] = more.get(parent, 0) + 1
+    base = len(tree.nodes[tree.root].children) + more.get(tree.root, 0) if tree.root is not None else 0
+    for n, (order, path) in zip(rest, cluster.Tree([new[n] for n in rest]).arranged(), strict=True):
+        out[n] = order, [path[0] + base, *path[1:]] if path else [], False
+    return out
+
+
+@pytest.mark.parametrize("most", [cluster.MAX_BATCH, 3])
+def test_search_and_incremental_build_are_the_plain_ones(spark, monkeypatch, most):
+    if most == 3:
+        for f in (cluster.tree_nodes, cluster.arranged):
+            monkeypatch.setattr(f, "__defaults__", (*f.__defaults__[:-1], most))
+    known, new = [*batches(12, 1), many(60, 5), [[], []]], [*batches(12, 2), many(50, 6), [[1, 2], []]]
+    found = {(r.batch, r.ctx_id): (r.search_path, r.node_id, r.overlap, r.has_prefix) for r in index.searched(frame(spark, known), frame(spark, new), "batch").collect()}
+    built = index.built_incrementally(frame(spark, known), frame(spark, new), "batch").collect()
+    for b, contexts in enumerate(new):
+        tree, want = cluster.Tree(known[b]), plain_incremental(known[b], contexts)
+        assert [found[b, n] for n in range(len(contexts))] == [plain_search(tree, c) for c in contexts]
+        own = {r.ctx_id: r for r in built if r.batch == b}
+        assert {n: (r.reordered, r.path, r.matched) for n, r in own.items()} == want
+        order = sorted(own, key=lambda n: (own[n].path[0] if own[n].path else -1, -len(own[n].path), not own[n].matched, n))
+        assert [own[n].exec_pos for n in order] == list(range(len(order)))
+
+
+def test_ranks_over_ranges(spark):
+    df = spark.createDataFrame([(k % 3, 7 * k) for k in range(40)], "g int, v long")
+    got = sorted((r.g, r.v, r.place) for r in cx.ranked(df, ["g"], "v", "place", 20).collect())
+    assert got == sorted((g, v, n) for g in range(3) for n, v in enumerate(sorted(7 * k for k in range(40) if k % 3 == g)))
+
+
 def test_incremental_build_keeps_documents(spark):
     known, asked = frame(spark, batches(4, 1)), frame(spark, batches(4, 2))
     for r in index.built_incrementally(known, asked, "batch").collect():
