@@ -30,10 +30,15 @@ class Scratch:
         jpath = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return jpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jpath
 
-    def written(self, df: DataFrame) -> DataFrame:
+    def path(self) -> str:
+        """A fresh path, deleted when the driver's JVM ends."""
         path = f"{shared_dir(self.spark)}/ctxspark-{self.name}-{uuid.uuid4().hex}"
         files, jpath = self._at(path)
         files.deleteOnExit(jpath)
+        return path
+
+    def written(self, df: DataFrame) -> DataFrame:
+        path = self.path()
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path, out
