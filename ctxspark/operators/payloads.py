@@ -131,6 +131,85 @@ def deduped(segments_: DataFrame, min_chars: int = chunking.MIN_CONTENT_CHARS) -
     return out.select("payload", "msg", "part", F.col("label").alias("name"), "blocks_total", "blocks_deduped", saved.alias("chars_saved"), F.col("result").alias("text"))
 
 
+_LIST = "array<map<string,variant>>"
+
+
+def _put(fields: Column, name: str, value: Column) -> Column:
+    return F.map_concat(F.map_filter(fields, lambda k, _: k != name), F.create_map(F.lit(name), value))
+
+
+def _said(fields: Column, name: str) -> Column:
+    return F.try_variant_get(F.try_element_at(fields, F.lit(name)), "$", "string")
+
+
+def _as_variant(value: Column) -> Column:
+    return F.parse_json(F.to_json(value))
+
+
+def _edited(content: Column, msg: Column, edits: Column, every: bool) -> Column:
+    """A content with the texts of ``edits`` ("msg:part" -> text); parts are numbered among the texts, or among ``every`` kind of part."""
+    told = lambda part: F.try_element_at(edits, F.concat(msg.cast("string"), F.lit(":"), part.cast("string")))
+    is_string = F.schema_of_variant(content) == "STRING"
+    whole = F.try_variant_get(content, "$", "string")
+    parts = F.try_variant_get(F.when(is_string, F.try_parse_json(F.when(whole.startswith("["), whole))).otherwise(content), "$", _LIST)
+    is_text = lambda m: F.coalesce(_said(m, "type") == "text", F.lit(False))
+
+    def result(m: Column, new: Column) -> Column:
+        inner = F.try_element_at(m, F.lit("content"))
+        listed = F.when(F.schema_of_variant(inner) != "STRING", F.try_variant_get(inner, "$", _LIST))
+        one = _as_variant(F.transform(listed, lambda x: F.when(is_text(x), _put(x, "text", new.cast("variant"))).otherwise(x)))
+        texts = F.size(F.filter(listed, is_text))
+        return F.when(listed.isNull(), _put(m, "content", new.cast("variant"))).when(texts == 1, _put(m, "content", one)).otherwise(m)
+
+    def part(m: Column, k: Column) -> Column:
+        new = told(k if every else F.size(F.filter(F.slice(parts, 1, k), is_text)))
+        out = F.when(new.isNotNull() & is_text(m), _put(m, "text", new.cast("variant")))
+        return (out.when(new.isNotNull() & (_said(m, "type") == "tool_result"), result(m, new)) if every else out).otherwise(m)
+
+    made = F.to_json(F.transform(parts, part))
+    one = told(F.lit(0))
+    return F.when(parts.isNotNull(), F.when(is_string, made.cast("variant")).otherwise(F.parse_json(made))).when(is_string & one.isNotNull(), one.cast("variant")).otherwise(content)
+
+
+def written_back(bodies: DataFrame, texts: DataFrame, payload: str, body: str, style: str = "openai_chat") -> DataFrame:
+    """``bodies`` with the texts (payload, msg, part, text) in the places of their segments; all else stays.
+
+    Objects are equal to what they were, their fields may stand in another order.  Bodies that cannot be read and
+    bodies without new texts stay as they are, and so does a tool's result that is a list of several texts.
+    """
+    if style not in FORMATS:
+        raise ValueError(f"unknown style {style!r}")
+    place = F.concat(F.col("msg").cast("string"), F.lit(":"), F.col("part").cast("string"))
+    once = texts.groupBy(F.col("payload").alias("_p"), place.alias("at")).agg(F.first("text").alias("text"))
+    edits = once.groupBy("_p").agg(F.map_from_entries(F.collect_list(F.struct("at", "text"))).alias("_edits"))  # of one body
+    own = bodies.join(edits, F.col(payload).eqNullSafe(F.col("_p")), "left").withColumn("_fields", F.from_json(body, "map<string,variant>"))
+    made, fields = F.col("_edits"), F.col("_fields")
+    name = "input" if style == "openai_responses" else "messages"
+    every = style == "anthropic_messages"
+
+    def message(m: Column, k: Column) -> Column:
+        content = F.try_element_at(m, F.lit("content"))
+        out = F.when(content.isNotNull(), _put(m, "content", _edited(content, k, made, every))).otherwise(m)
+        if style == "openai_responses":
+            new = F.try_element_at(made, F.concat(k.cast("string"), F.lit(":0")))
+            out = F.when((_said(m, "type") == "function_call_output") & new.isNotNull(), _put(m, "output", new.cast("variant"))).otherwise(out)
+        return out
+
+    listed = F.try_variant_get(F.try_element_at(fields, F.lit(name)), "$", _LIST)
+    out = F.when(listed.isNotNull(), _put(fields, name, _as_variant(F.transform(listed, message)))).otherwise(fields)
+    if every:
+        system = F.try_element_at(fields, F.lit("system"))
+        out = F.when(system.isNotNull(), _put(out, "system", _edited(system, F.lit(-1), made, False))).otherwise(out)
+    new = F.when(made.isNull() | fields.isNull(), F.col(body)).otherwise(F.to_json(out))
+    return own.select(*(new.alias(c) if c == body else F.col(c) for c in bodies.columns))
+
+
+def deduped_bodies(bodies: DataFrame, payload: str, body: str, style: str = "openai_chat", scope: str = "all", min_chars: int = chunking.MIN_CONTENT_CHARS) -> DataFrame:
+    """``bodies`` with the repeated blocks of their texts replaced."""
+    made = deduped(segments(bodies, payload, body, style, scope), min_chars).where("blocks_deduped > 0")
+    return written_back(bodies, made.select("payload", "msg", "part", "text"), payload, body, style)
+
+
 def occurrences(original: DataFrame, reordered: DataFrame, by: str) -> DataFrame:
     """(by, new_pos, pos): where each reordered document stood; the n-th copy of a text is the n-th of the original.
 

@@ -106,6 +106,17 @@ def responses_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dedup_rows(payloads.deduped(payloads.segments(_tool_responses(spark, sf_dir), "payload", "body", "openai_responses")))
 
 
+def rebuilt_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of both kinds with deduped results put back in their bodies: the long results that are read from these."""
+    out = None
+    for style, bodies in (("openai_chat", _tool_chats(spark, sf_dir)), ("openai_responses", _tool_responses(spark, sf_dir))):
+        made = payloads.segments(payloads.deduped_bodies(bodies, "payload", "body", style), "payload", "body", style, "tool_results")
+        long_ones = payloads.deduped(payloads.segments(bodies, "payload", "body", style)).select("payload", "msg")
+        rows = made.join(long_ones, ["payload", "msg"], "left_semi").select("payload", "msg", "call_id", "name", F.md5("text").alias("text_md5"), F.lit(style).alias("style"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def external_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents between markers with random ids, and without the ids."""
     docs = table(spark, sf_dir, "documents")
@@ -131,7 +142,7 @@ def fence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
-    payload_segments, anthropic_segments, tool_result_segments, system_content, payload_block_dedup, responses_block_dedup, external_markers,
+    payload_segments, anthropic_segments, tool_result_segments, system_content, payload_block_dedup, responses_block_dedup, rebuilt_bodies, external_markers,
     document_occurrences, fence_dedup,
 ]
 
@@ -155,6 +166,7 @@ ORACLES = {
     "system_content": "SELECT conv_id AS payload, string_agg(trim(text), chr(10) || chr(10) ORDER BY turn) AS system FROM conversations WHERE role = 'system' AND trim(text) <> '' GROUP BY conv_id",
     "payload_block_dedup": _REBUILT,
     "responses_block_dedup": _REBUILT,
+    "rebuilt_bodies": f"SELECT payload, msg, 'call_' || (payload * {RESULTS} + rank - 1) AS call_id, name, text_md5, style FROM (SELECT payload, msg, name, text_md5, (msg + 1) // 2 AS rank FROM ({_REBUILT})), (VALUES ('openai_chat'), ('openai_responses')) s(style)",
     "external_markers": "SELECT doc_id, md5('<<<EXTERNAL_UNTRUSTED_CONTENT>>>' || chr(10) || text || chr(10) || '<<<END_EXTERNAL_UNTRUSTED_CONTENT>>>') AS text_md5 FROM documents",
     "document_occurrences": """WITH n AS (SELECT l_orderkey AS ctx_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_extendedprice) AS pos, l_partkey % 3 AS doc, l_suppkey FROM lineitem),
 i AS (SELECT ctx_id, pos, doc, row_number() OVER (PARTITION BY ctx_id ORDER BY l_suppkey, pos) AS new_pos FROM n),
