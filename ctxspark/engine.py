@@ -70,7 +70,7 @@ class ContextEngine:
     def retrieve_and_reorder(self, corpus: DataFrame, queries: DataFrame, batch: str | None = None, **columns: str) -> DataFrame:
         """BM25 results as contexts, reordered and scheduled: batch by batch, if ``queries`` has a column for that.
 
-        Without one all queries are one batch, which one task holds: more than ``max_batch`` are refused.
+        Without one all queries are one batch; more than ``max_batch`` are linked on tables.
         """
         found = retrieve.bm25(corpus, queries, self.settings.top_k, **columns)
         docs = found.groupBy(F.col("query_id").alias("ctx_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("docs"))

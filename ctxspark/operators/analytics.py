@@ -179,6 +179,26 @@ def hourly_savings(telemetry: DataFrame, ts: str = "at", watermark: str | None =
     return g.select(F.col("w.start").alias("hour"), "events", "chars_saved", "tokens_saved")
 
 
+#: Size of latency sketches: ranks are within 1 % of the true ones, however many sketches are merged.
+SKETCH = 800
+
+
+def latency_sketches(requests: DataFrame, value: str, *by: str) -> DataFrame:
+    """(*by, count, total, max, sketch): a mergeable sketch of each group's values, for batches and streams alike.
+
+    Values that are null are not counted.  Nothing is shuffled but a sketch a group and task.
+    """
+    v = F.col(value).cast("double")
+    return requests.where(v.isNotNull()).groupBy(*by).agg(F.count("*").alias("count"), F.sum(v).alias("total"), F.max(v).alias("max"), F.kll_sketch_agg_double(v, F.lit(SKETCH)).alias("sketch"))
+
+
+def sketched_latency(sketches: DataFrame, *by: str) -> DataFrame:
+    """(*by, count, mean, p50, p99, max) of sketches of any finer groups; the percentiles are those of ``SKETCH``."""
+    both = sketches.groupBy(*by).agg(F.sum("count").alias("count"), F.sum("total").alias("total"), F.max("max").alias("max"), F.kll_merge_agg_double("sketch", F.lit(SKETCH)).alias("sketch"))
+    at = lambda q: F.kll_sketch_get_quantile_double("sketch", F.lit(q))
+    return both.select(*by, "count", F.round(F.col("total") / F.col("count"), 6).alias("mean"), at(0.5).alias("p50"), at(0.99).alias("p99"), "max")
+
+
 def latency_stats(requests: DataFrame, value: str, *by: str) -> DataFrame:
     """Mean, and the upper median and percentiles as order statistics of whole groups.
 
@@ -259,3 +279,9 @@ def markdown(report: DataFrame) -> DataFrame:
     items = F.array_sort(F.collect_list(F.struct("rank", "entry")))
     lines = F.array_join(F.transform(items, lambda x: F.concat(F.lit("- `"), x["entry"], F.lit("`"))), "\n")
     return report.groupBy("section").agg(lines.alias("lines")).select("section", F.concat(F.lit("## "), "section", F.lit("\n\n"), "lines", F.lit("\n")).alias("text"))
+
+
+def write_report(report: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """A report as two folders: ``entries``, JSON lines of (section, rank, entry), and ``text``, its sections as lists."""
+    report.write.mode(mode).option("ignoreNullFields", "false").json(f"{path}/entries")
+    markdown(report).orderBy("section").select("text").write.mode(mode).text(f"{path}/text")

@@ -89,6 +89,24 @@ def to_markdown(docs: Column) -> Column:
     return F.array_join(docs, "\n\n")
 
 
+def to_json_results(text: Column, docs: Column) -> Column:
+    """An object with its results in the order of ``docs``, which are their ids; the n-th of an id is the n-th result that has it.
+
+    Results that are not named go; the object's other fields stay.
+    """
+    fields = F.from_json(text, "map<string,variant>")
+    found = json_results(text, 0)
+
+    def one(d: Column, k: Column) -> Column:
+        earlier = F.size(F.filter(F.slice(docs, 1, k), lambda x: x == d))
+        return F.get(F.filter(found, lambda r: r["id"] == d), earlier)["text"]
+
+    rows = F.filter(F.transform(docs, one), lambda r: r.isNotNull())
+    rest = F.map_filter(fields, lambda k, _: k != "results")
+    listed = F.parse_json(F.concat(F.lit("["), F.array_join(rows, ","), F.lit("]")))
+    return F.to_json(F.map_concat(rest, F.create_map(F.lit("results"), listed)))
+
+
 def single_document(text: Column, least: int = SINGLE_MIN_CHARS) -> Column:
     """The stripped text, if it is long enough to be a document and holds none by other ways."""
     s = stripped(text)

@@ -134,3 +134,10 @@ def lru_evictions(use: DataFrame, share: float) -> DataFrame:
 def tokens_after_removal(nodes: DataFrame) -> DataFrame:
     """(node_id, extra, total): removed tokens come off the extra ones first and off the total; neither falls below 0."""
     return nodes.select("node_id", F.greatest(F.lit(0), F.col("extra") - F.col("removed")).alias("extra"), F.greatest(F.lit(0), F.col("total") - F.col("removed")).alias("total"))
+
+
+def tokens_updated(nodes: DataFrame) -> DataFrame:
+    """(node_id, extra, total) after a ``delta``: tokens that are added count as extra ones, removed ones as in ``tokens_after_removal``."""
+    added, removed = (F.greatest(F.lit(0), sign * F.col("delta")) for sign in (1, -1))
+    grown = nodes.select("node_id", (F.col("extra") + added).alias("extra"), (F.col("total") + added).alias("total"), removed.alias("removed"))
+    return tokens_after_removal(grown)

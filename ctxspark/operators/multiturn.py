@@ -148,3 +148,15 @@ def conversation_turns(messages: DataFrame, corpus: DataFrame, retrieve, convers
     docs = F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"])
     contexts = found.groupBy(F.col("query_id").alias("ctx_id")).agg(docs.alias("docs")).join(asked.select("ctx_id", conversation, turn), "ctx_id")
     return context_text(first_seen(contexts, conversation, turn), corpus, conversation, turn)
+
+
+def since_reset(rows: DataFrame, resets: DataFrame, by: str, at: str) -> DataFrame:
+    """The rows of a log that a reset leaves: those later than the last reset of their own ``by``, or of all (``by`` null).
+
+    Indexes, trackers and caches are logs here: what they hold after a reset is what these rows say.  ``resets``: (by, at).
+    """
+    own = resets.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("_by")).agg(F.max(at).alias("_own"))
+    whole = resets.where(F.col(by).isNull()).agg(F.max(at).alias("_all"))  # one row
+    marked = rows.join(own, F.col(by) == F.col("_by"), "left").join(F.broadcast(whole))
+    last = F.greatest("_own", "_all")
+    return marked.where(last.isNull() | (F.col(at) > last)).drop("_by", "_own", "_all")

@@ -5,6 +5,8 @@ Sessions are users of ``events``, messages are ``conversations`` and documents a
 
 from __future__ import annotations
 
+import operator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,6 +147,16 @@ def telemetry_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return an.hourly_savings(telemetry(spark, sf_dir))
 
 
+def latency_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from sketches of each day, merged; whether their percentiles' ranks are within 1 % of the true ones."""
+    events = table(spark, sf_dir, "events")
+    found = an.sketched_latency(an.latency_sketches(events, "value", "event_type", F.to_date("ts").alias("day")), "event_type")
+    ranked = events.join(F.broadcast(found), "event_type")  # a row a type of event
+    share = lambda at, op: F.count_if(op(F.col("value"), F.col(at))) / F.count("value")
+    within = lambda at, q: (share(at, operator.lt) <= q + 0.01) & (share(at, operator.le) >= q - 0.01)
+    return ranked.groupBy("event_type").agg(F.first("count").alias("count"), F.first("mean").alias("mean"), F.first("max").alias("max"), within("p50", 0.5).alias("p50_within"), within("p99", 0.99).alias("p99_within"))
+
+
 def latency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order statistics of event values by type."""
     return an.latency_stats(table(spark, sf_dir, "events"), "value", "event_type")
@@ -159,7 +171,7 @@ def log_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     tool_messages, llm_bound_content, dup_tool_outputs, dup_tool_outputs_all, repeated_blocks, repeated_blocks_all, tool_sizes, block_type_stats, cross_type_blocks, routing_labels, routing_reasons, routing_candidates,
-    artifact_kinds, artifact_dups, heavy_sessions, telemetry_coverage, savings_summary, daily_report, source_totals, telemetry_hourly, latency_stats, log_savings,
+    artifact_kinds, artifact_dups, heavy_sessions, telemetry_coverage, savings_summary, daily_report, source_totals, telemetry_hourly, latency_stats, latency_sketches, log_savings,
 ]
 
 
@@ -244,6 +256,7 @@ SELECT *, char_length // 4 AS est_tokens, char_length // 4 * (occurrences - 1) A
     "daily_report": _telemetry_sql("TRUE", "chars_saved IS NULL") + ", s AS (SELECT count(*) AS sessions, sum(message_count)::BIGINT AS messages, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens FROM open) SELECT s.*, events, chars_saved, tokens_saved, malformed, round(tokens_saved / (tokens_saved + input_tokens) * 100, 2) AS reduction_pct FROM s, u",
     "source_totals": f"{_BASE} SELECT source, count(*) AS sessions, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens FROM open GROUP BY 1 ORDER BY input_tokens DESC, 1 LIMIT 10",
     "telemetry_hourly": f"{_BASE} SELECT date_trunc('hour', seen_at) AS hour, count(*) AS events, sum(chars_saved)::BIGINT AS chars_saved, sum(coalesce(tokens_saved, floor(chars_saved / 4)::BIGINT))::BIGINT AS tokens_saved FROM tel GROUP BY 1",
+    "latency_sketches": "SELECT event_type, count(value) AS count, round(sum(value) / count(value), 6) AS mean, max(value) AS max, true AS p50_within, true AS p99_within FROM events GROUP BY 1",
     "latency_stats": "WITH r AS (SELECT event_type, list_sort(list(value)) AS v, count(*) AS n, sum(value) AS s FROM events GROUP BY 1) SELECT event_type, n AS count, round(s / n, 6) AS mean, v[n // 2 + 1] AS p50, v[least(floor(n * 0.99)::BIGINT, n - 1) + 1] AS p99, v[n] AS max FROM r",
     "log_savings": "WITH l AS (SELECT floor(value)::BIGINT AS v FROM events WHERE event_id % 3 = 0) SELECT count(*) AS events, sum(v * 1000)::BIGINT AS chars_saved, sum(v)::BIGINT AS tokens_saved FROM l WHERE v >= 0",
 }

@@ -135,7 +135,15 @@ def prefix_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiturn.replayed_prefix(cached, talk.select("conv_id", "turn", F.col("role").alias("text")), "conv_id", "turn")
 
 
+def events_since_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events after their last error, which resets; events of no user would reset all."""
+    events = table(spark, sf_dir, "events")
+    left = multiturn.since_reset(events, events.where("event_type = 'error'").select("user_id", "ts"), "user_id", "ts")
+    return left.groupBy("user_id").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"), F.round(F.sum("value"), 4).alias("value"))
+
+
 QUERIES = [
+    events_since_reset,
     cdc_blocks, block_dedup, block_dedup_stats, block_dedup_system, doc_block_dedup, conversation_dedup, conversation_chain, previous_docs, multi_turn_dedup, multi_turn_context,
     conversation_stats, conversation_stats_all, history_query, session_fingerprint, tool_docs_dedup, single_doc_dedup, half_prefix_dedup, prefix_replay,
 ]
@@ -181,6 +189,7 @@ _CONTEXTS = f"""{_SEEN}, c AS (SELECT ctx_id, customer, string_agg(CASE WHEN fir
 st AS (SELECT customer, count(*) AS turns, sum(num_retrieved)::BIGINT AS total_retrieved, sum(num_novel)::BIGINT AS total_novel, sum(num_deduplicated)::BIGINT AS total_deduplicated, round(sum(num_deduplicated) / sum(num_retrieved), 6) AS deduplication_rate FROM c GROUP BY 1)"""
 
 ORACLES = {
+    "events_since_reset": "WITH r AS (SELECT user_id, max(ts) AS last FROM events WHERE event_type = 'error' GROUP BY 1) SELECT user_id, count(*) AS n, min(event_id) AS first_event, round(sum(value), 4) AS value FROM events LEFT JOIN r USING (user_id) WHERE last IS NULL OR ts > last GROUP BY 1",
     "cdc_blocks": f"WITH {_blocks_sql()} SELECT doc_id, block_idx, n_blocks, length(block) AS n_chars, block_hash FROM blocks",
     "block_dedup": f"{_dedup_sql('source', 'lang')} SELECT payload, msg, {_TOTALS}, {_TEXT} FROM d GROUP BY 1, 2",
     "block_dedup_stats": f"{_dedup_sql('source', 'lang')} SELECT payload, {_TOTALS} FROM d GROUP BY 1",

@@ -157,7 +157,18 @@ def update_node_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.tokens_after_removal(items)
 
 
-QUERIES = [context_distance_pairs, context_distance_cross, context_distance_turns, intern_documents, leaf_dedup, schedule_contexts, context_tree, tree_stats, live_search, incremental_build, schedule_groups, schedule_incremental, group_scores, reorder_with_prefix, adjacent_prefix_len, prefix_sharing, group_prefix, hash_reorder, lru_tokens_to_evict, evict_requests, update_node_tokens]
+def update_node_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with lines that add or, if returned, remove: one delta an order."""
+    sign = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("node_id")).agg(
+        F.sum(F.when(F.col("l_linenumber") == 1, F.col("l_quantity")).otherwise(0)).cast("long").alias("extra"),
+        F.sum("l_quantity").cast("long").alias("total"),
+        F.sum(F.when(F.col("l_linenumber") > 1, sign).otherwise(0)).cast("long").alias("delta"),
+    )
+    return ix.tokens_updated(items)
+
+
+QUERIES = [update_node_deltas, context_distance_pairs, context_distance_cross, context_distance_turns, intern_documents, leaf_dedup, schedule_contexts, context_tree, tree_stats, live_search, incremental_build, schedule_groups, schedule_incremental, group_scores, reorder_with_prefix, adjacent_prefix_len, prefix_sharing, group_prefix, hash_reorder, lru_tokens_to_evict, evict_requests, update_node_tokens]
 
 _PREFIX_LEN = "(SELECT coalesce(min(k) - 1, least(len(a), len(b))) FROM (SELECT unnest(range(1, least(len(a), len(b)) + 1)) AS k) WHERE a[k] <> b[k])"
 _PATHS = f"""WITH {turns_sql()},
@@ -195,6 +206,9 @@ SELECT m.grp, any_value(n) AS n_contexts, coalesce(string_agg(low, ',' ORDER BY
     "lru_tokens_to_evict": """WITH use AS (SELECT user_id AS node_id, max((ts, event_id)) AS last, floor(sum(value))::BIGINT AS tokens FROM events GROUP BY user_id),
 run AS (SELECT node_id, tokens, sum(tokens) OVER (ORDER BY last) - tokens AS before, sum(tokens) OVER () AS total FROM use)
 SELECT node_id, tokens, before::BIGINT AS freed_before FROM run WHERE before < 0.25 * total""",
+    "update_node_deltas": """WITH i AS (SELECT l_orderkey AS node_id, sum(CASE WHEN l_linenumber = 1 THEN l_quantity ELSE 0 END)::BIGINT AS extra, sum(l_quantity)::BIGINT AS total,
+  sum(CASE WHEN l_linenumber = 1 THEN 0 WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END)::BIGINT AS delta FROM lineitem GROUP BY 1)
+SELECT node_id, CASE WHEN delta > 0 THEN extra + delta ELSE greatest(0, extra + delta) END AS extra, CASE WHEN delta > 0 THEN total + delta ELSE greatest(0, total + delta) END AS total FROM i""",
     "update_node_tokens": """WITH i AS (SELECT l_orderkey AS node_id, sum(CASE WHEN l_linenumber = 1 THEN l_quantity ELSE 0 END)::BIGINT AS extra, sum(l_quantity)::BIGINT AS total, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END)::BIGINT AS removed FROM lineitem GROUP BY 1)
 SELECT node_id, greatest(0, extra - removed) AS extra, greatest(0, total - removed) AS total FROM i""",
 }
