@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; all but
 the last return the columns of ``docs``.
+
+Defined results: null texts count as empty in every stage and stay null where a stage keeps them; rows without
+id stay where a stage compares ids; rows that repeat an id are judged by their own texts, and near duplicates keep
+or drop them together; an empty table gives no rows; further columns are carried, their names must differ.
 """
 
 from __future__ import annotations
