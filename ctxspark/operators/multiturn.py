@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import sha_hex, stripped
+from . import chains
 from .contexts import exploded
 
 HINT = "Please refer to [Doc {doc_id}] from the previous conversation."
@@ -21,25 +22,9 @@ def hint(template: str, **values: Column) -> Column:
     return out
 
 
-def ancestors(requests: DataFrame, request: str = "request_id", parent: str = "parent_id", rounds: int = 40) -> DataFrame:
-    """(request, ancestor, back): every ancestor and how many steps back it is; unknown parents end a chain.
-
-    Pointers are doubled, so chains of 2^k requests take k rounds; a request met again in its own
-    chain ends it, which keeps cycles finite.
-    """
-    known = requests.select(F.col(request).alias("ancestor"))
-    near = requests.select(F.col(request).alias("r"), F.col(parent).alias("ancestor")).where(F.col("ancestor").isNotNull()).join(known, "ancestor", "left_semi").select("r", "ancestor", F.lit(1).alias("back"))
-    found, span = near, 1
-    for _ in range(rounds):
-        if span > 1 and not found.where(F.col("back") == span).limit(1).count():
-            break
-        last = found.where(F.col("back") == span).select(F.col("r"), F.col("ancestor").alias("via"), F.col("back").alias("b1"))
-        more = last.join(found.select(F.col("r").alias("via"), "ancestor", F.col("back").alias("b2")), "via").where("ancestor <> r").select("r", "ancestor", (F.col("b1") + F.col("b2")).alias("back"))
-        found = found.unionByName(more).groupBy("r", "ancestor").agg(F.min("back").alias("back"))
-        if requests.sparkSession.sparkContext.getCheckpointDir():
-            found = found.checkpoint()
-        span *= 2
-    return found.withColumnRenamed("r", request)
+def ancestors(requests: DataFrame, request: str = "request_id", parent: str = "parent_id") -> DataFrame:
+    """(request, ancestor, back): every ancestor and how many steps back it is; unknown parents end a chain, and so does a request met again."""
+    return chains.ancestors(chains.numbered(requests, request, parent), request)
 
 
 def first_seen(contexts: DataFrame, conversation: str, turn: str) -> DataFrame:
@@ -129,11 +114,10 @@ def without_requests(requests: DataFrame, gone: DataFrame, request: str = "reque
 
 def cleared(requests: DataFrame, asked: DataFrame, request: str = "request_id", parent: str = "parent_id") -> tuple[DataFrame, DataFrame]:
     """What is left when the whole chains of ``asked`` requests go, and (request, removed): how many each of them found to remove."""
-    known = asked.select(request).distinct().join(requests.select(request), request, "left_semi")
-    up = ancestors(requests, request, parent).join(known, request, "left_semi").select(request, F.col("ancestor").alias("r"))
-    chain = up.unionByName(known.select(request, F.col(request).alias("r")))
-    counts = asked.select(request).distinct().join(chain.groupBy(request).agg(F.count("*").alias("removed")), request, "left")
-    return without_requests(requests, chain.select(F.col("r").alias(request)), request), counts.select(request, F.coalesce("removed", F.lit(0)).alias("removed"))
+    numbers = chains.numbered(requests, request, parent)
+    gone = chains.upward(numbers, asked, request)
+    counts = asked.select(request).distinct().join(chains.chain_lengths(numbers, request), request, "left")
+    return without_requests(requests, gone, request), counts.select(request, F.coalesce("n", F.lit(0)).alias("removed"))
 
 
 def conversation_turns(messages: DataFrame, corpus: DataFrame, retrieve, conversation: str, turn: str, k: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import joined
-from ..operators import blockdedup, chunking, multiturn
+from ..operators import blockdedup, chains, chunking, multiturn
 from .tables import customer_contexts, table, turns_sql
 
 
@@ -68,9 +68,8 @@ def conversation_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def previous_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order's earlier documents and the first request of its chain that had them."""
     turns = customer_contexts(spark, sf_dir)
-    found = multiturn.ancestors(turns.select(F.col("ctx_id").alias("request_id"), F.col("parent").alias("parent_id")))
-    docs = turns.select(F.col("ctx_id").alias("ancestor"), F.explode("docs").alias("doc"))
-    return found.join(docs, "ancestor").groupBy("request_id", "doc").agg(F.max_by("ancestor", "back").alias("source_request"))
+    numbers = chains.numbered(turns.select(F.col("ctx_id").alias("request_id"), F.col("parent").alias("parent_id")))
+    return chains.previous_documents(numbers, turns.select(F.col("ctx_id").alias("request_id"), F.explode("docs").alias("doc")))
 
 
 def multi_turn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
