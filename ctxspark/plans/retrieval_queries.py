@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
-from ..operators import cache, evalqa, extract, postings, prompts, retrieve
+from ..operators import cache, cells, evalqa, extract, postings, prompts, retrieve
 from ..operators import contexts as cx
 from ..operators.shared import Scratch
 from .tables import ctx_sql, customer_contexts, order_contexts, table, turns_sql
@@ -33,6 +33,13 @@ def vector_topk_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.vector_topk(v, v.where("vec_id % 100 = 0"), 10)
 
 
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stored index of cells: the nearest ones first, then all that their bounds leave open."""
+    v = table(spark, sf_dir, "embeddings")
+    index = cells.VectorIndex(spark, Scratch(spark, "vectors").path()).build(v)
+    return index.search(v.where("vec_id % 100 = 0"), 10)[0]
+
+
 def retrieval_overlap_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reuse of suppliers over each customer's orders."""
     e = cx.exploded(customer_contexts(spark, sf_dir), "customer").withColumnRenamed("doc", "doc_id")
@@ -214,7 +221,7 @@ def doc_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
-    bm25_topk, bm25_index_topk, vector_topk_l2, retrieval_overlap_ratio, topk_truncate, chunk_documents, combine_by_qid, combine_misses, prompt_docs_section, system_prompt, rag_prompt, qa_f1, sp_metrics, joint_metrics, alias_expansion,
+    bm25_topk, bm25_index_topk, vector_topk_l2, vector_index_topk, retrieval_overlap_ratio, topk_truncate, chunk_documents, combine_by_qid, combine_misses, prompt_docs_section, system_prompt, rag_prompt, qa_f1, sp_metrics, joint_metrics, alias_expansion,
     extract_xml, extract_numbered, extract_separator, extract_markdown, extract_json_results, normalize_request_id, cache_metrics, cache_breakpoints, ttl_cache_sim, ttl_stats, slot_evictions, fully_evicted_requests, doc_previews,
 ]
 
@@ -287,3 +294,4 @@ SELECT count(*) FILTER (epoch_us(TIMESTAMP '2024-01-30') - epoch_us(last) < 8640
     "doc_previews": f"WITH l AS (SELECT doc_id, text, {_STRIP.format('replace(text, chr(10), chr(32))')} AS x FROM documents) SELECT doc_id, CASE WHEN length(x) > 60 THEN substr(x, 1, 60) || '...' ELSE x END AS preview, substr(sha256('s:' || text), 1, 16) AS name, md5(text) AS told_md5 FROM l",
 }
 ORACLES["bm25_index_topk"] = ORACLES["bm25_topk"]
+ORACLES["vector_index_topk"] = ORACLES["vector_topk_l2"]
