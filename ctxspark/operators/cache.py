@@ -91,6 +91,18 @@ def evicted(entries: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
     return entries.where(_micros(now) - _micros(F.col("last_access")) < ttl_seconds * 1_000_000)
 
 
+def eviction_times(accesses: DataFrame, key: str, ts: str, ttl_seconds: int, now: Column) -> DataFrame:
+    """(key, last_access, evicted_at): a row each time that a key was not read for the time-to-live, up to ``now``.
+
+    A key's next access at the very end comes too late.  Accesses without time are left out; a null key is a key.
+    """
+    own = accesses.where(F.col(ts).isNotNull()).select(F.col(key), F.col(ts).cast("timestamp").alias("last_access"))
+    following = F.lead("last_access").over(Window.partitionBy(key).orderBy("last_access"))
+    end = F.timestamp_micros(_micros(F.col("last_access")) + ttl_seconds * 1_000_000)
+    ends = own.withColumns({"evicted_at": end, "following": following})
+    return ends.where((F.col("evicted_at") <= F.coalesce("following", now)) & (F.col("evicted_at") <= now)).drop("following")
+
+
 def ttl_defaults(spark) -> DataFrame:
     """(provider, kind, seconds)."""
     return spark.createDataFrame([(p, k, s) for (p, k), s in sorted(TTL_SECONDS.items())], "provider string, kind string, seconds int")

@@ -144,3 +144,25 @@ def since_reset(rows: DataFrame, resets: DataFrame, by: str, at: str) -> DataFra
     marked = rows.join(own, F.col(by) == F.col("_by"), "left").join(F.broadcast(whole))
     last = F.greatest("_own", "_all")
     return marked.where(last.isNull() | (F.col(at) > last)).drop("_by", "_own", "_all")
+
+
+def session_turns(turns: DataFrame, session: str, turn: str, n_messages: str, docs: str) -> DataFrame:
+    """(session, turn, n_messages, was_reset, new_docs, repeated_docs): each turn's documents that its session has not had.
+
+    Fewer messages than in the turn before start the session anew.  Rows of one turn are taken by messages, then
+    documents; a null number counts as none, null documents are left out, a null session is a session.
+    """
+    n = F.coalesce(F.col(n_messages).cast("long"), F.lit(0)).alias("n_messages")
+    names = F.array_distinct(F.array_compact(F.coalesce(F.col(docs), F.array().cast(turns.schema[docs].dataType))))
+    own = turns.select(F.col(session).alias("session"), F.col(turn).alias("turn"), n, names.alias("docs"))
+    by = Window.partitionBy("session").orderBy("turn", "n_messages", "docs")
+    own = own.withColumns({"place": F.row_number().over(by), "was_reset": F.coalesce(F.col("n_messages") < F.lag("n_messages").over(by), F.lit(False))})
+    own = own.withColumn("epoch", F.sum(F.col("was_reset").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    said = own.select("session", "epoch", "place", F.posexplode("docs").alias("pos", "doc"))
+    first = said.groupBy(F.col("session").alias("s"), F.col("epoch").alias("e"), F.col("doc").alias("d")).agg(F.min("place").alias("first"))
+    named = said.join(first, F.col("session").eqNullSafe(F.col("s")) & (F.col("epoch") == F.col("e")) & (F.col("doc") == F.col("d")))
+    lists = named.groupBy("s", F.col("place").alias("p")).agg(F.array_sort(F.collect_list(F.struct("pos", "doc", (F.col("first") == F.col("place")).alias("new")))).alias("x"))
+    none = F.array().cast(turns.schema[docs].dataType)
+    of = lambda x, new: F.coalesce(F.transform(F.filter(x, lambda d: d["new"] == F.lit(new)), lambda d: d["doc"]), none)
+    made = own.join(lists, F.col("session").eqNullSafe(F.col("s")) & (F.col("place") == F.col("p")), "left")
+    return made.select(F.col("session").alias(session), F.col("turn").alias(turn), "n_messages", "was_reset", of(F.col("x"), True).alias("new_docs"), of(F.col("x"), False).alias("repeated_docs"))
