@@ -48,6 +48,10 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
 
 
+#: How the ids of engines' own probes begin.
+HEALTH_CHECK = "HEALTH_CHECK"
+
+
 def normalize_request_id(request_id: Column) -> Column:
     """Without an engine's prefix, and without the suffix that an engine adds to its own ids."""
     bare = F.regexp_replace(request_id, r"^(cmpl-|chatcmpl-|batch-)", "")
@@ -55,7 +59,7 @@ def normalize_request_id(request_id: Column) -> Column:
 
 
 def is_tracked(request_id: Column) -> Column:
-    return (F.length(request_id) > 0) & ~request_id.startswith("HEALTH_CHECK") & request_id.startswith("req-")
+    return (F.length(request_id) > 0) & ~request_id.startswith(HEALTH_CHECK) & request_id.startswith("req-")
 
 
 def without_random_ids(text: Column) -> Column:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -95,18 +100,52 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 1000, overla
     return w.select(id_col, "w", F.explode(starts).alias("start")).select(id_col, "start", F.array_join(F.slice("w", F.col("start") + 1, size), " ").alias("text"))
 
 
+#: Rows of a flattened tree that a task hands on at once.
+NODES_A_BATCH = 10_000
+NODE_FIELDS = [pa.field("path", pa.list_(pa.int32())), pa.field("place", pa.int64()), *(pa.field(name, pa.string()) for name in ("node_id", "title", "text"))]
+NODE_OUT = "path array<int>, place bigint, node_id string, title string, text string"
+
+
+def _text_of(value) -> str | None:
+    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def _nodes_of(tree: str | None) -> Iterator[tuple]:
+    """A tree's nodes, parents first, children in order; by a list of what is still to come, so depth is no matter of the stack."""
+    try:
+        root = json.loads(tree) if tree else None
+    except ValueError:
+        root = None
+    ahead, place = [((0,), root)], 0
+    while ahead:
+        path, node = ahead.pop()
+        fields = node if isinstance(node, dict) else {}
+        yield path, place, *(_text_of(fields.get(name)) for name in ("node_id", "title", "text"))
+        place += 1
+        children = fields.get("nodes")
+        if isinstance(children, list):
+            ahead.extend(((*path, k), child) for k, child in reversed(list(enumerate(children))))
+
+
 def flattened_tree(nodes: DataFrame, doc_col: str = "doc_name", json_col: str = "tree") -> DataFrame:
-    """(doc, path, node_id, title, text) of a nested page tree, parents first; levels are unfolded one by one, down to the deepest."""
-    level = "node_id string, title string, text string, nodes array<string>"
-    frontier = nodes.select(doc_col, F.array(F.lit(0)).alias("path"), F.from_json(json_col, level).alias("n"))
-    out = None
-    while True:
-        rows = frontier.select(doc_col, "path", "n.node_id", "n.title", "n.text")
-        out = rows if out is None else out.unionByName(rows)
-        frontier = frontier.where(F.size("n.nodes") > 0).select(doc_col, "path", F.posexplode("n.nodes").alias("k", "j")).select(doc_col, F.array_append("path", F.col("k")).alias("path"), F.from_json("j", level).alias("n"))
-        if not frontier.limit(1).count():
-            break
-    return out
+    """(doc, path, place, node_id, title, text) of a nested page tree: parents first, ``place`` counts a tree's nodes in that order.
+
+    One pass whatever the depth; a task holds one tree at a time.  A tree that is null or no JSON is one node of
+    nulls, a field that is no text is its JSON, and children that are no list are none.
+    """
+    kind = nodes.schema[doc_col].dataType.simpleString()
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = None
+        for batch in batches:
+            schema = schema or pa.schema([pa.field(doc_col, batch.schema.field(0).type), *NODE_FIELDS])
+            for doc, tree in zip(batch.column(0), batch.column(1), strict=True):
+                found = _nodes_of(tree.as_py())
+                while rows := list(islice(found, NODES_A_BATCH)):
+                    names = pa.array([doc.as_py()] * len(rows), type=schema.field(0).type)
+                    yield pa.RecordBatch.from_arrays([names, *(pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), NODE_FIELDS, strict=True))], schema=schema)
+
+    return nodes.select(doc_col, F.col(json_col).cast("string")).mapInArrow(walked, f"`{doc_col}` {kind}, {NODE_OUT}")
 
 
 def memory_search(memories: DataFrame, queries: DataFrame, k: int, scope: tuple[str, ...], threshold: float | None = None) -> DataFrame:

@@ -197,7 +197,32 @@ def extract_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("s_suppkey", "x.mode", F.array_join("x.documents", "|").alias("documents"))
 
 
+def ttl_evictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When users' entries went in January: no event for the time-to-live."""
+    gone = cache.eviction_times(table(spark, sf_dir, "events"), "user_id", "ts", TTL, F.timestamp_seconds(F.lit(NOW)))
+    return gone.select("user_id", *(F.unix_micros(c).alias(f"{c}_us") for c in ("last_access", "evicted_at")))
+
+
+def session_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as sessions that an order of fewer suppliers than the one before starts anew."""
+    turns = customer_contexts(spark, sf_dir).withColumn("n", F.size("docs"))
+    made = multiturn.session_turns(turns, "customer", "turn", "n", "docs")
+    return made.select("customer", "turn", "n_messages", "was_reset", *(F.array_join(F.transform(c, lambda d: d.cast("string")), ",").alias(c) for c in ("new_docs", "repeated_docs")))
+
+
+def flattened_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as page trees: a node for each return flag, and below it one for each line."""
+    lines = table(spark, sf_dir, "lineitem")
+    leaf = F.struct(F.col("l_linenumber").alias("node_id"), F.col("l_linestatus").alias("title"), F.col("l_partkey").alias("text"))
+    leaves = lines.groupBy("l_orderkey", "l_returnflag").agg(F.array_sort(F.collect_list(leaf)).alias("nodes"))
+    flags = F.array_sort(F.collect_list(F.struct(F.col("l_returnflag").alias("title"), "nodes")))
+    trees = leaves.groupBy("l_orderkey").agg(F.to_json(F.struct(F.col("l_orderkey").alias("node_id"), flags.alias("nodes"))).alias("tree"))
+    made = retrieve.flattened_tree(trees, "l_orderkey")
+    return made.select("l_orderkey", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"), "place", "node_id", "title", "text")
+
+
 QUERIES = [
+    ttl_evictions, session_turns, flattened_tree,
     ttl_after_responses, ttl_expired, ttl_alive, ttl_defaults, run_stats, ttft_history, full_report, report_markdown, memory_search, memory_corpus, chunk_items,
     tree_fields_dropped, evidence_scores, normalized_titles, requests_removed, conversations_cleared, conversation_clear_counts, conversation_turns,
     answers_without_thinking, salt_fingerprint, telemetry_window, permuted_orders, normalized_queries, extract_auto,
@@ -224,6 +249,19 @@ SELECT conv_id, turn, md5(string_agg(CASE WHEN is_new THEN '[Doc_' || item_id ||
 _BARE = "trim(regexp_replace(regexp_replace(lower({0}), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\s+', ' ', 'g'))"
 
 ORACLES = {
+    "ttl_evictions": f"""WITH e AS (SELECT user_id, epoch_us(ts) AS t, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS following FROM events)
+SELECT user_id, t AS last_access_us, t + {TTL}000000::BIGINT AS evicted_at_us FROM e WHERE t + {TTL}000000::BIGINT <= coalesce(following, {NOW}::BIGINT * 1000000) AND t + {TTL}000000::BIGINT <= {NOW}::BIGINT * 1000000""",
+    "session_turns": f"""WITH {turns_sql()}, b AS (SELECT *, len(docs) AS n, coalesce(len(docs) < lag(len(docs)) OVER (PARTITION BY customer ORDER BY turn), false) AS was_reset FROM turns),
+e AS (SELECT *, sum(was_reset::INT) OVER (PARTITION BY customer ORDER BY turn) AS epoch FROM b), x AS (SELECT customer, turn, epoch, unnest(docs) AS doc, generate_subscripts(docs, 1) AS pos FROM e),
+s AS (SELECT *, turn = min(turn) OVER (PARTITION BY customer, epoch, doc) AS fresh FROM x)
+SELECT customer, turn, n::BIGINT AS n_messages, was_reset, coalesce(string_agg(doc::VARCHAR, ',' ORDER BY pos) FILTER (fresh), '') AS new_docs,
+  coalesce(string_agg(doc::VARCHAR, ',' ORDER BY pos) FILTER (NOT fresh), '') AS repeated_docs FROM e JOIN s USING (customer, turn) GROUP BY ALL""",
+    "flattened_tree": """WITH l AS (SELECT l_orderkey, l_returnflag, l_linenumber, l_linestatus, l_partkey, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag) - 1 AS f,
+  row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_linestatus, l_partkey) - 1 AS k FROM lineitem),
+n AS (SELECT l_orderkey, '0' AS path, -1 AS f, -1 AS k, l_orderkey::VARCHAR AS node_id, NULL AS title, NULL AS text FROM l GROUP BY l_orderkey
+UNION ALL SELECT l_orderkey, '0.' || f, f, -1, NULL, l_returnflag, NULL FROM l GROUP BY l_orderkey, f, l_returnflag
+UNION ALL SELECT l_orderkey, '0.' || f || '.' || k, f, k, l_linenumber::VARCHAR, l_linestatus, l_partkey::VARCHAR FROM l)
+SELECT l_orderkey, path, row_number() OVER (PARTITION BY l_orderkey ORDER BY f, k) - 1 AS place, node_id, title, text FROM n""",
     "ttl_after_responses": f"WITH {_ENTRIES} SELECT request_id, tokens, epoch_us(last_access) AS last_access_us, touches FROM entries",
     "ttl_expired": f"WITH {_ENTRIES} SELECT request_id, tokens, round({_IDLE}, 3) AS idle_seconds FROM entries WHERE {_IDLE} >= {TTL}",
     "ttl_alive": f"WITH {_ENTRIES} SELECT count(*) AS entries, coalesce(sum(tokens), 0)::BIGINT AS tokens FROM entries WHERE {_IDLE} < {TTL}",

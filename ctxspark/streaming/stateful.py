@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.text import HEALTH_CHECK, normalize_request_id
+from ..operators import multiturn
 from ..operators.analytics import hourly_savings
 
 TTL_OUT = "key string, hits bigint, misses bigint, evictions bigint, last_access double"
@@ -80,16 +82,32 @@ def telemetry_hours(telemetry: DataFrame, watermark: str = "1 hour") -> DataFram
 def evictions_logged(log_path: str):
     """For foreachBatch: writes the evicted requests of each batch to a log, under the batch's number.
 
-    A batch that is run again writes its own part again, so the log stays the same; the index itself is
-    not rewritten.
+    Ids are brought to their common spelling first; empty ones and those of health checks are no requests.  A batch
+    that is run again writes its own part again, so the log stays the same; the index itself is not rewritten.
     """
 
     def apply(evicted: DataFrame, batch_id: int) -> None:
-        evicted.select("request_id").distinct().write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
+        own = evicted.select(normalize_request_id(F.col("request_id")).alias("request_id"))
+        own.where((F.length("request_id") > 0) & ~F.col("request_id").startswith(HEALTH_CHECK)).distinct().write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
 
     return apply
 
 
+def _logged(spark: SparkSession, log_path: str) -> DataFrame:
+    return spark.read.schema("request_id string, batch bigint").parquet(log_path).select("request_id").distinct()
+
+
 def live_requests(indexed: DataFrame, log_path: str) -> DataFrame:
     """The rows of an index whose requests the log has not evicted; written as the next index, they compact the log."""
-    return indexed.join(indexed.sparkSession.read.parquet(log_path).select("request_id"), "request_id", "left_anti")
+    return indexed.join(_logged(indexed.sparkSession, log_path), "request_id", "left_anti")
+
+
+def eviction_effects(indexed: DataFrame, log_path: str) -> DataFrame:
+    """(request_id, removed): the log's requests, and how many rows of the index go with each; 0 says that it was not there."""
+    rows = indexed.groupBy("request_id").agg(F.count("*").alias("removed"))
+    return _logged(indexed.sparkSession, log_path).join(rows, "request_id", "left").select("request_id", F.coalesce("removed", F.lit(0)).alias("removed"))
+
+
+def live_conversations(requests: DataFrame, log_path: str) -> tuple[DataFrame, DataFrame]:
+    """The (request_id, parent_id) rows that are left when the chains of all evicted requests go, and (request_id, removed) of each."""
+    return multiturn.cleared(requests, _logged(requests.sparkSession, log_path))

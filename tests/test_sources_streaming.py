@@ -94,6 +94,20 @@ def test_eviction_batches(spark, tmp_path):
     assert sorted(r.request_id for r in stateful.live_requests(index, log).collect()) == ["r0", "r2", "r3"]
 
 
+def test_evictions_in_all_spellings(spark, tmp_path):
+    log = str(tmp_path / "log")
+    apply = stateful.evictions_logged(log)
+    apply(spark.createDataFrame([("cmpl-req-a",), ("chatcmpl-req-a-0-9f",), ("HEALTH_CHECK_1",), ("",), (None,)], "request_id string"), 0)
+    apply(spark.createDataFrame([("batch-req-x",), ("req-c",)], "request_id string"), 1)
+    index = spark.createDataFrame([("req-a", 1), ("req-a", 2), ("req-b", 3), ("req-c", 4)], "request_id string, leaf long")
+    assert [r.leaf for r in stateful.live_requests(index, log).collect()] == [3]
+    assert sorted(map(tuple, stateful.eviction_effects(index, log).collect())) == [("req-a", 2), ("req-c", 1), ("req-x", 0)]
+    talk = spark.createDataFrame([("req-0", None), ("req-c", "req-0"), ("req-d", "req-c"), ("req-b", None)], "request_id string, parent_id string")
+    left, counts = stateful.live_conversations(talk, log)
+    assert sorted(r.request_id for r in left.collect()) == ["req-b", "req-d"]
+    assert sorted(map(tuple, counts.collect())) == [("req-a", 0), ("req-c", 2), ("req-x", 0)]
+
+
 def test_ancestors_with_branches_and_cycles(spark):
     df = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "b"), ("e", "missing"), ("x", "y"), ("y", "x")], "request_id string, parent_id string")
     got = {}

@@ -141,6 +141,22 @@ def test_deep_page_trees(spark):
     assert sorted(int(r.node_id) for r in got) == list(range(34))
 
 
+def test_odd_page_trees(spark):
+    rows = [(1, None), (2, "no json"), (3, '{"node_id": 7, "title": {"a": [1]}, "nodes": {"x": 1}}'), (4, '{"nodes": [3, {"text": "é"}]}'), (None, "{}")]
+    got = retrieve.flattened_tree(spark.createDataFrame(rows, "k long, t string"), "k", "t").collect()
+    assert sorted((r.k or 0, r.place, tuple(r.path), r.node_id, r.title, r.text) for r in got) == [
+        (0, 0, (0,), None, None, None), (1, 0, (0,), None, None, None), (2, 0, (0,), None, None, None), (3, 0, (0,), "7", '{"a":[1]}', None),
+        (4, 0, (0,), None, None, None), (4, 1, (0, 0), None, None, None), (4, 2, (0, 1), None, None, "é")]
+    assert retrieve.flattened_tree(spark.createDataFrame([], "k long, t string"), "k", "t").count() == 0
+
+
+def test_wide_page_tree(spark):
+    """More nodes than a task hands on at once."""
+    tree = '{"nodes": [' + ",".join(f'{{"node_id": {k}}}' for k in range(25_000)) + "]}"
+    got = retrieve.flattened_tree(spark.createDataFrame([("d", tree)], "doc_name string, tree string"))
+    assert got.count() == 25_001 and got.where("place <> coalesce(node_id, -1) + 1").count() == 0
+
+
 def test_chunks(spark):
     df = spark.createDataFrame([(1, " ".join(map(str, range(25)))), (2, ""), (3, None), (4, "a")], "k long, t string")
     got = [(r.k, r.start, r.text.split()[0]) for r in retrieve.chunks(df, "k", "t", 10, 4).orderBy("k", "start").collect()]
