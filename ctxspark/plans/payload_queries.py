@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
-from ..operators import blockdedup, payloads
+from ..operators import blockdedup, payloads, turns
 from .dedup_queries import _dedup_sql
 from .tables import table
 
@@ -141,7 +141,32 @@ def fence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blockdedup.deduped_fences(told, "source", "doc_id", "text").select("source", "doc_id", "fences", "replaced", F.md5("text").alias("text_md5"))
 
 
+def _agent_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(payload, body): results of tool calls, of which every fourth document is asked for again at the end."""
+    once = _results(spark, sf_dir).withColumn("again", F.lit(False))
+    twice = once.where("doc_id % 4 = 1").withColumns({"again": F.lit(True), "call": F.concat(F.lit("again_"), F.col("doc_id").cast("string"))})
+    calls = F.array(F.struct(F.col("call").alias("id"), F.struct(F.col("lang").alias("name")).alias("function")))
+    none = F.lit(None).cast(T_STRING)
+    asked = F.struct(F.lit("assistant").alias("role"), none.alias("content"), none.alias("tool_call_id"), calls.alias("tool_calls"))
+    got = F.struct(F.lit("tool").alias("role"), "content", F.col("call").alias("tool_call_id"), F.lit(None).cast("array<struct<id:string,function:struct<name:string>>>").alias("tool_calls"))
+    rows = once.unionByName(twice).withColumn("pair", F.array(asked, got))
+    return rows.groupBy("payload").agg(F.to_json(F.struct(F.flatten(_sorted_list(["again", "doc_id"], F.col("pair"))).alias("messages"))).alias("body"))
+
+
+def turn_optimizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agents' sessions whose second turn goes on from the first half of their tool calls: what each turn brought and saved of documents."""
+    whole = _agent_chats(spark, sf_dir)
+    messages = F.from_json("body", "messages array<string>")["messages"]
+    half = F.concat(F.lit('{"messages":['), F.array_join(F.slice(messages, 1, F.ceil(F.size(messages) / 4).cast("int") * 2), ","), F.lit("]}"))
+    rows = whole.select("payload", F.explode(F.array(F.struct(F.lit(1).alias("turn"), half.alias("body")), F.struct(F.lit(2).alias("turn"), "body"))).alias("t")).select("payload", "t.*")
+    made = turns.optimized(rows, "payload", "turn", "body")
+    texts = F.filter(F.from_json("body", "messages array<struct<role: string, content: string>>")["messages"], lambda m: m["role"] == "tool")
+    hints = F.size(F.filter(texts, lambda m: m["content"].startswith("[Duplicate")))
+    return made.select("payload", "turn", "n", "replayed", "docs_deduped", "doc_chars_saved", hints.alias("hints"))
+
+
 QUERIES = [
+    turn_optimizer,
     payload_segments, anthropic_segments, tool_result_segments, system_content, payload_block_dedup, responses_block_dedup, rebuilt_bodies, external_markers,
     document_occurrences, fence_dedup,
 ]
@@ -159,6 +184,13 @@ e AS (SELECT payload, msg, lang AS name, blocks_total, blocks_deduped, CASE WHEN
 SELECT payload, msg, name, blocks_total, blocks_deduped, length(before) - length(after) AS chars_saved, md5(after) AS text_md5 FROM e"""
 
 ORACLES = {
+    "turn_optimizer": f"""WITH d AS (SELECT floor(doc_id / {RESULTS})::BIGINT AS payload, doc_id, CASE WHEN doc_id % 3 = 0 THEN '{{"path":"/d/' || doc_id || '","content":' || to_json(text)::VARCHAR || '}}' ELSE text END AS content FROM documents),
+r AS (SELECT *, false AS again, 'call_' || doc_id AS call FROM d UNION ALL SELECT *, true, 'again_' || doc_id FROM d WHERE doc_id % 4 = 1),
+o AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY payload) AS m, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS bare FROM r WINDOW w AS (PARTITION BY payload ORDER BY again, doc_id)),
+c AS (SELECT *, first_value(call) OVER (PARTITION BY payload, bare ORDER BY k) AS origin, ceil(m / 2)::INT AS h FROM o),
+s AS (SELECT payload, m, h, k, length(bare) >= 100 AND origin <> call AS gone, length(content) - length('[Duplicate — identical to previous tool result (' || origin || '). Refer to the earlier result above.]') AS saved FROM c)
+SELECT payload, turn, CASE turn WHEN 1 THEN 2 * h ELSE 2 * m END::INT AS n, CASE turn WHEN 1 THEN 0 ELSE 2 * h END::INT AS replayed, count(*) FILTER (gone AND (k <= h) = (turn = 1)) AS docs_deduped,
+  coalesce(sum(saved) FILTER (gone AND (k <= h) = (turn = 1)), 0)::BIGINT AS doc_chars_saved, (count(*) FILTER (gone AND (k <= h OR turn = 2)))::INT AS hints FROM s, (VALUES (1), (2)) t(turn) GROUP BY payload, turn, m, h""",
     "payload_segments": "SELECT conv_id AS payload, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS msg, 0 AS part, role AS kind, NULL::VARCHAR AS call_id, NULL::VARCHAR AS name, md5(text) AS text_md5 FROM conversations QUALIFY text <> ''",
     "anthropic_segments": """SELECT conv_id AS payload, CASE WHEN role = 'system' THEN -1 ELSE row_number() OVER (PARTITION BY conv_id, role = 'system' ORDER BY turn) - 1 END AS msg,
   CASE WHEN role = 'system' THEN row_number() OVER (PARTITION BY conv_id, role = 'system' ORDER BY turn) - 1 ELSE 0 END AS part, role AS kind, NULL::VARCHAR AS call_id, NULL::VARCHAR AS name, md5(text) AS text_md5 FROM conversations QUALIFY text <> ''""",
