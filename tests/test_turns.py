@@ -93,5 +93,13 @@ def test_blocks_of_turns_are_those_of_the_last_request(spark):
     assert got[2].cumulative_chars_saved == got[1].block_chars_saved + got[2].block_chars_saved
 
 
+def test_repeated_rows_are_one_turn(spark):
+    whole = session()
+    rows = [("s", 1, body(whole[:6])), ("s", 2, body(whole)), ("s", 2, body(whole)), ("s", 1, body(whole[:6]))]
+    got = turns.optimized(spark.createDataFrame(rows, SCHEMA), "s", "t", "body").collect()
+    saved = walked(whole)[1]
+    assert sorted((r.t, r.replayed, r.chars_saved, r.cumulative_chars_saved) for r in got) == [(1, 0, sum(saved[:6]), sum(saved[:6]))] * 2 + [(2, 6, sum(saved[6:]), sum(saved))] * 2
+
+
 def test_no_turns(spark):
     assert turns.optimized(spark.createDataFrame([], SCHEMA), "s", "t", "body").count() == 0
