@@ -133,11 +133,13 @@ def index_stats(nodes: DataFrame, max_tokens: int) -> DataFrame:
 def leaf_owners(nodes: DataFrame, requests: DataFrame) -> DataFrame:
     """(request_id, batch, node_id): the deepest node whose documents begin the request's ``docs`` (batch, request_id, docs).
 
-    A node's documents are found by the hash of every prefix of the request, not by trying the nodes.
+    A node's documents are found by the hash of every prefix of the request, not by trying the nodes; of
+    nodes with the same documents only the last can own a request, so the others don't meet the requests.
     """
     starts = F.transform(F.sequence(F.lit(1), F.size("docs")), lambda k: F.slice("docs", 1, k))
     asked = requests.where(F.size("docs") > 0).select("batch", "request_id", F.posexplode(starts).alias("k", "docs"))
-    held = asked.join(nodes.where(F.size("docs") > 0).select("batch", "docs", "node_id"), ["batch", "docs"])
+    last = nodes.where(F.size("docs") > 0).groupBy("batch", "docs").agg(F.max("node_id").alias("node_id"))
+    held = asked.join(last, ["batch", "docs"])
     found = held.groupBy("batch", "request_id").agg(F.max_by("node_id", F.struct("k", "node_id")).alias("node_id"))
     return requests.select("batch", "request_id").join(found, ["batch", "request_id"], "left").select("request_id", "batch", "node_id")
 
