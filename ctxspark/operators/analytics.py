@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import rules
 from ..functions.text import blocks_of, est_tokens, salted_hash
@@ -17,6 +18,17 @@ def in_window(ts: Column, now: float | None, hours: float | None) -> Column:
     return F.lit(True) if now is None or hours is None else ts >= F.lit(now - hours * 3600)
 
 
+def added_in_order(rows: DataFrame, key: str, value: str, *order: str) -> DataFrame:
+    """Adds ``place`` and ``so_far``, the sum of a key's values up to the row, in the order given.
+
+    A sum of doubles depends on their order, and a whole number made of it by a full one; a shuffle keeps none.
+    A key's last ``so_far`` is its sum as one walk over the rows in order gives it, however they are partitioned.
+    """
+    own = Window.partitionBy(key).orderBy(*order, value)
+    upto = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumns({"place": F.row_number().over(own), "so_far": F.sum(value).over(upto)})
+
+
 def tool_messages(messages: DataFrame, now: float | None = None, hours: float | None = None) -> DataFrame:
     """Messages of tools with content, active where the table says so."""
     own = messages.where(((F.col("role") == "tool") | F.col("tool_name").isNotNull()) & F.col("content").isNotNull() & in_window(F.col("timestamp"), now, hours))

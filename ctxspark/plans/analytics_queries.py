@@ -25,10 +25,10 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    e = an.added_in_order(table(spark, sf_dir, "events"), "user_id", "value", "event_id")
     own = e.groupBy(F.col("user_id").alias("id")).agg(
         F.min_by("event_type", F.struct("ts", "event_id")).alias("source"), F.unix_timestamp(F.min("ts")).cast("double").alias("started_at"), F.count("*").alias("message_count"), F.count_if(F.col("event_type") == "click").alias("tool_call_count"),
-        F.floor(F.sum("value")).cast("long").alias("input_tokens"), F.floor(F.max("value")).cast("long").alias("output_tokens"), F.min_by("props", F.struct("ts", "event_id")).alias("props"),
+        F.floor(F.max_by("so_far", "place")).cast("long").alias("input_tokens"), F.floor(F.max("value")).cast("long").alias("output_tokens"), F.min_by("props", F.struct("ts", "event_id")).alias("props"),
     )
     return own.withColumn("archived", (F.col("id") % 10 == 0).cast("int")).withColumn("system_prompt", F.when(F.col("id") % 3 == 0, F.concat(F.lit("---\nname: skill "), "source", F.lit("\nWhen to use: "), "props")).when(F.col("id") % 3 == 1, F.concat(F.lit("You must answer. "), "props"))).drop("props")
 

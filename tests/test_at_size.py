@@ -4,6 +4,7 @@ from plans import collected
 from pyspark.sql import functions as F
 
 from ctxspark.operators import live
+from ctxspark.plans import analytics_queries, index_queries
 
 
 def test_owners_meet_one_node_of_equal_documents(spark):
@@ -14,3 +15,18 @@ def test_owners_meet_one_node_of_equal_documents(spark):
     own = {(n % 2, n % 3): n for n in range(300)}
     assert {(r.request_id, r.batch, r.node_id) for r in rows} == {(k, k % 2, own.get((k % 2, k % 4))) for k in range(300)}
     assert most <= 600
+
+
+def tenths(spark, folder):
+    """Ten events of 0.1 a user: 0.99... in the order of their ids, 1.0 as two sums of five."""
+    e = spark.range(100).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") % 10).alias("ts"), (F.col("id") % 10).alias("user_id"), F.lit("view").alias("event_type"), F.lit(0.1).alias("value"), F.lit('{"k": 4}').alias("props")
+    )
+    for k in range(2):
+        e.where(F.floor("event_id") / 50 >= k).where(F.floor("event_id") / 50 < k + 1).coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def test_report_adds_up_in_order(spark, tmp_path):
+    r = analytics_queries.daily_report(spark, tenths(spark, tmp_path)).first()
+    assert (r.sessions, r.messages, r.input_tokens) == (9, 90, 0)
