@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import joined, sha_hex
-from ..operators import cluster, distance, schedule
+from ..operators import analytics, cluster, distance, schedule
 from ..operators import contexts as cx
 from ..operators import index as ix
 from .tables import ctx_sql, customer_contexts, order_contexts, table, turns_sql
@@ -136,7 +136,8 @@ def hash_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lru_tokens_to_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users evicted, least recently seen first, until a quarter of all tokens is free."""
-    use = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("node_id")).agg(F.max(F.struct("ts", "event_id")).alias("last"), F.floor(F.sum("value")).cast("long").alias("tokens"))
+    events = analytics.added_in_order(table(spark, sf_dir, "events"), "user_id", "value", "event_id")
+    use = events.groupBy(F.col("user_id").alias("node_id")).agg(F.max(F.struct("ts", "event_id")).alias("last"), F.floor(F.max_by("so_far", "place")).cast("long").alias("tokens"))
     return ix.lru_evictions(use.select("node_id", F.col("last.ts").alias("last_access"), F.col("last.event_id").alias("tie"), "tokens"), share=0.25)
 
 

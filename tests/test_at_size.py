@@ -30,3 +30,12 @@ def tenths(spark, folder):
 def test_report_adds_up_in_order(spark, tmp_path):
     r = analytics_queries.daily_report(spark, tenths(spark, tmp_path)).first()
     assert (r.sessions, r.messages, r.input_tokens) == (9, 90, 0)
+
+
+def test_sources_add_up_in_order(spark, tmp_path):
+    r = analytics_queries.source_totals(spark, tenths(spark, tmp_path)).collect()
+    assert [(x.source, x.sessions, x.input_tokens) for x in r] == [("view", 9, 0)]
+
+
+def test_evicted_tokens_add_up_in_order(spark, tmp_path):
+    assert index_queries.lru_tokens_to_evict(spark, tenths(spark, tmp_path)).count() == 0  # no token is held, so none is to be freed
