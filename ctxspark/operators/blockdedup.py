@@ -33,21 +33,21 @@ def deduped_blocks(messages: DataFrame, payload: str, message: str, text: str, l
     places = [c for c in (message, part) if c]
     long_ones = messages.where(F.length(text) >= min_chars if system is None else (F.length(text) >= min_chars) | F.col(system))
     b = chunking.blocks(long_ones, text, *keep).withColumn("eligible", F.length(stripped(F.col("block"))) >= min_block_chars)
-    b = b.withColumn("hash", F.when(F.col("eligible"), chunking.block_hash(F.col("block"))))
+    # blocks too short to count have keys of their own: as one group they would be the largest of all
+    alone = F.concat(F.lit("-"), F.xxhash64(*places, "block_idx").cast("string"))
+    b = b.withColumn("hash", F.when(F.col("eligible"), chunking.block_hash(F.col("block"))).otherwise(alone))
     here = Window.partitionBy(payload, "hash").orderBy(*places, "block_idx").rowsBetween(Window.unboundedPreceding, 0)
     origin = F.struct(F.col(message).alias("message"), (F.col(label) if label else F.lit(None).cast("string")).alias("label"), (F.col(system) if system else F.lit(False)).alias("system"))
-    # blocks too short to count are apart: as one group they would be the largest of all
-    some = b.where("eligible").withColumn("origin", F.first(origin).over(here))
+    b = b.withColumn("origin", F.first(origin).over(here))
     origin_label = F.when(F.col("origin.system"), F.lit(SYSTEM)).otherwise(F.col("origin.label")) if label else None
-    some = some.withColumn("ref", reference(F.col("block"), origin_label))
-    matched = (F.col("origin.message") != F.col(message)) & (F.col("n_blocks") >= 2)
+    matched = F.col("eligible") & (F.col("origin.message") != F.col(message)) & (F.col("n_blocks") >= 2)
     if system:
         matched = matched & ~F.col(system)
-    some = some.withColumns({"matched_system": matched & F.col("origin.system"), "replaced": matched & (F.length("ref") < F.length("block"))})
-    some = some.withColumn("result", F.when(F.col("replaced"), F.col("ref")).otherwise(F.col("block")))
-    short = b.where("NOT eligible").withColumns({"matched_system": F.lit(False), "replaced": F.lit(False), "result": F.col("block")})
-    columns = [payload, *places, "block_idx", "n_blocks", "block", "eligible", "replaced", "matched_system", "result"]
-    return some.select(columns).unionByName(short.select(columns))
+    b = b.withColumn("matched", F.coalesce(matched, F.lit(False)))
+    b = b.withColumn("ref", F.when(F.col("matched"), reference(F.col("block"), origin_label)))
+    b = b.withColumns({"matched_system": F.col("matched") & F.col("origin.system"), "replaced": F.col("matched") & F.coalesce(F.length("ref") < F.length("block"), F.lit(False))})
+    b = b.withColumn("result", F.when(F.col("replaced"), F.col("ref")).otherwise(F.col("block")))
+    return b.select(payload, *places, "block_idx", "n_blocks", "block", "eligible", "replaced", "matched_system", "result")
 
 
 def deduped(blocks: DataFrame, payload: str, *message: str) -> DataFrame:

@@ -23,19 +23,27 @@ def without_number(line: Column) -> Column:
     return F.regexp_replace(line, r"^\s*\d+\|", "")
 
 
+def _digest(line: Column) -> Column:
+    return F.md5(stripped(without_number(line)))
+
+
+def _number(h: Column) -> Column:
+    return F.conv(F.concat(F.substring(h, 7, 2), F.substring(h, 5, 2), F.substring(h, 3, 2), F.substring(h, 1, 2)), 16, 10).cast("long")
+
+
 def line_number_hash(line: Column) -> Column:
     """The first four bytes of the stripped line's MD5, little-endian."""
-    h = F.md5(stripped(without_number(line)))
-    return F.conv(F.concat(F.substring(h, 7, 2), F.substring(h, 5, 2), F.substring(h, 3, 2), F.substring(h, 1, 2)), 16, 10).cast("long")
+    return _number(_digest(line))
 
 
 def block_ends(lines: Column, modulus: int = MODULUS, min_lines: int = MIN_LINES, max_lines: int = MAX_LINES) -> Column:
     """The numbers of the lines (from 1) after which a block ends."""
+    edges = F.transform(F.transform(lines, _digest), lambda h: _number(h) % modulus == 0)  # in two steps, so that a line is hashed once
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("held"), F.array().cast("array<int>").alias("ends"))
 
-    def step(s: Column, line: Column) -> Column:
+    def step(s: Column, edge: Column) -> Column:
         held, at = s["held"] + 1, s["at"] + 1
-        cut = ((line_number_hash(line) % modulus == 0) & (held >= min_lines)) | (held >= max_lines)
+        cut = (edge & (held >= min_lines)) | (held >= max_lines)
         return F.struct(at.alias("at"), F.when(cut, 0).otherwise(held).alias("held"), F.when(cut, F.array_append(s["ends"], at)).otherwise(s["ends"]).alias("ends"))
 
     def finish(s: Column) -> Column:
@@ -44,7 +52,7 @@ def block_ends(lines: Column, modulus: int = MODULUS, min_lines: int = MIN_LINES
         with_rest = F.when(s["held"] == 0, s["ends"]).when(short, F.array_append(F.slice(s["ends"], 1, F.greatest(F.size(s["ends"]) - 1, F.lit(0))), n)).otherwise(F.array_append(s["ends"], n))
         return with_rest
 
-    return F.when(F.size(lines) <= min_lines, F.array(F.size(lines))).otherwise(F.aggregate(lines, start, step, finish))
+    return F.when(F.size(lines) <= min_lines, F.array(F.size(lines))).otherwise(F.aggregate(edges, start, step, finish))
 
 
 def cut(lines: Column, ends: Column) -> Column:

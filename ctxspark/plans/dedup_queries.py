@@ -36,7 +36,8 @@ def block_dedup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def block_dedup_system(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with each payload's first document as its system prompt: it gives origins and stays."""
     docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("payload"), F.col("doc_id").alias("msg"), "text", F.col("source").alias("label"))
-    docs = docs.withColumn("is_system", F.col("msg") == F.min("msg").over(Window.partitionBy("payload")))
+    first = docs.groupBy("payload").agg(F.min("msg").alias("first"))  # one row a language: whole texts are not brought together for it
+    docs = docs.join(first.withColumnRenamed("payload", "p"), F.col("payload").eqNullSafe(F.col("p")), "left").withColumn("is_system", F.col("msg") == F.col("first")).drop("p", "first")
     return blockdedup.stats(blockdedup.deduped_blocks(docs, "payload", "msg", "text", "label", "is_system"), "payload")
 
 

@@ -1,10 +1,12 @@
 """Steps whose work once grew faster than their input, or depended on the order of rows."""
 
+import pyarrow as pa
 from plans import collected
 from pyspark.sql import functions as F
 
-from ctxspark.operators import live
-from ctxspark.plans import analytics_queries, index_queries
+from ctxspark.operators import blockdedup, chunking, live
+from ctxspark.operators.retrieve import flattened_tree
+from ctxspark.plans import analytics_queries, dedup_queries, index_queries
 
 
 def test_owners_meet_one_node_of_equal_documents(spark):
@@ -39,3 +41,30 @@ def test_sources_add_up_in_order(spark, tmp_path):
 
 def test_evicted_tokens_add_up_in_order(spark, tmp_path):
     assert index_queries.lru_tokens_to_evict(spark, tenths(spark, tmp_path)).count() == 0  # no token is held, so none is to be freed
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_first_message_is_found_without_texts(spark):
+    made = dedup_queries.block_dedup_system(spark, "/root/testdata/sf0.001")
+    assert plan_of(made).count("Window [") == 1  # the first copies of blocks
+
+
+def test_texts_are_cut_and_hashed_once(spark):
+    rows = spark.createDataFrame([(1, 1, "a\n" * 300), (1, 2, "b")], "payload int, msg int, text string")
+    made = blockdedup.deduped_blocks(rows, "payload", "msg", "text", min_chars=0)
+    assert plan_of(made).count("posexplode") == 1
+    assert str(chunking.block_ends(F.split("text", "\n"))).count("md5") == 1
+
+
+def test_small_trees_are_handed_on_together(spark, monkeypatch):
+    rows = spark.range(5000).coalesce(1).select("id", F.concat(F.lit('{"node_id": '), F.col("id").cast("string"), F.lit(', "nodes": [{}]}')).alias("tree"))
+    found = flattened_tree(rows, "id").select("id", "path", "place", "node_id").collect()
+    assert sorted(map(tuple, found)) == sorted(r for k in range(5000) for r in ((k, [0], 0, str(k)), (k, [0, 0], 1, None)))
+    got = []
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, f, schema: got.append(f))
+    flattened_tree(rows, "id")
+    trees = pa.RecordBatch.from_pydict({"id": list(range(5000)), "tree": ['{"nodes": [{}]}'] * 5000})
+    assert len(list(got[0](iter([trees])))) == 1
