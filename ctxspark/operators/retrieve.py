@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -107,43 +106,62 @@ NODE_OUT = "path array<int>, place bigint, node_id string, title string, text st
 
 
 def _text_of(value) -> str | None:
-    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
-
-
-def _nodes_of(tree: str | None) -> Iterator[tuple]:
-    """A tree's nodes, parents first, children in order; by a list of what is still to come, so depth is no matter of the stack."""
-    try:
-        root = json.loads(tree) if tree else None
-    except ValueError:
-        root = None
-    ahead, place = [((0,), root)], 0
-    while ahead:
-        path, node = ahead.pop()
-        fields = node if isinstance(node, dict) else {}
-        yield path, place, *(_text_of(fields.get(name)) for name in ("node_id", "title", "text"))
-        place += 1
-        children = fields.get("nodes")
-        if isinstance(children, list):
-            ahead.extend(((*path, k), child) for k, child in reversed(list(enumerate(children))))
+    return value if value is None or type(value) is str else str(value) if type(value) is int else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+class _Nodes:
+    """Columns of nodes; the paths lie behind each other in one list."""
+
+    def __init__(self):
+        self.doc, self.steps, self.ends, self.place, self.fields = [], [], [0], [], ([], [], [])
+
+    def of(self, k: int, tree: str | None) -> Iterator[bool]:
+        """Adds a tree's nodes, parents first, children in order, and stops where a batch is full; what is still to come is a list, so depth is no matter of the stack."""
+        try:
+            root = json.loads(tree) if tree else None
+        except ValueError:
+            root = None
+        ahead, place = [((0,), root)], 0
+        while ahead:
+            path, node = ahead.pop()
+            fields = node if isinstance(node, dict) else {}
+            self.doc.append(k)
+            self.steps += path
+            self.ends.append(len(self.steps))
+            self.place.append(place)
+            for column, name in zip(self.fields, ("node_id", "title", "text"), strict=True):
+                column.append(_text_of(fields.get(name)))
+            place += 1
+            children = fields.get("nodes")
+            if isinstance(children, list):
+                ahead.extend(((*path, j), children[j]) for j in range(len(children) - 1, -1, -1))
+            if len(self.doc) >= NODES_A_BATCH:
+                yield True
+
+    def batch(self, docs: pa.Array) -> pa.RecordBatch:
+        paths = pa.ListArray.from_arrays(pa.array(self.ends, type=pa.int32()), pa.array(self.steps, type=pa.int32()))
+        columns = [docs.take(pa.array(self.doc, type=pa.int64())), paths, pa.array(self.place, type=pa.int64()), *(pa.array(c, type=pa.string()) for c in self.fields)]
+        self.__init__()
+        return pa.RecordBatch.from_arrays(columns, schema=pa.schema([pa.field("doc", docs.type), *NODE_FIELDS]))
 
 
 def flattened_tree(nodes: DataFrame, doc_col: str = "doc_name", json_col: str = "tree") -> DataFrame:
     """(doc, path, place, node_id, title, text) of a nested page tree: parents first, ``place`` counts a tree's nodes in that order.
 
-    One pass whatever the depth; a task holds one tree at a time.  A tree that is null or no JSON is one node of
-    nulls, a field that is no text is its JSON, and children that are no list are none.
+    One pass whatever the depth; a task holds one tree at a time, and hands nodes of many small trees on together.
+    A tree that is null or no JSON is one node of nulls, a field that is no text is its JSON, and children that are
+    no list are none.
     """
     kind = nodes.schema[doc_col].dataType.simpleString()
 
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = None
         for batch in batches:
-            schema = schema or pa.schema([pa.field(doc_col, batch.schema.field(0).type), *NODE_FIELDS])
-            for doc, tree in zip(batch.column(0), batch.column(1), strict=True):
-                found = _nodes_of(tree.as_py())
-                while rows := list(islice(found, NODES_A_BATCH)):
-                    names = pa.array([doc.as_py()] * len(rows), type=schema.field(0).type)
-                    yield pa.RecordBatch.from_arrays([names, *(pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), NODE_FIELDS, strict=True))], schema=schema)
+            made = _Nodes()
+            for k, tree in enumerate(batch.column(1)):
+                for _ in made.of(k, tree.as_py()):
+                    yield made.batch(batch.column(0)).rename_columns([doc_col, *(f.name for f in NODE_FIELDS)])
+            if made.doc:
+                yield made.batch(batch.column(0)).rename_columns([doc_col, *(f.name for f in NODE_FIELDS)])
 
     return nodes.select(doc_col, F.col(json_col).cast("string")).mapInArrow(walked, f"`{doc_col}` {kind}, {NODE_OUT}")
 
