@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .contexts import exploded
 
 ALPHA = 0.001
+#: Lists of up to so many documents travel with each of them.
+TRAVELS = 64
 #: Distances are counted in these parts of 1 where they are added up, so that sums and ties are exact.
 GRAIN = 1_000_000_000
 
@@ -23,13 +25,30 @@ def distance_of(common: Column, moved: Column, n: Column, m: Column, alpha: floa
 
 
 def pairs(contexts: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """(ctx_i, ctx_j, n_common, distance) for ctx_i < ctx_j that share a document."""
-    e = exploded(contexts)
-    a, b = (e.select("doc", F.col("ctx_id").alias(f"ctx_{s}"), F.col("pos").alias(f"pos_{s}"), F.col("n").alias(f"n_{s}")) for s in "ij")
-    met = a.join(b, "doc").where("ctx_i < ctx_j")
+    """(ctx_i, ctx_j, n_common, distance) of all pairs that share a document, ctx_i < ctx_j.
+
+    Lists travel with their documents, so that a pair is whole where it meets: it comes from the first
+    document that both have, and pairs are not shuffled.  Pairs with a list of more than ``TRAVELS`` documents,
+    which would travel too often, are counted up by grouping.
+    """
+    e = contexts.select("ctx_id", F.size("docs").alias("n"), F.posexplode("docs").alias("pos", "doc"), "docs")
+    own, overlap = e.where(F.col("n") <= TRAVELS), lambda c: F.coalesce(F.arrays_overlap(c, "docs_j"), F.lit(False))
+    before, after = F.slice("docs", 1, F.col("pos")), F.slice("docs", F.col("pos") + 2, F.col("n"))
+    a = own.select("doc", F.col("ctx_id").alias("ctx_i"), F.col("pos").alias("pos_i"), F.col("n").alias("n_i"), before.alias("before"), after.alias("after"))
+    b = own.select("doc", F.col("ctx_id").alias("ctx_j"), F.col("pos").alias("pos_j"), F.col("n").alias("n_j"), F.col("docs").alias("docs_j"))
+    met = a.join(b, "doc").where((F.col("ctx_i") < F.col("ctx_j")) & ~overlap("before")).withColumn("more", overlap("after"))
+    rest = F.array_compact(F.array_intersect("after", "docs_j"))  # of the few pairs with more documents in common
+    here, place = F.abs(F.col("pos_i") - F.col("pos_j")).cast("long"), lambda d: F.col("pos_i") + F.array_position("after", d) - F.array_position("docs_j", d) + 1
+    moved = F.when(F.col("more"), F.aggregate(rest, here, lambda s, d: s + F.abs(place(d)))).otherwise(here)
+    n_common = F.when(F.col("more"), F.size(rest) + 1).otherwise(1).cast("long")
+    out = met.select("ctx_i", "ctx_j", n_common.alias("n_common"), distance_of(n_common, moved, F.col("n_i"), F.col("n_j"), alpha).alias("distance"))
+
+    a, b = (e.select("doc", F.col("ctx_id").alias(f"ctx_{k}"), F.col("pos").alias(f"pos_{k}"), F.col("n").alias(f"n_{k}")) for k in ("a", "b"))
+    long_ones = a.where(F.col("n_a") > TRAVELS).join(b, "doc").where((F.col("ctx_a") < F.col("ctx_b")) | ((F.col("n_b") <= TRAVELS) & (F.col("ctx_a") > F.col("ctx_b"))))
     # list lengths belong to the context: they ride along as group keys instead of being joined again
-    found = met.groupBy("ctx_i", "ctx_j", "n_i", "n_j").agg(F.count("*").alias("n_common"), F.sum(F.abs(F.col("pos_i") - F.col("pos_j"))).alias("moved"))
-    return found.select("ctx_i", "ctx_j", "n_common", distance_of(F.col("n_common"), F.col("moved"), F.col("n_i"), F.col("n_j"), alpha).alias("distance"))
+    found = long_ones.groupBy("ctx_a", "ctx_b", "n_a", "n_b").agg(F.count("*").alias("n_common"), F.sum(F.abs(F.col("pos_a") - F.col("pos_b"))).alias("moved"))
+    far = distance_of(F.col("n_common"), F.col("moved"), F.col("n_a"), F.col("n_b"), alpha)
+    return out.unionByName(found.select(F.least("ctx_a", "ctx_b").alias("ctx_i"), F.greatest("ctx_a", "ctx_b").alias("ctx_j"), "n_common", far.alias("distance")))
 
 
 def cross(queries: DataFrame, targets: DataFrame, alpha: float = ALPHA) -> DataFrame:

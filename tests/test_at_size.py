@@ -1,10 +1,11 @@
 """Steps whose work once grew faster than their input, or depended on the order of rows."""
 
 import pyarrow as pa
+import pytest
 from plans import collected
 from pyspark.sql import functions as F
 
-from ctxspark.operators import blockdedup, chunking, live
+from ctxspark.operators import blockdedup, chunking, distance, live
 from ctxspark.operators.retrieve import flattened_tree
 from ctxspark.plans import analytics_queries, dedup_queries, index_queries
 
@@ -68,3 +69,27 @@ def test_small_trees_are_handed_on_together(spark, monkeypatch):
     flattened_tree(rows, "id")
     trees = pa.RecordBatch.from_pydict({"id": list(range(5000)), "tree": ['{"nodes": [{}]}'] * 5000})
     assert len(list(got[0](iter([trees])))) == 1
+
+
+@pytest.mark.parametrize("travels", [0, 2, 64])
+def test_pairs_are_whole_where_they_meet(spark, monkeypatch, travels):
+    lists = [[1, 2, 3], [3, 2], [2, 9, 1, 3], [7], [7, None], [None], [1], [9, 7]]
+    rows = spark.createDataFrame(list(enumerate(lists)), "ctx_id int, docs array<int>")
+    monkeypatch.setattr(distance, "TRAVELS", travels)
+    made = {tuple(r) for r in distance.pairs(rows).collect()}
+    want = set()
+    for i, a in enumerate(lists):
+        for j, b in enumerate(lists[i + 1 :], i + 1):
+            both = [d for d in a if d is not None and d in b]
+            if both:
+                moved = sum(abs(a.index(d) - b.index(d)) for d in both)
+                want.add((i, j, len(both), round(1 - len(both) / max(len(a), len(b)) + 0.001 * moved / len(both), 6)))
+    assert made == want
+
+
+def test_pairs_are_not_shuffled(spark):
+    rows = spark.range(200).select(F.col("id").alias("ctx_id"), F.array(F.lit(1), F.col("id") + 2).alias("docs"))
+    made = distance.pairs(rows)
+    assert made.count() == 200 * 199 // 2
+    physical = made._jdf.queryExecution().sparkPlan().toString()
+    assert physical.index("Join") < physical.index("HashAggregate")  # the branch of short lists has no grouping
