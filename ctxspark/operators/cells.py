@@ -78,6 +78,18 @@ def _nearest(qid: int, ids: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.nd
     return ids[best], keys[best]
 
 
+def candidates(qid: int, ids: np.ndarray, far: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, ids, distances) of all that can be among the k nearest once distances are rounded to units: of equal distances the k smallest ids."""
+    other = np.flatnonzero(ids != qid)
+    if len(other) > k:
+        other = other[far[other] <= np.partition(far[other], k - 1)[k - 1] + 2 / UNITS]
+    other = other[np.lexsort((ids[other], far[other]))]
+    same = np.flatnonzero(np.r_[True, np.diff(far[other]) != 0]) if len(other) else other
+    place = np.arange(len(other)) - np.repeat(same, np.diff(np.r_[same, len(other)]))
+    other = other[place < k]
+    return np.full(len(other), qid), ids[other], far[other]
+
+
 def _usable(df: DataFrame, id_col: str, vector_col: str, dims: int | None = None) -> DataFrame:
     own = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector")).where("id IS NOT NULL AND size(vector) > 0")
     own = own.where(~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))

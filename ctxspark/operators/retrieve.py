@@ -5,12 +5,15 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
 from ..functions.text import words
+from . import cells
 
 # The usual BM25 parameters.
 K1, B = 1.2, 0.75
@@ -49,16 +52,40 @@ def squared_l2(a: Column, b: Column) -> Column:
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, vec_id, rank, distance): exact nearest vectors by squared L2, ties by id; the query itself is left out.
 
-    Every stated query meets every vector (that is the exact search); the k best are kept per part of
-    the vectors first, so that the final ranking sees k rows a query and part.
+    Every stated query meets every vector (that is the exact search), in blocks of bounded size on both sides;
+    a block hands on what can be among the k best.  Vectors with nulls, infinite components or another
+    length than most, whose distances are null or not finite, meet the others row by row.
     """
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("qv"))
-    v = vectors.select(F.col(id_col), F.col(vector_col), F.pmod(F.xxhash64(id_col), F.lit(64)).alias("part"))
-    near = v.join(q, F.col(id_col) != F.col("query_id")).withColumn("distance", F.round(squared_l2(F.col(vector_col), F.col("qv")), 6)).select("query_id", id_col, "part", "distance")
-    first = Window.partitionBy("query_id", "part").orderBy("distance", id_col)
-    some = near.withColumn("k", F.row_number().over(first)).where(F.col("k") <= k)
+    sizes = vectors.groupBy(F.size(vector_col).alias("dims")).count().where("dims > 0").orderBy(F.desc("count"), "dims").limit(1).collect()
+    dims, n = (sizes[0].dims, sizes[0]["count"]) if sizes else (0, 0)
+    whole = isinstance(vectors.schema[id_col].dataType, IntegralType) and dims > 0
+    plain = F.lit(whole) & F.coalesce((F.size("v") == dims) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False))
+    own, asked = (df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).withColumn("plain", plain) for df in (vectors, queries))
+    q, v = asked.select(F.col("id").alias("query_id"), F.col("v").alias("qv"), F.col("plain").alias("q_plain")), own
+    odd = v.where("NOT plain").join(q, F.col("id") != F.col("query_id")).unionByName(v.where("plain").join(q.where("NOT q_plain"), F.col("id") != F.col("query_id")))
+    near = odd.select("query_id", "id", squared_l2(F.col("v"), F.col("qv")).alias("raw"))
+    if whole:
+        parts = max(1, -(-n // cells.BLOCK))
+        asked = asked.where("plain AND id IS NOT NULL")
+        q_parts = max(1, -(-asked.count() // cells.BLOCK))
+        dealt = lambda df, by: df.where("plain AND id IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"), *by)
+        block, every = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int"), lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        both = dealt(own, [block(parts).alias("part"), every(q_parts).alias("q_part"), F.lit(False).alias("asks")])
+        both = both.unionByName(dealt(asked, [every(parts).alias("part"), block(q_parts).alias("q_part"), F.lit(True).alias("asks")]))
+
+        def met(block: pa.Table) -> pa.Table:
+            asks = block["asks"].to_numpy()
+            ids, m = block["id"].to_numpy(), cells._matrix(block["v"], dims)
+            found = [cells.candidates(q_id, ids[~asks], row, k) for at in range(0, asks.sum(), cells.AT_ONCE) for q_id, row in zip(ids[asks][at : at + cells.AT_ONCE], cells._squares(m[asks][at : at + cells.AT_ONCE], m[~asks]), strict=True)]
+            columns = [np.concatenate([np.zeros(0, t), *(f[c] for f in found)]) for c, t in enumerate((np.int64, np.int64, np.float64))]
+            return pa.table(columns, names=["query_id", "id", "raw"])
+
+        kind = vectors.schema[id_col].dataType.simpleString()
+        some = both.groupBy("part", "q_part").applyInArrow(met, "query_id long, id long, raw double")
+        near = near.unionByName(some.select(F.col("query_id").cast(kind).alias("query_id"), F.col("id").cast(kind).alias("id"), "raw"))
+    near = near.select("query_id", F.col("id").alias(id_col), F.round("raw", 6).alias("distance"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", id_col))
-    return some.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", id_col, "rank", "distance")
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", id_col, "rank", "distance")
 
 
 def overlap_ratio(results: DataFrame, *by: str) -> DataFrame:

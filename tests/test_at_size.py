@@ -5,8 +5,8 @@ import pytest
 from plans import collected
 from pyspark.sql import functions as F
 
-from ctxspark.operators import blockdedup, chunking, distance, live
-from ctxspark.operators.retrieve import flattened_tree
+from ctxspark.operators import blockdedup, cells, chunking, distance, live
+from ctxspark.operators.retrieve import flattened_tree, vector_topk
 from ctxspark.plans import analytics_queries, dedup_queries, index_queries
 
 
@@ -93,3 +93,20 @@ def test_pairs_are_not_shuffled(spark):
     assert made.count() == 200 * 199 // 2
     physical = made._jdf.queryExecution().sparkPlan().toString()
     assert physical.index("Join") < physical.index("HashAggregate")  # the branch of short lists has no grouping
+
+
+def test_nearest_vectors_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(cells, "BLOCK", 40)
+    odd = [None, [None, 1.0], [float("nan"), 1.0], [float("inf"), 1.0], [1.0], []]
+    rows = [(k, [float(k % 5), float(k % 3)]) for k in range(200)] + list(enumerate(odd, 200))
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = v.where("vec_id % 50 IN (0, 3)")
+    rows, most = collected(spark, vector_topk(v.where("vec_id < 200"), q.where("vec_id < 200"), 7))
+    points = {k: (k % 5, k % 3) for k in range(200)}
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(points[a], points[b], strict=True))
+    want = {(a, b, r, float(d)) for a in (0, 3, 50, 53, 100, 103, 150, 153) for r, (d, b) in enumerate(sorted((far(a, b), b) for b in points if b != a)[:7], 1)}
+    assert {tuple(r) for r in rows} == want and most < 200
+    # unusable ones keep their places: no distance comes first, one that is no number last
+    first = vector_topk(v, q, 4).where("query_id = 0").orderBy("rank").collect()
+    assert [(r.vec_id, r.distance) for r in first] == [(200, None), (201, None), (204, None), (205, None)]
+    assert vector_topk(v, q, 1000).where("query_id = 0 AND vec_id IN (202, 203)").orderBy("rank").select("vec_id", "rank").collect() == [(203, 204), (202, 205)]
