@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -17,6 +18,12 @@ from . import cells
 
 # The usual BM25 parameters.
 K1, B = 1.2, 0.75
+#: Rows of term counts that a task hands on at once.
+COUNTS_A_BATCH = 50_000
+#: A side of so many texts goes to every task.
+FEW = 10_000
+#: Pairs of a query and a document that a task adds up, more if that made too many tasks.
+PAIRS_A_TASK, MOST_TASKS = 1 << 19, 4096
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -25,22 +32,48 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return w.groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
+def row_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, term, tf, dl) of each row for itself, without a shuffle: rows of one id are not added up."""
+    own = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dl = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy()
+            terms = batch.column(1).flatten().dictionary_encode()
+            n = len(terms.dictionary)
+            key, tf = np.unique(np.repeat(np.arange(len(dl), dtype=np.int64), dl) * n + terms.indices.to_numpy(), return_counts=True) if n else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            for at in range(0, len(key), COUNTS_A_BATCH):
+                some = key[at : at + COUNTS_A_BATCH]
+                columns = [batch.column(0).take(pa.array(some // n)), terms.dictionary.take(pa.array(some % n)), pa.array(tf[at : at + COUNTS_A_BATCH]), pa.array(dl[some // n])]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "term", "tf", "dl"])
+
+    return own.mapInArrow(counted, f"id {own.schema['id'].dataType.simpleString()}, term string, tf long, dl int")
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", query_col: str = "item_id", query_text_col: str = "text") -> DataFrame:
     """(query_id, doc_id, rank, score): the k best documents of each query, ties by id.
 
     Only the queries' terms of the corpus are kept: the index of all others is never made.  Statistics
-    cover all documents.
+    cover all documents.  The longer side is dealt by its ids and the other one goes to every task, if it has ``FEW``
+    rows at most: a pair's terms then add up where they meet, and a task hands on its k best of each query.
     """
-    own = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
-    stats = own.agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("avgdl"))  # one row
-    asked = queries.select(F.col(query_col).alias("query_id"), F.explode(words(F.col(query_text_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    terms = asked.select("term").distinct()
-    tf = own.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(terms, "term", "left_semi").groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
+    n_docs, n_queries = docs.count(), queries.count()
+    parts = min(max(1, n_docs * n_queries // PAIRS_A_TASK), MOST_TASKS)
+    many_docs, few = n_docs >= n_queries, F.broadcast if min(n_docs, n_queries) <= FEW else lambda df: df
+    stats = docs.select(words(F.col(text_col)).alias("w")).agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("avgdl"))  # one row
+    asked, tf = row_counts(queries, query_col, query_text_col), row_counts(docs, id_col, text_col)
+    if many_docs:
+        asked = asked.groupBy(F.col("id").alias("query_id"), "term").agg(F.sum("tf").alias("qtf"))
+        tf = tf.join(few(asked.select("term").distinct()), "term", "left_semi").repartition(parts, "id")
+    else:
+        asked = asked.withColumnRenamed("id", "query_id").repartition(parts, "query_id").groupBy("query_id", "term").agg(F.sum("tf").alias("qtf"))
+    tf = tf.groupBy("id", "term", "dl").agg(F.sum("tf").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighted = tf.join(df, "term").join(F.broadcast(stats)).select("id", "term", weight.alias("weight"))
-    scored = weighted.join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("qtf")), 6).alias("score"))
+    weighted = tf.join(few(df), "term").join(F.broadcast(stats)).select("id", "term", weight.alias("weight"))
+    met = weighted.join(few(asked), "term") if many_docs else asked.join(few(weighted), "term")
+    scored = met.groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("qtf")), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("id").alias("doc_id"), "rank", "score")
 

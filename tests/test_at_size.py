@@ -1,12 +1,14 @@
 """Steps whose work once grew faster than their input, or depended on the order of rows."""
 
+import re
+
 import pyarrow as pa
 import pytest
 from plans import collected
 from pyspark.sql import functions as F
 
-from ctxspark.operators import blockdedup, cells, chunking, distance, live
-from ctxspark.operators.retrieve import flattened_tree, vector_topk
+from ctxspark.operators import blockdedup, cells, chunking, distance, live, retrieve
+from ctxspark.operators.retrieve import bm25, flattened_tree, vector_topk
 from ctxspark.plans import analytics_queries, dedup_queries, index_queries
 
 
@@ -110,3 +112,17 @@ def test_nearest_vectors_meet_in_blocks(spark, monkeypatch):
     first = vector_topk(v, q, 4).where("query_id = 0").orderBy("rank").collect()
     assert [(r.vec_id, r.distance) for r in first] == [(200, None), (201, None), (204, None), (205, None)]
     assert vector_topk(v, q, 1000).where("query_id = 0 AND vec_id IN (202, 203)").orderBy("rank").select("vec_id", "rank").collect() == [(203, 204), (202, 205)]
+
+
+def test_scores_add_up_where_terms_meet(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "PAIRS_A_TASK", 100, raising=False)
+    docs = spark.createDataFrame([(k, f"a b{k % 7} b{k % 3} a") for k in range(200)] + [(None, "a a"), (3, "b1 b1")], "doc_id long, text string")
+    asked = spark.createDataFrame([(0, "a b1 a"), (1, "b6"), (1, "a"), (2, None)], "item_id long, text string")
+    many, few = (bm25(d, q, 4, id_col=a, query_col=b) for d, q, a, b in ((docs, asked, "doc_id", "item_id"), (asked, docs, "item_id", "doc_id")))
+    for made in (many, few):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(query_id" in plan and not re.search(r"hashpartitioning\(query_id#\d+L?, id#", plan)
+    # texts of one id are one if they are of one length
+    assert {r.query_id for r in many.collect()} == {0, 1}
+    # the rows of an id add up, those of no id are one
+    assert {r.query_id for r in few.collect() if r.query_id is None or r.query_id < 4} == {None, 0, 1, 2, 3}
