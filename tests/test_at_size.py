@@ -7,7 +7,7 @@ import pytest
 from plans import collected
 from pyspark.sql import functions as F
 
-from ctxspark.operators import blockdedup, cells, chunking, distance, live, retrieve
+from ctxspark.operators import blockdedup, cells, chunking, distance, live, postings, retrieve
 from ctxspark.operators.retrieve import bm25, flattened_tree, vector_topk
 from ctxspark.plans import analytics_queries, dedup_queries, index_queries
 
@@ -126,3 +126,15 @@ def test_scores_add_up_where_terms_meet(spark, monkeypatch):
     assert {r.query_id for r in many.collect()} == {0, 1}
     # the rows of an id add up, those of no id are one
     assert {r.query_id for r in few.collect() if r.query_id is None or r.query_id < 4} == {None, 0, 1, 2, 3}
+
+
+def test_postings_of_a_document_lie_in_one_part(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "PART", 20)
+    docs = spark.createDataFrame([(k, f"a b{k % 7} b{k % 3}") for k in range(200)] + [(None, "a a"), (None, "a b1")], "doc_id long, text string")
+    asked = spark.createDataFrame([(0, "a b1"), (1, "b6")], "item_id long, text string")
+    index = postings.PostingsIndex(spark, str(tmp_path / "index"), folders=2, block=8)
+    index.add(docs)
+    own = index._blocks().select("part", F.explode("entries.id").alias("id"))
+    assert own.groupBy("id").agg(F.count_distinct("part").alias("n")).where("n > 1").count() == 0 < own.select("part").distinct().count() - 1
+    found = index.search(asked, 300)[0]
+    assert sorted(map(str, found.collect())) == sorted(map(str, bm25(docs, asked, 300).collect()))
