@@ -12,9 +12,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
 NODE = ("batch", "node_id", "parent_id", "path", "docs", "tokens", "request_id", "is_leaf")
+#: Requests are counted in ranges of so many ids.
+RANGE = 4096
 
 
 def traverse(nodes: DataFrame, asked: DataFrame) -> DataFrame:
@@ -30,7 +33,8 @@ def _children(nodes: DataFrame) -> DataFrame:
 def inserted(nodes: DataFrame, new: DataFrame) -> DataFrame:
     """New leaves for (batch, ctx_id, path, docs, tokens): below an inner node, beside a leaf, below the root for unknown paths.
 
-    Requests get the ordinals behind the children that their parent has.
+    Requests get the ordinals behind the children that their parent has.  Whole-number ids are counted in ranges, so
+    no task sees all requests of a batch.
     """
     at = traverse(nodes, new.select("batch", "ctx_id", "path", F.col("docs").alias("own_docs"), F.col("tokens").alias("own_tokens")))
     root = nodes.where(F.size("path") == 0).select("batch", F.col("node_id").alias("root_id"))
@@ -39,8 +43,15 @@ def inserted(nodes: DataFrame, new: DataFrame) -> DataFrame:
     placed = at.join(root, "batch").join(top, "batch").withColumn("under", F.coalesce(beside, F.col("root_id"))).drop("parent_id", "node_id", "path")
     parents = nodes.select("batch", F.col("node_id").alias("under"), F.col("path").alias("under_path"))
     placed = placed.join(parents, ["batch", "under"]).join(_children(nodes).withColumnRenamed("parent_id", "under"), ["batch", "under"], "left")
-    ordinal = F.coalesce("taken", F.lit(0)) + F.row_number().over(Window.partitionBy("batch", "under").orderBy("ctx_id")) - 1
-    number = F.col("top") + F.row_number().over(Window.partitionBy("batch").orderBy("ctx_id"))
+    whole = isinstance(new.schema["ctx_id"].dataType, IntegralType)
+    placed = placed.withColumn("range", F.coalesce(F.floor(F.col("ctx_id") / RANGE), F.lit(-(2**63))) if whole else F.lit(0))
+    counts = placed.groupBy("batch", "under", "range").agg(F.count("*").alias("n"))  # rows of ranges from here on
+    before = lambda n, *by: F.sum(n).over(Window.partitionBy(*by).orderBy("range")) - F.col(n)
+    whole_range = counts.groupBy("batch", "range").agg(F.sum("n").alias("m"))
+    shift = counts.select("batch", "under", "range", before("n", "batch", "under").alias("beside")).join(whole_range.select("batch", "range", before("m", "batch").alias("place")), ["batch", "range"])
+    inside = lambda *by: F.row_number().over(Window.partitionBy("batch", "range", *by).orderBy("ctx_id")) - 1
+    placed = placed.repartition("batch", "range").withColumns({"inside": inside("under"), "at": inside()}).join(shift, ["batch", "under", "range"])
+    ordinal, number = F.coalesce("taken", F.lit(0)) + F.col("inside") + F.col("beside"), F.col("top") + F.col("at") + F.col("place") + 1
     return placed.select(
         "batch", "ctx_id", number.alias("node_id"), F.col("under").alias("parent_id"), F.array_append("under_path", ordinal.cast("int")).alias("path"),
         F.col("own_docs").alias("docs"), F.col("own_tokens").alias("tokens"), request_id(F.col("batch"), F.col("ctx_id")).alias("request_id"), F.lit(True).alias("is_leaf"),

@@ -138,3 +138,14 @@ def test_postings_of_a_document_lie_in_one_part(spark, tmp_path, monkeypatch):
     assert own.groupBy("id").agg(F.count_distinct("part").alias("n")).where("n > 1").count() == 0 < own.select("part").distinct().count() - 1
     found = index.search(asked, 300)[0]
     assert sorted(map(str, found.collect())) == sorted(map(str, bm25(docs, asked, 300).collect()))
+
+
+def test_new_leaves_are_counted_in_ranges(spark):
+    root = [(0, 100, None, [], [], 0, None, False), (0, 1, 100, [0], [5], 1, "r", True)]
+    nodes = spark.createDataFrame(root, "batch long, node_id long, parent_id long, path array<int>, docs array<long>, tokens long, request_id string, is_leaf boolean")
+    new = spark.range(20000).select(F.lit(0).cast("long").alias("batch"), F.when(F.col("id") > 0, F.col("id") * 3).alias("ctx_id"), F.array(F.lit(0)).alias("path"), F.array("id").alias("docs"), F.lit(1).alias("tokens"))
+    made = live.inserted(nodes, new)
+    windows = re.findall(r"Window \[row_number\(\)[^\n]*", plan_of(made))
+    assert windows and all("range" in w.split("windowspecdefinition(")[1].split(" ASC")[0] for w in windows)
+    rows = sorted(map(tuple, made.select(F.coalesce("ctx_id", F.lit(0)), "node_id", "path").collect()))
+    assert rows == [(3 * k, 101 + k, [1 + k]) for k in range(20000)]
