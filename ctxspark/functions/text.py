@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def once(value: Column, made: Callable[[Column], Column]) -> Column:
+    """``made`` of a value that is evaluated one time, however often ``made`` names it."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
 def stripped(text: Column) -> Column:
     """Without white space at both ends (ASCII white space, as regular expressions know it)."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")

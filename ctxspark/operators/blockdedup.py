@@ -11,31 +11,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import stripped
+from ..functions.text import once, stripped
 from . import chunking
 
 SYSTEM = "system prompt"
 
 
+def _head(block: Column) -> Column:
+    return F.substring(F.get(F.split(stripped(block), "\n", -1), F.lit(0)), 1, 80)
+
+
 def reference(block: Column, label: Column | None) -> Column:
-    first = F.substring(F.get(F.split(stripped(block), "\n", -1), F.lit(0)), 1, 80)
+    return _reference(_head(block), label)
+
+
+def _reference(first: Column, label: Column | None) -> Column:
     earlier = F.lit("earlier result") if label is None else F.concat(F.lit("earlier "), label, F.lit(" result"))
     return F.concat(F.lit('[... "'), first, F.lit('" — identical to '), earlier, F.lit(", see above ...]"))
 
 
-def deduped_blocks(messages: DataFrame, payload: str, message: str, text: str, label: str | None = None, system: str | None = None, min_chars: int = chunking.MIN_CONTENT_CHARS, min_block_chars: int = chunking.MIN_BLOCK_CHARS, part: str | None = None) -> DataFrame:
-    """One row a block: (payload, message, block_idx, n_blocks, block, eligible, replaced, matched_system, result).
+def deduped_blocks(messages: DataFrame, payload: str, message: str, text: str, label: str | None = None, system: str | None = None, min_chars: int = chunking.MIN_CONTENT_CHARS, min_block_chars: int = chunking.MIN_BLOCK_CHARS, part: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row a block: (payload, message, block_idx, n_blocks, chars, ref, block, eligible, replaced, matched_system, result).
 
+    Heads and lengths are taken where a block is cut, so that who leaves ``block`` and ``result`` alone shuffles no texts.
     ``label`` names the tool in references; rows whose ``system`` column is true only give origins;
-    ``part`` tells the texts of one message apart and comes behind ``message`` in the result.
+    ``part`` tells the texts of one message apart and comes behind ``message`` in the result,
+    and the columns of ``carry`` behind these.
     """
-    keep = [c for c in (payload, message, part, label, system) if c]
+    keep = [*(c for c in (payload, message, part, label, system) if c), *carry]
     places = [c for c in (message, part) if c]
     long_ones = messages.where(F.length(text) >= min_chars if system is None else (F.length(text) >= min_chars) | F.col(system))
     b = chunking.blocks(long_ones, text, *keep).withColumn("eligible", F.length(stripped(F.col("block"))) >= min_block_chars)
     # blocks too short to count have keys of their own: as one group they would be the largest of all
     alone = F.concat(F.lit("-"), F.xxhash64(*places, "block_idx").cast("string"))
     b = b.withColumn("hash", F.when(F.col("eligible"), chunking.block_hash(F.col("block"))).otherwise(alone))
+    # fixed before the shuffle; references are made of heads behind it
+    b = b.withColumns({"chars": F.length("block"), "head": F.when(F.col("eligible") & (F.col("n_blocks") >= 2), _head(F.col("block")))})
     here = Window.partitionBy(payload, "hash").orderBy(*places, "block_idx").rowsBetween(Window.unboundedPreceding, 0)
     origin = F.struct(F.col(message).alias("message"), (F.col(label) if label else F.lit(None).cast("string")).alias("label"), (F.col(system) if system else F.lit(False)).alias("system"))
     b = b.withColumn("origin", F.first(origin).over(here))
@@ -44,10 +55,27 @@ def deduped_blocks(messages: DataFrame, payload: str, message: str, text: str, l
     if system:
         matched = matched & ~F.col(system)
     b = b.withColumn("matched", F.coalesce(matched, F.lit(False)))
-    b = b.withColumn("ref", F.when(F.col("matched"), reference(F.col("block"), origin_label)))
-    b = b.withColumns({"matched_system": F.col("matched") & F.col("origin.system"), "replaced": F.col("matched") & F.coalesce(F.length("ref") < F.length("block"), F.lit(False))})
+    b = b.withColumn("ref", F.when(F.col("matched"), _reference(F.col("head"), origin_label)))
+    b = b.withColumns({"matched_system": F.col("matched") & F.col("origin.system"), "replaced": F.col("matched") & F.coalesce(F.length("ref") < F.col("chars"), F.lit(False))})
     b = b.withColumn("result", F.when(F.col("replaced"), F.col("ref")).otherwise(F.col("block")))
-    return b.select(payload, *places, "block_idx", "n_blocks", "block", "eligible", "replaced", "matched_system", "result")
+    return b.select(payload, *places, *carry, "block_idx", "n_blocks", "chars", "ref", "block", "eligible", "replaced", "matched_system", "result")
+
+
+def references(blocks: DataFrame, payload: str, *message: str) -> DataFrame:
+    """(payload, *message, blocks_total, blocks_deduped, refs): ``refs`` (at, ref) are what replaces blocks, without a text."""
+    refs = F.collect_list(F.when(F.col("replaced"), F.struct(F.col("block_idx").alias("at"), "ref")))
+    return blocks.groupBy(payload, *message).agg(F.count_if("eligible").alias("blocks_total"), F.count_if("replaced").alias("blocks_deduped"), refs.alias("refs"))
+
+
+def with_references(text: Column, refs: Column) -> Column:
+    """A text, cut into its blocks once more, with the references of ``references`` in their places."""
+
+    def replaced(lines: Column) -> Column:
+        blocks = once(chunking.block_ends(lines), lambda ends: chunking.cut(lines, ends))
+        told = F.transform(refs, lambda r: r["at"])
+        return once(told, lambda ats: F.array_join(F.transform(blocks, lambda b, k: F.coalesce(F.get(refs, (F.array_position(ats, k) - 1).cast("int"))["ref"], b)), "\n"))
+
+    return once(F.split(text, "\n", -1), replaced)
 
 
 def deduped(blocks: DataFrame, payload: str, *message: str) -> DataFrame:
@@ -64,7 +92,7 @@ def deduped(blocks: DataFrame, payload: str, *message: str) -> DataFrame:
 
 def stats(blocks: DataFrame, payload: str) -> DataFrame:
     """(payload, counters): without the texts."""
-    saved = F.sum(F.when(F.col("replaced"), F.length("block") - F.length("result")).otherwise(0))
+    saved = F.sum(F.when(F.col("replaced"), F.col("chars") - F.length("ref")).otherwise(0))
     return blocks.groupBy(payload).agg(F.count_if("eligible").alias("blocks_total"), F.count_if("replaced").alias("blocks_deduped"), F.count_if("matched_system").alias("system_blocks_matched"), saved.cast("long").alias("chars_saved"))
 
 

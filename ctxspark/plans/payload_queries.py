@@ -112,7 +112,8 @@ def rebuilt_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     for style, bodies in (("openai_chat", _tool_chats(spark, sf_dir)), ("openai_responses", _tool_responses(spark, sf_dir))):
         made = payloads.segments(payloads.deduped_bodies(bodies, "payload", "body", style), "payload", "body", style, "tool_results")
         long_ones = payloads.deduped(payloads.segments(bodies, "payload", "body", style)).select("payload", "msg")
-        rows = made.join(long_ones, ["payload", "msg"], "left_semi").select("payload", "msg", "call_id", "name", F.md5("text").alias("text_md5"), F.lit(style).alias("style"))
+        told = made.select("payload", "msg", "call_id", "name", F.md5("text").alias("text_md5"))  # hashed where they are read: no text is shuffled
+        rows = told.join(long_ones, ["payload", "msg"], "left_semi").withColumn("style", F.lit(style))
         out = rows if out is None else out.unionByName(rows)
     return out
 

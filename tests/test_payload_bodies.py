@@ -65,3 +65,39 @@ def test_own_texts_change_nothing(spark, style, body):
     assert got == body
     with pytest.raises(ValueError):
         payloads.written_back(bodies, own, "payload", "body", "other")
+
+
+def exchanged(df, column):
+    """How many exchanges of ``df``'s plan, reused ones apart, hold a column of this name."""
+    todo, n = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.initialPlan())
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+        names = [node.output().apply(k).name() for k in range(node.output().size())]
+        n += node.nodeName() == "Exchange" and column in names
+    return n
+
+
+@pytest.mark.parametrize("style", ["openai_chat", "openai_responses"])
+def test_only_bodies_meet_references(spark, style):
+    """Texts of segments are not shuffled to be named, cut and put back."""
+    text = "\n".join(f"line {k} of a file that is long enough to be cut into blocks" for k in range(60))
+    calls = [("c1", "read", text), ("c2", "read", json.dumps({"path": "p", "content": "first\n" + text})), ("c3", "list", text + "\nlast")]
+    if style == "openai_chat":
+        pairs = [[{"role": "assistant", "content": None, "tool_calls": [{"id": i, "function": {"name": n}}]}, {"role": "tool", "tool_call_id": i, "content": t}] for i, n, t in calls]
+        body = {"messages": [m for p in pairs for m in p]}
+    else:
+        pairs = [[{"type": "function_call", "call_id": i, "name": n}, {"type": "function_call_output", "call_id": i, "output": t}] for i, n, t in calls]
+        body = {"input": [m for p in pairs for m in p]}
+    bodies = spark.createDataFrame([(1, json.dumps(body)), (None, json.dumps(body)), (2, "no json")], "payload long, body string")
+    segments = payloads.segments(bodies, "payload", "body", style)
+    assert exchanged(segments, "text") == 0 and sorted({r.name for r in segments.collect()}) == ["list", "read"]
+    made = payloads.deduped_bodies(bodies, "payload", "body", style)
+    assert exchanged(made, "content") == exchanged(made, "text") == exchanged(made, "block") == 0
+    got = {r.payload: r.body for r in made.collect()}
+    assert got[None] == json.dumps(body) and got[2] == "no json"
+    want = {r.msg: r.text for r in payloads.deduped(segments).where("payload = 1").collect()}
+    assert {r.msg: r.text for r in payloads.segments(made.where("payload = 1"), "payload", "body", style).collect()} == want
+    assert want[3] != calls[1][2] and json.loads(want[3])["path"] == "p" and "identical to earlier read result" in want[5]
