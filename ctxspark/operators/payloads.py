@@ -204,14 +204,14 @@ def _edited(content: Column, msg: Column, edited: Edit, every: bool) -> Column:
     return F.when(parts.isNotNull(), F.when(is_string, made.cast("variant")).otherwise(F.parse_json(made))).otherwise(one)
 
 
-def _written(bodies: DataFrame, edits: DataFrame, payload: str, body: str, style: str, new_text: Callable[[Column, Column], Column]) -> DataFrame:
+def _written(bodies: DataFrame, edits: DataFrame, payload: str, body: str, style: str, new_text: Callable[[Column, Column], Column], null_payloads: bool = True) -> DataFrame:
     """``bodies`` with ``new_text`` (old text, edit) in the places that ``edits`` (payload, msg, part, edit) names."""
     if style not in FORMATS:
         raise ValueError(f"unknown style {style!r}")
     place = lambda msg, part: F.concat(msg.cast("string"), F.lit(":"), part.cast("string"))
     listed = edits.groupBy(F.col("payload").alias("_p")).agg(F.collect_list(F.struct(place(F.col("msg"), F.col("part")).alias("at"), "edit")).alias("_edits"))  # of one body
     listed = listed.withColumn("_ats", F.transform("_edits", lambda e: e["at"]))
-    known = F.col(payload).eqNullSafe(F.col("_p")) if bodies.schema[payload].nullable else F.col(payload) == F.col("_p")
+    known = F.col(payload).eqNullSafe(F.col("_p")) if null_payloads else F.col(payload) == F.col("_p")
     own = bodies.join(listed, known, "left").withColumn("_fields", F.from_json(body, "map<string,variant>"))
     fields = F.col("_fields")
     name = "input" if style == "openai_responses" else "messages"
@@ -238,13 +238,14 @@ def _written(bodies: DataFrame, edits: DataFrame, payload: str, body: str, style
     return own.select(*(new.alias(c) if c == body else F.col(c) for c in bodies.columns))
 
 
-def written_back(bodies: DataFrame, texts: DataFrame, payload: str, body: str, style: str = "openai_chat") -> DataFrame:
+def written_back(bodies: DataFrame, texts: DataFrame, payload: str, body: str, style: str = "openai_chat", null_payloads: bool = True) -> DataFrame:
     """``bodies`` with the texts (payload, msg, part, text) in the places of their segments; all else stays.
 
     Objects are equal to what they were, their fields may stand in another order.  Bodies that cannot be read and
     bodies without new texts stay as they are, and so does a tool's result that is a list of several texts.
+    ``null_payloads``: a null payload is a payload; without, bodies that lie together by payload stay where they are.
     """
-    return _written(bodies, texts.withColumnRenamed("text", "edit"), payload, body, style, lambda _, new: new)
+    return _written(bodies, texts.withColumnRenamed("text", "edit"), payload, body, style, lambda _, new: new, null_payloads)
 
 
 def deduped_bodies(bodies: DataFrame, payload: str, body: str, style: str = "openai_chat", scope: str = "all", min_chars: int = chunking.MIN_CONTENT_CHARS) -> DataFrame:
@@ -260,7 +261,7 @@ def deduped_bodies(bodies: DataFrame, payload: str, body: str, style: str = "ope
         u = F.when(edit["kind"] == "tool_result", blockdedup.unwrapped(old, min_chars)).otherwise(whole)
         return once(u, lambda x: rebuilt(old, x["field"], x["text"], blockdedup.with_references(x["text"], edit["refs"])))
 
-    return _written(bodies, made.select("payload", "msg", "part", F.struct("kind", "refs").alias("edit")), payload, body, style, new_text)
+    return _written(bodies, made.select("payload", "msg", "part", F.struct("kind", "refs").alias("edit")), payload, body, style, new_text, False)
 
 
 def occurrences(original: DataFrame, reordered: DataFrame, by: str) -> DataFrame:

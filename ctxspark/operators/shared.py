@@ -44,6 +44,16 @@ class Scratch:
         self.paths[id(out)] = path, out
         return out
 
+    def dealt(self, df: DataFrame, *by: str) -> DataFrame:
+        """Like ``written``, in buckets of the values of ``by``: joins and groups by these don't shuffle its rows again."""
+        path, name = self.path(), f"ctxspark_{self.name}_{uuid.uuid4().hex}"
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.repartition(n, *by).write.format("parquet").bucketBy(n, *by).sortBy(*by).option("path", path).option("compression", "zstd").saveAsTable(name)
+        out = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")  # its name alone, the files are outside of the warehouse
+        self.paths[id(out)] = path, out
+        return out
+
     def drop(self, df: DataFrame | None) -> None:
         path, _ = self.paths.pop(id(df), (None, None))
         if path:

@@ -56,7 +56,7 @@ def _lists(results: DataFrame) -> DataFrame:
     left = F.array_sort(F.collect_list(F.when(F.col("copy") == 1, F.struct("pos", "doc"))))
     kept = said.withColumn("copy", copy).groupBy("payload", "msg", "part").agg(left.alias("kept"), F.count_if(F.col("copy") > 1).alias("docs"))
     first = own.groupBy("payload").agg(F.min(F.struct("msg", "part")).alias("first"))
-    both = own.join(kept, ["payload", "msg", "part"]).join(first, "payload").where((F.struct("msg", "part") != F.col("first")) & (F.col("docs") > 0))
+    both = own.join(kept.join(first, "payload"), ["payload", "msg", "part"]).where((F.struct("msg", "part") != F.col("first")) & (F.col("docs") > 0))
     docs = F.transform("kept", lambda d: d["doc"])
     none_left = F.replace(F.lit(ALL_SEEN), F.lit("{n}"), F.col("docs").cast("string"))
     whole = F.when(F.col("x.mode") == "json", none_left).otherwise(_rebuilt(F.col("x.mode"), F.col("text"), F.array(none_left)))
@@ -85,12 +85,15 @@ def effects(segments: DataFrame, min_chars: int = chunking.MIN_CONTENT_CHARS) ->
 
 
 def optimized(bodies: DataFrame, session: str, turn: str, body: str, min_chars: int = chunking.MIN_CONTENT_CHARS) -> DataFrame:
-    """(session, turn, n, replayed, *COUNTS, chars_saved, cumulative_chars_saved, body) of every turn; counts are of the messages that the turn brought."""
+    """(session, turn, n, replayed, *COUNTS, chars_saved, cumulative_chars_saved, body) of every turn; counts are of the messages that the turn brought.
+
+    Bodies are dealt by turn and texts by place, once each; what is found meets them there.
+    """
     scratch = Scratch(bodies.sparkSession, "turns")
-    keyed = _keyed(bodies, session, turn, body)
+    keyed = scratch.dealt(_keyed(bodies, session, turn, body), "at")
     found = scratch.written(runs(keyed))
     ends = keyed.select("at", "body").join(found.where("last").select("at", "run"), "at").groupBy("at").agg(F.first("run").alias("payload"), F.first("body").alias("body"))
-    segments = scratch.written(payloads.openai_chat(ends, "payload", "body"))
+    segments = scratch.dealt(payloads.openai_chat(ends, "payload", "body"), "payload", "msg", "part")
     made = scratch.written(effects(segments, min_chars))
     scratch.drop(segments)
     brought = found.where("n > replayed").select("run", "at", F.explode(F.sequence("replayed", F.col("n") - 1)).alias("msg"))
@@ -99,5 +102,5 @@ def optimized(bodies: DataFrame, session: str, turn: str, body: str, min_chars:
     counted = found.join(sums, "at", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in COUNTS}).withColumn("chars_saved", F.col("doc_chars_saved") + F.col("block_chars_saved"))
     counted = counted.withColumn("cumulative_chars_saved", F.sum("chars_saved").over(upto)).drop("session", "place", "run", "last")
     texts = made.where("text IS NOT NULL").join(found.select("run", "n", "at"), (F.col("payload") == F.col("run")) & (F.col("msg") < F.col("n"))).select(F.col("at").alias("payload"), "msg", "part", "text")
-    back = payloads.written_back(keyed.drop("hashes"), texts, "at", "body")
+    back = payloads.written_back(keyed.drop("hashes"), texts, "at", "body", null_payloads=False)
     return back.join(counted, "at").select(F.col("session").alias(session), F.col("turn").alias(turn), "n", "replayed", *COUNTS, "chars_saved", "cumulative_chars_saved", F.col("body").alias(body))

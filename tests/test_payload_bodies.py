@@ -6,6 +6,8 @@ import pytest
 
 from ctxspark.operators import payloads
 
+from plans import exchanged
+
 CHAT = {"model": "m", "n": 2, "temperature": 0.5, "messages": [
     {"role": "system", "content": "old system"}, {"role": "user", "content": [{"type": "text", "text": "one"}, {"type": "image_url", "image_url": {"url": "u", "w": [1, 2]}}, {"type": "text", "text": "two", "cache_control": {"type": "ephemeral"}}]},
     {"role": "assistant", "content": None, "tool_calls": [{"id": "c", "type": "function", "function": {"name": "f", "arguments": "{}"}}]}, {"role": "tool", "tool_call_id": "c", "content": "old result"}, {"role": "user", "content": json.dumps([{"type": "text", "text": "inside"}])}]}
@@ -67,19 +69,6 @@ def test_own_texts_change_nothing(spark, style, body):
         payloads.written_back(bodies, own, "payload", "body", "other")
 
 
-def exchanged(df, column):
-    """How many exchanges of ``df``'s plan, reused ones apart, hold a column of this name."""
-    todo, n = [df._jdf.queryExecution().executedPlan()], 0
-    while todo:
-        node = todo.pop()
-        if node.nodeName() == "AdaptiveSparkPlan":
-            todo.append(node.initialPlan())
-        todo += [node.children().apply(k) for k in range(node.children().size())]
-        names = [node.output().apply(k).name() for k in range(node.output().size())]
-        n += node.nodeName() == "Exchange" and column in names
-    return n
-
-
 @pytest.mark.parametrize("style", ["openai_chat", "openai_responses"])
 def test_only_bodies_meet_references(spark, style):
     """Texts of segments are not shuffled to be named, cut and put back."""

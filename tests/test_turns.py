@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ctxspark.operators import payloads, turns
 
+from plans import exchanged
+
 SCHEMA = "s string, t long, body string"
 
 
@@ -101,5 +103,26 @@ def test_repeated_rows_are_one_turn(spark):
     assert sorted((r.t, r.replayed, r.chars_saved, r.cumulative_chars_saved) for r in got) == [(1, 0, sum(saved[:6]), sum(saved[:6]))] * 2 + [(2, 6, sum(saved[6:]), sum(saved))] * 2
 
 
+def test_bodies_and_texts_are_dealt_once(spark, monkeypatch):
+    """Behind the tables that they are dealt to, neither bodies nor texts are shuffled."""
+    read = []
+
+    def effects(segments, min_chars):
+        read.append(inner(segments, min_chars))
+        return read[-1]
+
+    inner = turns.effects
+    monkeypatch.setattr(turns, "effects", effects)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        whole = session()
+        made = turns.optimized(spark.createDataFrame([("s", k, body(whole[:n])) for k, n in enumerate((4, 8, len(whole)))], SCHEMA), "s", "t", "body")
+        assert exchanged(made, "body") == 0
+        segments = spark.createDataFrame([], "payload string, msg int, part int, kind string, call_id string, name string, text string")
+        assert exchanged(read[0], "text") == 0 < exchanged(inner(segments, 200), "text")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_no_turns(spark):
     assert turns.optimized(spark.createDataFrame([], SCHEMA), "s", "t", "body").count() == 0
