@@ -1,8 +1,9 @@
 """Chains of requests as intervals.
 
-Parent pointers make trees.  Their requests are numbered once in preorder by ranking the list of a walk around
-every tree (pointers are doubled, in written tables), so that "all requests before this one" is a range of
-numbers: whatever is asked of chains then takes rows in proportion to the requests and to the result.
+Parent pointers make trees.  Roots are found by doubling the pointers, in written tables.  Requests are numbered once
+in preorder, so that "all requests before this one" is a range of numbers: whatever is asked of chains then takes rows in
+proportion to the requests and to the result.  Trees of up to ``TREE`` requests are walked in a task, many a task;
+larger ones are numbered by ranking the list of a walk around them, by doubled pointers again.
 
 Defined results: requests without id are left out; an id that is repeated counts once, with its smallest parent;
 unknown and missing parents end a chain.  A chain that comes back to itself ends before it would repeat a
@@ -11,8 +12,14 @@ request: such a circle is cut above its smallest id for the numbers, and ``circl
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from .shared import Scratch
@@ -21,6 +28,10 @@ from .shared import Scratch
 BUCKETS = 1024
 #: Windows over numbers see this many of them, and one row for each such block.
 BLOCK_BITS = 16
+#: Requests of a tree that one task walks.
+TREE = 1 << 16
+#: Ranges and places meet in blocks of this many bits at least; what a range does not hold of a block is left out there.
+FINE_BITS = 6
 
 
 def _links(nodes: DataFrame) -> DataFrame:
@@ -73,6 +84,84 @@ def _numbers(ranked: DataFrame) -> DataFrame:
     return one.join(whole, "root").select("r", "root", (F.col("size") - F.col("in")).alias("enter"), (F.col("size") - F.col("out") - 1).alias("leave"), "depth", "size")
 
 
+def _rooted(scratch: Scratch, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(r, p, root) of ``nodes`` (r, p), and (r) of those whose chains have no end.  What is found is written once."""
+    done = [scratch.written(nodes.where("p IS NULL").withColumn("root", F.col("r")))]
+    left = scratch.written(nodes.where("p IS NOT NULL").withColumn("to", F.col("p")))
+    n = left.count()
+    while n:
+        none = F.lit(None).cast(nodes.schema["r"].dataType)
+        hop = left.select(F.col("r").alias("to"), F.col("to").alias("far"), none.alias("root"))
+        for found in done:
+            hop = hop.unionByName(found.select(F.col("r").alias("to"), none.alias("far"), "root"))
+        jumped = scratch.written(left.join(hop, "to").select("r", "p", F.col("far").alias("to"), "root"))
+        scratch.drop(left)
+        done.append(jumped.where("root IS NOT NULL").select("r", "p", "root"))
+        left = jumped.where("root IS NULL").select("r", "p", "to")
+        before, n = n, left.count()
+        if n == before:
+            break
+    rooted = done[0]
+    for found in done[1:]:
+        rooted = rooted.unionByName(found)
+    return rooted, left.select("r")
+
+
+def _walked(root, rows: list[tuple]) -> Iterator[tuple]:
+    """(r, root, enter, leave, depth, size) of a tree's (r, p), in preorder; children of one parent as they come."""
+    children: dict = {}
+    for r, p in rows:
+        if p is not None:
+            children.setdefault(p, []).append(r)
+    order, above, depth, stack = [], [], [], [(root, 0, 0)]
+    while stack:
+        r, up, d = stack.pop()
+        stack += [(c, len(order), d + 1) for c in reversed(children.get(r, ()))]
+        order.append(r)
+        above.append(up)
+        depth.append(d)
+    n = len(order)
+    leave = list(range(n))
+    for k in range(n - 1, 0, -1):
+        if leave[k] > leave[above[k]]:
+            leave[above[k]] = leave[k]
+    return zip(order, itertools.repeat(root), range(n), leave, depth, itertools.repeat(n))  # noqa: B905
+
+
+def _numbers_by_tree(rooted: DataFrame) -> DataFrame:
+    """(r, root, enter, leave, depth, size): trees lie one after the other in sorted partitions."""
+    spark = rooted.sparkSession
+    kind = rooted.schema["r"].dataType
+    schema = T.StructType([T.StructField("r", kind), T.StructField("root", kind), *(T.StructField(c, T.LongType()) for c in ("enter", "leave", "depth", "size"))])
+    kinds = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for part in batches for row in zip(*(c.to_pylist() for c in part.columns), strict=True))
+        out: list[tuple] = []
+        for root, tree in itertools.groupby(rows, key=lambda row: row[0]):
+            out += _walked(root, [row[1:] for row in tree])
+            if len(out) >= 4096:
+                yield made(out)
+                out = []
+        if out:
+            yield made(out)
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rooted.select("root", "r", "p").repartition(parts, "root").sortWithinPartitions("root", "r").mapInArrow(run, schema)
+
+
+def _preorder(scratch: Scratch, rooted: DataFrame) -> DataFrame:
+    """(r, root, enter, leave, depth, size) of (r, p, root)."""
+    large = scratch.written(rooted.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > TREE).select("root"))
+    if not large.limit(1).count():
+        return _numbers_by_tree(rooted)
+    ranked = _ranked(scratch, _links(scratch.written(rooted.join(large, "root", "left_semi").select("r", "p"))))
+    return _numbers_by_tree(rooted.join(large, "root", "left_anti")).unionByName(_numbers(ranked))
+
+
 def _cut(scratch: Scratch, nodes: DataFrame) -> DataFrame:
     """(r, p, closing): circles of ``nodes``, each cut above its smallest id, whose former parent is ``closing``."""
     n = nodes.count()
@@ -98,18 +187,16 @@ def numbered(requests: DataFrame, request: str = "request_id", parent: str = "pa
     own = requests.select(F.col(request).alias("r"), F.col(parent).alias("p")).where("r IS NOT NULL").groupBy("r").agg(F.min("p").alias("p"))
     known = own.select(F.col("r").alias("p"), F.lit(True).alias("known"))
     nodes = scratch.written(own.join(known, "p", "left").select("r", F.when(F.col("known") & (F.col("p") != F.col("r")), F.col("p")).alias("p")))
-    ranked = _ranked(scratch, _links(nodes))
+    rooted, endless = _rooted(scratch, nodes)
     no = F.lit(None).cast("long")
-    plain = _numbers(ranked).withColumns({"circle_enter": no, "circle_size": no})
-    stuck = ranked.where("next IS NOT NULL AND NOT e.up").select("e.r")
-    if stuck.limit(1).count():
-        cut = scratch.written(_cut(scratch, scratch.written(nodes.join(stuck, "r", "left_semi"))))
-        found = scratch.written(_numbers(_ranked(scratch, _links(cut.select("r", "p")))))
+    plain = _preorder(scratch, rooted).withColumns({"circle_enter": no, "circle_size": no})
+    if endless.limit(1).count():
+        cut = scratch.written(_cut(scratch, scratch.written(nodes.join(endless, "r", "left_semi"))))
+        found = scratch.written(_preorder(scratch, _rooted(scratch, cut.select("r", "p"))[0]))
         ends = cut.where("closing IS NOT NULL").select(F.col("closing").alias("r"))
         closing = found.join(ends, "r").select("root", F.col("enter").alias("circle_enter"), (F.col("depth") + 1).alias("circle_size"))
         plain = plain.unionByName(found.join(closing, "root").select(plain.columns))
     out = scratch.written(plain.withColumnRenamed("r", request))
-    scratch.drop(ranked)
     scratch.drop(nodes)
     return out
 
@@ -131,20 +218,23 @@ def _covered(low: Column, high: Column, size: Column) -> Column:
 
 
 def _levels(size: Column) -> Column:
-    return F.sequence(F.lit(0), F.floor(F.log2(size.cast("double"))).cast("int") + 1)
+    return F.sequence(F.lit(0), F.length(F.bin(size)) - 1)
 
 
 def below(upper: DataFrame, numbers: DataFrame, request: str = "request_id") -> DataFrame:
     """``upper`` (root, enter, leave, size, ...) joined with the requests below each row: (request, request_depth, ...).
 
-    Ranges and places meet as aligned blocks, an equality: no row is made that is not in the result, and one
-    root that holds most requests is as many keys as it has blocks.
+    Ranges and places meet as aligned blocks, an equality, and what a block holds beside a range is at most two of the
+    finest blocks: one root that holds most requests is as many keys as it has blocks, and a small tree is one.
     """
-    block = F.explode(_covered(F.col("enter") + 1, F.col("leave") + 1, F.col("size"))).alias("block")
-    ranges = upper.where("leave > enter").select("*", block)
-    levels = F.transform(_levels(F.col("size")), lambda x: F.struct(x.alias("level"), _shifted(F.col("enter"), x).alias("k")))
-    places = numbers.select(F.col(request), F.col("depth").alias("request_depth"), "root", F.explode(levels).alias("block"))
-    return ranges.join(places, ["root", "block"]).drop("block")
+    fine = lambda c: F.shiftrightunsigned(c, FINE_BITS)
+    blocks = fine(F.col("size") - 1) + 1
+    block = F.explode(_covered(fine(F.col("enter") + 1), fine(F.col("leave")) + 1, blocks)).alias("block")
+    ranges = upper.where("leave > enter").select("*", block).drop("size")
+    levels = F.transform(_levels(blocks), lambda x: F.struct(x.alias("level"), _shifted(fine(F.col("enter")), x).alias("k")))
+    places = numbers.select(F.col(request), F.col("depth").alias("request_depth"), "root", F.col("enter").alias("request_enter"), F.explode(levels).alias("block"))
+    inside = (F.col("request_enter") > F.col("enter")) & (F.col("request_enter") <= F.col("leave"))
+    return ranges.join(places, ["root", "block"]).where(inside).drop("block", "request_enter")
 
 
 def circles(numbers: DataFrame, request: str = "request_id") -> DataFrame:
@@ -166,12 +256,16 @@ def _blocked(df: DataFrame) -> DataFrame:
     return df.withColumn("block", F.shiftrightunsigned("enter", BLOCK_BITS))
 
 
-def first_holders(held: DataFrame, *value: str) -> DataFrame:
+def first_holders(held: DataFrame, *value: str, one_block: bool = False) -> DataFrame:
     """The rows of ``held`` (root, enter, leave, *value, ...) with no row of the same value above them.
 
     Ranges lie inside each other or apart, so a row has one above it if the largest ``leave`` of the rows before it reaches it.
+    ``one_block``: no tree has more than one block of numbers.
     """
     keys = ["root", *value]
+    if one_block:
+        before = Window.partitionBy(*keys).orderBy("enter").rowsBetween(Window.unboundedPreceding, -1)
+        return held.withColumn("reach", F.max("leave").over(before)).where(F.coalesce("reach", F.lit(-1)) < F.col("enter")).drop("reach")
     before = Window.partitionBy(*keys, "block").orderBy("enter").rowsBetween(Window.unboundedPreceding, -1)
     rows = _blocked(held).withColumn("reach", F.max("leave").over(before))
     blocks = rows.groupBy(*keys, "block").agg(F.max("leave").alias("most"))
@@ -188,7 +282,8 @@ def previous_documents(numbers: DataFrame, docs: DataFrame, request: str = "requ
     """
     named = numbers.select(F.col(request), "root", "enter", "leave", "size", "circle_size")
     held = named.where("circle_size IS NULL").join(docs.select(request, "doc").where("doc IS NOT NULL").distinct(), request).withColumnRenamed(request, "source_request")
-    straight = below(first_holders(held, "doc"), numbers, request).select(request, "doc", "source_request")
+    one_block = not numbers.where(F.col("size") > 1 << BLOCK_BITS).limit(1).count()
+    straight = below(first_holders(held, "doc", one_block=one_block), numbers, request).select(request, "doc", "source_request")
     around = ancestors(numbers.where("circle_size IS NOT NULL"), request)
     some = around.join(docs.select(F.col(request).alias("ancestor"), "doc").where("doc IS NOT NULL"), "ancestor")
     return straight.unionByName(some.groupBy(request, "doc").agg(F.max_by("ancestor", "back").alias("source_request")))

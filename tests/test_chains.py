@@ -101,3 +101,26 @@ def test_a_long_chain(spark):
     assert sorted(map(tuple, got)) == [(0, 0, n - 1), (1, 1, n - 2), (2, 2, n - 3)]
     left, counts = multiturn.cleared(df, spark.createDataFrame([(60_000,)], "request_id long"))
     assert left.count() == n - 60_001 and counts.first().removed == 60_001
+
+
+@pytest.mark.parametrize("tree", [4, 40])
+def test_trees_by_walks_and_by_ranks(case, spark, monkeypatch, tree):
+    """Large trees are ranked, small ones walked, whatever the blocks that ranges and places meet in."""
+    parents, _, df, _ = case
+    monkeypatch.setattr(chains, "TREE", tree)
+    numbers = chains.numbered(df)
+    test_numbers_are_preorders((parents, None, None, numbers))
+    for bits in (0, 2):
+        monkeypatch.setattr(chains, "FINE_BITS", bits)
+        got = sorted(map(tuple, chains.ancestors(numbers).collect()))
+        assert got == sorted((r, a, k + 1) for r in parents for k, a in enumerate(walk(parents, r)))
+
+
+def test_small_trees_are_not_ranked(case, monkeypatch):
+    """A walk of two elements a request, written and shuffled each round, is for trees that no task should hold."""
+
+    def refused(nodes):
+        raise AssertionError("a walk of small trees")
+
+    monkeypatch.setattr(chains, "_links", refused)
+    assert chains.numbered(case[2]).count() == len(case[0])
