@@ -28,28 +28,28 @@ def _searched(nodes: DataFrame, asked: DataFrame, alpha: float, scratch: Scratch
     """(g, ctx_id, search_path, node_id, overlap, has_prefix) of contexts (g, ctx_id, docs) in the trees of a node table (g, ...).
 
     All contexts go down a level a round: a context at a node meets, through shared documents, the node's
-    children, and the nearest one is where it goes on, stays or ends.
+    children, and the nearest one is where it goes on, stays or ends.  Paths are looked up at the end, no round carries them.
     """
     own = asked.select("g", "ctx_id", F.size("docs").alias("n"), F.posexplode("docs").alias("pos", "doc"))
-    children = nodes.where(F.col("parent_id").isNotNull()).select("g", F.col("parent_id").alias("at"), "node_id", "child_no", "is_leaf", F.col("path").alias("child_path"), F.size("docs").alias("m"), F.get("docs", F.lit(0)).alias("first"), F.posexplode("docs").alias("child_pos", "doc"))
+    children = nodes.where(F.col("parent_id").isNotNull()).select("g", F.col("parent_id").alias("at"), "node_id", "child_no", "is_leaf", F.size("docs").alias("m"), F.get("docs", F.lit(0)).alias("first"), F.posexplode("docs").alias("child_pos", "doc"))
     frontier = asked.select("g", "ctx_id").join(nodes.where(F.col("parent_id").isNull()).select("g", F.col("node_id").alias("at")), "g")
-    frontier = scratch.written(frontier.select("g", "ctx_id", "at", F.lit(None).cast("long").alias("overlap"), F.lit(None).cast("array<int>").alias("path")))
+    frontier = scratch.written(frontier.select("g", "ctx_id", "at", F.lit(None).cast("long").alias("overlap")))
     ended: list[DataFrame] = []
     while True:
         met = frontier.select("g", "ctx_id", "at").join(own, ["g", "ctx_id"]).join(children, ["g", "at", "doc"])
-        near = met.groupBy("g", "ctx_id", "n", "m", "node_id", "child_no", "is_leaf", "first").agg(F.count("*").alias("common"), F.sum(F.abs(F.col("pos") - F.col("child_pos"))).alias("moved"), F.bool_or(F.col("doc") == F.col("first")).alias("starts"), F.first("child_path").alias("child_path"))
+        near = met.groupBy("g", "ctx_id", "n", "m", "node_id", "child_no", "is_leaf", "first").agg(F.count("*").alias("common"), F.sum(F.abs(F.col("pos") - F.col("child_pos"))).alias("moved"), F.bool_or(F.col("doc") == F.col("first")).alias("starts"))
         far = 1 - F.col("common") / F.greatest("n", "m") + F.lit(alpha) * F.col("moved") / F.col("common")
-        best = near.groupBy("g", "ctx_id").agg(F.min_by(F.struct("node_id", "is_leaf", "starts", "common", "child_path"), F.struct(far, "child_no")).alias("to"))
+        best = near.groupBy("g", "ctx_id").agg(F.min_by(F.struct("node_id", "is_leaf", "starts", "common"), F.struct(far, "child_no")).alias("to"))
         step = scratch.written(frontier.join(best, ["g", "ctx_id"], "left"))
         to = F.col("to")
-        here = step.where(to.isNull() & F.col("path").isNotNull()).select("g", "ctx_id", F.col("path").alias("search_path"), F.col("at").alias("node_id"), "overlap", F.lit(True).alias("has_prefix"))
-        there = step.where(to.isNotNull() & (to.is_leaf | ~to.starts)).select("g", "ctx_id", to.child_path.alias("search_path"), to.node_id.alias("node_id"), to.common.alias("overlap"), to.starts.alias("has_prefix"))
+        here = step.where(to.isNull() & F.col("overlap").isNotNull()).select("g", "ctx_id", F.col("at").alias("node_id"), "overlap", F.lit(True).alias("has_prefix"))
+        there = step.where(to.isNotNull() & (to.is_leaf | ~to.starts)).select("g", "ctx_id", to.node_id.alias("node_id"), to.common.alias("overlap"), to.starts.alias("has_prefix"))
         ended += [here, there]
         on = step.where(to.isNotNull() & ~to.is_leaf & to.starts)
-        frontier = on.select("g", "ctx_id", to.node_id.alias("at"), to.common.alias("overlap"), to.child_path.alias("path"))
+        frontier = on.select("g", "ctx_id", to.node_id.alias("at"), to.common.alias("overlap"))
         if not on.limit(1).count():
             break
-    found = functools.reduce(DataFrame.unionByName, ended)
+    found = functools.reduce(DataFrame.unionByName, ended).join(nodes.select("g", "node_id", F.col("path").alias("search_path")), ["g", "node_id"])
     out = asked.select("g", "ctx_id").join(found, ["g", "ctx_id"], "left")
     none = F.array().cast("array<int>")
     return out.select("g", "ctx_id", F.coalesce("search_path", none).alias("search_path"), F.coalesce("node_id", F.lit(-1).cast("long")).alias("node_id"), F.coalesce("overlap", F.lit(0).cast("long")).alias("overlap"), F.coalesce("has_prefix", F.lit(False)).alias("has_prefix"))

@@ -10,6 +10,7 @@ from ..functions.text import joined, sha_hex
 from ..operators import analytics, cluster, distance, schedule
 from ..operators import contexts as cx
 from ..operators import index as ix
+from ..operators.shared import Scratch
 from .tables import ctx_sql, customer_contexts, order_contexts, table, turns_sql
 
 
@@ -58,16 +59,21 @@ def tree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.node_stats(cluster.tree_nodes(customer_contexts(spark, sf_dir).withColumnRenamed("customer", "batch"), "batch"), "batch")
 
 
+def _written_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers' orders, made once for those that are indexed and those that are asked for."""
+    return Scratch(spark, "turns").written(customer_contexts(spark, sf_dir).withColumnRenamed("customer", "batch"))
+
+
 def live_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer's orders from the sixth turn on, searched in the tree of the first five."""
-    turns = customer_contexts(spark, sf_dir).withColumnRenamed("customer", "batch")
+    turns = _written_turns(spark, sf_dir)
     found = ix.searched(turns.where("turn <= 5"), turns.where("turn > 5"), "batch")
     return found.select("batch", "ctx_id", joined(F.col("search_path"), ".").alias("search_path"), "node_id", "overlap", "has_prefix")
 
 
 def incremental_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, built in: matched orders follow their node's documents, the others get a tree of their own."""
-    turns = customer_contexts(spark, sf_dir).withColumnRenamed("customer", "batch")
+    turns = _written_turns(spark, sf_dir)
     made = ix.built_incrementally(turns.where("turn <= 5"), turns.where("turn > 5"), "batch")
     return made.select("batch", "ctx_id", "exec_pos", "group_id", joined(F.col("reordered")).alias("docs"), joined(F.col("path"), ".").alias("path"), "matched")
 

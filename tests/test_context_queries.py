@@ -5,9 +5,10 @@ from fractions import Fraction
 
 import pandas as pd
 import pytest
+from plans import exchanged
 from test_cluster import model, plain_distance, plain_incremental, plain_search
 
-from ctxspark.operators import cluster
+from ctxspark.operators import cluster, contexts
 from ctxspark.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
@@ -163,3 +164,10 @@ def test_incremental_build(spark, customers):
         made.sort(key=lambda r: (r[2][0] if r[2] else -1, -len(r[2]), not r[3], r[0]))
         want += [(b, key, at, path[0] if path else -1, text(order), text(path, "."), hit) for at, (key, order, path, hit) in enumerate(made)]
     assert rows(spark, "incremental_build", "batch", "ctx_id", "exec_pos", "group_id", "docs", "path", "matched") == sorted(want, key=repr)
+
+
+def test_rows_of_contexts_are_shuffled_once(spark):
+    rows = spark.createDataFrame([(1, 7, 3), (1, 8, 2), (1, 7, 1), (2, None, 1), (2, 9, None), (2, None, 2)], "c long, d long, at int")
+    made = contexts.from_rows(rows, "c", "d", "at")
+    assert exchanged(made, "ctx_id") == 1
+    assert {r.ctx_id: r.docs for r in made.collect()} == {1: [7, 8], 2: [9, None]}
