@@ -8,8 +8,9 @@ from pyspark.sql.window import Window
 
 
 def from_rows(rows: DataFrame, ctx: str, doc: str, order: str, *keep: str) -> DataFrame:
-    """(ctx_id, docs, *keep): each document once, at its first place.  Rows are shuffled once, by context."""
-    own = rows.select(F.col(ctx).alias("ctx_id"), F.col(doc).alias("doc"), F.col(order).alias("place"), *keep).repartition("ctx_id")
+    """(ctx_id, docs, *keep): each document once, at its first place.  Rows are shuffled once, by context, to a fixed number of tasks."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = rows.select(F.col(ctx).alias("ctx_id"), F.col(doc).alias("doc"), F.col(order).alias("place"), *keep).repartition(parts, "ctx_id")
     once = own.groupBy("ctx_id", "doc", *keep).agg(F.min("place").alias("at"))
     return once.groupBy("ctx_id", *keep).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "doc"))), lambda x: x["doc"]).alias("docs"))
 

@@ -52,8 +52,11 @@ def pairs(contexts: DataFrame, alpha: float = ALPHA) -> DataFrame:
 
 
 def cross(queries: DataFrame, targets: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """(ctx_id, target_id, n_common, distance) of queries and targets that share a document."""
-    q = exploded(queries)
+    """(ctx_id, target_id, n_common, distance) of queries and targets that share a document.
+
+    The number of tasks is fixed: pairs are counted up in a task's memory, of which the bytes that are shuffled tell little.
+    """
+    q = exploded(queries).repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc")
     t = exploded(targets).select("doc", F.col("ctx_id").alias("target_id"), F.col("pos").alias("target_pos"), F.col("n").alias("m"))
     found = q.join(t, "doc").groupBy("ctx_id", "target_id", "n", "m").agg(F.count("*").alias("n_common"), F.sum(F.abs(F.col("pos") - F.col("target_pos"))).alias("moved"))
     return found.select("ctx_id", "target_id", "n_common", distance_of(F.col("n_common"), F.col("moved"), F.col("n"), F.col("m"), alpha).alias("distance"))

@@ -8,7 +8,7 @@ import pytest
 from plans import exchanged
 from test_cluster import model, plain_distance, plain_incremental, plain_search
 
-from ctxspark.operators import cluster, contexts
+from ctxspark.operators import cluster, contexts, distance
 from ctxspark.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
@@ -171,3 +171,12 @@ def test_rows_of_contexts_are_shuffled_once(spark):
     made = contexts.from_rows(rows, "c", "d", "at")
     assert exchanged(made, "ctx_id") == 1
     assert {r.ctx_id: r.docs for r in made.collect()} == {1: [7, 8], 2: [9, None]}
+
+
+def test_tasks_of_cross_distances_are_not_merged(spark):
+    """Pairs are counted up in as many tasks as are asked for, however few bytes are shuffled."""
+    a = spark.createDataFrame([(1, [1, 2]), (2, [3])], "ctx_id long, docs array<long>")
+    b = spark.createDataFrame([(8, [2, 1]), (9, [4])], "ctx_id long, docs array<long>")
+    made = distance.cross(a, b)
+    assert [tuple(r)[:3] for r in made.collect()] == [(1, 8, 2)]
+    assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().executedPlan().toString()
