@@ -28,6 +28,7 @@ import heapq
 import itertools
 import math
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -56,14 +57,25 @@ SHARD, MOST_TASKS = 4_000_000, 20_000
 #: Tokens that a task trains on or scores at once.
 BLOCK = 1 << 16
 WORDS_KEPT = 300_000
+#: Words whose pairs of characters are looked at together; longer words go one by one.
+WORDS_TOGETHER, LONG = 10_000, 256
 
 
 #: Pairs of characters that the spelling of words knows; the others go by their single characters.
 PAIRS_KEPT = 50_000
+#: Characters, the most frequent ones, whose pairs are kept in a square; the others' are looked up one by one.
+SQUARE = 1000
 #: Weight of a character's own share against the pairs', and the share of characters never seen.
 SMOOTH, UNSEEN, CHARACTERS = 5.0, 1e-4, 0x110000
 
 
+def _pairs_of(words: Iterable[str]) -> tuple[str, np.ndarray, np.ndarray]:
+    """The words with one space before, between and behind them, its code points, and where its spaces are; long words are left empty."""
+    text = f" {' '.join(w if len(w) <= LONG else '' for w in words)} "
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    return text, codes, np.flatnonzero(codes == 32)
+
+
 class Speller:
     """log P(word) of words outside the vocabulary, by character pairs; a space stands for a word's ends."""
 
@@ -74,6 +86,10 @@ class Speller:
         for p, n in pairs.items():
             kept[p[0]] += n
         self.before, self.kept, self.pairs, self.logs, self.rest = before, kept, pairs, {}, 0.0
+        known = sorted(singles, key=lambda c: (-singles[c], c))[:SQUARE]
+        self.numbers = np.zeros(max(map(ord, known), default=0) + 2, np.int64)  # 0: not in the square
+        self.numbers[np.array([ord(c) for c in known], np.int64)] = np.arange(1, len(known) + 1)
+        self.square = None
         # what it would give to no character and to words of the vocabulary, which have their own leaves, goes to the others
         self.rest = -math.log1p(-min(math.fsum(math.exp(self(w)) for w in {"", *frequent}), 1 - 1e-9))
 
@@ -94,6 +110,31 @@ class Speller:
             found += self._log(a + b) if x is None else x
         return found + self.rest
 
+    def of(self, words: list[str]) -> np.ndarray:
+        """The same for many words together."""
+        if self.square is None:
+            width = int(self.numbers.max()) + 1
+            self.square = np.full((width, width), np.nan)
+        parts = [self._of(words[at : at + WORDS_TOGETHER]) for at in range(0, len(words), WORDS_TOGETHER)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def _of(self, words: list[str]) -> np.ndarray:
+        text, codes, ends = _pairs_of(words)
+        n = self.numbers.take(np.minimum(codes, len(self.numbers) - 1))
+        cell = n[:-1] * len(self.square) + n[1:]
+        found = self.square.ravel().take(cell)
+        new = np.flatnonzero(np.isnan(found))
+        for k in new.tolist():
+            x = self.logs.get(text[k : k + 2])
+            found[k] = self._log(text[k : k + 2]) if x is None else x
+        self.square.ravel()[cell[new]] = found[new]
+        self.square[0] = self.square[:, 0] = np.nan
+        out = np.add.reduceat(found, ends[:-1]) + self.rest
+        for k, w in enumerate(words):
+            if len(w) > LONG:
+                out[k] = self(w)
+        return out
+
 
 class Vocabulary(dict):
     """Word -> number: 1 to K for the K frequent words, hash classes behind.
@@ -105,24 +146,28 @@ class Vocabulary(dict):
         super().__init__({w: k + 1 for k, w in enumerate(frequent)})
         self.frequent, self.speller = frequent, speller
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > WORDS_KEPT + len(self.frequent):
-            self.clear()
-            self.update({w: k + 1 for k, w in enumerate(self.frequent)})
-            if word in self:
-                return self[word]
-        n = 1 + len(self.frequent) + xxhash.xxh3_64_intdigest(word.encode()) % CLASSES
+    def _others(self, words: list[str]) -> list[int]:
+        """The numbers of words outside the vocabulary."""
+        n = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in words), np.uint64, len(words)) % np.uint64(CLASSES)
+        n = n.astype(np.int64) + 1 + len(self.frequent)
         if self.speller:
-            n |= int(np.float32(self.speller(word)).view(np.int32)) << 32
-        self[word] = n
-        return n
-
-    def values_of(self, text: str | None) -> np.ndarray:
-        words = (text or "").lower().split()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-    def ids(self, text: str | None) -> np.ndarray:
-        return self.values_of(text) & 0xFFFFFFFF
+            n |= self.speller.of(words).astype(np.float32).view(np.int32).astype(np.int64) << 32
+        return n.tolist()
+
+    def blocks(self, texts: Iterable[str | None]) -> Iterator[list[np.ndarray]]:
+        """The values of the texts' words, in lists of about ``BLOCK`` words; each distinct word of a list is looked up once."""
+        for held in blocks(((text or "").lower().split() for text in texts), BLOCK):
+            words = list(itertools.chain.from_iterable(held))
+            own = dict.fromkeys(words)
+            own = dict(zip(own, map(self.get, own), strict=True))
+            others = [w for w, n in own.items() if n is None]
+            own.update(zip(others, self._others(others), strict=True))
+            values = np.fromiter(map(own.__getitem__, words), np.int64, len(words))
+            yield np.split(values, np.cumsum([len(t) for t in held])[:-1])
+
+    def id_blocks(self, texts: Iterable[str | None]) -> Iterator[list[np.ndarray]]:
+        for held in self.blocks(texts):
+            yield [v & 0xFFFFFFFF for v in held]
 
     @staticmethod
     def spelled(values: np.ndarray) -> np.ndarray:
@@ -315,8 +360,8 @@ class Trainer:
             self.tokens += n
 
 
-def blocks(texts, tokens: int = BLOCK):
-    """Lists of token arrays of about so many tokens."""
+def blocks(texts: Iterable, tokens: int):
+    """Lists of texts (lists of words) of about so many tokens."""
     held, size = [], 0
     for t in texts:
         held.append(t)
@@ -384,9 +429,9 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Mode
     tree = Tree.of([*own, total - sum(own)], CLASSES - 1)
     start = Trainer(Weights.fresh(tree=tree))
     vocabulary = Vocabulary(frequent)
-    sample = [vocabulary.ids(t) for t in _start_texts(texts)]
+    sample = list(vocabulary.id_blocks(_start_texts(texts)))
     for _ in range(2):
-        for held in blocks(sample):
+        for held in sample:
             start.learn(*joined(held))
     shared = spark.sparkContext.broadcast((frequent, tree, start.w.vector().astype("<f4"), [s.copy() for s in start.seen]))
 
@@ -396,7 +441,7 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Mode
         for g, rows in itertools.groupby(rows_of(batches, "g", "t"), key=lambda row: row[0]):
             trainer = Trainer(Weights.of(vector, shape))
             trainer.seen = [s.copy() for s in seen]
-            for held in blocks(own.ids(t) for _, t in rows):
+            for held in own.id_blocks(t for _, t in rows):
                 trainer.learn(*joined(held))
             yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([trainer.tokens], pa.int64()), pa.array([trainer.w.vector().astype("<f4").tobytes()], pa.binary())], names=["g", "n", "w"])
 
@@ -413,10 +458,9 @@ def _speller(counted: DataFrame, frequent: list[str]) -> Speller:
 
     def pairs(batches):
         found: Counter = Counter()
-        for word, n in rows_of(batches, "w", "n"):
-            s = f" {word} "
-            for a, b in zip(s, s[1:], strict=False):
-                found[a + b] += n
+        rows = rows_of(batches, "w", "n")
+        while held := list(itertools.islice(rows, WORDS_TOGETHER)):
+            found.update(_pair_counts(*zip(*held, strict=True)))
             if len(found) > WORDS_KEPT:
                 yield from _counts(found)
                 found = Counter()
@@ -428,6 +472,24 @@ def _speller(counted: DataFrame, frequent: list[str]) -> Speller:
     return Speller({r["w"]: r["n"] for r in kept}, {r["c"]: r["n"] for r in singles}, frequent)
 
 
+def _pair_counts(words: tuple[str, ...], times: tuple[int, ...]) -> Counter:
+    """How often each pair of characters occurs in words that occur so many times; a space stands for a word's ends."""
+    text, codes, ends = _pairs_of(words)
+    key = codes[:-1].astype(np.int64) << 32 | codes[1:]
+    n = np.repeat(np.array(times, np.int64), np.diff(ends))
+    by = np.argsort(key, kind="stable")
+    own = key[by]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    found = Counter({text[k : k + 2]: c for k, c in zip(by[first].tolist(), np.add.reduceat(n[by], first).tolist(), strict=True)})
+    found.pop("  ", None)  # where long words are left out
+    for word, c in zip(words, times, strict=True):
+        if len(word) > LONG:
+            s = f" {word} "
+            for a, b in zip(s, s[1:], strict=False):
+                found[a + b] += c
+    return found
+
+
 def _counts(found: Counter):
     keys = list(found)
     for at in range(0, len(keys), 20_000):
@@ -446,7 +508,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         words, w = Vocabulary(m.frequent, m.speller), Weights.of(m.weights, m.tree)
         for batch in batches:
             sums, sizes = [], []
-            for held in blocks(words.values_of(t) for (t,) in rows_of([batch], "t")):
+            for held in words.blocks(t for (t,) in rows_of([batch], "t")):
                 line, at = joined([v & 0xFFFFFFFF for v in held])
                 n = np.array([len(t) for t in held])
                 total = np.concatenate([[0.0], np.cumsum(log_probabilities(w, line, at) + Vocabulary.spelled(np.concatenate(held)))])

@@ -3,9 +3,11 @@
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -198,6 +200,43 @@ def test_spelled_words_sum_to_one():
     assert 0.99 < total <= 1
 
 
+def test_words_are_spelled_together_as_one_by_one(monkeypatch):
+    words = ["a", "Ünï", "日本", "x\x00y", "\U0001f600b", "q" * 300, "ab", "b" * 256]
+    pairs = Counter()
+    for w, n in zip(words, range(1, 9), strict=True):
+        s = f" {w} "
+        for x, y in zip(s, s[1:], strict=False):
+            pairs[x + y] += n
+    assert language._pair_counts(tuple(words), tuple(range(1, 9))) == pairs
+    singles = Counter()
+    for p, n in pairs.items():
+        singles[p[1]] += n
+    asked = [*words, "never", "日a", "\U0010ffff", *(f"a{chr(k)}" for k in range(97, 400))]
+    for square, together in ((1000, 10_000), (2, 3), (0, 1)):
+        monkeypatch.setattr(language, "SQUARE", square)
+        monkeypatch.setattr(language, "WORDS_TOGETHER", together)
+        spelled = language.Speller(dict(pairs), dict(singles), ["ab"])
+        assert spelled.of(asked) == pytest.approx([spelled(w) for w in asked], abs=1e-9)
+        assert spelled.of(asked).tolist() == spelled.of(asked).tolist()
+    assert len(language.Speller({}, {}, [""]).of(["a", "bc"])) == 2 and len(spelled.of([])) == 0
+
+
+def test_values_of_texts_are_those_of_their_words(monkeypatch):
+    spelled = language.Speller({" a": 9, "ab": 6, "b ": 8, "a ": 3, " b": 2}, {"a": 9, "b": 9, " ": 11}, ["the"])
+    texts = ["The ab THE ba", None, "", "ab\u2003abba zoë", " the ", "b"]
+    want = []
+    for t in texts:
+        own = (t or "").lower().split()
+        want.append([(1 if w == "the" else 2 + xxhash.xxh3_64_intdigest(w.encode()) % language.CLASSES, 0.0 if w == "the" else float(np.float32(spelled(w)))) for w in own])
+    monkeypatch.setattr(language.Speller, "__call__", None)  # no word is spelled on its own
+    for size in (1, 3, 100):
+        monkeypatch.setattr(language, "BLOCK", size)
+        held = list(language.Vocabulary(["the"], spelled).blocks(texts))
+        got = [v for part in held for v in part]
+        assert [(v & 0xFFFFFFFF).tolist() for v in got] == [[n for n, _ in own] for own in want]
+        assert [x for v in got for x in language.Vocabulary.spelled(v).tolist()] == pytest.approx([x for own in want for _, x in own], rel=1e-6)
+
+
 def test_every_word_has_a_probability_of_its_own(spark):
     import xxhash
 
