@@ -30,6 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from . import rounds
 from .contexts import exploded
 from .distance import ALPHA, GRAIN
+from .shared import Scratch
 
 LINKAGES = ("average", "complete", "single")
 #: Contexts, or clusters that are left of them, of which one task holds the matrix.
@@ -228,6 +229,7 @@ def by_batch(contexts: DataFrame, batch: str, made: Callable[[object, list, Tree
         raise ValueError(f"unknown linkage {method!r}")
     parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = contexts.select(F.col(batch).alias("b"), F.col("ctx_id").alias("c"), F.col("docs").cast("array<bigint>").alias("d"))
+    rows = Scratch(contexts.sparkSession, "batches").written(rows)  # made once, to be counted and to be linked
     large = rows.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > max_batch)
     none = F.lit(None)
     merge = "struct<i:bigint,j:bigint,far:double,size:bigint>"

@@ -150,7 +150,9 @@ def lru_tokens_to_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evict_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees after short contexts are evicted: leaves of at most three documents go, and parents left without children."""
     nodes = cluster.tree_nodes(customer_contexts(spark, sf_dir).withColumnRenamed("customer", "batch"), "batch")
-    gone = nodes.where("is_leaf AND size(docs) <= 3").select("batch", "node_id")
+    short = F.col("is_leaf") & (F.size("docs") <= 3)
+    nodes = Scratch(spark, "nodes").written(nodes.select("batch", "node_id", "path", "is_leaf", short.alias("short")))  # trees are built once
+    gone = nodes.where("short").select("batch", "node_id")
     return ix.pruned(nodes, gone, "batch").select("batch", "node_id", "removed")
 
 

@@ -9,7 +9,7 @@ from plans import exchanged
 from test_cluster import model, plain_distance, plain_incremental, plain_search
 
 from ctxspark.operators import cluster, contexts, distance
-from ctxspark.plans import registry
+from ctxspark.plans import index_queries, registry
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -143,6 +143,22 @@ def test_evict_requests(spark, trees):
     assert rows(spark, "evict_requests", "batch", "node_id", "removed") == sorted(want, key=repr)
 
 
+def test_trees_are_built_once_and_their_contexts_made_once(spark, monkeypatch):
+    """What is counted, clustered and evicted from is read from tables."""
+    read = []
+    build = cluster.by_batch
+
+    def noted(contexts, *rest):
+        out = build(contexts, *rest)
+        read.append(str(out._jdf.queryExecution().executedPlan()))
+        return out
+
+    monkeypatch.setattr(cluster, "by_batch", noted)
+    made = index_queries.evict_requests(spark, FOLDER)
+    assert "MapInArrow" not in str(made._jdf.queryExecution().executedPlan())
+    assert len(read) == 1 and "l_linenumber" not in read[0]
+
+
 def halves(customers):
     for b, own in customers.items():
         if own[5:]:
